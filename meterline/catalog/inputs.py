@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from meterline.functions.money import COST
 from meterline.functions.price_list import bundled_rows
-from meterline.operators.pricing import price
+from meterline.operators.pricing import price_rows
 from meterline.operators.projects import with_project
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,7 +66,7 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def priced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return price(usage(spark, sf_dir))
+    return price_rows(usage(spark, sf_dir))
 
 
 def _prices_sql() -> str:
@@ -89,7 +89,7 @@ COST_SQL = " + ".join(_term(t, r) for t, r in [
 
 # `uses`: usage events. `priced`: the same with an exact cost, null when unpriced.
 USES_SQL = f"""
-raw AS (SELECT event_id, epoch_ms(ts) AS ts_ms, user_id, event_type, value,
+raw AS (SELECT event_id, CAST(epoch_us(ts) // 1000 AS BIGINT) AS ts_ms, user_id, event_type, value,
   CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
 uses AS (SELECT event_id, ts_ms, user_id, event_type, value, k, {_AGENT_CASE} AS agent, {_MODEL_CASE} AS model,
   CAST(floor(value * 100) AS BIGINT) AS input_tokens, k * 10 AS output_tokens,

@@ -172,5 +172,10 @@ def bundled_rows() -> list[tuple]:
 
 
 def bundled_prices(spark: SparkSession) -> DataFrame:
-    """147 rows, fixed size."""
-    return spark.createDataFrame(bundled_rows(), SCHEMA)
+    """147 rows, fixed size; a local relation, so reading it starts no job."""
+    rows = ", ".join(
+        f"({position}, '{key}', " + ", ".join(f"CAST({format(r, 'f')} AS decimal(18,12))" for r in rates)
+        + f", CAST({'NULL' if longest is None else longest} AS bigint))"
+        for position, key, *rates, longest in bundled_rows())
+    names = ", ".join(field.split(" ")[0] for field in SCHEMA.split(", "))
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t({names})")

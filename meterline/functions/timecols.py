@@ -15,29 +15,14 @@ DAY_MS = 86_400_000
 MAX_BUCKET = 4294967295
 HOT_MAX_AGE_MS = 48 * HOUR_MS
 
-# Strict ISO-8601 with a mandatory zone; the parts are checked, not guessed.
-_ISO = (r"^(\d{4})-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])T([01]\d|2[0-3]):([0-5]\d):([0-5]\d)"
-        r"(?:\.(\d+))?(Z|[+-](?:[01]\d|2[0-3]):?[0-5]\d)$")
+# Strict ISO-8601 with a mandatory zone; the cast alone would also take dates and zoneless text.
+_ISO = (r"^\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])T([01]\d|2[0-3]):[0-5]\d:[0-5]\d"
+        r"(\.\d+)?(Z|[+-]([01]\d|2[0-3]):?[0-5]\d)$")
 
 
 def iso_to_ms(text: Column) -> Column:
     """Epoch ms of a strict ISO-8601 string, null for anything else. Fractions truncate to ms."""
-    def part(i: int) -> Column:
-        return F.regexp_extract(text, _ISO, i)
-
-    ok = text.rlike(_ISO)
-    # make_date via try_to_date rejects 30 February; the regex alone cannot.
-    day = F.datediff(
-        F.try_to_date(F.concat_ws("-", part(1), part(2), part(3)), "yyyy-MM-dd"),
-        F.lit("1970-01-01").cast("date"))
-    seconds = (day.cast("long") * 86400 + part(4).cast("long") * 3600
-               + part(5).cast("long") * 60 + part(6).cast("long"))
-    millis = F.rpad(F.substring(part(7), 1, 3), 3, "0").cast("long")
-    zone = F.regexp_replace(part(8), ":", "")
-    offset = F.when(zone == "Z", F.lit(0).cast("long")).otherwise(
-        F.when(zone.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
-        * (F.substring(zone, 2, 2).cast("long") * 60 + F.substring(zone, 4, 2).cast("long")))
-    return F.when(ok, (seconds - offset * 60) * 1000 + millis)
+    return F.when(text.rlike(_ISO), F.unix_millis(F.try_to_timestamp(text)))
 
 
 def floor_div(value: Column, by: int) -> Column:

@@ -37,47 +37,62 @@ def _text_after_slash(model: Column) -> Column:
     return F.substring_index(model, "/", -1)
 
 
+def _short_list(prices: DataFrame, max_literal_keys: int) -> list[str] | None:
+    """Keys of a short price list, longest first and then in file order; None for a long one."""
+    head = [tuple(r) for r in prices.select("price_key", "position").limit(max_literal_keys + 1).collect()]
+    if len(head) > max_literal_keys:
+        return None
+    return [k for k, _ in sorted(head, key=lambda kp: (-len(kp[0].encode()), kp[1]))]
+
+
+def _key_of(model: Column, ranked: list[str]) -> Column:
+    """Price key of a name against a short list: exact, after the last '/', lower case, longest inside."""
+    base = _text_after_slash(model)
+    lowered = _lowered(base)
+    if not ranked:
+        return F.lit(None).cast("string")
+
+    def exact(candidate: Column) -> Column:
+        return F.when(candidate.isin(*ranked), candidate)
+
+    hay = F.coalesce(lowered, base)
+    keys = F.array(*[F.lit(k) for k in ranked])
+    # The outer lambda binds the lower-cased name, so it is not derived again for every key.
+    longest = F.transform(F.array(hay), lambda h: F.get(F.filter(keys, lambda k: F.contains(h, k)), F.lit(0)))
+    return F.coalesce(exact(model), exact(base), exact(lowered), F.get(longest, F.lit(0)))
+
+
+def _lowered(base: Column) -> Column:
+    # Names over 160 bytes keep their case: no lower-cased form is tried for them.
+    return F.when(F.octet_length(base) <= 160, F.translate(base, _UPPER, _UPPER.lower()))
+
+
 def resolve_models(models: DataFrame, prices: DataFrame,
                    max_literal_keys: int = MAX_LITERAL_KEYS) -> DataFrame:
-    """Distinct `model` names -> price key: exact, after the last '/', lower case, longest key inside.
+    """Distinct `model` names -> price key.
 
     The last step needs every key against a name. A short price list becomes a
     literal that each name tests in place; a long one is met by an equi-join on
     the substrings of the name, so neither is a product of two tables.
     """
-    names = models.select("model").distinct().select(
-        "model", _text_after_slash(F.col("model")).alias("base"))
-    # Names over 160 bytes keep their case, as no lower-cased form is tried.
-    names = names.withColumn("lowered", F.when(
-        F.octet_length("base") <= 160, F.translate("base", _UPPER, _UPPER.lower())))
-    names = names.withColumn("hay", F.coalesce("lowered", "base"))
+    distinct = models.select("model").distinct()
+    ranked = _short_list(prices, max_literal_keys)
+    if ranked is not None:
+        return distinct.select("model", _key_of(F.col("model"), ranked).alias("price_key"))
 
     keys = prices.select("price_key", "position")
-    head = [tuple(r) for r in keys.limit(max_literal_keys + 1).collect()]
-    if len(head) <= max_literal_keys:
-        known = {k for k, _ in head}
-        ranked = [k for k, _ in sorted(head, key=lambda kp: (-len(kp[0].encode()), kp[1]))]
-        if not ranked:
-            return names.select("model", F.lit(None).cast("string").alias("price_key"))
-        ranked_keys = F.array(*[F.lit(k) for k in ranked])
-
-        def exact(candidate: Column) -> Column:
-            return F.when(candidate.isin(*known), candidate)
-
-        inside = F.filter(ranked_keys, lambda k: F.contains(F.col("hay"), k))
-        return names.select("model", F.coalesce(
-            exact(F.col("model")), exact(F.col("base")), exact(F.col("lowered")),
-            F.get(inside, F.lit(0))).alias("price_key"))
-
+    base = _text_after_slash(F.col("model"))
+    names = distinct.select("model", base.alias("base"), _lowered(base).alias("lowered")).withColumn(
+        "hay", F.coalesce("lowered", "base"))
     exact_hits = names.select(
         "model", F.posexplode(F.array("model", "base", "lowered")).alias("stage", "candidate")
     ).join(keys.withColumnRenamed("price_key", "candidate"), "candidate").groupBy("model").agg(
         F.min_by("candidate", "stage").alias("exact_key"))
-    length = F.length("hay")
-    pieces = names.select("model", "hay", F.explode(F.sequence(F.lit(1), length)).alias("at")).filter(
-        F.length("hay") > 0).select("model", F.explode(F.transform(
-            F.sequence(F.lit(1), F.length("hay") - F.col("at") + 1),
-            lambda n: F.substring(F.col("hay"), F.col("at"), n))).alias("candidate")).distinct()
+    pieces = names.filter(F.length("hay") > 0).select(
+        "model", "hay", F.explode(F.sequence(F.lit(1), F.length("hay"))).alias("at")
+    ).select("model", F.explode(F.transform(
+        F.sequence(F.lit(1), F.length("hay") - F.col("at") + 1),
+        lambda n: F.substring(F.col("hay"), F.col("at"), n))).alias("candidate")).distinct()
     fuzzy = pieces.join(keys.withColumnRenamed("price_key", "candidate"), "candidate").groupBy("model").agg(
         F.max_by("candidate", F.struct(F.octet_length("candidate"), -F.col("position"))).alias("fuzzy_key"))
     return (names.select("model").join(exact_hits, "model", "left").join(fuzzy, "model", "left")
@@ -91,19 +106,34 @@ def model_rates(models: DataFrame, prices: DataFrame | None = None) -> DataFrame
             .join(prices.select("price_key", *RATES), "price_key", "left"))
 
 
-def price(events: DataFrame, prices: DataFrame | None = None,
-          rates: DataFrame | None = None) -> DataFrame:
-    """`events` (rows or aggregated cells that keep `model`) with `cost_usd`, null when unpriced.
+def _with_cost(rated: DataFrame) -> DataFrame:
+    return rated.withColumn("cost_usd", money.cost_of(*[F.col(r) for r in RATES])).drop(*RATES)
+
+
+def price_rows(events: DataFrame, prices: DataFrame | None = None, rates: DataFrame | None = None) -> DataFrame:
+    """Single events with `cost_usd`, null when unpriced.
+
+    Names are resolved once per distinct model and joined back; `rates` is a
+    stored `model_rates` table that saves even that.
+    """
+    rates = model_rates(events, prices) if rates is None else rates
+    return _with_cost(events.join(broadcast_if_small(rates.select("model", *RATES)), "model", "left"))
+
+
+def price(cells: DataFrame, prices: DataFrame | None = None, rates: DataFrame | None = None) -> DataFrame:
+    """Aggregated cells that keep `model` with `cost_usd`, null when unpriced.
 
-    `rates` is a stored `model_rates` table; without it the distinct models of
-    the input are resolved first.
+    Cells are few, so a short price list is tested in place: no distinct, no
+    second pass. A long list or stored `rates` take the way of single events.
     """
-    if rates is None:
-        rates = model_rates(events, prices)
-    rates = broadcast_if_small(rates.select("model", *RATES))
-    return (events.join(rates, "model", "left")
-            .withColumn("cost_usd", money.cost_of(*[F.col(r) for r in RATES]))
-            .drop(*RATES))
+    prices = bundled_prices(cells.sparkSession) if prices is None else prices
+    ranked = _short_list(prices, MAX_LITERAL_KEYS) if rates is None else None
+    if ranked is None:
+        return price_rows(cells, prices, rates)
+    keyed = cells.withColumn("price_key", _key_of(F.col("model"), ranked))
+    # At most MAX_LITERAL_KEYS rows: counted just above.
+    return _with_cost(keyed.join(F.broadcast(prices.select("price_key", *RATES)), "price_key", "left")).drop(
+        "price_key")
 
 
 def unpriced_models(models: DataFrame, prices: DataFrame | None = None) -> DataFrame:

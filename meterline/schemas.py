@@ -58,13 +58,21 @@ PLAN_PRICES = [
 LIMIT_KINDS = ("five_hour", "weekly", "weekly_opus", "weekly_sonnet", "monthly")
 
 
+def _local(spark: SparkSession, rows: list[tuple], names: str, casts: dict[str, str]) -> DataFrame:
+    """A literal relation: its size is known to the optimizer and reading it starts no job."""
+    def literal(value) -> str:
+        return f"'{value}'" if isinstance(value, str) else str(value).lower()
+
+    values = ", ".join("(" + ", ".join(literal(v) for v in row) + ")" for row in rows)
+    columns = ", ".join(f"CAST({n} AS {casts[n]}) AS {n}" if n in casts else n for n in names.split(", "))
+    return spark.sql(f"SELECT {columns} FROM VALUES {values} AS t({names})")
+
+
 def agents(spark: SparkSession) -> DataFrame:
     """14 rows, fixed size."""
-    return spark.createDataFrame(
-        AGENTS, "agent string, agent_id int, covered boolean, has_collector boolean")
+    return _local(spark, AGENTS, "agent, agent_id, covered, has_collector", {})
 
 
 def plan_prices(spark: SparkSession) -> DataFrame:
     """5 rows, fixed size."""
-    return spark.createDataFrame(
-        PLAN_PRICES, "agent string, plan string, plan_lo double, plan_hi double")
+    return _local(spark, PLAN_PRICES, "agent, plan, plan_lo, plan_hi", {"plan_lo": "double", "plan_hi": "double"})

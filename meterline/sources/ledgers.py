@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from meterline.schemas import TOKEN_COLUMNS
+from meterline.sources.lines import once
 from meterline.sources.transcripts import count_of, text_of
 
 ROWS_PER_TASK = 1_000_000
@@ -136,7 +137,7 @@ def kilo_rows(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def kilo(messages: DataFrame, sessions: DataFrame) -> DataFrame:
     """Assistant messages with tokens; the model comes from the message, else from its session."""
-    parsed = messages.withColumn("j", F.from_json("data", (
+    parsed = once(messages, j=F.from_json("data", (
         "role string, modelID string, model struct<id string>, tokens struct<input bigint, "
         "output bigint, reasoning bigint, cache struct<read bigint, write bigint>>"))).filter(
         (F.col("j.role") == "assistant") & F.col("j.tokens").isNotNull())
@@ -175,9 +176,9 @@ def opencode(messages: DataFrame, next_messages: DataFrame, sessions: DataFrame)
     schema = ("role string, modelID string, model struct<id string>, "
               "time struct<created bigint, completed bigint>, tokens struct<input string, "
               "output string, reasoning string, cache struct<read string, write string>>")
-    modern = next_messages.filter(F.col("type") == "assistant").withColumn("j", F.from_json("data", schema))
+    modern = once(next_messages.filter(F.col("type") == "assistant"), j=F.from_json("data", schema))
     modern_files = modern.select("db_file").distinct()
-    first = messages.withColumn("j", F.from_json("data", schema)).filter(F.col("j.role") == "assistant")
+    first = once(messages, j=F.from_json("data", schema)).filter(F.col("j.role") == "assistant")
     legacy = first.join(modern_files, "db_file", "left_anti").withColumn("model", F.col("j.modelID"))
     chosen = modern.withColumn("model", F.coalesce("j.model.id", "j.modelID")).drop("type").unionByName(
         legacy.select(*[c for c in modern.columns if c != "type"], "model"))

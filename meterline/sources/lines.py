@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ORDER = ["line_start", "line_seq"]
@@ -50,6 +50,17 @@ def may_matter(lines: DataFrame, markers: list[str]) -> DataFrame:
     return lines.filter(reduce(lambda a, b: a | b, [F.col("value").contains(m) for m in markers]))
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """`df` plus costly columns that are computed once per row.
+
+    Predicates on a projected column are pushed below it and compute it again; they
+    are not pushed below a generator.
+    """
+    for name, value in columns.items():
+        df = df.select("*", F.explode(F.array(value)).alias(name))
+    return df
+
+
 def whole_files(spark: SparkSession, paths: str | list[str], glob: str) -> DataFrame:
     """One row per file, for documents that are rewritten as a whole."""
     text = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)

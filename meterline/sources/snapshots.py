@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from meterline.functions.paths import file_stem, parent_name
 from meterline.functions.timecols import iso_to_ms
 from meterline.schemas import TOKEN_COLUMNS
+from meterline.sources.lines import once
 from meterline.sources.transcripts import count_of, text_of
 
 RECORD = ("source_file", "key", "position", "agent", "ts_ms", "model", *TOKEN_COLUMNS, "session_id", "cwd")
@@ -24,7 +25,7 @@ def _records(df: DataFrame, agent: str, **columns: Column) -> DataFrame:
 
 def cline_messages(files: DataFrame, agent: str = "cline") -> DataFrame:
     """`*.messages.json`: an object whose messages carry an id and metrics."""
-    parsed = files.withColumn("j", F.from_json("value", (
+    parsed = once(files, j=F.from_json("value", (
         "sessionId string, messages array<struct<id string, ts bigint, modelInfo struct<id string>, "
         f"metrics struct<{_COUNTERS}>>>")))
     rows = parsed.select("source_file", F.col("j.sessionId").alias("session"),
@@ -43,12 +44,12 @@ def cline_messages(files: DataFrame, agent: str = "cline") -> DataFrame:
 
 def task_messages(files: DataFrame, agent: str) -> DataFrame:
     """`ui_messages.json` of a task folder: request rows whose `text` is JSON itself."""
-    parsed = files.withColumn("j", F.from_json(
+    parsed = once(files, j=F.from_json(
         "value", "array<struct<ts bigint, type string, say string, text string>>"))
     rows = parsed.select("source_file", F.posexplode("j").alias("position", "m"))
-    kept = rows.filter(
+    kept = once(rows.filter(
         (F.col("m.type") == "say") & F.col("m.say").isin("api_req_started", "deleted_api_reqs")
-        & F.col("m.ts").isNotNull()).withColumn("u", F.from_json("m.text", _LEGACY_COUNTERS))
+        & F.col("m.ts").isNotNull()), u=F.from_json("m.text", _LEGACY_COUNTERS))
     return _records(
         kept.filter(F.col("u").isNotNull()), agent, key=F.col("m.ts").cast("string"), ts_ms=F.col("m.ts"),
         model=F.lit(""), input_tokens=count_of(F.col("u.tokensIn")),
@@ -65,7 +66,7 @@ RESPONSE_WINDOWS = [("five_hour", "five_hour"), ("seven_day", "weekly"),
 def quota_responses(responses: DataFrame, agent: str = "claude") -> DataFrame:
     """Landed quota responses (seq, read_at_ms, plan, body) -> snapshots; null windows are left out."""
     fields = ", ".join(f"{k} struct<utilization double, resets_at string>" for k, _ in RESPONSE_WINDOWS)
-    parsed = responses.withColumn("j", F.from_json("body", fields)).filter(F.col("j").isNotNull())
+    parsed = once(responses, j=F.from_json("body", fields)).filter(F.col("j").isNotNull())
     windows = [F.when(F.col(f"j.{key}.utilization").isNotNull(), F.struct(
         F.lit(kind).alias("kind"), F.col(f"j.{key}.utilization").alias("used_percent"),
         F.coalesce(iso_to_ms(F.col(f"j.{key}.resets_at")), F.lit(0).cast("bigint")).alias("resets_at_ms")))

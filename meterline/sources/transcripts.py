@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from meterline.functions.paths import file_name, file_stem, parent_name
 from meterline.functions.timecols import iso_to_ms
 from meterline.operators.deltas import carry_context, cumulative_deltas
-from meterline.sources.lines import ORDER, may_matter
+from meterline.sources.lines import ORDER, may_matter, once
 
 CODEX_DEFAULT_MODEL = "codex"
 FIELDS = ("agent", "ts_ms", "model", "input_tokens", "output_tokens", "cache_creation_tokens",
@@ -34,7 +34,7 @@ def _present(value: Column, default: Column) -> Column:
 
 
 def _parsed(lines: DataFrame, schema: str, markers: list[str]) -> DataFrame:
-    return may_matter(lines, markers).withColumn("j", F.from_json("value", schema)).filter(
+    return once(may_matter(lines, markers), j=F.from_json("value", schema)).filter(
         F.col("j").isNotNull()).drop("value")
 
 
