@@ -98,6 +98,30 @@ def running_pace(readings: DataFrame, keys: list[str]) -> DataFrame:
                         f"{key_schema}, seq bigint, read_at_ms bigint, used_percent double, pace double")
 
 
+def observed_walls(paced: DataFrame, keys: list[tuple[str, str]]) -> DataFrame:
+    """The nearest projected wall at every observation of a host, null when none is in sight.
+
+    `paced` is `running_pace` per (host, agent, kind). Each of the `keys` - a closed
+    set of (agent, kind) - keeps its last reading, and projects from it at the
+    instant of every later observation of any key.
+    """
+    chunk = chunk_of(F.col("seq"), CHUNK_ROWS)
+    outputs = {}
+    for i, (agent, kind) in enumerate(keys):
+        own = (F.col("agent") == agent) & (F.col("kind") == kind)
+        outputs[f"k{i}"] = Running("last", F.when(own, F.struct("used_percent", "pace")))
+    known = ordered_scan(paced.withColumn("now_ms", F.col("read_at_ms")), ["host"], ["seq"], chunk, **outputs)
+    candidates = []
+    for i, (agent, kind) in enumerate(keys):
+        at = eta_ms(F.col("now_ms"), F.col(f"k{i}.used_percent"), F.col(f"k{i}.pace"))
+        candidates.append(F.when(at.isNotNull(), F.struct(
+            at.alias("wall_at_ms"), F.lit(i).alias("rank"), F.lit(agent).alias("agent"), F.lit(kind).alias("kind"),
+            F.col(f"k{i}.used_percent").alias("used_percent"))))
+    nearest = F.array_min(F.array(*candidates))
+    return known.select("host", "seq", "now_ms", nearest.alias("w")).select(
+        "host", "seq", "now_ms", "w.agent", "w.kind", "w.used_percent", "w.wall_at_ms")
+
+
 def eta_ms(now_ms: Column, used_percent: Column, pace_per_min: Column) -> Column:
     """Instant a window reaches 100 %; null without a pace or beyond a week, `now` when full."""
     minutes = (F.lit(100.0) - used_percent) / pace_per_min
