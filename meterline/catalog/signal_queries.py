@@ -253,9 +253,9 @@ def dial_scale(spark, sf):
 
 # --- quotas ---------------------------------------------------------------------------
 
-def readings(spark, sf) -> DataFrame:
+def readings_from(events: DataFrame) -> DataFrame:
     """Quota readings of the two quota agents of seven hosts; k is the percentage."""
-    return usage(spark, sf).filter(F.col("agent").isin("claude", "codex")).select(
+    return events.filter(F.col("agent").isin("claude", "codex")).select(
         (F.col("user_id") % 7).alias("host"), "agent",
         F.when(F.col("user_id") % 2 == 0, "five_hour").otherwise("weekly").alias("kind"),
         F.col("event_id").alias("seq"), F.col("ts_ms").alias("read_at_ms"), F.col("ts_ms").alias("now_ms"),
@@ -263,6 +263,10 @@ def readings(spark, sf) -> DataFrame:
         F.when(F.col("k") % 3 == 0, F.concat(F.lit("plan"), (F.col("k") % 4).cast("string"))).alias("plan"))
 
 
+def readings(spark, sf) -> DataFrame:
+    return readings_from(usage(spark, sf))
+
+
 _READINGS = """
 , readings AS (SELECT user_id % 7 AS host, agent, CASE WHEN user_id % 2 = 0 THEN 'five_hour' ELSE 'weekly' END AS kind,
   event_id AS seq, ts_ms AS now_ms, CAST(k AS DOUBLE) AS p, ts_ms + k * 60000 AS resets_at_ms,
@@ -525,7 +529,7 @@ agent_view AS (SELECT agent, least(r, CASE WHEN {NOW_MS} - g <= 600000 THEN 0 WH
 
 
 def agent_view(spark, sf) -> DataFrame:
-    return roster.agent_view(sessions(spark, sf), lit(spark, sf), NOW_MS)
+    return roster.agent_view(sessions(spark, sf), signals(spark, sf), NOW_MS)
 
 
 @query("agent_view", with_uses(_AGENT_VIEW + """

@@ -304,7 +304,8 @@ SELECT event_id FROM uses WHERE k % 3 <> 0 OR k % 11 = 0"""))
 def not_yet_stored(spark, sf):
     """Keys with k divisible by 3 were stored by an earlier run; unkeyed rows always pass."""
     u = usage(spark, sf)
-    keyed = u.select("agent", "event_id", "k", F.when(F.col("k") % 11 != 0, F.concat(
+    keyed = u.select("agent", "event_id", "k", F.lit("f").alias("source_file"), F.lit(0).alias("line_start"),
+                     F.col("event_id").alias("line_seq"), F.when(F.col("k") % 11 != 0, F.concat(
         F.lit("m"), F.col("event_id").cast("string"))).alias("dedup_key"))
     stored = keyed.filter((F.col("k") % 3 == 0) & F.col("dedup_key").isNotNull())
     return dedup.not_yet_stored(keyed, stored).select("event_id")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from meterline.functions.money import clamp
 from meterline.operators.folds import CHUNK_ROWS, chunked_fold, streamed_fold
 from meterline.operators.scan import Running, chunk_of, ordered_scan, union_all
+from meterline.session import settled
 
 # Fixed values of the alert rules.
 WALL_FIRE_MS, WALL_REARM_MS = 30 * 60_000, 45 * 60_000
@@ -160,7 +161,8 @@ def delivered(candidates: DataFrame) -> DataFrame:
     Ten quiet minutes clear the limiter, so candidates split into independent
     islands of one host; each island is stepped through in order, a batch at a time.
     """
-    ordered = candidates.withColumn("rank", -F.col("priority"))
+    # Few rows, read by several branches below: computed once.
+    ordered = settled(candidates.withColumn("rank", -F.col("priority")))
     order = ["seq", "rank", "agent", "kind"]
     chunk = chunk_of(F.col("seq"), CHUNK_ROWS)
     gaps = ordered_scan(ordered, ["host"], order, chunk, before=Running("lag", F.col("now_ms")))

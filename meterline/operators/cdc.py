@@ -65,15 +65,17 @@ def applied(totals: DataFrame, priced_changes: DataFrame, group_by: list[str]) -
     and `cost_usd`. Tokens stop at 0, a cost below 1e-12 is 0, and a replacement
     leaves the event count alone.
     """
-    def signed(side: str, sign: int) -> DataFrame:
-        return priced_changes.filter(F.col(side).isNotNull()).select(
+    def signed(side: str, sign: int) -> Column:
+        return F.when(F.col(side).isNotNull(), F.struct(
             *[F.col(f"{side}.{g}").alias(g) for g in group_by],
             *[(F.col(f"{side}.{c}") * sign).alias(c) for c in TOKEN_COLUMNS],
             F.lit(sign).cast("bigint").alias("events"),
-            (F.coalesce(F.col(f"{side}.cost_usd"), F.lit(0).cast(COST)) * sign).cast(COST).alias("cost_usd"))
+            (F.coalesce(F.col(f"{side}.cost_usd"), F.lit(0).cast(COST)) * sign).cast(COST).alias("cost_usd")))
 
     base = totals.select(*group_by, *TOKEN_COLUMNS, "events", "cost_usd")
-    summed = base.unionByName(signed("prev", -1)).unionByName(signed("curr", 1)).groupBy(*group_by).agg(
+    moves = priced_changes.select(F.explode(F.array(signed("prev", -1), signed("curr", 1))).alias("m")).filter(
+        F.col("m").isNotNull()).select("m.*")
+    summed = base.unionByName(moves).groupBy(*group_by).agg(
         *[F.sum(c).cast("bigint").alias(c) for c in (*TOKEN_COLUMNS, "events")],
         F.sum("cost_usd").cast(COST).alias("cost_usd"))
     floor = {c: F.greatest(F.lit(0).cast("bigint"), F.col(c)) for c in (*TOKEN_COLUMNS, "events")}

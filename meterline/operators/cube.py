@@ -83,8 +83,9 @@ def append(cells: DataFrame, path: str, tier: str, batch_id: str) -> None:
     Appends are not idempotent, so a batch owns the `batch_id` partitions it wrote
     and replaces them when it is replayed.
     """
-    (with_partition_day(cells, tier).withColumn("batch_id", F.lit(batch_id))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    rows = with_partition_day(cells, tier).withColumn("batch_id", F.lit(batch_id))
+    # Files of a useful size: small days share a task, a hot day is split over several.
+    (rows.hint("rebalance", "part_day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("batch_id", "part_day").parquet(f"{path}/{tier}"))
 
 

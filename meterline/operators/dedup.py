@@ -6,25 +6,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _with_own_key(events: DataFrame, key: str, order: tuple[str, ...]) -> DataFrame:
+    """Rows without a key get one of their own: they match nothing and do not pile up in one task."""
+    own = F.concat(F.lit("\u0000"), *[F.concat(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("\u0000"))
+                                      for c in order])
+    return events.withColumn("__key", F.coalesce(F.col(key), own))
+
+
 def keep_first(events: DataFrame, key: str = "dedup_key", scope: tuple[str, ...] = ("agent",),
                order: tuple[str, ...] = ("source_file", "line_start", "line_seq")) -> DataFrame:
     """The first row of every key over all files; rows without a key are never duplicates.
 
-    Spark turns the row_number filter into a group limit on the map side, so a key
-    re-logged in a third of all rows leaves each map task as one row.
+    One pass. Spark turns the row_number filter into a group limit on the map side,
+    so a key re-logged in a third of all rows leaves each map task as one row.
+    `order` is unique per row.
     """
-    first = Window.partitionBy(*scope, key).orderBy(*order)
-    keyed = (events.filter(F.col(key).isNotNull())
-             .withColumn("__n", F.row_number().over(first)).filter(F.col("__n") == 1).drop("__n"))
-    return keyed.unionByName(events.filter(F.col(key).isNull()))
+    first = Window.partitionBy(*scope, "__key").orderBy(*order)
+    return (_with_own_key(events, key, order).withColumn("__n", F.row_number().over(first))
+            .filter(F.col("__n") == 1).drop("__n", "__key"))
 
 
 def not_yet_stored(events: DataFrame, stored_keys: DataFrame, key: str = "dedup_key",
-                   scope: tuple[str, ...] = ("agent",)) -> DataFrame:
+                   scope: tuple[str, ...] = ("agent",),
+                   order: tuple[str, ...] = ("source_file", "line_start", "line_seq")) -> DataFrame:
     """Events whose key an earlier run has not stored; unkeyed events pass."""
-    fresh = events.filter(F.col(key).isNotNull()).join(
-        stored_keys.select(*scope, key), [*scope, key], "left_anti")
-    return fresh.select(events.columns).unionByName(events.filter(F.col(key).isNull()))
+    stored = stored_keys.select(*scope, F.col(key).alias("__key"))
+    return (_with_own_key(events, key, order).join(stored, [*scope, "__key"], "left_anti")
+            .select(events.columns))
 
 
 def above_mark(rows: DataFrame, mark: int, seen_at_mark: DataFrame, updated: str = "time_updated",

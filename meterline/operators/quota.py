@@ -7,12 +7,13 @@ plan); `seq` is the order of arrival, unique per agent.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterline.operators.folds import CHUNK_ROWS, chunked_fold
 from meterline.operators.gauges import resample
 from meterline.operators.scan import Running, chunk_of, ordered_scan
+from meterline.session import settled
 
 # Fixed values of the pace.
 ALPHA = 0.4
@@ -46,55 +47,77 @@ def as_readings(snapshots: DataFrame) -> DataFrame:
         *others, "w.kind", "w.used_percent", "w.resets_at_ms")
 
 
-def slopes(readings: DataFrame, keys: list[str], chunk: Column) -> DataFrame:
-    """`slope` in percent per minute where two consecutive readings allow one, else null."""
-    stepped = ordered_scan(readings, keys, ["seq"], chunk,
-                           prev=Running("lag", F.struct("read_at_ms", "used_percent")))
-    minutes = (F.col("read_at_ms") - F.col("prev.read_at_ms")) / 60_000.0
-    rise = F.col("used_percent") - F.col("prev.used_percent")
-    return stepped.withColumn("slope", F.when(
-        F.col("prev").isNotNull() & (F.col("prev.used_percent") >= 0) & (minutes > 0) & (rise >= 0),
-        rise / minutes)).drop("prev")
+def _slope(rise: Column, elapsed_ms: Column, known: Column) -> Column:
+    """Percent per minute where two consecutive readings allow one: later in time and not falling."""
+    return F.when(known & (elapsed_ms > 0) & (rise >= 0), rise / (elapsed_ms / 60_000.0))
 
 
 def pace(readings: DataFrame, keys: list[str], chunk: Column) -> DataFrame:
     """Smoothed percent per minute per key, with the last reading.
 
     The weight of a slope is ALPHA * (1 - ALPHA)^(slopes after it), so the smoothed
-    pace is a sum; the count of later slopes is a scan run backwards.
+    pace is a sum. Chunks of a key are summed apart in one pass; the slope across
+    each border and the weights of whole chunks are added on one row per chunk.
     """
-    sloped = slopes(readings, keys, chunk).withColumn("back", -F.col("seq")).withColumn("back_chunk", -chunk)
-    counted = ordered_scan(sloped, keys, ["back"], F.col("back_chunk"),
-                           later=Running("sum_before", F.col("slope").isNotNull().cast("bigint")))
-    weight = F.lit(ALPHA) * F.pow(F.lit(1 - ALPHA), F.coalesce("later", F.lit(0)).cast("double"))
-    return counted.groupBy(*keys).agg(
-        F.coalesce(F.sum(F.col("slope") * weight), F.lit(0.0)).alias("pace"),
-        F.max_by("used_percent", "seq").alias("used_percent"),
-        F.max_by("read_at_ms", "seq").alias("read_at_ms"))
+    keep = F.lit(1 - ALPHA)
+    part = Window.partitionBy(*keys, "chunk_no").orderBy("seq")
+    inside = readings.select(*keys, "seq", "read_at_ms", "used_percent", chunk.alias("chunk_no")).withColumn(
+        "slope", _slope(F.col("used_percent") - F.lag("used_percent").over(part),
+                        F.col("read_at_ms") - F.lag("read_at_ms").over(part),
+                        F.lag("used_percent").over(part) >= 0))
+    after = F.coalesce(F.count("slope").over(part.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
+    reading = F.struct("used_percent", "read_at_ms")
+    per_chunk = inside.withColumn("after", after).groupBy(*keys, "chunk_no").agg(
+        F.count("slope").alias("n"), F.coalesce(F.sum(
+            F.lit(ALPHA) * F.col("slope") * F.pow(keep, F.col("after").cast("double"))), F.lit(0.0)).alias("own"),
+        F.min_by(reading, "seq").alias("first"), F.max_by(reading, "seq").alias("last"))
+    by_chunk = Window.partitionBy(*keys).orderBy("chunk_no")
+    prev = F.lag("last").over(by_chunk)
+    bordered = per_chunk.withColumn("border", _slope(
+        F.col("first.used_percent") - prev["used_percent"], F.col("first.read_at_ms") - prev["read_at_ms"],
+        prev["used_percent"] >= 0))
+    steps = F.col("n") + F.col("border").isNotNull().cast("bigint")
+    later = F.coalesce(F.sum(steps).over(by_chunk.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
+    weighed = bordered.withColumn("later", later).withColumn("part_pace", (
+        F.col("own") + F.coalesce(F.lit(ALPHA) * F.col("border") * F.pow(keep, F.col("n").cast("double")), F.lit(0.0))
+    ) * F.pow(keep, F.col("later").cast("double")))
+    return weighed.groupBy(*keys).agg(F.sum("part_pace").alias("pace"), F.max_by("last", "chunk_no").alias("r")).select(
+        *keys, "pace", "r.used_percent", "r.read_at_ms")
+
+
+def _step_pace(state: list[float], at: float, percent: float) -> list[float]:
+    """(percent, at, pace) after one more reading."""
+    before, since, smooth = state
+    if before >= 0 and at > since and percent >= before:
+        smooth = ALPHA * ((percent - before) / ((at - since) / 60_000.0)) + (1 - ALPHA) * smooth
+    return [percent, at, smooth]
 
 
 def running_pace(readings: DataFrame, keys: list[str]) -> DataFrame:
-    """The pace after every reading. Each slope maps the pace affinely, so a chunk is two numbers."""
-    chunk = chunk_of(F.col("seq"), CHUNK_ROWS)
-    sloped = slopes(readings, keys, chunk).select(*keys, "seq", "read_at_ms", "used_percent", "slope")
-
-    def summarise(rows: pd.DataFrame) -> list[float]:
-        keep, add = 1.0, 0.0
-        for slope in rows["slope"].dropna():
-            keep, add = keep * (1 - ALPHA), add * (1 - ALPHA) + ALPHA * slope
-        return [keep, add]
-
-    def replay(rows: pd.DataFrame, state: float) -> pd.DataFrame:
+    """The pace after every reading. A chunk maps the incoming pace affinely, so it is a few numbers."""
+    def summarise(rows: pd.DataFrame) -> dict:
+        at, percent = rows["read_at_ms"].to_numpy(), rows["used_percent"].to_numpy()
+        state, slopes = [percent[0], at[0], 0.0], 0
+        for t, p in zip(at[1:], percent[1:]):
+            slopes += bool(state[0] >= 0 and t > state[1] and p >= state[0])
+            state = _step_pace(state, t, p)
+        return {"first": [int(at[0]), float(percent[0])], "last": [float(percent[-1]), int(at[-1])],
+                "keep": (1 - ALPHA) ** slopes, "add": float(state[2])}
+
+    def advance(state: list[float], s: dict) -> list[float]:
+        smooth = _step_pace(state, *s["first"])[2]
+        return [*s["last"], s["keep"] * smooth + s["add"]]
+
+    def replay(rows: pd.DataFrame, state: list[float]) -> pd.DataFrame:
         paces = []
-        for slope in rows["slope"]:
-            if slope == slope and slope is not None:
-                state = ALPHA * slope + (1 - ALPHA) * state
-            paces.append(state)
-        return rows.drop(columns=["slope", "chunk_no"]).assign(pace=paces)
+        for t, p in zip(rows["read_at_ms"], rows["used_percent"]):
+            state = _step_pace(state, t, p)
+            paces.append(state[2])
+        return rows.drop(columns=["chunk_no"]).assign(pace=paces)
 
     key_schema = ", ".join(f"{k} {readings.schema[k].dataType.simpleString()}" for k in keys)
-    return chunked_fold(sloped, keys, ["seq"], chunk, 0.0, summarise,
-                        lambda state, s: s[0] * state + s[1], replay,
+    return chunked_fold(readings.select(*keys, "seq", "read_at_ms", "used_percent"), keys, ["seq"],
+                        chunk_of(F.col("seq"), CHUNK_ROWS), [-1.0, 0, 0.0], summarise, advance, replay,
                         f"{key_schema}, seq bigint, read_at_ms bigint, used_percent double, pace double")
 
 
@@ -106,6 +129,7 @@ def observed_walls(paced: DataFrame, keys: list[tuple[str, str]]) -> DataFrame:
     instant of every later observation of any key.
     """
     chunk = chunk_of(F.col("seq"), CHUNK_ROWS)
+    paced = settled(paced)
     outputs = {}
     for i, (agent, kind) in enumerate(keys):
         own = (F.col("agent") == agent) & (F.col("kind") == kind)

@@ -10,6 +10,7 @@ from meterline.functions.money import total_tokens, usd
 from meterline.operators import ranking, rates, rollups
 from meterline.operators.cube import MEASURES, build_cells, hot_only
 from meterline.schemas import TOKEN_COLUMNS
+from meterline.session import settled
 
 BURN_WINDOW_MIN = 15
 TOP_N = 10
@@ -42,7 +43,8 @@ def snapshot(events: DataFrame, now_ms: int, tz_offset_min: int = 0, coverage: D
     """One row of nested structs. Each part is an aggregate of the hourly cells; parts meet as
     scalar subqueries, so nothing but single rows is combined."""
     spark = events.sparkSession
-    cells = rollups.hourly_cells(events, tz_offset_min, prices)
+    # Every part below reads the cells, so they are written once.
+    cells = settled(rollups.hourly_cells(events, tz_offset_min, prices))
     today_key = (now_ms + tz_offset_min * 60_000) // timecols.DAY_MS
     minute = build_cells(hot_window(events, now_ms), "minute", 0, prices)
     hot = hot_only(minute, now_ms)

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "meterline", master: str | None = None, **conf: str) -> SparkSession:
@@ -34,16 +33,30 @@ def pin_utc(spark: SparkSession) -> SparkSession:
 def checkpoint_root(spark: SparkSession) -> str:
     """The folder the cluster shares for checkpoints and written intermediates.
 
-    A machine-local folder is only taken where the cluster names none *and*
-    the session is a local one.
+    A machine-local folder is only taken where the cluster names none *and* the
+    session is a local one.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("SPARK_CHECKPOINT_DIR")
-    if not named:
-        existing = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if existing.isDefined():
-            return existing.get()
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        named = tempfile.mkdtemp(prefix="meterline-ckpt-")
-    spark.sparkContext.setCheckpointDir(named)
-    return named
+    context = spark.sparkContext
+    current = context._jsc.sc().getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        if not current.isDefined():
+            context.setCheckpointDir(named)
+        return named
+    if current.isDefined():
+        return current.get()
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="meterline-ckpt-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """`df` written once to the shared checkpoint folder.
+
+    For narrow intermediates that several branches of a plan read: without it each
+    branch would compute them again. A lost executor reads the files, it does not
+    repeat the work.
+    """
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint()

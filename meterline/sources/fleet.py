@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from meterline.operators.scan import union_all
 from meterline.schemas import agents
+from meterline.session import settled
 from meterline.sources import ledgers, lines, snapshots, transcripts
 
 
@@ -27,11 +28,16 @@ def _log(agent: str, parse: Callable[[DataFrame], DataFrame], glob: str = "*.jso
     return SourceSpec(agent, "events", lambda spark, paths: parse(lines.read_log(spark, paths, glob)))
 
 
+def _headed(agent: str, parse: Callable[[DataFrame, transcripts.Stage], DataFrame]) -> SourceSpec:
+    """A log whose header lines speak for later lines: its parsed rows are written before they are scanned."""
+    return _log(agent, lambda log: parse(log, settled))
+
+
 SOURCES: dict[str, SourceSpec] = {s.agent: s for s in [
     _log("claude", transcripts.claude),
-    _log("codex", transcripts.codex),
-    _log("pi", transcripts.pi),
-    _log("gemini", transcripts.gemini),
+    _headed("codex", transcripts.codex),
+    _headed("pi", transcripts.pi),
+    _headed("gemini", transcripts.gemini),
     _log("qwen", transcripts.qwen),
     _log("kimi", transcripts.kimi, "wire.jsonl"),
     SourceSpec("goose", "events", lambda spark, path: ledgers.goose(ledgers.goose_rows(spark, path))),

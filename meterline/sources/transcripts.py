@@ -7,12 +7,15 @@ are skipped. None of them removes duplicates: that is one job over all sources.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterline.functions.paths import file_name, file_stem, parent_name
 from meterline.functions.timecols import iso_to_ms
-from meterline.operators.deltas import carry_context, cumulative_deltas
+from meterline.operators.deltas import carry_context, counter_deltas
+from meterline.operators.scan import Running, ordered_scan
 from meterline.sources.lines import ORDER, may_matter, once
 
 CODEX_DEFAULT_MODEL = "codex"
@@ -20,6 +23,15 @@ FIELDS = ("agent", "ts_ms", "model", "input_tokens", "output_tokens", "cache_cre
           "cache_read_tokens", "session_id", "cwd", "dedup_key", "source_file", *ORDER)
 
 
+# What to do with parsed header and usage rows before they are scanned in file order: nothing,
+# or `session.settled`, so that a large raw log is read and parsed once instead of twice.
+Stage = Callable[[DataFrame], DataFrame]
+
+
+def as_is(rows: DataFrame) -> DataFrame:
+    return rows
+
+
 def count_of(value: Column) -> Column:
     """A token counter: absent, negative or wrongly typed reads as 0."""
     return F.greatest(F.coalesce(value, F.lit(0).cast("bigint")), F.lit(0).cast("bigint"))
@@ -83,27 +95,33 @@ _CODEX_SCHEMA = (
 _CODEX_MARKERS = ["token_count", "session_meta", "turn_context"]
 
 
-def codex(lines: DataFrame) -> DataFrame:
-    rows = _parsed(lines, _CODEX_SCHEMA, _CODEX_MARKERS)
-    meta, turn = F.col("j.type") == "session_meta", F.col("j.type") == "turn_context"
-    carried = _context(
-        rows, ctx_session=F.when(meta, F.col("j.payload.session_id")),
-        ctx_cwd=F.when(meta | turn, F.col("j.payload.cwd")),
-        ctx_model=F.when(meta | turn, F.col("j.payload.model")))
+def codex(lines: DataFrame, stage: Stage = as_is) -> DataFrame:
+    """Headers carry forward and counters are differenced in one scan of the parsed lines.
+
+    A reading without a usable input or output counter does not become a base.
+    """
     usage = "j.payload.info.total_token_usage"
-    # A reading without a usable input or output counter does not move the baseline.
-    readings = carried.filter(
-        (F.col("j.type") == "event_msg") & (F.col("j.payload.type") == "token_count")
-        & (F.col(f"{usage}.input_tokens") >= 0) & (F.col(f"{usage}.output_tokens") >= 0)
-    ).withColumn("ts_ms", iso_to_ms(F.col("j.timestamp"))).filter(F.col("ts_ms").isNotNull()).select(
-        "source_file", *ORDER, "ts_ms", "ctx_session", "ctx_cwd", "ctx_model",
-        F.col(f"{usage}.input_tokens").alias("input"), F.col(f"{usage}.output_tokens").alias("output"),
-        count_of(F.col(f"{usage}.cached_input_tokens")).alias("cached"))
-    turns = cumulative_deltas(readings, ["source_file"], ORDER, F.col("line_start"),
-                              ["input", "cached", "output"])
+    at = iso_to_ms(F.col("j.timestamp"))
+    meta, turn = F.col("j.type") == "session_meta", F.col("j.type") == "turn_context"
+    usable = ((F.col("j.type") == "event_msg") & (F.col("j.payload.type") == "token_count")
+              & (F.col(f"{usage}.input_tokens") >= 0) & (F.col(f"{usage}.output_tokens") >= 0) & at.isNotNull())
+    rows = stage(_parsed(lines, _CODEX_SCHEMA, _CODEX_MARKERS).select(
+        "source_file", *ORDER, at.alias("ts_ms"),
+        F.when(meta, F.col("j.payload.session_id")).alias("session"),
+        F.when(meta | turn, F.col("j.payload.cwd")).alias("cwd"),
+        F.when(meta | turn, F.col("j.payload.model")).alias("model"),
+        F.when(usable, F.struct(
+            F.col(f"{usage}.input_tokens").alias("input"),
+            count_of(F.col(f"{usage}.cached_input_tokens")).alias("cached"),
+            F.col(f"{usage}.output_tokens").alias("output"))).alias("reading")))
+    scanned = ordered_scan(
+        rows, ["source_file"], ORDER, F.col("line_start"),
+        ctx_session=Running("last", F.col("session")), ctx_cwd=Running("last", F.col("cwd")),
+        ctx_model=Running("last", F.col("model")), prev=Running("last_before", F.col("reading")))
+    turns = counter_deltas(scanned.filter(F.col("reading").isNotNull()), "reading", "prev",
+                           ["input", "cached", "output"])
     stem = file_stem(F.col("source_file"), ".jsonl")
     named = F.when(F.length(stem) >= 36, F.right(stem, F.lit(36))).otherwise(stem)
-
     return _events(
         turns, "codex", ts_ms=F.col("ts_ms"), model=_present(F.col("ctx_model"), F.lit(CODEX_DEFAULT_MODEL)),
         input_tokens=F.greatest(F.col("delta_input") - F.col("delta_cached"), F.lit(0).cast("bigint")),
@@ -130,12 +148,12 @@ def codex_limits(lines: DataFrame) -> DataFrame:
     ).filter(F.col("read_at_ms").isNotNull() & (F.size("windows") > 0))
 
 
-def pi(lines: DataFrame) -> DataFrame:
+def pi(lines: DataFrame, stage: Stage = as_is) -> DataFrame:
     rows = _parsed(lines, (
         "type string, id string, timestamp string, cwd string, message struct<role string, "
         "model string, usage struct<input bigint, output bigint, cacheRead bigint, cacheWrite bigint>>"),
         ['"role":"assistant"', '"type":"session"'])
-    carried = _context(rows, ctx_cwd=F.when(F.col("j.type") == "session", F.col("j.cwd")))
+    carried = _context(stage(rows), ctx_cwd=F.when(F.col("j.type") == "session", F.col("j.cwd")))
     kept = carried.filter(
         (F.col("j.type") == "message") & (F.col("j.message.role") == "assistant")
         & F.col("j.message.model").isNotNull() & F.col("j.message.usage").isNotNull())
@@ -151,12 +169,12 @@ def pi(lines: DataFrame) -> DataFrame:
         dedup_key=F.concat(F.col("j.id"), F.lit(":"), ts.cast("string")))
 
 
-def gemini(lines: DataFrame) -> DataFrame:
+def gemini(lines: DataFrame, stage: Stage = as_is) -> DataFrame:
     rows = _parsed(lines, (
         "sessionId string, id string, timestamp string, type string, model string, "
         "tokens struct<input bigint, output bigint, cached bigint, thoughts bigint>"),
         ['"tokens"', '"sessionId"'])
-    carried = _context(rows, ctx_session=F.col("j.sessionId"))
+    carried = _context(stage(rows), ctx_session=F.col("j.sessionId"))
     kept = carried.filter(F.col("j.sessionId").isNull() & (F.col("j.type") == "gemini")
                           & F.col("j.tokens").isNotNull())
     stem = file_stem(F.col("source_file"), ".jsonl")
