@@ -18,7 +18,7 @@ def project_root(path: Column) -> Column:
     """The repository a working directory belongs to, by the shape of the path alone."""
     trimmed = trim_slashes(path)
     root = F.regexp_extract(trimmed, _CONTAINER, 1)
-    return F.when(root != "", trim_slashes(root)).otherwise(trimmed)
+    return F.when(trimmed.rlike(_CONTAINER), trim_slashes(root)).otherwise(trimmed)
 
 
 def project_label(path: Column) -> Column:
