@@ -12,7 +12,7 @@ from meterline.functions.paths import project_label, project_root
 from meterline.operators import cube, pricing, projects, rates
 from meterline.operators.dedup import keep_first
 from meterline.plans import verbs
-from meterline.schemas import agents, plan_prices
+from meterline.schemas import DIMENSIONS, agents, plan_prices
 
 _FROM_DAY, _TO_DAY = 19730, 19740
 _DAY = f"CAST(floor((ts_ms + {TZ_MIN} * 60000) / 86400000.0) AS BIGINT)"
@@ -20,16 +20,19 @@ _HOUR = "CAST(floor(ts_ms / 3600000.0) AS BIGINT)"
 _MINUTE = "CAST(floor(ts_ms / 60000.0) AS BIGINT)"
 
 
-def day_cells(spark, sf):
-    return cube.build_cells(usage(spark, sf), "day", TZ_MIN)
+def day_cells(spark, sf, *keep, since_ms=None, until_ms=None):
+    """Cells of the day tier with the dimensions a query asks for, all when it names none."""
+    return cube.build_cells(usage(spark, sf, since_ms, until_ms), "day", TZ_MIN, keep=keep or DIMENSIONS)
 
 
-def hour_cells(spark, sf):
-    return cube.build_cells(usage(spark, sf), "hour")
+def hour_cells(spark, sf, *keep, since_ms=None, until_ms=None):
+    """Cells of the hour tier with the dimensions a query asks for, all when it names none."""
+    return cube.build_cells(usage(spark, sf, since_ms, until_ms), "hour", keep=keep or DIMENSIONS)
 
 
-def minute_cells(spark, sf):
-    return cube.build_cells(usage(spark, sf), "minute")
+def minute_cells(spark, sf, *keep, since_ms=None, until_ms=None):
+    """Cells of the minute tier with the dimensions a query asks for, all when it names none."""
+    return cube.build_cells(usage(spark, sf, since_ms, until_ms), "minute", keep=keep or DIMENSIONS)
 
 
 @query("top_projects", with_priced(f"""
@@ -37,7 +40,7 @@ SELECT project, CAST(sum(tokens) AS BIGINT) AS tokens, {SUMS_SQL} FROM priced
 WHERE {_DAY} BETWEEN {_FROM_DAY} AND {_TO_DAY} GROUP BY project
 ORDER BY tokens DESC, cost_usd DESC, project LIMIT 5"""))
 def top_projects(spark, sf):
-    top = verbs.top(day_cells(spark, sf), "project", n=5, from_bucket=_FROM_DAY, to_bucket=_TO_DAY)
+    top = verbs.top(day_cells(spark, sf, "project"), "project", n=5, from_bucket=_FROM_DAY, to_bucket=_TO_DAY)
     return out(top.drop("covered_cost_usd", "records"))
 
 
@@ -196,7 +199,7 @@ _CUBE_WHERE = "hour_b BETWEEN 473600 AND 473800 AND covered AND model = 'gpt-5.2
 @query("cube_filter", with_priced(f"""
 SELECT agent, project, {SUMS_SQL} FROM (SELECT *, {_HOUR} AS hour_b FROM priced) WHERE {_CUBE_WHERE} GROUP BY ALL"""))
 def cube_filter(spark, sf):
-    rows = cube.query(hour_cells(spark, sf), ["agent", "project"], from_bucket=473600, to_bucket=473800,
+    rows = cube.query(hour_cells(spark, sf, "agent", "model", "project"), ["agent", "project"], from_bucket=473600, to_bucket=473800,
                       agents=["codex", "claude", "nobody"], model="gpt-5.2-codex", covered_only=True)
     return out(rows.drop("covered_cost_usd", "records"))
 
@@ -204,7 +207,7 @@ def cube_filter(spark, sf):
 @query("unknown_name_guard", with_priced("""
 SELECT 'no project named "/w/nowhere" in this store' AS note, 0::BIGINT AS row_count"""))
 def unknown_name_guard(spark, sf):
-    rows, note = verbs.history(day_cells(spark, sf), ["bucket"], project="/w/nowhere")
+    rows, note = verbs.history(day_cells(spark, sf, "project"), ["bucket"], project="/w/nowhere")
     return rows.agg(F.lit(note).alias("note"), F.count("*").alias("row_count"))
 
 
@@ -214,7 +217,7 @@ WHERE bucket BETWEEN 19732 AND 19742 GROUP BY bucket"""))
 def history_since(spark, sf):
     """Dates on the day tier are the keys themselves: 2024-01-10 to 2024-01-20."""
     span = timecols.resolve_range("day", NOW_MS, "2024-01-10", "2024-01-20", TZ_MIN)
-    rows, _ = verbs.history(day_cells(spark, sf), ["bucket"], span=span)
+    rows, _ = verbs.history(day_cells(spark, sf, "model"), ["bucket"], span=span)
     return out(rows.drop("covered_cost_usd", "records"))
 
 
@@ -222,7 +225,7 @@ def history_since(spark, sf):
 SELECT {_MINUTE} AS bucket, CAST(sum(tokens) AS BIGINT) AS tokens FROM uses
 WHERE {_MINUTE} * 60000 >= {NOW_MS} - 172800000 GROUP BY 1"""))
 def hot_minutes(spark, sf):
-    hot = cube.hot_only(minute_cells(spark, sf), NOW_MS)
+    hot = cube.hot_only(minute_cells(spark, sf, "model", since_ms=NOW_MS - timecols.HOT_MAX_AGE_MS), NOW_MS)
     return hot.groupBy("bucket").agg(F.sum(total_tokens()).alias("tokens"))
 
 
@@ -230,36 +233,36 @@ def hot_minutes(spark, sf):
 SELECT agent, max(ts_ms) AS last_event_ms, {NOW_MS} - max(ts_ms) > 300000 AS idle FROM uses
 WHERE ts_ms <= {NOW_MS} GROUP BY agent"""))
 def idle_agents(spark, sf):
-    return rates.idle(usage(spark, sf).filter(F.col("ts_ms") <= NOW_MS), NOW_MS, "agent")
+    return rates.idle(usage(spark, sf, until_ms=NOW_MS), NOW_MS, "agent")
 
 
 @query("cube_by_day_agent_model", with_priced(f"""
 SELECT {_DAY} AS bucket, agent, model, {SUMS_SQL}, {COVERED_SQL} FROM priced GROUP BY ALL"""))
 def cube_by_day_agent_model(spark, sf):
-    return out(cube.query(day_cells(spark, sf), ["bucket", "agent", "model"]).drop("records"))
+    return out(cube.query(day_cells(spark, sf, "agent", "model"), ["bucket", "agent", "model"]).drop("records"))
 
 
 @query("cube_total", with_priced(f"SELECT {SUMS_SQL}, {COVERED_SQL} FROM priced"))
 def cube_total(spark, sf):
-    return out(cube.query(hour_cells(spark, sf), []).drop("records"))
+    return out(cube.query(hour_cells(spark, sf, "agent"), []).drop("records"))
 
 
 @query("cube_total_of_nothing", with_priced(f"""
 SELECT {SUMS_SQL} FROM priced WHERE {_HOUR} < 0 HAVING count(*) > 0"""))
 def cube_total_of_nothing(spark, sf):
-    return out(cube.query(hour_cells(spark, sf), [], from_bucket=0, to_bucket=5).drop("records", "covered_cost_usd"))
+    return out(cube.query(hour_cells(spark, sf, "agent"), [], from_bucket=0, to_bucket=5).drop("records", "covered_cost_usd"))
 
 
 @query("hour_series", with_priced(f"SELECT {_HOUR} AS bucket, agent, {SUMS_SQL} FROM priced GROUP BY ALL"))
 def hour_series(spark, sf):
-    return out(cube.series(hour_cells(spark, sf), ["agent"]).drop("records", "covered_cost_usd"))
+    return out(cube.series(hour_cells(spark, sf, "agent"), ["agent"]).drop("records", "covered_cost_usd"))
 
 
 @query("coarsened_tiers", with_priced(f"""
 SELECT 'hour' AS tier, {_HOUR} AS bucket, {SUMS_SQL} FROM priced GROUP BY 2
 UNION ALL SELECT 'day', {_DAY}, {SUMS_SQL} FROM priced GROUP BY 2"""))
 def coarsened_tiers(spark, sf):
-    minute = minute_cells(spark, sf)
+    minute = minute_cells(spark, sf, "agent")
     hour = cube.coarsen(minute, "hour").groupBy("bucket").agg(*cube.sums()).withColumn("tier", F.lit("hour"))
     day = cube.coarsen(minute, "day", TZ_MIN).groupBy("bucket").agg(*cube.sums()).withColumn("tier", F.lit("day"))
     return out(hour.unionByName(day))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,9 +47,19 @@ def raw_events(events: DataFrame) -> DataFrame:
         "value", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
 
 
-def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Usage events: a projection of `events`, so filters and columns reach its scan."""
-    return usage_from(table(spark, sf_dir, "events"))
+def usage(spark: SparkSession, sf_dir: str, since_ms: int | None = None, until_ms: int | None = None) -> DataFrame:
+    """Usage events: a projection of `events`, so columns reach its scan, and so does the inclusive time range."""
+    events = table(spark, sf_dir, "events")
+    for bound, test in ((since_ms, F.col("ts") >= _ntz(since_ms)),
+                        (until_ms, F.col("ts") < _ntz(None if until_ms is None else until_ms + 1))):
+        if bound is not None:
+            events = events.filter(test)
+    return usage_from(events)
+
+
+def _ntz(ms: int | None):
+    at = datetime(1970, 1, 1) + timedelta(milliseconds=ms or 0)
+    return F.lit(at.isoformat(sep=" ", timespec="milliseconds")).cast("timestamp_ntz")
 
 
 def usage_from(table_of_events: DataFrame) -> DataFrame:

@@ -21,8 +21,9 @@ _ZEROED = """CAST(coalesce(sum(input_tokens), 0) AS BIGINT) AS input_tokens,
   CAST(round(coalesce(sum(cost_usd), 0), 6) AS DOUBLE) AS cost_usd"""
 
 
-def cells(spark, sf):
-    return rollups.hourly_cells(usage(spark, sf), TZ_MIN)
+def cells(spark, sf, *keep):
+    """Hourly cells with the dimensions a rollup asks for beside hour, agent and model."""
+    return rollups.hourly_cells(usage(spark, sf), TZ_MIN, keep=keep)
 
 
 @query("rollup_dimensions", with_priced(f"""
@@ -38,7 +39,7 @@ SELECT CASE WHEN grouping(hour_key) = 0 THEN 'hour_agent' WHEN grouping(agent) =
 GROUP BY GROUPING SETS ((), (agent), (day_key), (hour_key, agent), (session_id), (model), (project)))
 WHERE member <> ''"""))
 def rollup_dimensions(spark, sf):
-    return out(rollups.rollup(cells(spark, sf)))
+    return out(rollups.rollup(cells(spark, sf, "project", "session_id")))
 
 
 @query("today_totals", with_priced(f"SELECT {SUMS_SQL} FROM priced WHERE {_DAY} = {_TODAY}"))
@@ -116,7 +117,7 @@ def session_spans(spark, sf):
 SELECT s.*, b.project FROM spans s JOIN best b USING (session_id, agent)
 ORDER BY last_ms DESC, tokens DESC, session_id, agent LIMIT 20"""))
 def newest_sessions(spark, sf):
-    return out(verbs.sessions(day_cells(spark, sf), "day", TZ_MIN, n=20))
+    return out(verbs.sessions(day_cells(spark, sf, "agent", "session_id", "project"), "day", TZ_MIN, n=20))
 
 
 @query("session_rollup", with_priced(f"""
@@ -129,7 +130,7 @@ def session_rollup(spark, sf):
 @query("merged_projects", with_priced(f"""
 SELECT CASE WHEN user_id % 12 < 6 THEN '/w/left' ELSE project END AS project, {SUMS_SQL} FROM priced GROUP BY 1"""))
 def merged_projects(spark, sf):
-    totals = rollups.totals(cells(spark, sf), "project")
+    totals = rollups.totals(cells(spark, sf, "project"), "project")
     mapping = usage(spark, sf).filter(F.col("user_id") % 12 < 6).select("project").distinct().withColumn(
         "new_project", F.lit("/w/left"))
     return out(projects.merge_projects(totals, mapping))
@@ -142,7 +143,7 @@ _TRIP = NOW_MS - 36 * 3_600_000
 SELECT {_ZEROED}, round(CAST(coalesce(sum(cost_usd), 0) AS DOUBLE) * 3600000 / {36 * 3_600_000}, 6) AS cost_per_hour
 FROM priced WHERE ts_ms >= {_TRIP} AND ts_ms <= {NOW_MS}"""))
 def trip_meter(spark, sf):
-    return out(rollups.trip(usage(spark, sf).filter(F.col("ts_ms") <= NOW_MS), _TRIP, NOW_MS))
+    return out(rollups.trip(usage(spark, sf, _TRIP, NOW_MS), _TRIP, NOW_MS))
 
 
 @query("subscription_value", with_priced(f"""
@@ -251,7 +252,7 @@ def top_models_by_cost(spark, sf):
 SELECT session_id, CAST(sum(tokens) AS BIGINT) AS tokens, {SUMS_SQL}, {COVERED_SQL} FROM priced GROUP BY session_id
 ORDER BY tokens DESC, cost_usd DESC, session_id LIMIT 20"""))
 def top_sessions_by_tokens(spark, sf):
-    return out(verbs.top(day_cells(spark, sf), "session_id").drop("records"))
+    return out(verbs.top(day_cells(spark, sf, "session_id", "agent"), "session_id").drop("records"))
 
 
 @query("sorted_table_with_rest", with_priced("""
@@ -262,14 +263,14 @@ SELECT CASE WHEN n <= 20 THEN name ELSE '(rest)' END AS name, CAST(sum(tokens) A
   CAST(round(sum(c), 6) AS DOUBLE) AS cost_usd, CAST(sum(events) AS BIGINT) AS events, count(*) AS rows
 FROM p GROUP BY 1"""))
 def sorted_table_with_rest(spark, sf):
-    return out(ranking.sorted_with_remainder(rollups.totals(cells(spark, sf), "session_id"), "session_id"))
+    return out(ranking.sorted_with_remainder(rollups.totals(cells(spark, sf, "session_id"), "session_id"), "session_id"))
 
 
 @query("sorted_by_name", with_priced("""
 SELECT project AS name, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(round(sum(cost_usd), 6) AS DOUBLE) AS cost_usd,
   count(*) AS events, 1::BIGINT AS rows FROM priced GROUP BY project"""))
 def sorted_by_name(spark, sf):
-    return out(ranking.sorted_with_remainder(rollups.totals(cells(spark, sf), "project"), "project", "name"))
+    return out(ranking.sorted_with_remainder(rollups.totals(cells(spark, sf, "project"), "project"), "project", "name"))
 
 
 @query("most_recent_per_agent", with_priced("""
@@ -292,7 +293,7 @@ LEFT JOIN (SELECT agent, count(*) AS e, min(ts_ms // 3600000) * 3600000 AS f, ma
 def source_coverage(spark, sf):
     from meterline.catalog.cube_queries import hour_cells
     from meterline.sources.fleet import coverage
-    return coverage(hour_cells(spark, sf), ["claude", "codex", "gemini"], {"claude": True, "codex": True})
+    return coverage(hour_cells(spark, sf, "agent"), ["claude", "codex", "gemini"], {"claude": True, "codex": True})
 
 
 @query("enabled_difference", with_priced("""

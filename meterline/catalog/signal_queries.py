@@ -19,8 +19,9 @@ _NOW_MIN = NOW_MS // 60_000
 _DAY_MS = 86_400_000
 
 
-def past(spark, sf) -> DataFrame:
-    return usage(spark, sf).filter(F.col("ts_ms") <= NOW_MS)
+def past(spark, sf, since_ms: int | None = None) -> DataFrame:
+    """Events up to now, from an instant on: both bounds reach the scan."""
+    return usage(spark, sf, since_ms, NOW_MS)
 
 
 # --- burn rates -----------------------------------------------------------------------
@@ -32,7 +33,7 @@ SELECT {NOW_MS} AS at_ms, 60::BIGINT AS window_min, CAST(coalesce(sum(tokens), 0
   round(CAST(coalesce(sum(cost_usd), 0) AS DOUBLE) / 60.0, 6) AS cost_per_min, false AS beyond_hot_tier
 FROM priced WHERE ts_ms // 60000 BETWEEN {_NOW_MIN - 59} AND {_NOW_MIN}"""))
 def burn_at(spark, sf):
-    return out(rates.burn_at(minute_cells(spark, sf), NOW_MS, 60))
+    return out(rates.burn_at(minute_cells(spark, sf, "model", since_ms=NOW_MS - HOUR_MS), NOW_MS, 60))
 
 
 @query("burn_series", with_priced("""
@@ -41,7 +42,7 @@ SELECT bucket, round(CAST(sum(t) OVER w AS DOUBLE) / 60.0, 6) AS tokens_per_min,
   round(CAST(sum(c) OVER w AS DOUBLE) / 60.0, 4) AS cost_per_min
 FROM m WINDOW w AS (ORDER BY bucket RANGE BETWEEN 59 PRECEDING AND CURRENT ROW)"""))
 def burn_series(spark, sf):
-    series = rates.burn_series(minute_cells(spark, sf), 60)
+    series = rates.burn_series(minute_cells(spark, sf, "model"), 60)
     return out(series.withColumn("cost_per_min", F.round("cost_per_min", 4)))
 
 
@@ -53,20 +54,20 @@ _LIVE = f"ts_ms <= {NOW_MS} AND ts_ms // 60000 > {_NOW_MIN - 15}"
 @query("burn_rate", with_uses(f"""
 SELECT round(coalesce(sum(weighted * {_DECAY}), 0) / {_WEIGHTS}, 6) AS tokens_per_min FROM uses WHERE {_LIVE}"""))
 def burn_rate(spark, sf):
-    return out(rates.burn_rate(past(spark, sf), NOW_MS))
+    return out(rates.burn_rate(past(spark, sf, NOW_MS - HOUR_MS), NOW_MS))
 
 
 @query("burn_by_agent", with_uses(f"""
 SELECT agent, round(sum(weighted * {_DECAY}) / {_WEIGHTS}, 6) AS tokens_per_min FROM uses WHERE {_LIVE} GROUP BY agent"""))
 def burn_by_agent(spark, sf):
-    return out(rates.burn_by_agent(past(spark, sf), NOW_MS))
+    return out(rates.burn_by_agent(past(spark, sf, NOW_MS - HOUR_MS), NOW_MS))
 
 
 @query("hottest_agent", with_uses(f"""
 SELECT agent, round(sum(weighted * {_DECAY}) / {_WEIGHTS}, 6) AS tokens_per_min FROM uses WHERE {_LIVE}
 GROUP BY agent HAVING sum(weighted) > 0 ORDER BY tokens_per_min DESC, agent LIMIT 1"""))
 def hottest_agent(spark, sf):
-    return out(rates.hottest(rates.burn_by_agent(past(spark, sf), NOW_MS)))
+    return out(rates.hottest(rates.burn_by_agent(past(spark, sf, NOW_MS - HOUR_MS), NOW_MS)))
 
 
 def _trace_sql(period: int, buckets: int, where: str = "true") -> str:
@@ -80,12 +81,12 @@ LEFT JOIN (SELECT * FROM uses WHERE {where}) ON ts_ms // {period} = b GROUP BY b
 
 @query("fine_trace", with_uses(_trace_sql(10_000, 120)))
 def fine_trace(spark, sf):
-    return out(rates.trace(past(spark, sf), NOW_MS))
+    return out(rates.trace(past(spark, sf, NOW_MS - HOUR_MS), NOW_MS))
 
 
 @query("minute_trace_complete", with_uses(f"SELECT bucket, tokens FROM ({_trace_sql(60_000, 240)}) WHERE complete"))
 def minute_trace_complete(spark, sf):
-    return rates.trace(past(spark, sf), NOW_MS, 60_000, 240).filter("complete").select("bucket", "tokens")
+    return rates.trace(past(spark, sf, NOW_MS - 5 * HOUR_MS), NOW_MS, 60_000, 240).filter("complete").select("bucket", "tokens")
 
 
 @query("session_traces", with_uses(f"""
@@ -100,7 +101,7 @@ WHERE NOT EXISTS (SELECT 1 FROM uses u WHERE u.agent = s.agent AND u.session_id
   AND NOT EXISTS (SELECT 1 FROM uses u WHERE u.agent = s.agent AND u.session_id = s.session_id AND u.ts_ms // 900000 = b)"""))
 def session_traces(spark, sf):
     """Ten hours in quarters for the sessions active in the last six."""
-    live = past(spark, sf).filter(F.col("ts_ms") >= NOW_MS - 6 * HOUR_MS).select("agent", "session_id").distinct()
+    live = past(spark, sf, NOW_MS - 6 * HOUR_MS).select("agent", "session_id").distinct()
     return rates.trace(usage(spark, sf), NOW_MS, 900_000, 40, live).select("agent", "session_id", "bucket", "tokens")
 
 
@@ -184,7 +185,7 @@ def share_of_peak(spark, sf):
 SELECT bucket, round(sqrt(tokens), 6) AS root, round(least(greatest(tokens / 10000.0 * 100, 0.0), 100.0), 6)::DOUBLE AS needle
 FROM ({_trace_sql(60_000, 240)})"""))
 def scaled_trace(spark, sf):
-    trace = rates.trace(past(spark, sf), NOW_MS, 60_000, 240)
+    trace = rates.trace(past(spark, sf, NOW_MS - 5 * HOUR_MS), NOW_MS, 60_000, 240)
     return out(trace.select("bucket", gauges.sqrt_scaled(F.col("tokens")).alias("root"),
                             gauges.needle(F.col("tokens"), 60_000, 10_000.0).alias("needle")))
 

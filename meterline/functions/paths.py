@@ -11,14 +11,17 @@ _CONTAINER = r"^(.*?)/+(?:\.worktrees|\.[^/]*/+worktrees)/.+$"
 
 
 def trim_slashes(path: Column) -> Column:
-    return F.when(path.rlike("^/+$"), F.lit("/")).otherwise(F.regexp_replace(path, "/+$", ""))
+    return (F.when(~path.endswith("/"), path).when(path.rlike("^/+$"), F.lit("/"))
+            .otherwise(F.regexp_replace(path, "/+$", "")))
 
 
 def project_root(path: Column) -> Column:
     """The repository a working directory belongs to, by the shape of the path alone."""
     trimmed = trim_slashes(path)
     root = F.regexp_extract(trimmed, _CONTAINER, 1)
-    return F.when(trimmed.rlike(_CONTAINER), trim_slashes(root)).otherwise(trimmed)
+    # Few paths hold the word at all: the others never meet the pattern.
+    return (F.when(~path.contains("worktrees/"), trimmed)
+            .when(trimmed.rlike(_CONTAINER), trim_slashes(root)).otherwise(trimmed))
 
 
 def project_label(path: Column) -> Column:

@@ -29,12 +29,16 @@ def covered_flag(agent: Column) -> Column:
 
 
 def build_cells(events: DataFrame, tier: str = "minute", tz_offset_min: int = 0,
-                prices: DataFrame | None = None, rates: DataFrame | None = None) -> DataFrame:
+                prices: DataFrame | None = None, rates: DataFrame | None = None,
+                keep: tuple[str, ...] = DIMENSIONS) -> DataFrame:
     """Usage events -> cube cells of one tier.
 
     One shuffle: tokens are summed per cell (map-side first) and the cells, which
     keep the model, are priced afterwards - exact, and far fewer rows to price.
+    A query that needs few dimensions names them in `keep`; the others are blank
+    and neither read nor shuffled.
     """
+    kept = [d for d in DIMENSIONS if d in keep or d == "model"]
     columns = set(events.columns)
     flags = {
         "covered": F.col("covered") if "covered" in columns else covered_flag(F.col("agent")),
@@ -45,14 +49,14 @@ def build_cells(events: DataFrame, tier: str = "minute", tz_offset_min: int = 0,
         "bucket": timecols.tier_bucket(tier, F.col("ts_ms"), tz_offset_min),
         "tz_offset_min": F.lit(tz_offset_min if tier == "day" else 0), **flags})
     priced_already = "cost_usd" in columns
-    cells = keyed.groupBy(*KEY).agg(
+    cells = keyed.groupBy(*[k for k in KEY if k not in DIMENSIONS or k in kept]).agg(
         *sums(TOKEN_COLUMNS),
         (F.sum("events").cast("bigint") if "events" in columns else F.count("*")).alias("events"),
         *(sums(("cost_usd",)) if priced_already else []))
     if not priced_already:
         cells = price(cells, prices, rates)
-    return cells.withColumn("cost_usd", F.coalesce("cost_usd", F.lit(0).cast(COST))).select(
-        *KEY, *MEASURES)
+    return cells.withColumn("cost_usd", F.coalesce("cost_usd", F.lit(0).cast(COST))).withColumns(
+        {d: F.lit("") for d in DIMENSIONS if d not in kept}).select(*KEY, *MEASURES)
 
 
 def coarsen(cells: DataFrame, tier: str, tz_offset_min: int = 0) -> DataFrame:
@@ -98,7 +102,9 @@ def cube_filter(cells: DataFrame, from_bucket: int = 0, to_bucket: int = timecol
                 agents: list[str] | None = None, model: str | None = None, project: str | None = None,
                 session: str | None = None, covered_only: bool = False) -> DataFrame:
     """Inclusive bucket range and exact names; a set of agents holds known agents only."""
-    tests = [F.col("bucket").between(from_bucket, to_bucket)]
+    tests = [F.lit(True)]
+    if from_bucket > 0 or to_bucket < timecols.MAX_BUCKET:
+        tests.append(F.col("bucket").between(from_bucket, to_bucket))
     if agents is not None:
         tests.append(F.col("agent").isin([a for a in agents if a in KNOWN_AGENTS]))
         tests.append(~F.col("synthetic"))

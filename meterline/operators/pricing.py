@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterline.functions import money
-from meterline.functions.price_list import bundled_prices
+from meterline.functions.price_list import bundled_prices, bundled_rows
 from meterline.operators.bounded import broadcast_if_small
 
 RATES = ("input_rate", "output_rate", "creation_rate", "read_rate")
@@ -33,38 +33,33 @@ def load_prices(spark: SparkSession, path: str) -> DataFrame:
         F.col("r.max_input_tokens").alias("max_input_tokens"))
 
 
-def _text_after_slash(model: Column) -> Column:
-    return F.substring_index(model, "/", -1)
-
-
-def _short_list(prices: DataFrame, max_literal_keys: int) -> list[str] | None:
+def _short_list(prices: DataFrame | None, max_literal_keys: int) -> list[str] | None:
     """Keys of a short price list, longest first and then in file order; None for a long one."""
-    head = [tuple(r) for r in prices.select("price_key", "position").limit(max_literal_keys + 1).collect()]
+    if prices is None:
+        head = [(key, position) for position, key, *_ in bundled_rows()]
+    else:
+        head = [tuple(r) for r in prices.select("price_key", "position").limit(max_literal_keys + 1).collect()]
     if len(head) > max_literal_keys:
         return None
     return [k for k, _ in sorted(head, key=lambda kp: (-len(kp[0].encode()), kp[1]))]
 
 
-def _key_of(model: Column, ranked: list[str]) -> Column:
-    """Price key of a name against a short list: exact, after the last '/', lower case, longest inside."""
-    base = _text_after_slash(model)
-    lowered = _lowered(base)
+def _key_of_model(ranked: list[str]) -> Column:
+    """Price key of the column `model` against a short list: exact, after the last '/', lower case,
+    longest inside. Names over 160 bytes keep their case, as no lower-cased form is tried for them."""
     if not ranked:
         return F.lit(None).cast("string")
+    keys = ", ".join("'" + k.replace("\\", "\\\\").replace("'", "\\'") + "'" for k in ranked)
+    base = "substring_index(model, '/', -1)"
+    lowered = f"CASE WHEN octet_length({base}) <= 160 THEN translate({base}, '{_UPPER}', '{_UPPER.lower()}') END"
 
-    def exact(candidate: Column) -> Column:
-        return F.when(candidate.isin(*ranked), candidate)
+    def exact(candidate: str) -> str:
+        return f"CASE WHEN {candidate} IN ({keys}) THEN {candidate} END"
 
-    hay = F.coalesce(lowered, base)
-    keys = F.array(*[F.lit(k) for k in ranked])
     # The outer lambda binds the lower-cased name, so it is not derived again for every key.
-    longest = F.transform(F.array(hay), lambda h: F.get(F.filter(keys, lambda k: F.contains(h, k)), F.lit(0)))
-    return F.coalesce(exact(model), exact(base), exact(lowered), F.get(longest, F.lit(0)))
-
-
-def _lowered(base: Column) -> Column:
-    # Names over 160 bytes keep their case: no lower-cased form is tried for them.
-    return F.when(F.octet_length(base) <= 160, F.translate(base, _UPPER, _UPPER.lower()))
+    longest = (f"get(transform(array(coalesce({lowered}, {base})), "
+               f"h -> get(filter(array({keys}), k -> contains(h, k)), 0)), 0)")
+    return F.expr(f"coalesce({exact('model')}, {exact(base)}, {exact(lowered)}, {longest})")
 
 
 def resolve_models(models: DataFrame, prices: DataFrame,
@@ -78,11 +73,12 @@ def resolve_models(models: DataFrame, prices: DataFrame,
     distinct = models.select("model").distinct()
     ranked = _short_list(prices, max_literal_keys)
     if ranked is not None:
-        return distinct.select("model", _key_of(F.col("model"), ranked).alias("price_key"))
+        return distinct.select("model", _key_of_model(ranked).alias("price_key"))
 
     keys = prices.select("price_key", "position")
-    base = _text_after_slash(F.col("model"))
-    names = distinct.select("model", base.alias("base"), _lowered(base).alias("lowered")).withColumn(
+    base = F.substring_index("model", "/", -1)
+    lowered = F.when(F.octet_length(base) <= 160, F.translate(base, _UPPER, _UPPER.lower()))
+    names = distinct.select("model", base.alias("base"), lowered.alias("lowered")).withColumn(
         "hay", F.coalesce("lowered", "base"))
     exact_hits = names.select(
         "model", F.posexplode(F.array("model", "base", "lowered")).alias("stage", "candidate")
@@ -126,11 +122,11 @@ def price(cells: DataFrame, prices: DataFrame | None = None, rates: DataFrame |
     Cells are few, so a short price list is tested in place: no distinct, no
     second pass. A long list or stored `rates` take the way of single events.
     """
-    prices = bundled_prices(cells.sparkSession) if prices is None else prices
     ranked = _short_list(prices, MAX_LITERAL_KEYS) if rates is None else None
+    prices = bundled_prices(cells.sparkSession) if prices is None else prices
     if ranked is None:
         return price_rows(cells, prices, rates)
-    keyed = cells.withColumn("price_key", _key_of(F.col("model"), ranked))
+    keyed = cells.withColumn("price_key", _key_of_model(ranked))
     # At most MAX_LITERAL_KEYS rows: counted just above.
     return _with_cost(keyed.join(F.broadcast(prices.select("price_key", *RATES)), "price_key", "left")).drop(
         "price_key")

@@ -10,24 +10,23 @@ from meterline.functions.money import COST, total_tokens
 from meterline.operators.cube import MEASURES, covered_flag, sums
 from meterline.operators.pricing import price
 from meterline.operators.scan import dense
-from meterline.schemas import AGENTS, TOKEN_COLUMNS
+from meterline.schemas import AGENTS, DIMENSIONS, TOKEN_COLUMNS
 
 def zero_cost() -> Column:
     return F.lit(0).cast(COST)
 
 
 def hourly_cells(events: DataFrame, tz_offset_min: int = 0, prices: DataFrame | None = None,
-                 rates: DataFrame | None = None) -> DataFrame:
+                 rates: DataFrame | None = None, keep: tuple[str, ...] = DIMENSIONS) -> DataFrame:
     """Events -> priced cells per (local hour, agent, model, project, session).
 
-    The one place the rollups read events; everything below sums these cells.
+    The one place the rollups read events; everything below sums these cells. A
+    rollup over few dimensions names them in `keep`.
     """
+    kept = [d for d in DIMENSIONS if d in keep or d in ("agent", "model")]
     cells = (events.withColumn("hour_key", timecols.local_hour_key(F.col("ts_ms"), tz_offset_min))
-             .groupBy("hour_key", "agent", "model", "project", "session_id")
-             .agg(*sums(TOKEN_COLUMNS), F.count("*").alias("events"),
-                  F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms")))
+             .groupBy("hour_key", *kept).agg(*sums(TOKEN_COLUMNS), F.count("*").alias("events")))
     return (price(cells, prices, rates)
-            .withColumn("unpriced_events", F.when(F.col("cost_usd").isNull(), F.col("events")).otherwise(0))
             .withColumn("cost_usd", F.coalesce("cost_usd", zero_cost()))
             .withColumn("day_key", timecols.day_of_hour(F.col("hour_key")))
             .withColumn("covered", covered_flag(F.col("agent"))))
