@@ -331,6 +331,14 @@ def store_health(spark, sf):
     return cube.health({"day": rows})
 
 
+@query("tsv_lines", with_priced(f"""
+SELECT agent || chr(9) || project || '\\t' || chr(9) || CAST(count(*) AS VARCHAR) AS value FROM priced GROUP BY agent, project"""))
+def tsv_lines(spark, sf):
+    """A tab inside a field is written as two characters."""
+    rows = usage(spark, sf).groupBy("agent", "project").agg(F.count("*").alias("events"))
+    return verbs.tsv_line(rows.withColumn("project", F.concat("project", F.lit("\t"))).select("agent", "project", "events"))
+
+
 def _coded(spark, sf):
     """Dictionary-coded rows; ids of 120 and above have no name."""
     rows = usage(spark, sf).select("event_id", F.col("user_id").alias("session_code"))

@@ -14,7 +14,6 @@ from meterline.functions.timecols import HOUR_MS
 from meterline.operators import alerts, gauges, quota, ranking, rates, roster
 from meterline.operators.scan import Running, chunk_of, ordered_scan
 
-_CHUNK = 1000
 _NOW_MIN = NOW_MS // 60_000
 _DAY_MS = 86_400_000
 
@@ -193,7 +192,7 @@ def scaled_trace(spark, sf):
 def counters(spark, sf) -> DataFrame:
     """Byte counters per metric that restart every third day."""
     u = usage(spark, sf).withColumn("epoch_no", (F.col("ts_ms") / (3 * _DAY_MS)).cast("bigint"))
-    return ordered_scan(u, ["event_type", "epoch_no"], ["event_id"], chunk_of(F.col("event_id"), _CHUNK),
+    return ordered_scan(u, ["event_type", "epoch_no"], ["event_id"], chunk_of(F.col("event_id")),
                         value=Running("sum", F.col("input_tokens"))).select(
         F.col("event_type").alias("metric"), "event_id", F.col("event_id").alias("seq"), "ts_ms", "value")
 
@@ -223,7 +222,7 @@ def busy_fraction(spark, sf):
         F.lit(0).alias("host"), (e % 4).alias("core"), (F.floor(e / 4) * 1000).cast("bigint").alias("ts_ms"),
         (e * 100000007 % 4294967296).alias("busy"), (e * 70000027 % 4294967296).alias("idle"),
         F.when(F.floor(e / 2000) % 2 == 0, 4).otherwise(5).alias("cores"))
-    return out(gauges.busy_fraction(ticks, ["host"], chunk_ms=500_000).drop("host"))
+    return out(gauges.busy_fraction(ticks, ["host"]).drop("host"))
 
 
 _ORIGIN = 1704067200000
@@ -248,7 +247,7 @@ SELECT event_id, (SELECT min(x) FROM (SELECT unnest([1, 2, 5]) * pow(10.0, e) AS
   WHERE x >= greatest(peak * 1.15, 10000.0)) AS scale FROM l"""))
 def dial_scale(spark, sf):
     sweeps = usage(spark, sf).select("event_id", "event_type", (F.col("input_tokens") * 100).cast("double").alias("value"))
-    return gauges.dial_series(sweeps, ["event_type"], "event_id", chunk_of(F.col("event_id"), _CHUNK)).select(
+    return gauges.dial_series(sweeps, ["event_type"], "event_id", chunk_of(F.col("event_id"))).select(
         "event_id", "scale")
 
 
@@ -282,7 +281,7 @@ _PACE = _READINGS + """
 
 
 def paces(spark, sf) -> DataFrame:
-    return quota.pace(readings(spark, sf), ["agent", "kind"], chunk_of(F.col("seq"), _CHUNK))
+    return quota.pace(readings(spark, sf), ["agent", "kind"], chunk_of(F.col("seq")))
 
 
 @query("latest_limits", with_uses(_READINGS + """
@@ -290,7 +289,7 @@ SELECT agent, max(now_ms) AS read_at_ms, arg_max(kind, now_ms) AS kind, arg_max(
   arg_max(plan, now_ms) FILTER (plan IS NOT NULL) AS plan FROM readings GROUP BY agent"""))
 def latest_limits(spark, sf):
     snaps = readings(spark, sf).withColumn("windows", F.array(F.struct("kind", "used_percent", "resets_at_ms")))
-    newest = quota.latest(snaps.select("agent", "seq", "read_at_ms", "plan", "windows"), chunk_of(F.col("seq"), _CHUNK))
+    newest = quota.latest(snaps.select("agent", "seq", "read_at_ms", "plan", "windows"), chunk_of(F.col("seq")))
     return quota.as_readings(newest).select("agent", "read_at_ms", "kind", "used_percent", "plan")
 
 
@@ -497,7 +496,7 @@ speed AS (SELECT agent, session_id, sum(weighted) / 600.0 AS tokens_per_min FROM
 
 
 def lit(spark, sf) -> DataFrame:
-    return roster.attribute_growth(signals(spark, sf), chunk_of(F.col("seq"), _CHUNK))
+    return roster.attribute_growth(signals(spark, sf), chunk_of(F.col("seq")))
 
 
 def sessions(spark, sf) -> DataFrame:

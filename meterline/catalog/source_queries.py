@@ -10,14 +10,14 @@ from meterline.functions.money import COST, usd
 from meterline.operators import cdc, dedup, quota
 from meterline.operators.cube import sums
 from meterline.operators.deltas import carry_context, cumulative_deltas
-from meterline.operators.pricing import price_rows
+from meterline.operators.bounded import broadcast_if_small
+from meterline.operators.pricing import model_rates, price_rows
 from meterline.operators.scan import Running, chunk_of, ordered_scan, union_all
 from meterline.schemas import TOKEN_COLUMNS
 from meterline.sources import lines as line_sources
-from meterline.sources import snapshots, transcripts
+from meterline.sources import ledgers, snapshots, transcripts
 
 _EVENT = ("agent", "ts_ms", "model", *TOKEN_COLUMNS, "session_id", "cwd")
-_CHUNK = 1000
 
 
 def _iso(ms: str = "ts_ms") -> Column:
@@ -28,7 +28,7 @@ def _lines(df: DataFrame, value: Column, source_file: Column) -> DataFrame:
     """Text lines with the order a split read would give them."""
     # A generator, so that the text is built once as if it had been read.
     text = df.select("event_id", source_file.alias("source_file"), F.explode(F.array(value)).alias("value"))
-    return text.select("value", "source_file", chunk_of(F.col("event_id"), _CHUNK).alias("line_start"),
+    return text.select("value", "source_file", chunk_of(F.col("event_id")).alias("line_start"),
                        F.col("event_id").alias("line_seq"))
 
 
@@ -77,7 +77,7 @@ def codex_lines(spark, sf) -> DataFrame:
     u = usage(spark, sf).withColumn("day_no", (F.col("ts_ms") / 86_400_000).cast("bigint")).filter(F.col("k") % 9 != 4)
     header = F.col("k") % 10 == 0
     counted = ordered_scan(
-        u, ["user_id", "day_no"], ["event_id"], chunk_of(F.col("event_id"), _CHUNK),
+        u, ["user_id", "day_no"], ["event_id"], chunk_of(F.col("event_id")),
         c_in=Running("sum", F.when(header, 0).otherwise(F.col("input_tokens"))),
         c_out=Running("sum", F.when(header, 0).otherwise(F.col("output_tokens"))),
         c_cached=Running("sum", F.when(header, 0).otherwise(F.col("input_tokens") * 3 / 4).cast("bigint")))
@@ -141,7 +141,7 @@ SELECT event_id, last_value(CASE WHEN k % 10 = 0 THEN model END IGNORE NULLS)
   OVER (PARTITION BY user_id ORDER BY event_id) AS carried_model FROM uses"""))
 def carried_context(spark, sf):
     rows = usage(spark, sf).select("event_id", "user_id", "k", "model")
-    return carry_context(rows, ["user_id"], ["event_id"], chunk_of(F.col("event_id"), _CHUNK), {
+    return carry_context(rows, ["user_id"], ["event_id"], chunk_of(F.col("event_id")), {
         "carried_model": F.when(F.col("k") % 10 == 0, F.col("model"))}).select("event_id", "carried_model")
 
 
@@ -155,7 +155,7 @@ SELECT * FROM d WHERE delta_a <> 0 OR delta_b <> 0"""))
 def cumulative(spark, sf):
     """One counter per agent: few and therefore hot keys, cut into chunks of the event order."""
     u = usage(spark, sf).withColumn("day_no", (F.col("ts_ms") / 86_400_000).cast("bigint"))
-    chunk = chunk_of(F.col("event_id"), _CHUNK)
+    chunk = chunk_of(F.col("event_id"))
     counted = ordered_scan(u, ["agent", "day_no"], ["event_id"], chunk,
                            a=Running("sum", F.col("input_tokens")), b=Running("sum", F.col("k")))
     return cumulative_deltas(counted, ["agent"], ["event_id"], chunk, ["a", "b"]).select("event_id", "delta_a", "delta_b")
@@ -227,16 +227,16 @@ def kimi_usage(spark, sf):
 
 
 def _documents(spark, sf, message: Column, wrap) -> DataFrame:
-    """One rewritten JSON document per user and day, the natural size of such a file."""
-    u = usage(spark, sf).withColumn("day_no", (F.col("ts_ms") / 86_400_000).cast("bigint"))
-    grouped = u.groupBy("user_id", "session_id", "day_no").agg(
+    """Rewritten JSON documents of a user: one per 256 event ids, so that no document outgrows a file."""
+    u = usage(spark, sf).withColumn("part_no", F.floor(F.col("event_id") / 256))
+    grouped = u.groupBy("user_id", "session_id", "part_no").agg(
         F.array_sort(F.collect_list(F.struct("event_id", message.alias("m")))).alias("ms"))
     return wrap(grouped.withColumn("messages", F.transform("ms", lambda x: x["m"])))
 
 
 @query("cline_records", with_uses("""
 SELECT 'c' || event_id AS key, ts_ms, model, input_tokens, output_tokens, cache_creation_tokens, cache_read_tokens,
-  CASE WHEN user_id % 2 = 0 THEN session_id ELSE 'f' || user_id || '-' || (ts_ms // 86400000) END AS session_id
+  CASE WHEN user_id % 2 = 0 THEN session_id ELSE 'f' || user_id || '-' || (event_id // 256) END AS session_id
 FROM uses WHERE k % 4 <> 3"""))
 def cline_records(spark, sf):
     message = _struct(
@@ -247,7 +247,7 @@ def cline_records(spark, sf):
     files = _documents(spark, sf, message, lambda d: d.select(
         _json(version=F.lit(1), sessionId=F.when(F.col("user_id") % 2 == 0, F.col("session_id")),
               messages=F.col("messages")).alias("value"),
-        F.concat(F.lit("/cline/f"), F.col("user_id").cast("string"), F.lit("-"), F.col("day_no").cast("string"),
+        F.concat(F.lit("/cline/f"), F.col("user_id").cast("string"), F.lit("-"), F.col("part_no").cast("string"),
                  F.lit(".messages.json")).alias("source_file")))
     return snapshots.cline_messages(files).select("key", "ts_ms", "model", *TOKEN_COLUMNS, "session_id")
 
@@ -263,7 +263,7 @@ def task_records(spark, sf):
                       .otherwise("api_req_started"))
     files = _documents(spark, sf, message, lambda d: d.select(
         F.to_json("messages").alias("value"),
-        F.concat(F.lit("/tasks/"), F.col("day_no").cast("string"), F.lit("/"), F.col("session_id"),
+        F.concat(F.lit("/tasks/"), F.col("part_no").cast("string"), F.lit("/"), F.col("session_id"),
                  F.lit("/ui_messages.json")).alias("source_file")))
     return snapshots.task_messages(files, "roo").select("key", "agent", "ts_ms", *TOKEN_COLUMNS, "session_id")
 
@@ -282,6 +282,71 @@ def quota_responses(spark, sf):
         "seq", "read_at_ms", "kind", "used_percent", "resets_at_ms")
 
 
+@query("goose_usage", with_uses("""
+SELECT event_id AS row_id, 'goose' AS agent, ts_ms // 1000 * 1000 AS ts_ms, model, input_tokens,
+  CASE WHEN k % 2 = 0 THEN output_tokens ELSE 0 END AS output_tokens, 0::BIGINT AS cache_creation_tokens,
+  0::BIGINT AS cache_read_tokens, session_id
+FROM uses WHERE event_id > 500 AND k % 8 <> 3 AND (input_tokens > 0 OR (k % 2 = 0 AND output_tokens > 0))"""))
+def goose_usage(spark, sf):
+    """Rows as the ledger reader hands them over: gaps, negative counters and rows without a model."""
+    none = F.lit(None).cast("bigint")
+    rows = usage(spark, sf).select(
+        F.lit("g.db").alias("db_file"), F.col("event_id").alias("row_id"), "session_id",
+        F.expr("ts_ms div 1000").alias("created_timestamp"), F.when(F.col("k") % 8 != 3, F.col("model")).alias("model"),
+        "input_tokens", F.when(F.col("k") % 2 == 0, F.col("output_tokens")).otherwise(-F.col("output_tokens")).alias("output_tokens"),
+        none.alias("cache_read_tokens"), none.alias("cache_write_tokens"))
+    return ledgers.goose(rows, above_row=500).select("row_id", "agent", "ts_ms", "model", *TOKEN_COLUMNS, "session_id")
+
+
+def _messages(u: DataFrame, data: Column) -> DataFrame:
+    return u.select(
+        F.lit("m.db").alias("db_file"), F.col("event_id").alias("row_id"), F.col("event_id").cast("string").alias("id"),
+        "session_id", F.col("ts_ms").alias("time_created"), (F.col("ts_ms") + 1).alias("time_updated"),
+        F.explode(F.array(data)).alias("data"))
+
+
+def _tokens_json(reasoning: Column) -> Column:
+    return _struct(input=F.col("input_tokens"), output=F.col("output_tokens"), reasoning=reasoning, cache=_struct(
+        read=F.col("cache_read_tokens"), write=F.col("cache_creation_tokens")))
+
+
+@query("kilo_usage", with_uses("""
+SELECT CAST(event_id AS VARCHAR) AS id, ts_ms, CASE WHEN k % 3 = 0 THEN 'own-' || k ELSE 'of-' || session_id END AS model,
+  input_tokens, output_tokens + k AS output_tokens, cache_creation_tokens, cache_read_tokens, session_id
+FROM uses WHERE k % 5 <> 1 AND (k % 3 = 0 OR user_id < 100)"""))
+def kilo_usage(spark, sf):
+    """The model is the message's own or its session's; sessions of users from 100 on are unknown."""
+    u = usage(spark, sf)
+    data = _json(role=F.when(F.col("k") % 5 == 1, "user").otherwise("assistant"), model=F.when(F.col("k") % 3 == 0, _struct(
+        id=F.concat(F.lit("own-"), F.col("k").cast("string")))), tokens=_tokens_json(F.col("k")))
+    sessions = u.filter(F.col("user_id") < 100).select(
+        F.lit("m.db").alias("db_file"), F.col("session_id").alias("id"),
+        _json(id=F.concat(F.lit("of-"), F.col("session_id"))).alias("model")).distinct()
+    return ledgers.kilo(_messages(u, data), sessions).select("id", "ts_ms", "model", *TOKEN_COLUMNS, "session_id")
+
+
+@query("opencode_usage", with_uses("""
+SELECT CAST(event_id AS VARCHAR) AS key, CASE WHEN k % 2 = 0 THEN ts_ms + 5 ELSE ts_ms END AS ts_ms, 'x-' || model AS model,
+  input_tokens, output_tokens + 1 AS output_tokens, cache_creation_tokens, cache_read_tokens, session_id, '/d' || user_id AS cwd
+FROM uses WHERE k % 7 <> 2 AND k % 5 <> 1 AND user_id < 120"""))
+def opencode_usage(spark, sf):
+    """Rows of the first schema; every fifth k has a broken counter, sessions of users from 120 on are missing."""
+    u = usage(spark, sf)
+    data = _json(role=F.when(F.col("k") % 7 == 2, "user").otherwise("assistant"),
+                 modelID=F.concat(F.lit("x-"), F.col("model")),
+                 time=_struct(completed=F.when(F.col("k") % 2 == 0, F.col("ts_ms") + 5)),
+                 tokens=_tokens_json(F.when(F.col("k") % 5 == 1, -1.5).otherwise(1).cast("string")))
+    data = F.regexp_replace(data, '"reasoning":"([^"]*)"', '"reasoning":$1')
+    data = F.replace(data, F.lit('"reasoning":1.0'), F.lit('"reasoning":1'))
+    messages = _messages(u, data)
+    following = messages.limit(0).withColumn("type", F.lit("assistant"))
+    sessions = u.filter(F.col("user_id") < 120).select(
+        F.lit("m.db").alias("db_file"), F.col("session_id").alias("id"),
+        F.concat(F.lit("/d"), F.col("user_id").cast("string")).alias("directory")).distinct()
+    return ledgers.opencode(messages, following, sessions).select(
+        "key", "ts_ms", "model", *TOKEN_COLUMNS, "session_id", "cwd")
+
+
 @query("all_sources", with_uses("""
 SELECT agent, count(*) AS events, CAST(sum(tokens) AS BIGINT) AS tokens FROM (
   SELECT 'claude' AS agent, input_tokens + output_tokens + cache_creation_tokens
@@ -395,7 +460,7 @@ SELECT event_id, user_id, CASE WHEN p IS NULL THEN 'add' ELSE 'replace' END AS o
 FROM s WHERE p IS DISTINCT FROM v"""))
 def version_log_changes(spark, sf):
     log = usage(spark, sf).select("event_id", "user_id", (F.col("k") % 4).alias("v"))
-    found = cdc.version_changes(log, ["user_id"], "event_id", chunk_of(F.col("event_id"), _CHUNK), ("v",))
+    found = cdc.version_changes(log, ["user_id"], "event_id", chunk_of(F.col("event_id")), ("v",))
     return found.select("event_id", "user_id", "op", F.col("prev.v").alias("old_value"), F.col("curr.v").alias("new_value"))
 
 
@@ -409,7 +474,13 @@ def last_in_snapshot(spark, sf):
 def priced_changes(spark, sf) -> DataFrame:
     first, second = versions(spark, sf)
     columns = (*_FIELDS, "cost_usd")
-    return cdc.changes(price_rows(first), price_rows(second), ["agent", "key"], columns)
+    rates = sized_rates(spark, sf)
+    return cdc.changes(price_rows(first, rates=rates), price_rows(second, rates=rates), ["agent", "key"], columns)
+
+
+def sized_rates(spark, sf) -> DataFrame:
+    """Rates of the distinct models, sized once for all joins of a query."""
+    return broadcast_if_small(model_rates(usage(spark, sf)))
 
 
 _SIDES = """
@@ -429,7 +500,7 @@ FROM cost2 GROUP BY project"""))
 def applied_changes(spark, sf):
     """Totals per project after retracting the old versions and adding the new ones."""
     first, _ = versions(spark, sf)
-    totals = price_rows(first).withColumn("events", F.lit(1).cast("bigint")).withColumn(
+    totals = price_rows(first, rates=sized_rates(spark, sf)).withColumn("events", F.lit(1).cast("bigint")).withColumn(
         "cost_usd", F.coalesce("cost_usd", F.lit(0).cast(COST))).groupBy("project").agg(*sums())
     return out(cdc.applied(totals, priced_changes(spark, sf), ["project"]))
 

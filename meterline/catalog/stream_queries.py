@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterline.catalog.cube_queries import _DAY, _HOUR, _MINUTE
-from meterline.catalog.inputs import SUMS_SQL, TZ_MIN, out, query, usage_from, with_priced, with_uses
+from meterline.catalog.inputs import SUMS_SQL, TZ_MIN, out, query, usage, usage_from, with_priced, with_uses
 from meterline.catalog.signal_queries import _PACED, host_walls, readings_from
 from meterline.functions.money import total_tokens
 from meterline.operators import cube
@@ -52,6 +52,15 @@ def streamed_cube(spark, sf):
     return out(parts[0].unionByName(parts[1]).unionByName(parts[2]).drop("covered_cost_usd", "records"))
 
 
+@query("backfilled_cube", with_priced(f"SELECT {_DAY} AS bucket, {SUMS_SQL} FROM priced GROUP BY ALL"))
+def backfilled_cube(spark, sf):
+    """The whole history replayed into a new store twice under one generation: the second run does nothing."""
+    folder = scratch(spark, "backfill")
+    for _ in range(2):
+        cube_stream.backfill_once(spark, usage(spark, sf), folder, "g1", TZ_MIN)
+    return out(cube.query(cube.read_tier(spark, folder, "day"), ["bucket"]).drop("covered_cost_usd", "records"))
+
+
 @query("streamed_windows", with_uses("""
 SELECT ts_ms // 3600000 * 3600000 AS window_start_ms, agent, CAST(sum(tokens) AS BIGINT) AS tokens, count(*) AS events
 FROM uses GROUP BY ALL"""))

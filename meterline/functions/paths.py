@@ -7,27 +7,26 @@ from pyspark.sql import functions as F
 
 # A worktree container is `.worktrees`, or `worktrees` under a hidden folder, followed by a name.
 # The first container counts; the project is what stands before it.
-_CONTAINER = r"^(.*?)/+(?:\.worktrees|\.[^/]*/+worktrees)/.+$"
+_CONTAINER = r"(?s)^(.*?)/+(?:\.worktrees|\.[^/]*/+worktrees)/.+$"
 
 
+# Each rule names its input once, so that nested rules stay small when they are inlined.
+
 def trim_slashes(path: Column) -> Column:
-    return (F.when(~path.endswith("/"), path).when(path.rlike("^/+$"), F.lit("/"))
-            .otherwise(F.regexp_replace(path, "/+$", "")))
+    """Without trailing slashes; a bare root stays."""
+    return F.regexp_replace(path, "(?s)(?<=.)/+$", "")
 
 
 def project_root(path: Column) -> Column:
     """The repository a working directory belongs to, by the shape of the path alone."""
     trimmed = trim_slashes(path)
-    root = F.regexp_extract(trimmed, _CONTAINER, 1)
-    # Few paths hold the word at all: the others never meet the pattern.
-    return (F.when(~path.contains("worktrees/"), trimmed)
-            .when(trimmed.rlike(_CONTAINER), trim_slashes(root)).otherwise(trimmed))
+    # Few paths hold the word at all: the others never meet the longer pattern.
+    return F.when(path.contains("worktrees/"), F.regexp_replace(trimmed, _CONTAINER, "$1")).otherwise(trimmed)
 
 
 def project_label(path: Column) -> Column:
     """Last path segment; '/' and '' stay as they are."""
-    trimmed = trim_slashes(path)
-    return F.when(trimmed.isin("/", ""), trimmed).otherwise(F.substring_index(trimmed, "/", -1))
+    return F.regexp_extract(trim_slashes(path), "(?s)([^/]+|^/)$", 1)
 
 
 def file_name(path: Column) -> Column:

@@ -17,6 +17,8 @@ from meterline.functions.money import clamp
 from meterline.operators.scan import Running, chunk_of, dense, ordered_scan
 
 GAUGE_PERIOD_MS, GAUGE_BUCKETS = 5_000, 360
+# Time range of one chunk of a scan: short, so that the busiest series still splits into many tasks.
+CHUNK_MS = 5 * 60_000
 # Fixed values of the meters.
 PEAK_DECAY_PER_SECOND = 0.9974968671630002
 PEAK_DECAY_PER_SWEEP = 0.99923
@@ -93,7 +95,7 @@ def needle(tokens: Column, period_ms: int, scale_tpm: float) -> Column:
 
 
 def counter_rates(counters: DataFrame, keys: list[str], order: tuple[str, ...] = ("ts_ms", "seq"),
-                  chunk_ms: int = timecols.DAY_MS) -> DataFrame:
+                  chunk_ms: int = CHUNK_MS) -> DataFrame:
     """Per-second rate of a growing counter: null at first, 0 when it fell or no time passed."""
     stepped = ordered_scan(counters, keys, list(order), chunk_of(F.col("ts_ms"), chunk_ms),
                            prev=Running("lag", F.struct("ts_ms", "value")))
@@ -105,7 +107,7 @@ def counter_rates(counters: DataFrame, keys: list[str], order: tuple[str, ...] =
 
 
 def busy_fraction(ticks: DataFrame, keys: list[str], groups: tuple[str, ...] = (),
-                  chunk_ms: int = timecols.DAY_MS) -> DataFrame:
+                  chunk_ms: int = CHUNK_MS) -> DataFrame:
     """Busy share of a group of cores from u32 tick counters.
 
     `ticks(host.., core, ts_ms, busy, idle, cores)`. Counters may wrap once; a
@@ -126,7 +128,7 @@ def busy_fraction(ticks: DataFrame, keys: list[str], groups: tuple[str, ...] = (
 
 
 def ratcheted_peak(samples: DataFrame, keys: list[str], floor: float, origin_ms: int = 0,
-                   chunk_ms: int = timecols.DAY_MS, order: tuple[str, ...] = ("ts_ms",)) -> DataFrame:
+                   chunk_ms: int = CHUNK_MS, order: tuple[str, ...] = ("ts_ms",)) -> DataFrame:
     """Peak that jumps up at once and decays by the second, and the value as a share of it.
 
     peak_i = max over j <= i of max(v_j, floor) * d^(t_i - t_j): in logarithms a

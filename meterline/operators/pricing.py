@@ -109,11 +109,11 @@ def _with_cost(rated: DataFrame) -> DataFrame:
 def price_rows(events: DataFrame, prices: DataFrame | None = None, rates: DataFrame | None = None) -> DataFrame:
     """Single events with `cost_usd`, null when unpriced.
 
-    Names are resolved once per distinct model and joined back; `rates` is a
-    stored `model_rates` table that saves even that.
+    Names are resolved once per distinct model and joined back. `rates` is a stored
+    `model_rates` table, whose size the optimizer knows, or one the caller has sized.
     """
-    rates = model_rates(events, prices) if rates is None else rates
-    return _with_cost(events.join(broadcast_if_small(rates.select("model", *RATES)), "model", "left"))
+    rates = broadcast_if_small(model_rates(events, prices)) if rates is None else rates
+    return _with_cost(events.join(rates.select("model", *RATES), "model", "left"))
 
 
 def price(cells: DataFrame, prices: DataFrame | None = None, rates: DataFrame | None = None) -> DataFrame:

@@ -103,7 +103,12 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column
     return joined.select(*keep, *[expr.alias(name) for name, expr in results.items()])
 
 
-def chunk_of(value: Column, size: int) -> Column:
+# Rows of an order column per chunk: small enough for one task, large enough that even
+# 10^12 rows of one key leave only millions of chunk summaries.
+CHUNK_ROWS = 250_000
+
+
+def chunk_of(value: Column, size: int = CHUNK_ROWS) -> Column:
     """Consecutive ranges of an integer order column."""
     return F.floor(value / F.lit(size)).cast("long")
 
