@@ -40,7 +40,7 @@ def states(signals: DataFrame, now_ms: int) -> DataFrame:
     grouped = named.groupBy("agent", "session_id").agg(
         F.coalesce(F.max(F.when(F.col("kind") == "event", F.col("at_ms"))), F.lit(0)).alias("last_event_ms"),
         F.coalesce(F.max(F.when(F.col("kind") == "growth", F.col("at_ms"))), F.lit(0)).alias("last_growth_ms"),
-        (F.max_by("kind", "seq") == "growth").alias("mid_turn"))
+        F.max_by(F.col("kind") == "growth", "seq").alias("mid_turn"))
     last = F.greatest("last_event_ms", "last_growth_ms")
     age = F.lit(now_ms) - last
     state = (F.when((last == 0) | (age > DONE_AFTER_MS), "done")

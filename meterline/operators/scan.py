@@ -50,7 +50,8 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column
     before = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     at = Window.partitionBy(*part).orderBy(*order)
 
-    position = F.struct(*order)
+    # A single order column keeps the summaries in a hash aggregate.
+    position = F.struct(*order) if len(order) > 1 else F.col(order[0])
     summaries, local = [], {}
     for name, run in outputs.items():
         col = F.col(inputs[name])

@@ -41,8 +41,19 @@ def complete_lines(lines: DataFrame) -> DataFrame:
     return lines.join(open_end, ["source_file", *ORDER], "left_anti").select(lines.columns)
 
 
-def read_log(spark: SparkSession, paths: str | list[str], glob: str = "*.jsonl") -> DataFrame:
-    return complete_lines(raw_lines(spark, paths, glob)).drop("file_size")
+def read_log(spark: SparkSession, paths: str | list[str], glob: str = "*.jsonl",
+             hold_back: bool = True) -> DataFrame:
+    """Lines of a log. Files their writers have closed need no `hold_back`, which counts bytes in a pass of its own."""
+    text = raw_lines(spark, paths, glob)
+    return (complete_lines(text) if hold_back else text).drop("file_size")
+
+
+def stream_log(spark: SparkSession, path: str, glob: str = "*.jsonl", files_per_batch: int = 1000) -> DataFrame:
+    """Lines of files as they land, closed; the checkpoint of the query remembers which were read."""
+    text = (spark.readStream.option("lineSep", "\n").option("recursiveFileLookup", "true")
+            .option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_batch).text(path))
+    return text.select("value", F.col("_metadata.file_path").alias("source_file"),
+                       F.col("_metadata.file_block_start").alias("line_start"))
 
 
 def may_matter(lines: DataFrame, markers: list[str]) -> DataFrame:

@@ -19,6 +19,7 @@ from meterline.functions.money import limit_weighted_tokens
 from meterline.functions.timecols import HOT_MAX_AGE_MS
 from meterline.operators import cube, dedup
 from meterline.operators.cube import sums
+from meterline.operators.projects import with_project
 from meterline.schemas import DIMENSIONS, TIERS, TOKEN_COLUMNS
 
 
@@ -67,9 +68,13 @@ def _stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
 
 def append_cube(events: DataFrame, path: str, checkpoint: str, tz_offset_min: int = 0,
                 prices: DataFrame | None = None, now_ms: Callable[[], int] | None = None,
-                keyed: bool = False, trigger: dict | None = None) -> StreamingQuery:
+                keyed: bool = False, trigger: dict | None = None,
+                parse: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
     """Write all three tiers from a stream of usage events.
 
+    With `parse` the stream is log lines, which a source job turns into events batch
+    by batch; a file lands whole in one batch, so its headers and counters do too.
+
     Every batch is aggregated first and appended under its own batch id, which a
     replayed batch overwrites, so a retry does not count twice. With `keyed` the
     events are matched against all keys ever stored, without a horizon.
@@ -77,6 +82,9 @@ def append_cube(events: DataFrame, path: str, checkpoint: str, tz_offset_min: in
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         tag = f"b{batch_id:012d}"
+        if parse:
+            ordered = batch.withColumn("line_seq", F.monotonically_increasing_id())
+            batch = with_project(parse(ordered))
         if keyed:
             keys = _stored(spark, f"{path}/keys", batch.select("agent", "dedup_key")).filter(
                 F.col("batch_id") != tag)

@@ -260,3 +260,20 @@ def test_file_gate_and_corpus_size(spark, tmp_path):
     assert tuple(lines.corpus_size(spark, str(tmp_path)).first()) == (2, 5)
     known = spark.createDataFrame(listed.filter(F.col("path").endswith("a.jsonl")).collect(), listed.schema)
     assert [r["path"][-7:] for r in changed_files(listed, known).collect()] == ["b.jsonl"]
+
+
+def test_logs_stream_into_the_cube(spark, tmp_path):
+    from meterline.operators import cube
+    from meterline.streaming import cube_stream
+
+    def run():
+        cube_stream.append_cube(
+            lines.stream_log(spark, str(tmp_path / "in")), str(tmp_path / "cube"), str(tmp_path / "ck"),
+            keyed=True, parse=transcripts.claude).awaitTermination()
+        total = cube.query(cube.read_tier(spark, str(tmp_path / "cube"), "day"), ["project"]).collect()
+        return {r["project"]: (r["input_tokens"], r["events"]) for r in total}
+
+    write(tmp_path / "in/a.jsonl", [claude_row("m1"), claude_row("m2", cwd="/w/a/.claude/worktrees/x")])
+    assert run() == {"/w/a": (2, 2)}
+    write(tmp_path / "in/b.jsonl", [claude_row("m2"), claude_row("m3", usage=(5, 0, 0, 0)), claude_row("m3", usage=(5, 0, 0, 0))])
+    assert run() == {"/w/a": (7, 3)}
