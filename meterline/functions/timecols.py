@@ -22,7 +22,13 @@ _ISO = (r"^\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])T([01]\d|2[0-3]):[0-5]\d:[
 
 def iso_to_ms(text: Column) -> Column:
     """Epoch ms of a strict ISO-8601 string, null for anything else. Fractions truncate to ms."""
-    return F.when(text.rlike(_ISO), F.unix_millis(F.try_to_timestamp(text)))
+    # Numeric zones are subtracted by hand: the cast refuses those beyond 18 hours.
+    zone = F.regexp_replace(text, r"^.*([+-]\d\d):?(\d\d)$", "$1$2")
+    minutes = F.substring(zone, 2, 2).cast("long") * 60 + F.substring(zone, 4, 2).cast("long")
+    shift = F.when(zone.startswith("-"), -minutes).otherwise(minutes) * MINUTE_MS
+    bare = F.regexp_replace(text, r"[+-]\d\d:?\d\d$", "Z")
+    return F.when(text.rlike(_ISO), F.when(text.endswith("Z"), F.unix_millis(F.try_to_timestamp(text))).otherwise(
+        F.unix_millis(F.try_to_timestamp(bare)) - shift))
 
 
 def floor_div(value: Column, by: int) -> Column:

@@ -19,6 +19,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meterline.functions.timecols import floor_div
+
 _CHUNK = "__chunk"
 _AGGREGATES = {"sum": F.sum, "max": F.max, "min": F.min, "sum_before": F.sum, "max_before": F.max}
 
@@ -111,7 +113,7 @@ CHUNK_ROWS = 250_000
 
 def chunk_of(value: Column, size: int = CHUNK_ROWS) -> Column:
     """Consecutive ranges of an integer order column."""
-    return F.floor(value / F.lit(size)).cast("long")
+    return floor_div(value, size)
 
 
 def sliding_sum(df: DataFrame, keys: list[str], bucket: str, width: int,
