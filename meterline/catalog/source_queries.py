@@ -15,6 +15,7 @@ from meterline.operators.pricing import model_rates, price_rows
 from meterline.operators.scan import Running, chunk_of, ordered_scan, union_all
 from meterline.schemas import TOKEN_COLUMNS
 from meterline.sources import lines as line_sources
+from meterline.session import settled
 from meterline.sources import ledgers, snapshots, transcripts
 
 _EVENT = ("agent", "ts_ms", "model", *TOKEN_COLUMNS, "session_id", "cwd")
@@ -122,7 +123,7 @@ SELECT 'codex' AS agent, ts_ms, coalesce(ctx_model, 'codex') AS model, greatest(
   coalesce(ctx_session, 'rollout-' || session_id) AS session_id, coalesce(ctx_cwd, '') AS cwd
 FROM turns WHERE d_in <> 0 OR d_out <> 0 OR d_cached <> 0"""))
 def codex_usage(spark, sf):
-    return _kept(transcripts.codex(codex_lines(spark, sf)))
+    return _kept(transcripts.codex(codex_lines(spark, sf), settled))
 
 
 @query("codex_limits", with_uses("""
@@ -174,7 +175,7 @@ def pi_usage(spark, sf):
             input=F.col("input_tokens"), output=F.col("output_tokens"), cacheRead=F.col("cache_read_tokens"),
             cacheWrite=F.col("cache_creation_tokens"), reasoning=F.col("k"))))
     name = F.concat(F.lit("/pi/2026-01-01T00-00_"), F.col("session_id"), F.lit(".jsonl"))
-    return _kept(transcripts.pi(_lines(u, F.when(F.col("k") % 10 == 0, header).otherwise(message), name)))
+    return _kept(transcripts.pi(_lines(u, F.when(F.col("k") % 10 == 0, header).otherwise(message), name), settled))
 
 
 @query("gemini_usage", with_uses("""
@@ -193,7 +194,7 @@ def gemini_usage(spark, sf):
                         input=F.col("input_tokens"), output=F.col("output_tokens"), cached=F.col("k"),
                         thoughts=F.col("k"), tool=F.col("k"))))
     name = F.concat(F.lit("/chats/session-"), F.col("session_id"), F.lit(".jsonl"))
-    return _kept(transcripts.gemini(_lines(u, F.when(F.col("k") % 10 == 0, header).otherwise(message), name)))
+    return _kept(transcripts.gemini(_lines(u, F.when(F.col("k") % 10 == 0, header).otherwise(message), name), settled))
 
 
 @query("qwen_usage", with_uses("""

@@ -65,7 +65,9 @@ def pace(readings: DataFrame, keys: list[str], chunk: Column) -> DataFrame:
         "slope", _slope(F.col("used_percent") - F.lag("used_percent").over(part),
                         F.col("read_at_ms") - F.lag("read_at_ms").over(part),
                         F.lag("used_percent").over(part) >= 0))
-    after = F.coalesce(F.count("slope").over(part.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
+    # Slopes after a row: all minus those so far. A frame that reaches forward would be quadratic.
+    after = F.count("slope").over(Window.partitionBy(*keys, "chunk_no")) - F.count("slope").over(
+        part.rowsBetween(Window.unboundedPreceding, 0))
     reading = F.struct("used_percent", "read_at_ms")
     per_chunk = inside.withColumn("after", after).groupBy(*keys, "chunk_no").agg(
         F.count("slope").alias("n"), F.coalesce(F.sum(
@@ -77,8 +79,9 @@ def pace(readings: DataFrame, keys: list[str], chunk: Column) -> DataFrame:
         F.col("first.used_percent") - prev["used_percent"], F.col("first.read_at_ms") - prev["read_at_ms"],
         prev["used_percent"] >= 0))
     steps = F.col("n") + F.col("border").isNotNull().cast("bigint")
-    later = F.coalesce(F.sum(steps).over(by_chunk.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
-    weighed = bordered.withColumn("later", later).withColumn("part_pace", (
+    later = F.sum("steps").over(Window.partitionBy(*keys)) - F.sum("steps").over(
+        by_chunk.rowsBetween(Window.unboundedPreceding, 0))
+    weighed = bordered.withColumn("steps", steps).withColumn("later", later).withColumn("part_pace", (
         F.col("own") + F.coalesce(F.lit(ALPHA) * F.col("border") * F.pow(keep, F.col("n").cast("double")), F.lit(0.0))
     ) * F.pow(keep, F.col("later").cast("double")))
     return weighed.groupBy(*keys).agg(F.sum("part_pace").alias("pace"), F.max_by("last", "chunk_no").alias("r")).select(
