@@ -223,7 +223,7 @@ def fleet_counts(roster: DataFrame) -> DataFrame:
         F.count("*").alias("seen"))
 
 
-# Scope, unit, buckets, exact per-agent split in the reading of the reference view.
+# Scope, unit, number of buckets.
 SCOPES = {"12H": ("hour", 12), "24H": ("hour", 24), "7D": ("day", 7), "30D": ("day", 30), "90D": ("day", 90)}
 
 
