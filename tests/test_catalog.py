@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from meterline.catalog import QUERIES
 from tests.compare import compare, oracle
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -14,7 +15,7 @@ def con():
     return oracle(SF_DIR)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_matches_sql(spark, con, name):
     verdict = compare(spark, con, name, SF_DIR)
     expected = "rows only" if name in HOLDOUT_ROWS_ONLY else "ok"
