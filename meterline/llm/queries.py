@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterline.llm import mixing, rules, secrets, sharding
+from meterline.llm import mixing, packing, rules, secrets, sharding, topk, warc
 from meterline.llm.common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,41 @@ def blob_ledger_secrets(spark, sf_dir):
     return ledger.on_paths(docs).select(
         "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
         F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(found).alias("spans"))
+
+
+@query("op2_cost_balanced_packing")
+def cost_balanced_packing(spark, sf_dir):
+    pieces = packing.pack(table(spark, sf_dir, "documents"), packing.public_vocabulary())
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "cost")
+
+
+@query("op5_warc_archives", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+q AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest,
+             max(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM first AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM first THEN first END AS refers_to FROM q""")
+def warc_archives(spark, sf_dir):
+    warc.register(spark)
+    path = scratch(spark, "warc")
+    warc.records(table(spark, sf_dir, "pages")).write.format("warc").mode("append").save(path)
+    back = spark.read.format("warc").load(path)
+    # The digest of what was read, where a record has its payload; a revisit has it in its header only.
+    whole = back.where("record_type = 'response'").select(
+        "page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"),
+        "record_type", "refers_to")
+    light = spark.read.format("warc").schema(warc.SCHEMA.rpartition(",")[0]).load(path).where("record_type = 'revisit'")
+    return whole.unionByName(light.select(*whole.columns))
+
+
+@query("op7_sorted_list_top_k", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20""")
+def sorted_list_top_k(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", topk.scaled(F.col("embedding")).alias("v"))
+    return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), k=20)
