@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterline.llm import mixing, packing, rules, secrets, sharding, topk, warc
+from meterline.llm import kneser_ney, mixing, packing, rules, secrets, sharding, topk, warc
 from meterline.llm.common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,8 @@ FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec
 def sorted_list_top_k(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", topk.scaled(F.col("embedding")).alias("v"))
     return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+@query("op8_kneser_ney_scores")
+def kneser_ney_scores(spark, sf_dir):
+    return kneser_ney.train_and_score(table(spark, sf_dir, "documents"))
