@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterline.llm import kneser_ney, mixing, packing, rules, secrets, sharding, topk, warc
+from meterline.llm import kneser_ney, mixing, packing, rules, secrets, sharding, substrings, topk, warc
 from meterline.llm.common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,16 @@ def sorted_list_top_k(spark, sf_dir):
 @query("op8_kneser_ney_scores")
 def kneser_ney_scores(spark, sf_dir):
     return kneser_ney.train_and_score(table(spark, sf_dir, "documents"))
+
+
+@query("op4_relative_lz_substrings", r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 19], ' ')) AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w)),
+later AS (SELECT doc_id, i FROM win QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1),
+gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(i, i + 20)) AS p FROM later) GROUP BY doc_id),
+kept AS (SELECT w.doc_id, ws, coalesce(len(ps), 0) AS n,
+                CASE WHEN ps IS NULL THEN ws ELSE list_transform(list_filter(range(1, len(ws) + 1), lambda i: NOT list_contains(ps, i)), lambda i: ws[i]) END AS ks
+         FROM w LEFT JOIN gone USING (doc_id))
+SELECT doc_id, len(ws) AS n_words, n AS n_removed, sha256(array_to_string(ks, ' ')) AS kept_sha256 FROM kept""")
+def relative_lz_substrings(spark, sf_dir):
+    return substrings.deduplicate(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")

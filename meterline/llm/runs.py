@@ -64,15 +64,37 @@ def powers(n: int, base: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def window_hashes(words: np.ndarray, size: int, base: int) -> np.ndarray:
-    """A hash of every window of `size` word hashes: a polynomial in an odd `base`, mixed."""
+class Powers:
+    """Powers of an odd base and of its inverse modulo 2^64, as far as asked for."""
+
+    def __init__(self, base: int):
+        self.base, self.inverse = base, pow(base, -1, 1 << 64)
+        self.up = self.down = np.empty(0, np.uint64)
+
+    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            self.up, self.down = powers(2 * n, self.base), powers(2 * n, self.inverse)
+        return self.up[:n], self.down[:n]
+
+
+_POWERS = Powers(0xD1342543DE82EF95)
+
+
+def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every window of `size` word hashes: a polynomial modulo 2^64 by prefix sums, mixed."""
     if len(words) < size:
         return np.empty(0, np.uint64)
-    out = np.zeros(len(words) - size + 1, np.uint64)
-    weights = powers(size, base)
-    for k in range(size):
-        out += words[k:k + len(out)] * weights[k]
-    return mixed(out)
+    up, down = _POWERS.to(len(words))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up, dtype=np.uint64)])
+    return mixed((sums[size:] - sums[:-size]) * down[:len(words) - size + 1])
+
+
+def sliding(of: np.ndarray, size: int, pick: np.ufunc) -> np.ndarray:
+    """np.minimum or np.maximum over every `size` neighbours, by doubling."""
+    have, out = 1, of
+    while 2 * have <= size:
+        out, have = pick(out[:len(out) - have], out[have:]), 2 * have
+    return pick(out[:len(of) - size + 1], out[size - have:size - have + len(of) - size + 1])
 
 
 def packed(numbers: np.ndarray) -> bytes:
@@ -116,6 +138,18 @@ def save(folder: str, name: str, array: np.ndarray) -> None:
     system.move(part, f"{path}/{name}")
 
 
+def dealt(part: np.ndarray, parts: int) -> list[tuple[int, np.ndarray]]:
+    """(part, indices in order) of the parts that have any."""
+    order = np.argsort(part, kind="stable")
+    ends = np.searchsorted(part[order], np.arange(parts + 1))
+    return [(p, order[a:b]) for p, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if b > a]
+
+
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """An even part for every key, whatever the keys' distribution."""
+    return (mixed(keys) % np.uint64(parts)).astype(np.int64)
+
+
 _COPIES: dict[str, np.ndarray] = {}
 
 
