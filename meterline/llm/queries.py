@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterline.llm import kneser_ney, mixing, packing, rules, secrets, sharding, substrings, topk, warc
+from meterline.llm import jaccard, kneser_ney, mixing, packing, rules, secrets, sharding, substrings, topk, warc
 from meterline.llm.common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,18 @@ kept AS (SELECT w.doc_id, ws, coalesce(len(ps), 0) AS n,
 SELECT doc_id, len(ws) AS n_words, n AS n_removed, sha256(array_to_string(ks, ' ')) AS kept_sha256 FROM kept""")
 def relative_lz_substrings(spark, sf_dir):
     return substrings.deduplicate(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op6_metric_jaccard_join", r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) END AS sh FROM w),
+n AS (SELECT doc_id, len(sh) AS n FROM s),
+e AS (SELECT doc_id, hash(unnest(sh)) AS h FROM s),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM e a JOIN e b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+r AS (SELECT doc_id AS node, doc_id AS label FROM n UNION SELECT l.b, r.label FROM r JOIN l ON l.a = r.node)
+SELECT r.node AS doc_id, any_value(n.n) AS n_shingles, min(r.label) AS component_id FROM r JOIN n ON n.doc_id = r.node GROUP BY r.node""")
+def metric_jaccard_join(spark, sf_dir):
+    return jaccard.similar(table(spark, sf_dir, "documents"))
