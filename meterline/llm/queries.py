@@ -38,13 +38,20 @@ line AS (SELECT doc_id, source, unnest(wl) AS l, generate_subscripts(wl, 1) AS k
 norm AS (SELECT doc_id, source, k, trim(regexp_replace(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789',
              'abcdefghijklmnopqrstuvwxyz000000000'), '[\x20\x09-\x0D]+', ' ', 'g')) AS l FROM line),
 beside AS (SELECT *, coalesce(lag(l) OVER o, lead(l) OVER o, '') AS nb FROM norm WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
-pick AS (SELECT source, l, doc_id, min(md5(nb)) AS nb, list(nb) AS nbs FROM beside GROUP BY source, l, doc_id),
-"""
+once AS (SELECT source, l, doc_id, arg_min(nb, k) AS nb FROM beside GROUP BY source, l, doc_id),
+freq AS (SELECT source, l FROM once GROUP BY source, l HAVING count(*) >= 20 AND count(DISTINCT nb) >= 0.5 * count(*)),
+gone AS (SELECT n.doc_id, count(*) AS ls, sum(len(string_split(n.l, ' ')))::BIGINT AS ws
+         FROM norm n JOIN freq f ON n.source IS NOT DISTINCT FROM f.source AND n.l = f.l GROUP BY n.doc_id),
+base AS (SELECT b.doc_id, n_words, word_chars, n_symbols, len(wl) - len(list_distinct(wl)) AS n_dup_lines,
+                coalesce(rep.n, 0) AS n_repeat_words, coalesce(gone.ls, 0) AS n_removed_lines, coalesce(gone.ws, 0) AS n_removed_words
+         FROM b LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id)),
+failed AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base)
+SELECT *, NOT base_failed AND n_words - n_removed_words >= 20 AND n_removed_words <= 0.5 * n_words AS kept FROM failed"""
 
 BASE_COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-@query("op1_line_frequency_rules")
+@query("op1_line_frequency_rules", _LINE_RULES)
 def line_frequency_rules(spark, sf_dir):
     ruled = rules.apply_rules(table(spark, sf_dir, "documents"))
     return ruled.select(*BASE_COLUMNS, "n_removed_lines", "n_removed_words")
@@ -74,7 +81,28 @@ def poisson_replication(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
 
 
-@query("op10_blob_ledger_secrets")
+def _secrets_sql() -> str:
+    mark = "chr(57344)"
+    lists = []
+    for rank, rule in enumerate(secrets.RULES):
+        head, tail = (x.replace("'", "''") for x in (rule.head, rule.tail))
+        marked = f"string_split(regexp_replace(t, '({head})({tail})', {mark} || '\\1' || {mark} || '\\2' || {mark}, 'g'), {mark})"
+        lists.append(f"(SELECT doc_id, {rank} AS r, '{rule.kind}' AS k, {rule.least} AS least, {marked} AS p FROM d)")
+    return f"""
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), {mark}, chr(65533)) AS t FROM documents),
+p AS ({' UNION ALL '.join(lists)}),
+c AS (SELECT doc_id, r, k, least, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM p WHERE len(p) > 1),
+m AS (SELECT doc_id, r, k, least, i, length(x) AS n, sum(length(x)) OVER o AS b, lag(length(x)) OVER o AS head
+      FROM c WINDOW o AS (PARTITION BY doc_id, r ORDER BY i)),
+s AS (SELECT doc_id, r, k, (b - n - head)::BIGINT AS a, b::BIGINT AS b FROM m WHERE i % 3 = 0 AND n >= least),
+g AS (SELECT doc_id, count(*) FILTER (k = 'assign') AS n_assign, count(*) FILTER (k = 'access') AS n_access, count(*) FILTER (k = 'hex') AS n_hex,
+             string_agg(k || ':' || a || ':' || b, ',' ORDER BY a, r) FILTER (r < 3) AS base,
+             string_agg(k || ':' || a || ':' || b, ',' ORDER BY a, r) AS spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)"""
+
+
+@query("op10_blob_ledger_secrets", _secrets_sql())
 def blob_ledger_secrets(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ledger = secrets.BlobLedger(spark, scratch(spark, "ledger"))

@@ -100,7 +100,8 @@ def document_lines(keyed: DataFrame) -> DataFrame:
 def frequent_lines(lines: DataFrame, min_docs: int, min_spread: float) -> DataFrame:
     """(source, h1, h2) of the lines above both limits of their host."""
     line = ["source", "h1", "h2"]
-    once = lines.groupBy(*line, "doc_id").agg(F.min("beside").alias("beside"))
+    # A document counts once, with what stands beside the line's first place in it.
+    once = lines.groupBy(*line, "doc_id").agg(F.min(F.struct("i", "beside"))["beside"].alias("beside"))
     spread = once.groupBy(*line, "beside").agg(F.count(F.lit(1)).alias("docs"))
     counted = spread.groupBy(*line).agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("spread"))
     return counted.where((F.col("docs") >= min_docs) & (F.col("spread") >= min_spread * F.col("docs"))).select(*line)
