@@ -227,7 +227,8 @@ def _first(first, second, docs, starts, counts):
     order = np.lexsort((starts, docs, second, first))
     first, second, docs, starts, counts = (x[order] for x in (first, second, docs, starts, counts))
     new = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])]))
-    return first[new], second[new], docs[new], starts[new], np.add.reduceat(counts, new)
+    # Only "once or oftener" counts; a sum would widen the type.
+    return first[new], second[new], docs[new], starts[new], np.minimum(np.add.reduceat(counts, new), 2).astype(np.uint32)
 
 
 def _find_places(docs: DataFrame, folder: str, size: int, anchor_sizes: tuple[int, ...], parts: int) -> tuple[int, ...]:
