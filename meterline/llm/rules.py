@@ -114,6 +114,7 @@ def apply_rules(docs: DataFrame, min_docs: int = 20, min_spread: float = 0.5, mi
     `kept` is false where the base rules fail, where fewer than `min_left` words are
     left, or where more than the share `max_lost` of the words is removed.
     """
+    docs = docs.drop("_k1", "_k2", "_r1", "_r2", "_removed", "_words", "clean_text", "n_removed_lines", "n_removed_words")
     keyed = docs.withColumns({"_k1": F.xxhash64("doc_id", "source", "text"), "_k2": F.hash("doc_id", "source", "text")})
     lines = document_lines(keyed)
     frequent = frequent_lines(lines, min_docs, min_spread)
