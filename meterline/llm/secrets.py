@@ -110,18 +110,22 @@ class BlobLedger:
         self.spark, self.root = spark, root.rstrip("/")
 
     def read(self) -> DataFrame:
+        """All rows, with the `batch` that brought them."""
         try:
-            return self.spark.read.schema(LEDGER_SCHEMA).parquet(f"{self.root}/batch=*")
+            return self.spark.read.schema(f"{LEDGER_SCHEMA}, batch int").parquet(self.root)
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], LEDGER_SCHEMA)
+            return self.spark.createDataFrame([], f"{LEDGER_SCHEMA}, batch int")
 
     def ingest(self, versions: DataFrame, batch: int, rules: tuple[Rule, ...] = RULES, key: str = "doc_id") -> None:
-        """Scan what `versions` (key, text) brings that the ledger lacks."""
+        """Scan what `versions` (key, text) brings that the ledger lacks.
+
+        What an earlier run of the same batch has left counts as lacking: it is about to be overwritten.
+        """
         paths = addressed(versions.select(key, "text"))
         keys = F.array(*[F.lit(r.key) for r in rules])
-        seen = self.read().groupBy("blob").agg(F.flatten(F.collect_set("rules")).alias("seen"))
+        seen = self.read().where(F.col("batch") != batch).groupBy("blob").agg(F.flatten(F.collect_set("rules")).alias("seen"))
         # One path stands for each blob; the list is narrow, and the text moves once, by path, not by blob.
         chosen = paths.groupBy("blob").agg(F.min(key).alias("_path"))
         lacking = F.array_except(keys, F.coalesce("seen", F.array().cast("array<string>")))

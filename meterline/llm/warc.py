@@ -172,7 +172,7 @@ class WarcReader(ds.DataSourceReader):
         names = arrow.names
         rows: list[dict] = []
         held = 0
-        for path in partition.paths:
+        for path in partition.paths if partition else []:  # Spark plans one empty partition where there is none
             with system.open_input_file(path) as raw:
                 file = gzip.open(raw) if path.endswith(".gz") else io.BufferedReader(raw, 1 << 20)
                 while (fields := _header(file, path)) is not None:
