@@ -473,25 +473,26 @@ def machine_warnings(spark, sf):
 
 def signals(spark, sf) -> DataFrame:
     """k divisible by 5 is growth, of which k divisible by 25 names no session."""
-    return past(spark, sf).select(
+    return usage(spark, sf).select(
         "agent", F.when(F.col("k") % 25 != 0, F.col("session_id")).alias("session_id"),
         F.when(F.col("k") % 5 == 0, "growth").otherwise("event").alias("kind"),
         F.col("ts_ms").alias("at_ms"), F.col("event_id").alias("seq"))
 
 
-_SIGNALS = f"""
+_SIGNALS = """
 , signals AS (SELECT agent, CASE WHEN k % 25 <> 0 THEN session_id END AS session_id,
-  CASE WHEN k % 5 = 0 THEN 'growth' ELSE 'event' END AS kind, ts_ms AS at_ms, event_id AS seq FROM uses WHERE ts_ms <= {NOW_MS}),
+  CASE WHEN k % 5 = 0 THEN 'growth' ELSE 'event' END AS kind, ts_ms AS at_ms, event_id AS seq FROM uses),
+newest AS (SELECT max(ts_ms) AS now_ms FROM uses),
 lit AS (SELECT agent, coalesce(session_id, last_value(session_id IGNORE NULLS) OVER (PARTITION BY agent ORDER BY seq)) AS session_id,
   session_id IS NULL AS unattributed, kind, at_ms, seq FROM signals),
 base AS (SELECT agent, session_id, coalesce(max(at_ms) FILTER (kind = 'event'), 0) AS last_event_ms,
   coalesce(max(at_ms) FILTER (kind = 'growth'), 0) AS last_growth_ms, arg_max(kind, seq) = 'growth' AS mid_turn
   FROM lit WHERE session_id IS NOT NULL GROUP BY ALL),
 aged AS (SELECT *, greatest(last_event_ms, last_growth_ms) AS last_activity_ms FROM base),
-states AS (SELECT *, CASE WHEN {NOW_MS} - last_activity_ms > 1800000 THEN 'done' WHEN {NOW_MS} - last_activity_ms <= 120000 THEN 'running'
-  WHEN mid_turn AND {NOW_MS} - last_growth_ms <= 600000 THEN 'running' ELSE 'idle' END AS state FROM aged),
+states AS (SELECT *, CASE WHEN (SELECT now_ms FROM newest) - last_activity_ms > 1800000 THEN 'done' WHEN (SELECT now_ms FROM newest) - last_activity_ms <= 120000 THEN 'running'
+  WHEN mid_turn AND (SELECT now_ms FROM newest) - last_growth_ms <= 600000 THEN 'running' ELSE 'idle' END AS state FROM aged),
 speed AS (SELECT agent, session_id, sum(weighted) / 600.0 AS tokens_per_min FROM uses
-  WHERE ts_ms // 900000 BETWEEN {NOW_MS // 900_000 - 39} AND {NOW_MS // 900_000} AND ts_ms <= {NOW_MS} GROUP BY ALL)
+  WHERE ts_ms // 900000 >= (SELECT now_ms // 900000 - 39 FROM newest) GROUP BY ALL)
 """
 
 
@@ -499,9 +500,15 @@ def lit(spark, sf) -> DataFrame:
     return roster.attribute_growth(signals(spark, sf), chunk_of(F.col("seq")))
 
 
+def newest(spark, sf) -> int:
+    """The clock of the roster: the newest event."""
+    return usage(spark, sf).agg(F.max("ts_ms")).first()[0]
+
+
 def sessions(spark, sf) -> DataFrame:
-    speed = rates.mean_per_min(past(spark, sf), NOW_MS, 900_000, 40, "agent", "session_id")
-    return roster.states(lit(spark, sf), NOW_MS).join(speed, ["agent", "session_id"], "left").withColumn(
+    now_ms = newest(spark, sf)
+    speed = rates.mean_per_min(usage(spark, sf, now_ms - 40 * 900_000), now_ms, 900_000, 40, "agent", "session_id")
+    return roster.states(lit(spark, sf), now_ms).join(speed, ["agent", "session_id"], "left").withColumn(
         "tokens_per_min", F.coalesce("tokens_per_min", F.lit(0.0)))
 
 
@@ -513,23 +520,23 @@ def attributed_growth(spark, sf):
 @query("session_states", with_uses(_SIGNALS + """
 SELECT agent, session_id, last_event_ms, last_growth_ms, mid_turn, state FROM states"""))
 def session_states(spark, sf):
-    return roster.states(lit(spark, sf), NOW_MS).select(
+    return roster.states(lit(spark, sf), newest(spark, sf)).select(
         "agent", "session_id", "last_event_ms", "last_growth_ms", "mid_turn", "state")
 
 
-_AGENT_VIEW = _SIGNALS + f"""
+_AGENT_VIEW = _SIGNALS + """
 , grown AS (SELECT agent, max(at_ms) AS g FROM lit WHERE kind = 'growth' GROUP BY agent),
 v AS (SELECT agent, min(CASE state WHEN 'running' THEN 0 WHEN 'idle' THEN 1 ELSE 2 END) AS r, count(*) AS sessions,
   count_if(state = 'running') AS active_sessions, sum(coalesce(tokens_per_min, 0)) AS tokens_per_min, max(last_activity_ms) AS last_ms
   FROM states LEFT JOIN speed USING (agent, session_id) GROUP BY agent),
-agent_view AS (SELECT agent, least(r, CASE WHEN {NOW_MS} - g <= 600000 THEN 0 WHEN {NOW_MS} - g <= 1800000 THEN 1 ELSE 2 END) AS state_rank,
+agent_view AS (SELECT agent, least(r, CASE WHEN now_ms - g <= 600000 THEN 0 WHEN now_ms - g <= 1800000 THEN 1 ELSE 2 END) AS state_rank,
   sessions, active_sessions, round(CAST(tokens_per_min AS DOUBLE), 6) AS tokens_per_min, greatest(last_ms, coalesce(g, 0)) AS last_activity_ms
-  FROM v LEFT JOIN grown USING (agent))
+  FROM newest, v LEFT JOIN grown USING (agent))
 """
 
 
 def agent_view(spark, sf) -> DataFrame:
-    return roster.agent_view(sessions(spark, sf), signals(spark, sf), NOW_MS)
+    return roster.agent_view(sessions(spark, sf), signals(spark, sf), newest(spark, sf))
 
 
 @query("agent_view", with_uses(_AGENT_VIEW + """
@@ -556,4 +563,4 @@ def live_sessions(spark, sf):
 SELECT count_if(state <> 'done') AS live, count_if(state = 'running') AS running, count(*) AS seen FROM states"""))
 def fleet_counts(spark, sf):
     from meterline.operators.rollups import fleet_counts as counted
-    return counted(roster.states(lit(spark, sf), NOW_MS))
+    return counted(roster.states(lit(spark, sf), newest(spark, sf)))

@@ -75,7 +75,7 @@ def claude_usage(spark, sf):
 
 def codex_lines(spark, sf) -> DataFrame:
     """A rollout per user: every tenth k is a header, the rest are cumulative counters that restart daily."""
-    u = usage(spark, sf).withColumn("day_no", (F.col("ts_ms") / 86_400_000).cast("bigint")).filter(F.col("k") % 9 != 4)
+    u = usage(spark, sf).withColumn("day_no", (F.col("ts_ms") / 86_400_000).cast("bigint"))
     header = F.col("k") % 10 == 0
     counted = ordered_scan(
         u, ["user_id", "day_no"], ["event_id"], chunk_of(F.col("event_id")),
@@ -98,7 +98,7 @@ def codex_lines(spark, sf) -> DataFrame:
 
 
 _CODEX_SQL = """
-, kept AS (SELECT *, ts_ms // 86400000 AS day_no, k % 10 = 0 AS header FROM uses WHERE k % 9 <> 4),
+, kept AS (SELECT *, ts_ms // 86400000 AS day_no, k % 10 = 0 AS header FROM uses),
 counted AS (SELECT *,
   sum(CASE WHEN header THEN 0 ELSE input_tokens END) OVER day AS c_in,
   sum(CASE WHEN header THEN 0 ELSE output_tokens END) OVER day AS c_out,
@@ -127,7 +127,7 @@ def codex_usage(spark, sf):
 
 
 @query("codex_limits", with_uses("""
-, r AS (SELECT * FROM uses WHERE k % 9 <> 4 AND k % 10 <> 0 AND k % 8 = 1)
+, r AS (SELECT * FROM uses WHERE k % 10 <> 0 AND k % 8 = 1)
 SELECT event_id, ts_ms AS read_at_ms, CASE WHEN k % 3 = 0 THEN 'pro' END AS plan, 'five_hour' AS kind,
   k::DOUBLE AS used_percent, ts_ms // 1000 * 1000 AS resets_at_ms FROM r
 UNION ALL SELECT event_id, ts_ms, CASE WHEN k % 3 = 0 THEN 'pro' END, 'weekly', k / 2.0, 0 FROM r WHERE k % 2 = 0"""))
@@ -360,7 +360,7 @@ def all_sources(spark, sf):
     return merged.groupBy("agent").agg(F.count("*").alias("events"), F.sum(tokens).alias("tokens"))
 
 
-@query("line_prefilter", with_uses("SELECT count(*) AS lines FROM uses WHERE k % 10 <> 0 AND k % 9 <> 4"))
+@query("line_prefilter", with_uses("SELECT count(*) AS lines FROM uses WHERE k % 10 <> 0"))
 def line_prefilter(spark, sf):
     return line_sources.may_matter(codex_lines(spark, sf), ["token_count"]).agg(F.count("*").alias("lines"))
 

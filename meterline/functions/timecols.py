@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 MINUTE_MS = 60_000
 HOUR_MS = 3_600_000
 DAY_MS = 86_400_000
+#: Ends of a bucket range that stand for "no bound"; stored buckets are BIGINT and may lie outside.
 MAX_BUCKET = 4294967295
 HOT_MAX_AGE_MS = 48 * HOUR_MS
 
@@ -36,20 +37,16 @@ def floor_div(value: Column, by: int) -> Column:
     return F.call_function("div", value - F.pmod(value, F.lit(by).cast("long")), F.lit(by).cast("long"))
 
 
-def _clamped(bucket: Column) -> Column:
-    return F.greatest(F.lit(0).cast("long"), F.least(bucket, F.lit(MAX_BUCKET).cast("long")))
-
-
 def minute_bucket(ts_ms: Column) -> Column:
-    return _clamped(floor_div(ts_ms, MINUTE_MS))
+    return floor_div(ts_ms, MINUTE_MS)
 
 
 def hour_bucket(ts_ms: Column) -> Column:
-    return _clamped(floor_div(ts_ms, HOUR_MS))
+    return floor_div(ts_ms, HOUR_MS)
 
 
 def day_bucket(ts_ms: Column, tz_offset_min: int = 0) -> Column:
-    return _clamped(floor_div(ts_ms + F.lit(tz_offset_min * MINUTE_MS), DAY_MS))
+    return floor_div(ts_ms + F.lit(tz_offset_min * MINUTE_MS), DAY_MS)
 
 
 def tier_bucket(tier: str, ts_ms: Column, tz_offset_min: int = 0) -> Column:
@@ -97,9 +94,8 @@ def bucket_start_ms(tier: str, bucket: Column, tz_offset_min: int = 0) -> Column
 
 
 def bucket_end_ms(tier: str, bucket: Column, tz_offset_min: int = 0) -> Column:
-    """Last millisecond of a bucket; the top bucket saturates at its start."""
-    return F.when(bucket == MAX_BUCKET, bucket_start_ms(tier, bucket, tz_offset_min)).otherwise(
-        bucket_start_ms(tier, bucket + 1, tz_offset_min) - 1)
+    """Last millisecond of a bucket."""
+    return bucket_start_ms(tier, bucket + 1, tz_offset_min) - 1
 
 
 def month_of_day(day_key: Column) -> Column:

@@ -15,6 +15,9 @@ from meterline.schemas import COVERED_AGENTS, DIMENSIONS, KNOWN_AGENTS, TOKEN_CO
 
 KEY = ("bucket", *DIMENSIONS, "covered", "delta", "synthetic", "tz_offset_min")
 MEASURES = (*TOKEN_COLUMNS, "events", "cost_usd")
+STORED = ", ".join([
+    "bucket bigint", *(f"{d} string" for d in DIMENSIONS), "covered boolean, delta boolean, synthetic boolean", "tz_offset_min int",
+    *(f"{c} bigint" for c in TOKEN_COLUMNS), f"events bigint, cost_usd {COST}, part_day bigint, batch_id string"])
 COMPACT_DUP_RATIO = 0.25
 COMPACT_BYTES = 32 * 1024 * 1024
 
@@ -89,22 +92,33 @@ def append(cells: DataFrame, path: str, tier: str, batch_id: str) -> None:
     """
     rows = with_partition_day(cells, tier).withColumn("batch_id", F.lit(batch_id))
     # Files of a useful size: small days share a task, a hot day is split over several.
+    # Days first: a filter on days lists the folders of those days alone, whatever the number of batches.
     (rows.hint("rebalance", "part_day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("batch_id", "part_day").parquet(f"{path}/{tier}"))
+     .partitionBy("part_day", "batch_id").parquet(f"{path}/{tier}"))
 
 
 def read_tier(spark, path: str, tier: str) -> DataFrame:
-    """All cells of one tier, unsorted; filters on `part_day` prune folders."""
-    return spark.read.parquet(f"{path}/{tier}")
+    """All cells of one tier, unsorted; filters on `part_day` prune folders. No file is opened for a schema."""
+    return spark.read.schema(STORED).parquet(f"{path}/{tier}")
 
 
 def cube_filter(cells: DataFrame, from_bucket: int = 0, to_bucket: int = timecols.MAX_BUCKET,
                 agents: list[str] | None = None, model: str | None = None, project: str | None = None,
-                session: str | None = None, covered_only: bool = False) -> DataFrame:
-    """Inclusive bucket range and exact names; a set of agents holds known agents only."""
+                session: str | None = None, covered_only: bool = False, tier: str | None = None) -> DataFrame:
+    """Inclusive bucket range and exact names; a set of agents holds known agents only.
+
+    The defaults do not bound the range. Cells of a stored tier are bounded by `part_day` too, so
+    folders outside the range are not listed.
+    """
     tests = [F.lit(True)]
-    if from_bucket > 0 or to_bucket < timecols.MAX_BUCKET:
-        tests.append(F.col("bucket").between(from_bucket, to_bucket))
+    stored = tier and "part_day" in cells.columns
+    per_day = {"minute": 1440, "hour": 24, "day": 1}.get(tier, 1)
+    if from_bucket > 0:
+        tests.append(F.col("bucket") >= from_bucket)
+        tests += [F.col("part_day") >= from_bucket // per_day] if stored else []
+    if to_bucket < timecols.MAX_BUCKET:
+        tests.append(F.col("bucket") <= to_bucket)
+        tests += [F.col("part_day") <= to_bucket // per_day] if stored else []
     if agents is not None:
         tests.append(F.col("agent").isin([a for a in agents if a in KNOWN_AGENTS]))
         tests.append(~F.col("synthetic"))
@@ -156,14 +170,18 @@ def compacted(cells: DataFrame) -> DataFrame:
     return cells.groupBy(*KEY).agg(*sums())
 
 
-def compact(spark, path: str, tier: str, target: str, force: bool = False) -> bool:
-    """Write a compacted copy of a tier when repeats or size call for it."""
+def compact(spark, path: str, tier: str, target: str, force: bool = False, dup_ratio: float = COMPACT_DUP_RATIO,
+            min_bytes: int = COMPACT_BYTES) -> bool:
+    """Write a compacted copy of a tier when its size or its repeats call for it.
+
+    The size is that of the listed files and costs no read; only below `min_bytes` are repeats counted.
+    """
     cells = read_tier(spark, path, tier)
-    stats = duplicate_ratio(cells).first()
-    size = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
-        "pathGlobFilter", "*.parquet").load(f"{path}/{tier}").agg(F.sum("length")).first()[0] or 0
-    if not force and stats["duplicate_ratio"] <= COMPACT_DUP_RATIO and size < COMPACT_BYTES:
-        return False
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
+        "pathGlobFilter", "*.parquet").load(f"{path}/{tier}")
+    if not force and (files.agg(F.sum("length")).first()[0] or 0) < min_bytes:
+        if duplicate_ratio(cells).first()["duplicate_ratio"] <= dup_ratio:
+            return False
     append(compacted(cells), target, tier, "compacted")
     return True
 
@@ -197,8 +215,7 @@ def invalid_cell() -> Column:
     """A stored row no writer of ours could have produced."""
     negative = reduce(lambda a, b: a | b, [F.col(c) < 0 for c in (*TOKEN_COLUMNS, "events")])
     missing = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in ("bucket", *DIMENSIONS)])
-    return F.coalesce(missing | negative | ((F.col("cost_usd") < 0) & ~F.col("delta"))
-                      | ~F.col("bucket").between(0, timecols.MAX_BUCKET), F.lit(True))
+    return F.coalesce(missing | negative | ((F.col("cost_usd") < 0) & ~F.col("delta")), F.lit(True))
 
 
 def health(tiers: dict[str, DataFrame]) -> DataFrame:

@@ -24,7 +24,6 @@ PEAK_DECAY_PER_SECOND = 0.9974968671630002
 PEAK_DECAY_PER_SWEEP = 0.99923
 NET_FLOOR_BPS, DISK_FLOOR_BPS = 1_000_000.0, 10_000_000.0
 TICK_WRAP = 4294967296
-LADDER = [step * 10.0 ** e for e in range(4, 18) for step in (1, 2, 5)]
 
 
 def enabled_metrics(samples: DataFrame, metrics: list[str]) -> DataFrame:
@@ -148,7 +147,10 @@ def ratcheted_peak(samples: DataFrame, keys: list[str], floor: float, origin_ms:
 def dial_scale(peak: Column) -> Column:
     """Smallest 1-2-5 step that clears the peak by 15 %, at least 10 000."""
     target = F.greatest(peak * 1.15, F.lit(10_000.0))
-    return F.get(F.filter(F.array(*[F.lit(x) for x in LADDER]), lambda x: x >= target), F.lit(0))
+    # The logarithm may be a hair off a power of ten: start one power below what it says.
+    power = F.pow(F.lit(10.0), F.floor(F.log10(target)) - 1)
+    return F.get(F.filter(F.array(*[power * step for step in (5.0, 10.0, 20.0, 50.0, 100.0, 200.0)]),
+                          lambda x: x >= target), F.lit(0))
 
 
 def dial_series(sweeps: DataFrame, keys: list[str], order: str, chunk: Column) -> DataFrame:

@@ -45,20 +45,19 @@ def _short_list(prices: DataFrame | None, max_literal_keys: int) -> list[str] |
 
 
 def _key_of_model(ranked: list[str]) -> Column:
-    """Price key of the column `model` against a short list: exact, after the last '/', lower case,
-    longest inside. Names over 160 bytes keep their case, as no lower-cased form is tried for them."""
+    """Price key of the column `model` against a short list: exact, after the last '/', lower case, longest inside."""
     if not ranked:
         return F.lit(None).cast("string")
     keys = ", ".join("'" + k.replace("\\", "\\\\").replace("'", "\\'") + "'" for k in ranked)
     base = "substring_index(model, '/', -1)"
-    lowered = f"CASE WHEN octet_length({base}) <= 160 THEN translate({base}, '{_UPPER}', '{_UPPER.lower()}') END"
+    lowered = f"translate({base}, '{_UPPER}', '{_UPPER.lower()}')"
 
     def exact(candidate: str) -> str:
         return f"CASE WHEN {candidate} IN ({keys}) THEN {candidate} END"
 
     # The outer lambda binds the lower-cased name, so it is not derived again for every key.
-    longest = (f"get(transform(array(coalesce({lowered}, {base})), "
-               f"h -> get(filter(array({keys}), k -> contains(h, k)), 0)), 0)")
+    longest = (f"get(transform(array({lowered}), "
+               f"h -> get(filter(array({keys}), k -> k <> '' AND contains(h, k)), 0)), 0)")
     return F.expr(f"coalesce({exact('model')}, {exact(base)}, {exact(lowered)}, {longest})")
 
 
@@ -77,18 +76,18 @@ def resolve_models(models: DataFrame, prices: DataFrame,
 
     keys = prices.select("price_key", "position")
     base = F.substring_index("model", "/", -1)
-    lowered = F.when(F.octet_length(base) <= 160, F.translate(base, _UPPER, _UPPER.lower()))
-    names = distinct.select("model", base.alias("base"), lowered.alias("lowered")).withColumn(
-        "hay", F.coalesce("lowered", "base"))
+    names = distinct.select("model", base.alias("base"), F.translate(base, _UPPER, _UPPER.lower()).alias("lowered"))
     exact_hits = names.select(
         "model", F.posexplode(F.array("model", "base", "lowered")).alias("stage", "candidate")
     ).join(keys.withColumnRenamed("price_key", "candidate"), "candidate").groupBy("model").agg(
         F.min_by("candidate", "stage").alias("exact_key"))
-    pieces = names.filter(F.length("hay") > 0).select(
-        "model", "hay", F.explode(F.sequence(F.lit(1), F.length("hay"))).alias("at")
-    ).select("model", F.explode(F.transform(
-        F.sequence(F.lit(1), F.length("hay") - F.col("at") + 1),
-        lambda n: F.substring(F.col("hay"), F.col("at"), n))).alias("candidate")).distinct()
+    # Only pieces as long as some key: there are few lengths, however many keys.
+    lengths = keys.filter(F.col("price_key") != "").agg(F.collect_set(F.length("price_key"))).scalar()
+    pieces = names.withColumn("lengths", lengths).select(
+        "model", "lowered", F.explode("lengths").alias("n")).filter(F.length("lowered") >= F.col("n")).select(
+        "model", F.explode(F.transform(
+            F.sequence(F.lit(1), F.length("lowered") - F.col("n") + 1),
+            lambda at: F.substring(F.col("lowered"), at, F.col("n")))).alias("candidate")).distinct()
     fuzzy = pieces.join(keys.withColumnRenamed("price_key", "candidate"), "candidate").groupBy("model").agg(
         F.max_by("candidate", F.struct(F.octet_length("candidate"), -F.col("position"))).alias("fuzzy_key"))
     return (names.select("model").join(exact_hits, "model", "left").join(fuzzy, "model", "left")

@@ -10,8 +10,6 @@ from meterline.functions.paths import project_root, trim_slashes
 from meterline.operators.bounded import broadcast_if_small
 from meterline.schemas import TOKEN_COLUMNS
 
-MAX_LEVELS = 24
-
 
 def with_project(events: DataFrame) -> DataFrame:
     """`project` by the shape of `cwd`: a projection, no shuffle."""
@@ -27,9 +25,9 @@ def resolve_roots(paths: DataFrame, repo_roots: DataFrame, home: str = "") -> Da
     fall back to the shape rule.
     """
     distinct = paths.select("cwd").distinct().withColumn("here", trim_slashes(F.col("cwd")))
-    # /a/b/c -> [/a/b/c, /a/b, /a], nearest first, at most 24 levels.
+    # /a/b/c -> [/a/b/c, /a/b, /a], nearest first.
     parts = F.split("here", "/")
-    steps = F.least(F.size(parts) - 1, F.lit(MAX_LEVELS))
+    steps = F.size(parts) - 1
     ancestors = F.transform(
         F.sequence(F.lit(0), steps - 1),
         lambda up: F.array_join(F.slice(parts, F.lit(1), F.size(parts) - up), "/"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meterline.operators.bounded import broadcast_if_small
 from meterline.operators.scan import Running, ordered_scan
 from meterline.schemas import AGENTS
 
@@ -23,15 +24,20 @@ def attribute_growth(signals: DataFrame, chunk: Column) -> DataFrame:
     """Growth without a session goes to the session of its agent that was most recently active.
 
     That session is the one behind the latest record of `at_ms`; unattributed
-    growth raises the record and keeps the session.
+    growth raises the record and keeps the session. The record starts at the first
+    signal that names a session.
     """
-    records = ordered_scan(signals, ["agent"], ["seq"], chunk, newest=Running("max_before", F.col("at_ms")))
+    first = broadcast_if_small(signals.filter(F.col("session_id").isNotNull()).groupBy("agent").agg(
+        F.min("seq").alias("first_named")))
+    counted = F.when(F.col("seq") >= F.col("first_named"), F.col("at_ms"))
+    records = ordered_scan(signals.join(first, "agent", "left"), ["agent"], ["seq"], chunk,
+                           newest=Running("max_before", counted))
     leads = F.when(F.col("session_id").isNotNull() & (F.col("newest").isNull() | (F.col("at_ms") > F.col("newest"))),
                    F.col("session_id"))
     led = ordered_scan(records.withColumn("leads", leads), ["agent"], ["seq"], chunk,
                        lead=Running("last", F.col("leads")))
     return led.withColumn("unattributed", F.col("session_id").isNull()).withColumn(
-        "session_id", F.coalesce("session_id", "lead")).drop("newest", "leads", "lead")
+        "session_id", F.coalesce("session_id", "lead")).drop("newest", "leads", "lead", "first_named")
 
 
 def states(signals: DataFrame, now_ms: int) -> DataFrame:

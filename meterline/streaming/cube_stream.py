@@ -20,7 +20,8 @@ from meterline.functions.timecols import HOT_MAX_AGE_MS
 from meterline.operators import cube, dedup
 from meterline.operators.cube import sums
 from meterline.operators.projects import with_project
-from meterline.schemas import DIMENSIONS, TIERS, TOKEN_COLUMNS
+from meterline.schemas import DIMENSIONS, TOKEN_COLUMNS
+from meterline.session import settled
 
 
 def with_event_time(events: DataFrame, late: str) -> DataFrame:
@@ -51,12 +52,22 @@ def gauge_windows(samples: DataFrame, metrics: list[str], width: str = "5 second
         F.unix_millis("w.start").alias("window_start_ms"), "host", "metric", "value")
 
 
-def dedup_within(events: DataFrame, late: str = "7 days") -> DataFrame:
-    """Keyed events once within the watermark; state is bounded by it. Unkeyed events get a key of their own."""
+def dedup_keyed(events: DataFrame) -> DataFrame:
+    """Keyed events once, however late they come. Unkeyed events get a key of their own.
+
+    No watermark, so no row is dropped for its age and the keys stay: run it on a state
+    store that keeps them on disk (`disk_state`).
+    """
     own = F.coalesce("dedup_key", F.concat_ws("#", "source_file", F.col("line_start").cast("string"),
                                               F.col("line_seq").cast("string")))
-    return with_event_time(events.withColumn("seen_key", own), late).dropDuplicatesWithinWatermark(
-        ["agent", "seen_key"]).drop("seen_key")
+    return events.withColumn("seen_key", own).dropDuplicates(["agent", "seen_key"]).drop("seen_key")
+
+
+def disk_state(spark: SparkSession) -> SparkSession:
+    """Streams started from now on keep their state in RocksDB."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return spark
 
 
 def _stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
@@ -116,9 +127,11 @@ def prune_hot(spark: SparkSession, path: str, now_ms: int) -> DataFrame:
 
 
 def backfill_once(spark: SparkSession, events: DataFrame, path: str, generation: str, tz_offset_min: int = 0,
-                  prices: DataFrame | None = None) -> bool:
+                  prices: DataFrame | None = None, now_ms: int | None = None) -> bool:
     """Replay a whole history into the cube exactly once per store generation.
 
+    With `now_ms` the minute tier takes the last 48 hours only, as the stream does.
+
     The marker row is written last and the cells under a fixed batch id, so a
     broken run is repeated and overwrites what it had written.
     """
@@ -126,8 +139,12 @@ def backfill_once(spark: SparkSession, events: DataFrame, path: str, generation:
     done = _stored(spark, control, spark.range(1).select(F.lit("").alias("generation")))
     if not done.filter(F.col("generation") == generation).isEmpty():
         return False
-    for tier in TIERS:
-        cube.append(cube.build_cells(events, tier, tz_offset_min, prices), path, tier, f"backfill-{generation}")
+    tag = f"backfill-{generation}"
+    # Minute cells are the one read of the events; the other tiers sum them, and only young ones are kept.
+    minute = settled(cube.build_cells(events, "minute", 0, prices))
+    cube.append(cube.hot_only(minute, now_ms) if now_ms is not None else minute, path, "minute", tag)
+    cube.append(cube.coarsen(minute, "hour"), path, "hour", tag)
+    cube.append(cube.coarsen(minute, "day", tz_offset_min), path, "day", tag)
     spark.range(1).select(F.lit(generation).alias("generation"), F.lit(generation).alias("batch_id")).write.mode(
         "append").parquet(control)
     return True
