@@ -11,11 +11,14 @@ home is its first shingle in one fixed order, and eps bounds how many of its shi
 a linked document may lack: whatever lies within eps has its home, or its copy, among the
 first n - ceil(t n) + 1 shingles of both. The order is by how many documents share a
 shingle's bucket of a counting sketch, rare ones first, so a passage that many
-documents share is no pivot for them. Pivots that share documents form one region.
+documents share is no pivot for them. Each document has a profile, its distances to the
+empty set within classes of shingles; documents whose profiles differ by more than a link
+allows do not meet. Pivots whose documents meet form one region.
 
 Deeper. A region above `leaf` shingles is split by document pivots: documents go to the
-nearest pivot's region and to those whose distance is at most 2 eps more. Regions are split
-again until they fit. One that does not get smaller is dense; most of it hangs together
+nearest pivot's region and to those whose distance is at most 2 eps more. Documents with
+no pivot nearer than 1 - eps form one more region, which those with none nearer than
+1 - 2 eps join. Regions are split again until they fit. One that does not get smaller is dense; most of it hangs together
 through its pivots by then, and the rest of it is compared with all of it in blocks.
 
 Leaves are joined exactly in one task: each document against those that share one of its
@@ -44,8 +47,8 @@ from pyspark.sql import functions as F
 
 from meterline.llm.common import scratch
 from meterline.llm.components import components
-from meterline.llm.runs import (WordHashes, dealt, lowered_words_of, mapped, mixed, packed, packed_sorted, part_of,
-                                save, unpacked, unpacked_sorted, window_hashes)
+from meterline.llm.runs import (dealt, lowered_word_hashes, mapped, mixed, packed, packed_sorted, part_of, save,
+                                unpacked, unpacked_sorted, window_hashes)
 from meterline.session import settled
 
 SHINGLE = 4
@@ -54,28 +57,72 @@ SKETCH, BLOCK = 1 << 21, 1 << 16
 #: Tasks whose sketches one task sums.
 FAN_IN = 256
 HELD_KEYS = 2_000_000
+#: Least number of classes of shingles that a profile counts, and shingles for each class of a larger set.
+LEAST_CLASSES, PER_CLASS = 32, 16
+#: Bytes of profiles compared at a time.
+COMPARED = 8 << 20
+#: Bytes of sets in one batch of rows.
+HELD_BYTES = 4 << 20
 PIVOTS = 16
+#: Stands for the region beyond all pivots.
+FAR = -1
 NO_ID = -(1 << 63)
 #: No value in a dense array; an id this large is not expected.
 NONE = (1 << 63) - 1
 _OTHER = np.uint64(0xA0761D6478BD642F)
-_HASHES = WordHashes(1)
 
 
-def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
-    """The sorted distinct shingle hashes of a text."""
-    words = _HASHES.of(lowered_words_of(text))
-    if not len(words):
-        return words
-    if len(words) < size:
-        return mixed(window_hashes(words, len(words)) ^ np.uint64(len(words)))
-    return np.unique(window_hashes(words, size))
-
-
-def set_key(s: np.ndarray) -> tuple[int, int]:
-    """128 bits of a set, as two signed longs."""
-    a, b = mixed(s ^ _OTHER).sum(dtype=np.uint64), mixed(mixed(s) + _OTHER).sum(dtype=np.uint64)
-    return int(a.astype(np.int64)), int(b.astype(np.int64))
+def shingle_sets(column: pa.Array, size: int = SHINGLE):
+    """(first row, shingles, sizes) of runs of rows: sorted distinct shingle hashes of each row, end to end."""
+    for row, words, lengths in lowered_word_hashes(column):
+        begin = np.concatenate([[0], np.cumsum(lengths)])
+        counts = np.where(lengths >= size, lengths - size + 1, np.minimum(lengths, 1))
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        flat = np.empty(ends[-1], np.uint64)
+        at = np.repeat(begin[:-1] - ends[:-1], counts) + np.arange(ends[-1])  # the first word of each shingle
+        whole = np.repeat(lengths >= size, counts)
+        flat[whole] = window_hashes(words, size)[at[whole]] if whole.any() else 0
+        for d in np.flatnonzero((lengths > 0) & (lengths < size)).tolist():
+            own = words[begin[d]:begin[d + 1]]
+            flat[ends[d]] = mixed(window_hashes(own, len(own)) ^ np.uint64(len(own)))[0]
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            flat[a:b].sort()
+        new = np.ones(len(flat), bool)
+        new[1:] = flat[1:] != flat[:-1]
+        new[ends[:-1][counts > 0]] = True
+        kept = np.concatenate([[0], np.cumsum(new)])
+        yield row, flat[new], np.diff(kept[ends])
+
+
+def set_keys(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """128 bits of each set, as two columns; 0 of an empty one."""
+    out = np.zeros((len(sizes), 2), np.uint64)
+    some = sizes > 0
+    begin = np.concatenate([[0], np.cumsum(sizes)])[:-1][some]
+    if len(begin):
+        first = mixed(flat ^ _OTHER)
+        out[some, 0] = np.add.reduceat(first, begin)
+        out[some, 1] = np.add.reduceat(mixed(first + _OTHER), begin)
+    return out
+
+
+def classes_of(sizes: np.ndarray) -> np.ndarray:
+    """log2 of the number of a set's profile classes."""
+    return np.ceil(np.log2(np.maximum(sizes / PER_CLASS, LEAST_CLASSES))).astype(np.int64)
+
+
+def profiles(flat: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Per set, how many shingles lie in each class, up to 255; a class is the first bits of a hash.
+
+    These are distances to the empty set within the classes. By the triangle inequality two sets differ
+    in at least as many shingles as their profiles do in sum. Classes grow with the set, as
+    the profiles of unrelated sets differ by the root of sizes times classes.
+    """
+    bits = classes_of(sizes)
+    ends = np.concatenate([[0], np.cumsum(1 << bits)])
+    at = np.repeat(ends[:-1], sizes) + (flat >> np.repeat(64 - bits, sizes).astype(np.uint64)).astype(np.int64)
+    counts = np.minimum(np.bincount(at, minlength=ends[-1]), 255).astype(np.uint8).tobytes()
+    return [counts[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -94,6 +141,8 @@ class Classes:
         load = lambda name, kind: [mapped(folder, f"{name}-{p}", kind) if offsets[p + 1] > offsets[p] else np.empty(0, kind)
                                    for p in range(parts)]
         self.first, self.second, self.ids = load("first", "<u8"), load("second", "<u8"), load("id", "<i8")
+        self.size, self.profile = load("size", "<i8"), load("profile", "u1")
+        self.ends = [np.concatenate([[0], np.cumsum(1 << classes_of(n))]) for n in self.size]
 
     def find(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The numbers and least ids of classes that exist, by their keys."""
@@ -107,6 +156,28 @@ class Classes:
         return number, least
 
 
+    def _rows(self, numbers: np.ndarray, bits: int) -> np.ndarray:
+        """The profiles of classes that have 2^bits entries."""
+        out = np.empty((len(numbers), 1 << bits), np.int16)
+        for p, at in dealt(np.searchsorted(self.offsets, numbers, "right") - 1, len(self.first)):
+            begin = self.ends[p][numbers[at] - self.offsets[p]]
+            out[at] = self.profile[p][begin[:, None] + np.arange(1 << bits)]
+        return out
+
+    def may_link(self, a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray, percent: int) -> np.ndarray:
+        """False where profiles rule a link out: linked sets differ in (100 - p) / (100 + p) of their sizes' sum at most."""
+        bits_a, bits_b = classes_of(sizes_a), classes_of(sizes_b)
+        apart = np.empty(len(a), np.int64)
+        for key in np.unique(bits_a << 8 | bits_b).tolist():
+            x, y = key >> 8, key & 255
+            at = np.flatnonzero((bits_a == x) & (bits_b == y))
+            step, low = max(1, COMPARED >> max(x, y)), min(x, y)
+            for some in np.split(at, range(step, len(at), step)):
+                coarse = lambda rows: rows.reshape(len(some), 1 << low, -1).sum(axis=2, dtype=np.int32)  # noqa: B023, E731
+                apart[some] = np.abs(coarse(self._rows(a[some], x)) - coarse(self._rows(b[some], y))).sum(axis=1)
+        return (100 + percent) * apart <= (100 - percent) * (sizes_a + sizes_b)
+
+
 @lru_cache(maxsize=2)
 def _classes(folder: str, offsets: tuple[int, ...]) -> Classes:
     return Classes(folder, offsets)
@@ -124,28 +195,24 @@ def _read(docs: DataFrame) -> DataFrame:
         counts = np.zeros(SKETCH, np.int64)
         task = TaskContext.get().partitionId()
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                s = shingle_set(text.as_py())
-                np.add.at(counts, (s % np.uint64(SKETCH)).astype(np.int64), 1)
-                rows.append((doc_id, len(s), *(set_key(s) if len(s) else (0, 0))))
-            if rows:
-                ids, sizes, first, second = zip(*rows, strict=True)
+            for row, flat, sizes in shingle_sets(batch.column(1)):
+                np.add.at(counts, (flat % np.uint64(SKETCH)).astype(np.int64), 1)
+                n, keys = len(sizes), set_keys(flat, sizes).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()),
-                    pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())], names)
+                    batch.column(0).slice(row, n), pa.array(sizes), pa.array(keys[:, 0]), pa.array(keys[:, 1]),
+                    pa.array(profiles(flat, sizes), pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         blocks = [(b, counts[b * BLOCK:(b + 1) * BLOCK]) for b in range(SKETCH // BLOCK)]
         blocks = [(b, packed(c)) for b, c in blocks if c.any()]
         if blocks:
             n = len(blocks)
             yield pa.RecordBatch.from_arrays([
-                pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
+                pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()),
                 pa.array([b for b, _ in blocks], pa.int32()), pa.array([task // FAN_IN] * n, pa.int32()),
                 pa.array([c for _, c in blocks], pa.binary())], names)
 
-    names = ["doc_id", "n", "first", "second", "block", "fan", "counts"]
+    names = ["doc_id", "n", "first", "second", "profile", "block", "fan", "counts"]
     return docs.select("doc_id", "text").mapInArrow(
-        met, "doc_id long, n long, first long, second long, block int, fan int, counts binary")
+        met, "doc_id long, n long, first long, second long, profile binary, block int, fan int, counts binary")
 
 
 def _write_sketch(read: DataFrame, folder: str) -> None:
@@ -169,7 +236,7 @@ def _write_sketch(read: DataFrame, folder: str) -> None:
 def _write_classes(read: DataFrame, folder: str, per_part: int) -> tuple[int, ...]:
     """Write the classes; the offsets of their parts."""
     keyed = read.where("n > 0").groupBy("first", "second", "n").agg(
-        F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("id"))
+        F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("id"), F.min("profile").alias("profile"))
     keyed = settled(keyed)
     parts = max(1, -(-keyed.count() // per_part))
 
@@ -182,11 +249,13 @@ def _write_classes(read: DataFrame, folder: str, per_part: int) -> tuple[int, ..
         p = key[0].as_py()
         first, second = (table[c].to_numpy().astype(np.uint64) for c in ("first", "second"))
         order = np.lexsort((second, first))
-        for name, column in (("first", first), ("second", second), ("id", table["id"].to_numpy().astype("<i8"))):
+        for name, column in (("first", first), ("second", second), ("id", table["id"].to_numpy()), ("size", table["n"].to_numpy())):
             save(folder, f"{name}-{p}", column[order])
+        kept = table["profile"].to_pylist()
+        save(folder, f"profile-{p}", np.frombuffer(b"".join(kept[k] for k in order.tolist()), np.uint8))
         return pa.table({"part": pa.array([p], pa.int32()), "n": [len(first)]})
 
-    made = keyed.mapInArrow(placed, "first long, second long, n long, id long, part int").groupBy("part").applyInArrow(
+    made = keyed.mapInArrow(placed, "first long, second long, n long, id long, profile binary, part int").groupBy("part").applyInArrow(
         write, "part int, n long").collect()
     sizes = {r["part"]: r["n"] for r in made}
     return tuple(np.concatenate([[0], np.cumsum([sizes.get(p, 0) for p in range(parts)])]).astype(int).tolist())
@@ -195,17 +264,14 @@ def _write_classes(read: DataFrame, folder: str, per_part: int) -> tuple[int, ..
 def _representatives(batches, classes: Classes):
     """(number, least id, set) of the classes, once for each row that has a class's least id."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
-            sets = [shingle_set(t.as_py()) for t in part.column(1)]
-            some = [k for k, s in enumerate(sets) if len(s)]
-            if not some:
-                continue
-            keys = np.array([set_key(sets[k]) for k in some], np.int64)
+        ids = ids_of(batch.column(0))
+        for row, flat, sizes in shingle_sets(batch.column(1)):
+            some = np.flatnonzero(sizes > 0)
+            keys = set_keys(flat, sizes)[some]
             number, least = classes.find(keys[:, 0], keys[:, 1])
-            ids = ids_of(part.column(0))[some]
-            for k in np.flatnonzero(ids == least).tolist():
-                yield int(number[k]), int(least[k]), sets[some[k]]
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            for k in np.flatnonzero(ids[row + some] == least).tolist():
+                yield int(number[k]), int(least[k]), flat[ends[some[k]]:ends[some[k] + 1]]
 
 
 class Forest:
@@ -232,6 +298,21 @@ class Forest:
         return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
 
+def _meet_group(nodes: np.ndarray, sizes: np.ndarray, classes: Classes, forest: Forest, percent: int) -> None:
+    """Join whatever profiles do not keep apart; each node is compared with those not yet joined to it."""
+    roots = np.array([forest.root(x) for x in nodes.tolist()])
+    for k in range(len(nodes)):
+        others = np.flatnonzero(roots != roots[k])
+        if not len(others):
+            return
+        one = np.full(len(others), k)
+        ok = others[classes.may_link(nodes[others], nodes[one], sizes[others], sizes[one], percent)]
+        for x in np.unique(roots[ok]).tolist():
+            forest.join(int(nodes[k]), x)
+        if len(ok):
+            roots[np.isin(roots, np.append(roots[ok], roots[k]))] = forest.root(int(nodes[k]))
+
+
 def _shingle_regions(docs: DataFrame, folder: str, offsets: tuple[int, ...], percent: int, parts: int) -> DataFrame:
     """(a, b): classes that meet in the region of a shingle, as a forest for each part of the shingles."""
 
@@ -267,12 +348,20 @@ def _shingle_regions(docs: DataFrame, folder: str, offsets: tuple[int, ...], per
         sizes = np.concatenate([unpacked(c.as_py(), "<u4") for c in table["sizes"]]).astype(np.int64)
         order = np.lexsort((nodes, sizes, keys))
         keys, nodes, sizes = keys[order], nodes[order], sizes[order]
-        # Neighbours in size order hang together unless nothing above can be linked with anything below.
-        near = (keys[1:] == keys[:-1]) & (100 * sizes[:-1] >= percent * sizes[1:]) & (nodes[1:] != nodes[:-1])
-        pairs = np.unique(np.stack([nodes[:-1][near], nodes[1:][near]], axis=1), axis=0)
-        forest = Forest()
-        for a, b in pairs.tolist():
-            forest.join(a, b)
+        # In size order, a group ends where nothing above can be linked with anything below.
+        near = (keys[1:] == keys[:-1]) & (100 * sizes[:-1] >= percent * sizes[1:])
+        begin = np.concatenate([[0], np.flatnonzero(~near) + 1])
+        length = np.diff(np.append(begin, len(keys)))
+        classes, forest = _classes(folder, offsets), Forest()
+        two = begin[length == 2]
+        a, b, size_a, size_b = np.unique(np.stack([nodes[two], nodes[two + 1], sizes[two], sizes[two + 1]]), axis=1)
+        ok = (a != b) & classes.may_link(a, b, size_a, size_b, percent)
+        for x, y in zip(a[ok].tolist(), b[ok].tolist(), strict=True):
+            forest.join(x, y)
+        for at, n in zip(begin[length > 2].tolist(), length[length > 2].tolist(), strict=True):
+            own = nodes[at:at + n].tolist()
+            if len({forest.root(x) for x in own}) > 1:
+                _meet_group(np.array(own), sizes[at:at + n], classes, forest, percent)
         return forest.edges()
 
     runs = docs.select("doc_id", "text").mapInArrow(met, "part int, keys binary, nodes binary, sizes binary")
@@ -442,9 +531,10 @@ def _split(big: DataFrame, folder: str, level: int, percent: int) -> DataFrame:
     pivots.groupBy("region").applyInArrow(write, "region long").count()
 
     def moved(batches):
+        rows, held = [], 0
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
+            for k in range(batch.num_rows):
+                r = {name: batch.column(i)[k].as_py() for i, name in enumerate(batch.schema.names)}
                 flat, ends, nodes = _pivots(folder, level, r["region"])
                 s = unpacked_sorted(r["data"])
                 both = overlaps(s, flat, ends)
@@ -452,11 +542,16 @@ def _split(big: DataFrame, folder: str, level: int, percent: int) -> DataFrame:
                 links = nodes[100 * both >= percent * union].tolist()
                 label = min(links, default=r["label"])
                 away = 1 - both / union
-                for k in np.flatnonzero(away <= away.min() + 2 * eps).tolist():
-                    rows.append({**r, "pivot": int(nodes[k]), "label": label, "links": links})
-                    links = []
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema)
+                near = away.min()
+                homes = nodes[(away <= near + 2 * eps) & (both > 0)].tolist() if near < 1 - eps else []
+                for pivot in homes + [FAR] * int(near >= 1 - 2 * eps):
+                    rows.append({**r, "pivot": pivot, "label": label, "links": links})
+                    links, held = [], held + len(r["data"])
+                if held >= HELD_BYTES:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
     schema = pa.schema([("region", pa.int64()), ("node", pa.int64()), ("label", pa.int64()), ("n", pa.int64()),
                         ("data", pa.binary()), ("pivot", pa.int64()), ("links", pa.list_(pa.int64()))])
@@ -534,7 +629,7 @@ def similar(docs: DataFrame, percent: int = 85, leaf: int = 2_000_000, per_part:
             region = int(regions.of(np.array([number]))[0])
             if region != NONE:
                 held.append((region, number, number, len(s), packed_sorted(s), least))
-            if len(held) >= 1000:
+            if len(held) >= 500:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held, strict=True)], names)
                 held = []
         if held:

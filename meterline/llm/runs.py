@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
@@ -97,6 +98,48 @@ def sliding(of: np.ndarray, size: int, pick: np.ufunc) -> np.ndarray:
     return pick(out[:len(of) - size + 1], out[size - have:size - have + len(of) - size + 1])
 
 
+#: A random number for each byte, equal for A-Z and a-z; 0 for the white space between words.
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
+_BYTES[_SPACE] = 0
+_BYTES[ord("A"):ord("Z") + 1] = _BYTES[ord("a"):ord("z") + 1]
+#: Bytes of text hashed at a time.
+CHUNK_BYTES = 2 << 20
+
+
+def lowered_word_hashes(column: pa.Array):
+    """(first row, hashes, words of each row) of runs of rows of a text column.
+
+    The words' bytes are hashed where Arrow holds them, A-Z as a-z: a polynomial of the bytes' numbers
+    by prefix sums, then mixed. A null is the empty text.
+    """
+    column = column.fill_null("").cast(pa.large_string())
+    if not len(column):
+        return
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int64)[column.offset:column.offset + len(column) + 1]
+    text = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    row = 0
+    while row < len(column):
+        last = max(row + 1, int(np.searchsorted(ends, ends[row] + CHUNK_BYTES, "right")) - 1)
+        part, begin = text[ends[row]:ends[last]], ends[row:last] - ends[row]
+        word = ~_SPACE[part]
+        border = np.zeros(len(part) + 1, bool)
+        border[begin] = True
+        border[-1] = True
+        start = word.copy()
+        start[1:] &= ~word[:-1] | border[1:-1]
+        stop = word.copy()
+        stop[:-1] &= ~word[1:] | border[1:-1]
+        starts, stops = np.flatnonzero(start), np.flatnonzero(stop) + 1
+        up, down = _POWERS.to(len(part) + 1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[part] * up[:-1], dtype=np.uint64)])
+        hashes = mixed((sums[stops] - sums[starts]) * down[starts])
+        yield row, hashes, np.diff(np.searchsorted(starts, np.append(begin, len(part))))
+        row = last
+
+
 def packed(numbers: np.ndarray) -> bytes:
     """Compressed bytes of an array, byte planes apart, as high bytes repeat."""
     planes = np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), -1).T
