@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from meterline.catalog.inputs import (COVERED_SQL, NOW_MS, SUMS_SQL, TZ_MIN, out, priced, query, usage,
+from meterline.catalog.inputs import (COVERED_SQL, NOW_MS, SUMS_SQL, TZ_MIN, hours, local_days, out, priced, query, usage,
                                       with_priced, with_uses)
 from meterline.functions import severity, timecols
 from meterline.functions.money import limit_weighted_tokens, total_tokens
@@ -40,7 +40,7 @@ SELECT project, CAST(sum(tokens) AS BIGINT) AS tokens, {SUMS_SQL} FROM priced
 WHERE {_DAY} BETWEEN {_FROM_DAY} AND {_TO_DAY} GROUP BY project
 ORDER BY tokens DESC, cost_usd DESC, project LIMIT 5"""))
 def top_projects(spark, sf):
-    top = verbs.top(day_cells(spark, sf, "project"), "project", n=5, from_bucket=_FROM_DAY, to_bucket=_TO_DAY)
+    top = verbs.top(day_cells(spark, sf, "project", **local_days(_FROM_DAY, _TO_DAY)), "project", n=5, from_bucket=_FROM_DAY, to_bucket=_TO_DAY)
     return out(top.drop("covered_cost_usd", "records"))
 
 
@@ -199,7 +199,8 @@ _CUBE_WHERE = "hour_b BETWEEN 473600 AND 473800 AND covered AND model = 'gpt-5.2
 @query("cube_filter", with_priced(f"""
 SELECT agent, project, {SUMS_SQL} FROM (SELECT *, {_HOUR} AS hour_b FROM priced) WHERE {_CUBE_WHERE} GROUP BY ALL"""))
 def cube_filter(spark, sf):
-    rows = cube.query(hour_cells(spark, sf, "agent", "model", "project"), ["agent", "project"], from_bucket=473600, to_bucket=473800,
+    rows = cube.query(hour_cells(spark, sf, "agent", "model", "project", **hours(473600, 473800)),
+                      ["agent", "project"], from_bucket=473600, to_bucket=473800,
                       agents=["codex", "claude", "nobody"], model="gpt-5.2-codex", covered_only=True)
     return out(rows.drop("covered_cost_usd", "records"))
 
@@ -217,7 +218,7 @@ WHERE bucket BETWEEN 19732 AND 19742 GROUP BY bucket"""))
 def history_since(spark, sf):
     """Dates on the day tier are the keys themselves: 2024-01-10 to 2024-01-20."""
     span = timecols.resolve_range("day", NOW_MS, "2024-01-10", "2024-01-20", TZ_MIN)
-    rows, _ = verbs.history(day_cells(spark, sf, "model"), ["bucket"], span=span)
+    rows, _ = verbs.history(day_cells(spark, sf, "model", since_ms=span.since_ms, until_ms=span.until_ms), ["bucket"], span=span)
     return out(rows.drop("covered_cost_usd", "records"))
 
 

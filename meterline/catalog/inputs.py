@@ -57,6 +57,18 @@ def usage(spark: SparkSession, sf_dir: str, since_ms: int | None = None, until_m
     return usage_from(events)
 
 
+def local_days(first: int, last: int) -> dict[str, int]:
+    """The instants of local days `first` to `last`, as bounds for `usage`."""
+    shift = TZ_MIN * 60_000
+    return {"since_ms": first * 86_400_000 - shift, "until_ms": (last + 1) * 86_400_000 - shift - 1}
+
+
+def hours(first: int, last: int, tz_offset_min: int = 0) -> dict[str, int]:
+    """The instants of hours `first` to `last`, as bounds for `usage`."""
+    shift = tz_offset_min * 60_000
+    return {"since_ms": first * 3_600_000 - shift, "until_ms": (last + 1) * 3_600_000 - shift - 1}
+
+
 def _ntz(ms: int | None):
     at = datetime(1970, 1, 1) + timedelta(milliseconds=ms or 0)
     return F.lit(at.isoformat(sep=" ", timespec="milliseconds")).cast("timestamp_ntz")
@@ -158,4 +170,4 @@ def out(df: DataFrame, **renamed) -> DataFrame:
 
 
 __all__ = ["COST", "COVERED_SQL", "NOW_MS", "ORACLES", "PRICED_SQL", "QUERIES", "SUMS_SQL", "TZ_MIN", "USES_SQL",
-           "out", "priced", "query", "raw_events", "table", "usage", "usage_from", "with_priced", "with_uses"]
+           "hours", "local_days", "out", "priced", "query", "raw_events", "table", "usage", "usage_from", "with_priced", "with_uses"]

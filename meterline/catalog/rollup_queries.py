@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import functions as F
 
 from meterline.catalog.cube_queries import _DAY, _HOUR, day_cells
-from meterline.catalog.inputs import COVERED_SQL, NOW_MS, SUMS_SQL, TZ_MIN, out, query, usage, with_priced
+from meterline.catalog.inputs import (COVERED_SQL, NOW_MS, SUMS_SQL, TZ_MIN, hours, local_days, out, query, usage,
+                                      with_priced)
 from meterline.functions.money import total_tokens
 from meterline.operators import projects, ranking, rollups
 from meterline.plans import report, verbs
@@ -21,9 +24,21 @@ _ZEROED = """CAST(coalesce(sum(input_tokens), 0) AS BIGINT) AS input_tokens,
   CAST(round(coalesce(sum(cost_usd), 0), 6) AS DOUBLE) AS cost_usd"""
 
 
-def cells(spark, sf, *keep):
+def cells(spark, sf, *keep, since_ms=None, until_ms=None):
     """Hourly cells with the dimensions a rollup asks for beside hour, agent and model."""
-    return rollups.hourly_cells(usage(spark, sf), TZ_MIN, keep=keep)
+    return rollups.hourly_cells(usage(spark, sf, since_ms, until_ms), TZ_MIN, keep=keep)
+
+
+def days_back(spark, sf, days: int):
+    """Cells of the last local days, today included."""
+    return cells(spark, sf, **local_days(_TODAY - days + 1, _TODAY))
+
+
+def this_month(spark, sf):
+    """Cells of the local month of now."""
+    first = date.fromordinal(date(1970, 1, 1).toordinal() + _TODAY).replace(day=1)
+    following = (first + timedelta(days=31)).replace(day=1)
+    return cells(spark, sf, **local_days(*((d - date(1970, 1, 1)).days - late for d, late in ((first, 0), (following, 1)))))
 
 
 @query("rollup_dimensions", with_priced(f"""
@@ -44,26 +59,28 @@ def rollup_dimensions(spark, sf):
 
 @query("today_totals", with_priced(f"SELECT {SUMS_SQL} FROM priced WHERE {_DAY} = {_TODAY}"))
 def today_totals(spark, sf):
-    return out(rollups.today(cells(spark, sf), NOW_MS, TZ_MIN))
+    return out(rollups.today(days_back(spark, sf, 1), NOW_MS, TZ_MIN))
 
 
 @query("this_hour_totals", with_priced(f"SELECT {SUMS_SQL} FROM priced WHERE {_LHOUR} = {_THIS_HOUR}"))
 def this_hour_totals(spark, sf):
-    return out(rollups.this_hour(cells(spark, sf), NOW_MS, TZ_MIN))
+    return out(rollups.this_hour(cells(spark, sf, **hours(_THIS_HOUR, _THIS_HOUR, TZ_MIN)), NOW_MS, TZ_MIN))
 
 
 _FROM_MS, _TO_MS = NOW_MS - 7 * 86_400_000, NOW_MS
+# Whole hours around the range: the rollup decides by hour.
+_RANGE_HOURS = hours(_FROM_MS // 3_600_000 - 1, _TO_MS // 3_600_000 + 1)
 _IN_RANGE = f"{_LHOUR} * 3600000 - {TZ_MIN} * 60000 >= {_FROM_MS} AND {_LHOUR} * 3600000 - {TZ_MIN} * 60000 < {_TO_MS}"
 
 
 @query("range_totals", with_priced(f"SELECT {SUMS_SQL} FROM priced WHERE {_IN_RANGE}"))
 def range_totals(spark, sf):
-    return out(rollups.in_range(cells(spark, sf), _FROM_MS, _TO_MS, TZ_MIN))
+    return out(rollups.in_range(cells(spark, sf, **_RANGE_HOURS), _FROM_MS, _TO_MS, TZ_MIN))
 
 
 @query("range_totals_by_agent", with_priced(f"SELECT agent, {SUMS_SQL} FROM priced WHERE {_IN_RANGE} GROUP BY agent"))
 def range_totals_by_agent(spark, sf):
-    return out(rollups.in_range(cells(spark, sf), _FROM_MS, _TO_MS, TZ_MIN, by_agent=True))
+    return out(rollups.in_range(cells(spark, sf, **_RANGE_HOURS), _FROM_MS, _TO_MS, TZ_MIN, by_agent=True))
 
 
 _MONTH = f"date_trunc('month', DATE '1970-01-01' + CAST({_DAY} AS INTEGER)) = DATE '2024-01-01'"
@@ -73,21 +90,21 @@ _MONTH = f"date_trunc('month', DATE '1970-01-01' + CAST({_DAY} AS INTEGER)) = DA
 SELECT {SUMS_SQL}, {COVERED_SQL}, count(DISTINCT {_DAY}) AS active_days, 19723::BIGINT AS first_day_key,
   31::BIGINT AS day_count FROM priced WHERE {_MONTH}"""))
 def month_rollup(spark, sf):
-    return out(rollups.month_rollup(cells(spark, sf), NOW_MS, TZ_MIN))
+    return out(rollups.month_rollup(this_month(spark, sf), NOW_MS, TZ_MIN))
 
 
 @query("month_rollup_by_agent", with_priced(f"""
 SELECT agent, {SUMS_SQL}, {COVERED_SQL}, count(DISTINCT {_DAY}) AS active_days, 19723::BIGINT AS first_day_key,
   31::BIGINT AS day_count FROM priced WHERE {_MONTH} GROUP BY agent"""))
 def month_rollup_by_agent(spark, sf):
-    return out(rollups.month_rollup(cells(spark, sf), NOW_MS, TZ_MIN, by_agent=True))
+    return out(rollups.month_rollup(this_month(spark, sf), NOW_MS, TZ_MIN, by_agent=True))
 
 
 @query("covered_cost_in_days", with_priced(f"""
 SELECT CAST(round(coalesce(sum(cost_usd), 0), 6) AS DOUBLE) AS covered_cost_usd FROM priced
 WHERE covered AND {_DAY} BETWEEN 19730 AND 19739"""))
 def covered_cost_in_days(spark, sf):
-    return out(rollups.covered_cost(cells(spark, sf), 19730, 10))
+    return out(rollups.covered_cost(cells(spark, sf, **local_days(19730, 19739)), 19730, 10))
 
 
 _SPANS = f"""
@@ -192,12 +209,12 @@ FROM (SELECT unnest(range({newest - length + 1}, {newest + 1})) AS b) LEFT JOIN
 @query("trailing_days", with_priced(_trailing_sql(_DAY, _TODAY, 40).replace("bucket_key", "day_key")))
 def trailing_days(spark, sf):
     """Forty days, so the first twenty lie before the data and read zero."""
-    return out(rollups.trailing(cells(spark, sf), "day", NOW_MS, 40, TZ_MIN))
+    return out(rollups.trailing(days_back(spark, sf, 40), "day", NOW_MS, 40, TZ_MIN))
 
 
 @query("trailing_hours", with_priced(_trailing_sql(_LHOUR, _THIS_HOUR, 48).replace("bucket_key", "hour_key")))
 def trailing_hours(spark, sf):
-    return out(rollups.trailing(cells(spark, sf), "hour", NOW_MS, 48, TZ_MIN))
+    return out(rollups.trailing(cells(spark, sf, **hours(_THIS_HOUR - 47, _THIS_HOUR, TZ_MIN)), "hour", NOW_MS, 48, TZ_MIN))
 
 
 def _scope_sql(bucket: str, newest: int, length: int, label: str) -> str:
@@ -210,7 +227,7 @@ FROM (SELECT unnest(range({newest - length + 1}, {newest + 1})) AS b) LEFT JOIN
 
 @query("scope_24h", with_priced(_scope_sql(_LHOUR, _THIS_HOUR, 24, "lpad(CAST(b % 24 AS VARCHAR), 2, '0')")))
 def scope_24h(spark, sf):
-    return out(rollups.scoped_frame(cells(spark, sf), "24H", NOW_MS, TZ_MIN))
+    return out(rollups.scoped_frame(cells(spark, sf, **hours(_THIS_HOUR - 23, _THIS_HOUR, TZ_MIN)), "24H", NOW_MS, TZ_MIN))
 
 
 _CIVIL = "(DATE '1970-01-01' + CAST(b AS INTEGER))"
@@ -218,7 +235,7 @@ _CIVIL = "(DATE '1970-01-01' + CAST(b AS INTEGER))"
 
 @query("scope_30d", with_priced(_scope_sql(_DAY, _TODAY, 30, f"month({_CIVIL}) || '/' || day({_CIVIL})")))
 def scope_30d(spark, sf):
-    return out(rollups.scoped_frame(cells(spark, sf), "30D", NOW_MS, TZ_MIN))
+    return out(rollups.scoped_frame(days_back(spark, sf, 30), "30D", NOW_MS, TZ_MIN))
 
 
 @query("scope_summary", with_priced(f"""
@@ -227,13 +244,13 @@ SELECT '7D' AS scope, CAST(sum(t) AS BIGINT) AS tokens, CAST(sum(e) AS BIGINT) A
 FROM (SELECT sum(tokens) AS t, count(*) AS e, sum(cost_usd) AS c FROM priced
   WHERE {_DAY} BETWEEN {_TODAY - 6} AND {_TODAY} GROUP BY {_DAY})"""))
 def scope_summary(spark, sf):
-    return out(rollups.scoped_summary(cells(spark, sf), "7D", NOW_MS, TZ_MIN))
+    return out(rollups.scoped_summary(days_back(spark, sf, 7), "7D", NOW_MS, TZ_MIN))
 
 
 @query("scope_agents", with_priced(f"""
 SELECT agent, {SUMS_SQL} FROM priced WHERE {_DAY} BETWEEN {_TODAY - 29} AND {_TODAY} GROUP BY agent"""))
 def scope_agents(spark, sf):
-    return out(rollups.scoped_agents(cells(spark, sf), "30D", NOW_MS, TZ_MIN))
+    return out(rollups.scoped_agents(days_back(spark, sf, 30), "30D", NOW_MS, TZ_MIN))
 
 
 def _top_sql(dim: str, n: int) -> str:

@@ -23,6 +23,10 @@ def past(spark, sf, since_ms: int | None = None) -> DataFrame:
     return usage(spark, sf, since_ms, NOW_MS)
 
 
+# Forty quarters of an hour, the running one included.
+_QUARTERS = ((NOW_MS // 900_000 - 39) * 900_000, (NOW_MS // 900_000 + 1) * 900_000 - 1)
+
+
 # --- burn rates -----------------------------------------------------------------------
 
 @query("burn_at", with_priced(f"""
@@ -101,14 +105,14 @@ WHERE NOT EXISTS (SELECT 1 FROM uses u WHERE u.agent = s.agent AND u.session_id
 def session_traces(spark, sf):
     """Ten hours in quarters for the sessions active in the last six."""
     live = past(spark, sf, NOW_MS - 6 * HOUR_MS).select("agent", "session_id").distinct()
-    return rates.trace(usage(spark, sf), NOW_MS, 900_000, 40, live).select("agent", "session_id", "bucket", "tokens")
+    return rates.trace(usage(spark, sf, *_QUARTERS), NOW_MS, 900_000, 40, live).select("agent", "session_id", "bucket", "tokens")
 
 
 @query("session_means", with_uses(f"""
 SELECT agent, session_id, round(CAST(sum(weighted) AS DOUBLE) / 600.0, 6) AS tokens_per_min FROM uses
 WHERE ts_ms // 900000 BETWEEN {NOW_MS // 900_000 - 39} AND {NOW_MS // 900_000} GROUP BY ALL"""))
 def session_means(spark, sf):
-    return out(rates.mean_per_min(usage(spark, sf), NOW_MS, 900_000, 40, "agent", "session_id"))
+    return out(rates.mean_per_min(usage(spark, sf, *_QUARTERS), NOW_MS, 900_000, 40, "agent", "session_id"))
 
 
 # --- gauges ---------------------------------------------------------------------------

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from meterline.catalog import QUERIES
 from meterline.catalog.inputs import NOW_MS, usage
 from meterline.operators import cube, pricing
 from meterline.operators.dedup import keep_first
@@ -18,7 +19,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-BATCH = [n for n in entry.queries() if not n.startswith("streamed") and n not in (
+BATCH = [n for n in QUERIES if not n.startswith("streamed") and n not in (
     "backfilled_cube", "delivered_alerts", "wall_alerts", "observed_walls", "threshold_alerts_with_wall", "running_pace")]
 
 
@@ -66,3 +67,25 @@ def test_hot_keys_are_cut_before_the_shuffle(spark):
     scanned = plan(ordered_scan(df, ["agent"], ["event_id"], chunk_of(F.col("event_id"), 10), t=Running("sum", F.col("k"))))
     windows = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", scanned)
     assert any("agent" in w and "__chunk" in w for w in windows)
+
+
+BOUNDED = ["top_projects", "history_since", "cube_filter", "today_totals", "this_hour_totals", "range_totals", "range_totals_by_agent",
+           "month_rollup", "month_rollup_by_agent", "covered_cost_in_days", "trailing_days", "trailing_hours", "scope_24h", "scope_30d",
+           "scope_summary", "scope_agents", "session_traces", "session_means"]
+
+
+@pytest.mark.parametrize("name", BOUNDED)
+def test_time_range_reaches_every_scan(spark, name):
+    pushed = re.findall(r"PushedFilters: \[([^\n]*)", plan(entry.queries()[name](spark, SF_DIR)))
+    assert pushed and all("GreaterThanOrEqual(ts" in p and "LessThan(ts" in p for p in pushed)
+
+
+def test_stored_range_prunes_folders(spark, tmp_path):
+    cells = cube.build_cells(usage(spark, SF_DIR), "hour")
+    for batch in ("b1", "b2"):
+        cube.append(cells, str(tmp_path), "hour", batch)
+    held = cube.cube_filter(cube.read_tier(spark, str(tmp_path), "hour"), 473600, 473700, tier="hour")
+    text = plan(held)
+    days = re.search(r"PartitionFilters: \[([^\n]*?)\], PushedFilters", text).group(1)
+    assert "part_day" in days and ">= 19733" in days and "<= 19737" in days
+    assert held.count() == 2 * cells.where("bucket BETWEEN 473600 AND 473700").count()
