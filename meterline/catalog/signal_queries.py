@@ -419,12 +419,16 @@ def threshold_alerts(spark, sf):
         "host", "agent", "kind", "seq", "threshold", "percent"))
 
 
-@query("reset_alerts", "WITH RECURSIVE " + with_uses(_STEPS.rstrip().rstrip(",") + """
+_MARKED = """
 , marked AS (SELECT host, agent, kind, i, seq, p, p AS mark, false AS fired, -1.0::DOUBLE AS prev_high FROM numbered WHERE i = 1
   UNION ALL SELECT n.host, n.agent, n.kind, n.i, n.seq, n.p,
     CASE WHEN m.mark >= 70 AND n.p <= m.mark - 30 THEN n.p ELSE greatest(m.mark, n.p) END,
     m.mark >= 70 AND n.p <= m.mark - 30, m.mark
   FROM marked m JOIN numbered n ON n.host = m.host AND n.agent = m.agent AND n.kind = m.kind AND n.i = m.i + 1)
+"""
+
+
+@query("reset_alerts", "WITH RECURSIVE " + with_uses(_STEPS.rstrip().rstrip(",") + _MARKED + """
 SELECT host, agent, kind, seq, p AS percent, prev_high FROM marked WHERE fired""").removeprefix("WITH "))
 def reset_alerts(spark, sf):
     return alerts.reset_candidates(readings(spark, sf)).select("host", "agent", "kind", "seq", "percent", "prev_high")
@@ -439,10 +443,37 @@ def wall_alerts(spark, sf):
         "host", "seq", "agent", "kind", F.expr("wall_at_ms div 1000").alias("wall_at_s"))
 
 
-@query("delivered_alerts")
+# One step per candidate of a host: when each (agent, alert) last went out, and how many went out of this observation.
+DELIVERED_SQL = "WITH RECURSIVE " + with_uses(_OBSERVED + _MARKED + _THRESHOLD_SQL.removeprefix(_READINGS) + """
+, near AS (SELECT *, CASE WHEN wall_ms - now_ms <= 1800000 THEN true WHEN wall_ms IS NULL OR wall_ms - now_ms > 2700000 THEN false END AS near FROM observed),
+walled AS (SELECT *, last_value(near IGNORE NULLS) OVER (PARTITION BY host ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latched FROM near),
+candidates AS (
+  SELECT host, seq, now_ms, agent, kind, 'threshold' AS alert, 100 + threshold AS priority, threshold, p AS percent,
+    NULL::DOUBLE AS prev_high, NULL::BIGINT AS wall_at_s FROM fires WHERE threshold IS NOT NULL
+  UNION ALL SELECT m.host, m.seq, r.now_ms, m.agent, m.kind, 'window_reset', 0, NULL, m.p, m.prev_high, NULL
+    FROM marked m JOIN readings r USING (seq) WHERE fired
+  UNION ALL SELECT host, seq, now_ms, agent, kind, 'wall_imminent', 300, NULL, p, NULL, wall_ms // 1000
+    FROM walled WHERE near AND NOT coalesce(latched, false)),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY seq, -priority, agent, kind) AS i,
+  CASE agent WHEN 'claude' THEN 0 ELSE 3 END + CASE alert WHEN 'threshold' THEN 1 WHEN 'window_reset' THEN 2 ELSE 3 END AS slot FROM candidates),
+limited AS (
+  SELECT host, i, seq, true AS goes, 1 AS sent, list_transform(range(1, 7), lambda j: CASE WHEN j = slot THEN now_ms END) AS fired
+  FROM ordered WHERE i = 1
+  UNION ALL SELECT host, i, seq, goes, before + goes::INTEGER,
+    list_transform(range(1, 7), lambda j: CASE WHEN goes AND j = slot THEN now_ms ELSE fired[j] END)
+  FROM (SELECT o.*, l.fired, CASE WHEN o.seq = l.seq THEN l.sent ELSE 0 END AS before,
+          (CASE WHEN o.seq = l.seq THEN l.sent ELSE 0 END) < 3 AND coalesce(o.now_ms - l.fired[o.slot] >= 600000, true) AS goes
+        FROM limited l JOIN ordered o ON o.host = l.host AND o.i = l.i + 1))
+SELECT o.host, o.seq, o.agent, o.kind, o.alert, CAST(o.threshold AS BIGINT) AS threshold, o.percent, o.prev_high{more}
+FROM limited l JOIN ordered o ON o.host = l.host AND o.i = l.i WHERE l.goes""").removeprefix("WITH ")
+
+
+@query("delivered_alerts", DELIVERED_SQL.replace("{more}", ", o.wall_at_s"))
 def delivered_alerts(spark, sf):
-    """Every alert that goes out. The rate limit steps through state; a test checks it row by row."""
-    return alerts.alerts(readings(spark, sf), host_walls(spark, sf))
+    """Every alert that goes out."""
+    return out(alerts.alerts(readings(spark, sf), host_walls(spark, sf)).select(
+        "host", "seq", "agent", "kind", "alert", "threshold", "percent", "prev_high",
+        F.expr("wall_at_ms div 1000").alias("wall_at_s")))
 
 
 @query("threshold_alerts_with_wall", "WITH RECURSIVE " + with_uses(_OBSERVED + """

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from meterline.catalog.cube_queries import _DAY, _HOUR, _MINUTE
 from meterline.catalog.inputs import SUMS_SQL, TZ_MIN, out, query, usage, usage_from, with_priced, with_uses
-from meterline.catalog.signal_queries import _PACED, host_walls, readings_from
+from meterline.catalog.signal_queries import DELIVERED_SQL, _PACED, host_walls, readings_from
 from meterline.functions.money import total_tokens
 from meterline.operators import cube
 from meterline.session import checkpoint_root
@@ -120,12 +120,12 @@ def streamed_sessions(spark, sf):
     return newest.select("agent", "session_id", "s.last_event_ms", "s.last_growth_ms", "s.mid_turn")
 
 
-@query("streamed_alerts")
+@query("streamed_alerts", DELIVERED_SQL.replace("{more}", ""))
 def streamed_alerts(spark, sf):
     """Alerts from the stateful stream, walls joined in from the readings so far."""
     walls = host_walls(spark, sf).select(
         "host", "seq", F.col("agent").alias("wall_agent"), F.col("kind").alias("wall_kind"),
         F.col("used_percent").alias("wall_percent"), "wall_at_ms")
     observed = readings_stream(spark, sf).join(walls, ["host", "seq"], "left")
-    return drained(state_stream.alert_stream(observed), "streamed-alerts")
+    return out(drained(state_stream.alert_stream(observed), "streamed-alerts").drop("now_ms"))
 
