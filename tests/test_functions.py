@@ -122,3 +122,32 @@ def test_nearest_known_root(spark):
     assert got == {"/h/me/repo/src/deep": "/h/me/repo", "/h/me/repo": "/h/me/repo", "/h/me/repo/vendor/sub/x": "/h/me/repo",
                    "/h/me/linked/a": "/h/me/main", "/h/me/loose/b": "/h/me/loose/b", "/h/me": "/h/me",
                    "/other/top/x": "/other/top", "/h/me/odd/x": "/h/me/odd/x", "": ""}
+
+
+def test_no_level_of_a_path_is_too_deep(spark):
+    deep = "/repo" + "".join(f"/d{i}" for i in range(60))
+    known = spark.createDataFrame([("/repo", None)], "path string, git_dir string")
+    paths_table = spark.createDataFrame([(deep,), ("/repo",), ("/other/x",)], "cwd string")
+    got = {r["cwd"]: r["project"] for r in projects.resolve_roots(paths_table, known).collect()}
+    assert got[deep] == "/repo" and got["/repo"] == "/repo" and got["/other/x"] != "/repo"
+
+
+def test_dial_scale_at_any_height(spark):
+    from meterline.operators import gauges
+    peaks = [0.0, 8_000.0, 9_000.0, 17_391.0, 4.4e17, 1e18, 3e21]
+    assert column(spark, peaks, lambda c: F.round(gauges.dial_scale(c), 0), "double") == [
+        1e4, 1e4, 2e4, 2e4, 1e18, 2e18, 5e21]
+    exact = [10.0 ** e / 1.15 for e in range(4, 20)]
+    for peak, scale in zip(exact, column(spark, exact, gauges.dial_scale, "double")):
+        assert peak * 1.15 <= scale < peak * 1.15 * 2.6
+
+
+def test_growth_record_starts_at_the_first_named_signal(spark):
+    from meterline.operators import roster
+    from meterline.operators.scan import chunk_of
+    rows = [("a", None, "growth", 100, 1), ("a", "s", "event", 50, 2), ("a", None, "growth", 60, 3), ("a", "t", "event", 55, 4),
+            ("a", None, "growth", 70, 5), ("b", None, "growth", 10, 6)]
+    signals = spark.createDataFrame(rows, "agent string, session_id string, kind string, at_ms bigint, seq bigint")
+    for size in (1, 2, 65_536):
+        got = roster.attribute_growth(signals, chunk_of(F.col("seq"), size)).orderBy("seq").collect()
+        assert [r["session_id"] for r in got] == [None, "s", "s", "t", "s", None]
