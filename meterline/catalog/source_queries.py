@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterline.catalog.inputs import NOW_MS, out, query, usage, with_priced, with_uses
 from meterline.functions.money import COST, usd
-from meterline.operators import cdc, dedup, quota
+from meterline.operators import cdc, cube, dedup, quota
 from meterline.operators.cube import sums
 from meterline.operators.deltas import carry_context, cumulative_deltas
 from meterline.operators.bounded import broadcast_if_small
@@ -15,8 +19,8 @@ from meterline.operators.pricing import model_rates, price_rows
 from meterline.operators.scan import Running, chunk_of, ordered_scan, union_all
 from meterline.schemas import TOKEN_COLUMNS
 from meterline.sources import lines as line_sources
-from meterline.session import settled
-from meterline.sources import ledgers, snapshots, transcripts
+from meterline.session import checkpoint_root, settled
+from meterline.sources import ledgers, snapshots, tail, transcripts
 
 _EVENT = ("agent", "ts_ms", "model", *TOKEN_COLUMNS, "session_id", "cwd")
 
@@ -517,3 +521,48 @@ def delta_events(spark, sf):
         F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"),
         F.sum("events").alias("events"), F.count("cost_usd").alias("priced_events"),
         usd(F.sum("cost_usd").cast(COST)).alias("cost_usd"))
+
+
+def _written(rows: pd.DataFrame, folder: str, share: float) -> pd.DataFrame:
+    """Write each row's `text` as a file, the first `share` of its bytes; a later call makes the file grow."""
+    system, root = pafs.FileSystem.from_uri(folder)
+    for name, text in zip(rows["name"], rows["text"], strict=True):
+        data = text.encode()
+        system.create_dir(f"{root}/{name}".rpartition("/")[0], recursive=True)
+        with system.open_output_stream(f"{root}/{name}") as out:
+            out.write(data[:int(len(data) * share)])
+    return rows[["name"]]
+
+
+@query("grown_logs", with_uses("""
+SELECT 'claude' AS agent, count(*) AS events, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens,
+  CAST(sum(cache_creation_tokens) AS BIGINT) AS cache_creation_tokens, CAST(sum(cache_read_tokens) AS BIGINT) AS cache_read_tokens
+FROM uses WHERE k % 2 = 0 AND model <> ''
+UNION ALL SELECT 'codex', count(*), CAST(sum(input_tokens) AS BIGINT), CAST(sum(output_tokens) AS BIGINT), 0, 0
+FROM uses WHERE k % 2 = 1"""))
+def grown_logs(spark, sf):
+    """Logs of 256 events, cut inside a line, taken in, grown, taken in again, and swept a third time unchanged."""
+    u = usage(spark, sf).withColumn("part_no", F.expr("event_id div 256"))
+    odd = F.col("k") % 2 == 1
+    counted = ordered_scan(u.withColumn("odd", odd), ["odd", "part_no"], ["event_id"], F.lit(0).cast("bigint"),
+                           c_in=Running("sum", F.col("input_tokens")), c_out=Running("sum", F.col("output_tokens")))
+    claude_line = _json(type=F.lit("assistant"), timestamp=_iso(), sessionId=F.col("session_id"), cwd=F.col("cwd"),
+                        requestId=F.col("event_id").cast("string"), message=_struct(
+        id=F.col("event_id").cast("string"), model=F.when(F.col("model") != "", F.col("model")), usage=_struct(
+            input_tokens=F.col("input_tokens"), output_tokens=F.col("output_tokens"),
+            cache_creation_input_tokens=F.col("cache_creation_tokens"), cache_read_input_tokens=F.col("cache_read_tokens"))))
+    codex_line = _json(type=F.lit("event_msg"), timestamp=_iso(), payload=_struct(type=F.lit("token_count"), info=_struct(
+        total_token_usage=_struct(input_tokens=F.col("c_in"), cached_input_tokens=F.lit(0), output_tokens=F.col("c_out")))))
+    text = F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", F.when(
+        F.col("odd"), codex_line).otherwise(claude_line).alias("line")))), lambda x: x["line"]), "\n"), F.lit("\n"))
+    logs = settled(counted.groupBy("odd", "part_no").agg(text.alias("text")).select(F.concat(
+        F.when(F.col("odd"), "codex/").otherwise("claude/"), "part_no", F.lit(".jsonl")).alias("name"), "text"))
+    root = f"{checkpoint_root(spark)}/grown-{uuid.uuid4().hex}"
+    paths = {"claude": f"{root}/logs/claude", "codex": f"{root}/logs/codex"}
+    for generation, share in enumerate((0.6, 1.0, 1.0), start=1):
+        folder = f"{root}/logs"
+        logs.mapInPandas(lambda batches, share=share: (_written(b, folder, share) for b in batches), "name string").count()
+        status = tail.sweep_into_cube(spark, paths, f"{root}/store", generation)
+        assert status.filter("ok").count() == len(paths), status.collect()
+    cells = cube.read_tier(spark, f"{root}/store", "hour")
+    return cells.groupBy("agent").agg(F.sum("events").alias("events"), *[F.sum(c).alias(c) for c in TOKEN_COLUMNS])

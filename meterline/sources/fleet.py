@@ -22,10 +22,12 @@ class SourceSpec:
     agent: str
     kind: str
     read: Callable[[SparkSession, str | list[str]], DataFrame]
+    parse: Callable[[DataFrame], DataFrame] | None = None
+    glob: str = ""
 
 
 def _log(agent: str, parse: Callable[[DataFrame], DataFrame], glob: str = "*.jsonl") -> SourceSpec:
-    return SourceSpec(agent, "events", lambda spark, paths: parse(lines.read_log(spark, paths, glob)))
+    return SourceSpec(agent, "events", lambda spark, paths: parse(lines.read_log(spark, paths, glob)), parse, glob)
 
 
 def _headed(agent: str, parse: Callable[[DataFrame, transcripts.Stage], DataFrame]) -> SourceSpec:
