@@ -26,37 +26,34 @@ the one class of unknown words, which has probability 1. An empty table gives an
 
 from __future__ import annotations
 
-from collections import Counter
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterline.llm.common import scratch
-from meterline.llm.runs import (lowered_words_of, mapped, mixed, packed, packed_sorted, save, summed, unpacked,
-                                unpacked_sorted)
+from meterline.llm.runs import (dealt, lowered_word_hashes, mapped, mixed, packed, packed_sorted, save, summed,
+                                unpacked, unpacked_sorted)
 
-#: The end of a document, as a token; no word is empty.
-END = b""
+#: Stands for the end of a document among the hashes of words.
+END = np.uint64(0x5851F42D4C957F2D)
 UNKNOWN = -1
-#: Tokens that a task counts before it sends a run.
-TOKENS_PER_RUN = 4_000_000
+#: Keys that a task holds before it sends a run.
+KEYS_PER_RUN = 2_000_000
 RUN = "part int, keys binary, counts binary"
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Words with A-Z lowered, then the end."""
-    out = lowered_words_of(text)
-    out.append(END)
-    return out
-
-
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word)
+def token_hashes(column: pa.Array):
+    """(first row, hashes, tokens of each row) of runs of rows: the words with A-Z lowered, then the end."""
+    for row, words, lengths in lowered_word_hashes(column):
+        lengths = lengths + 1
+        out = np.full(int(lengths.sum()), END, np.uint64)
+        word = np.ones(len(out), bool)
+        word[np.cumsum(lengths) - 1] = False
+        out[word] = words
+        yield row, out, lengths
 
 
 def _runs(part: np.ndarray, keys: np.ndarray, counts: np.ndarray, parts: int):
@@ -87,21 +84,22 @@ def _merged(table, columns: int = 1) -> tuple[np.ndarray, np.ndarray]:
 def _count_words(parts: int):
     shift = 64 - (parts - 1).bit_length()
 
-    def send(counter: Counter):
-        keys = np.fromiter(map(word_hash, counter), np.uint64, len(counter))
-        keys, counts = summed(keys, np.fromiter(counter.values(), np.int64, len(counter)))
+    def send(held: list[tuple]):
+        keys, counts = summed(*[np.concatenate(c) for c in zip(*held, strict=True)])
         part = (keys >> np.uint64(shift)).astype(np.int64) if shift < 64 else np.zeros(len(keys), np.int64)
         return _runs(part, keys, counts, parts)
 
     def counted(batches):
-        counter: Counter = Counter()
+        held, n = [], 0
         for batch in batches:
-            for text in batch.column(0):
-                counter.update(tokens(text.as_py()))
-            if len(counter) >= TOKENS_PER_RUN // 4:
-                yield from send(counter)
-                counter.clear()
-        yield from send(counter)
+            for _, hashes, _ in token_hashes(batch.column(0)):
+                held.append(np.unique(hashes, return_counts=True))
+                n += len(held[-1][0])
+                if n >= KEYS_PER_RUN:
+                    yield from send(held)
+                    held, n = [], 0
+        if held:
+            yield from send(held)
 
     return counted
 
@@ -117,31 +115,20 @@ class Vocabulary:
                        for p in range(parts)]
         self.counts = [mapped(folder, f"count-{p}", "<i8") if offsets[p + 1] > offsets[p] else np.empty(0, np.int64)
                        for p in range(parts)]
-        self.known: dict[bytes, tuple[int, int]] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        """Look up the words not met before; forget all when too many are held."""
-        if len(self.known) > 1_000_000:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        keys = np.fromiter(map(word_hash, new), np.uint64, len(new))
-        ids, counts = np.full(len(new), UNKNOWN, np.int64), np.zeros(len(new), np.int64)
-        order = np.argsort(keys)
-        part = (keys[order] >> self.shift).astype(np.int64) if self.shift is not None else np.zeros(len(keys), np.int64)
-        ends = np.searchsorted(part, np.arange(len(self.hashes) + 1))
-        for p, hashes in enumerate(self.hashes):
-            at = order[ends[p]:ends[p + 1]]
-            if len(at) and len(hashes):
-                place = np.searchsorted(hashes, keys[at])
-                hit = hashes[np.minimum(place, len(hashes) - 1)] == keys[at]
+
+    def of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per token its word's id, or UNKNOWN, and its count."""
+        keys, back = np.unique(hashes, return_inverse=True)
+        ids, counts = np.full(len(keys), UNKNOWN, np.int64), np.zeros(len(keys), np.int64)
+        part = (keys >> self.shift).astype(np.int64) if self.shift is not None else np.zeros(len(keys), np.int64)
+        for p, at in dealt(part, len(self.hashes)):
+            held = self.hashes[p]
+            if len(held):
+                place = np.searchsorted(held, keys[at])
+                hit = held[np.minimum(place, len(held) - 1)] == keys[at]
                 ids[at[hit]] = place[hit] + self.offsets[p]
                 counts[at[hit]] = self.counts[p][place[hit]]
-        self.known.update(zip(new, zip(ids.tolist(), counts.tolist(), strict=True), strict=True))
-
-    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        self.learn(set(words))
-        pairs = np.fromiter(chain.from_iterable(map(self.known.__getitem__, words)), np.int64, 2 * len(words))
-        return pairs[::2], pairs[1::2]
+        return ids[back], counts[back]
 
 
 @lru_cache(maxsize=2)
@@ -171,15 +158,12 @@ def _count_pairs(folder: str, offsets: tuple[int, ...], parts: int):
         words = vocabulary(folder, offsets)
         held, n = [], 0
         for batch in batches:
-            lists = [tokens(t.as_py()) for t in batch.column(0)]
-            lengths = np.array([len(x) for x in lists])
-            if len(lists):
-                ids, _ = words.of(list(chain.from_iterable(lists)))
-                held.append(pair_keys(ids, lengths, words.size))
-                n += len(ids)
-            if n >= TOKENS_PER_RUN:
-                yield from send(held)
-                held, n = [], 0
+            for _, hashes, lengths in token_hashes(batch.column(0)):
+                held.append(pair_keys(words.of(hashes)[0], lengths, words.size))
+                n += len(hashes)
+                if n >= KEYS_PER_RUN:
+                    yield from send(held)
+                    held, n = [], 0
         if held:
             yield from send(held)
 
@@ -208,7 +192,7 @@ def id_part(parts: int, size: int) -> int:
     return max(1, -(-(size + 1) // parts))
 
 
-def train(docs: DataFrame, folder: str, words_per_part: int = 2_000_000, pairs_per_part: int = 4_000_000) -> dict:
+def train(docs: DataFrame, folder: str, words_per_part: int = 1_000_000, pairs_per_part: int = 2_000_000) -> dict:
     """Count `docs` (text) and write the arrays below `folder`; the model's numbers, small enough for the driver."""
     texts = docs.select("text")
     sized = texts.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
@@ -352,17 +336,15 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     def scored(batches):
         lm = _model(items)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                lists = [tokens(t.as_py()) for t in part.column(2)]
-                lengths = np.array([len(x) for x in lists])
-                ids, counts = lm.words.of(list(chain.from_iterable(lists)))
-                starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+            for row, hashes, lengths in token_hashes(batch.column(2)):
+                ids, counts = lm.words.of(hashes)
+                starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
                 base = np.log10((counts + 0.5) / (lm.total + 0.5 * (lm.size + 1)))
+                n = len(lengths)
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0), part.column(1), pa.array(lengths.astype(np.int64)),
+                    batch.column(0).slice(row, n), batch.column(1).slice(row, n), pa.array(lengths.astype(np.int64)),
                     pa.array(np.add.reduceat((counts > 0).astype(np.int64), starts)),
-                    pa.array(np.full(len(lengths), lm.total, np.int64)), pa.array(np.add.reduceat(base, starts)),
+                    pa.array(np.full(n, lm.total, np.int64)), pa.array(np.add.reduceat(base, starts)),
                     pa.array(np.add.reduceat(lm.log10(ids, lengths), starts))],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 

@@ -35,11 +35,6 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
-def lowered_words_of(text: str | None) -> list[bytes]:
-    """The words with A-Z lowered; bytes.lower() touches ASCII letters alone."""
-    return text.encode().lower().split() if text else []
-
-
 class WordHashes(dict):
     """word -> 64-bit hash, remembered up to `most` words."""
 
@@ -178,6 +173,8 @@ def save(folder: str, name: str, array: np.ndarray) -> None:
     part = f"{path}/.{name}-{uuid.uuid4().hex}"
     with system.open_output_stream(part) as out:
         out.write(np.ascontiguousarray(array).tobytes())
+    if not isinstance(system, pafs.LocalFileSystem) and system.get_file_info(f"{path}/{name}").type == pafs.FileType.File:
+        system.delete_file(f"{path}/{name}")  # a local move replaces by itself
     system.move(part, f"{path}/{name}")
 
 
