@@ -134,15 +134,14 @@ def ids_of(column) -> np.ndarray:
 
 
 class Classes:
-    """The classes' mapped arrays: key, size, least id; a class's number is its place in them."""
+    """The classes' mapped arrays: key, least id, profile; a class's number is its place in them."""
 
     def __init__(self, folder: str, offsets: tuple[int, ...]):
         self.offsets, parts = offsets, len(offsets) - 1
         load = lambda name, kind: [mapped(folder, f"{name}-{p}", kind) if offsets[p + 1] > offsets[p] else np.empty(0, kind)
                                    for p in range(parts)]
         self.first, self.second, self.ids = load("first", "<u8"), load("second", "<u8"), load("id", "<i8")
-        self.size, self.profile = load("size", "<i8"), load("profile", "u1")
-        self.ends = [np.concatenate([[0], np.cumsum(1 << classes_of(n))]) for n in self.size]
+        self.profile, self.begin = load("profile", "u1"), load("begin", "<i8")
 
     def find(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The numbers and least ids of classes that exist, by their keys."""
@@ -160,7 +159,7 @@ class Classes:
         """The profiles of classes that have 2^bits entries."""
         out = np.empty((len(numbers), 1 << bits), np.int16)
         for p, at in dealt(np.searchsorted(self.offsets, numbers, "right") - 1, len(self.first)):
-            begin = self.ends[p][numbers[at] - self.offsets[p]]
+            begin = self.begin[p][numbers[at] - self.offsets[p]]
             out[at] = self.profile[p][begin[:, None] + np.arange(1 << bits)]
         return out
 
@@ -249,8 +248,10 @@ def _write_classes(read: DataFrame, folder: str, per_part: int) -> tuple[int, ..
         p = key[0].as_py()
         first, second = (table[c].to_numpy().astype(np.uint64) for c in ("first", "second"))
         order = np.lexsort((second, first))
-        for name, column in (("first", first), ("second", second), ("id", table["id"].to_numpy()), ("size", table["n"].to_numpy())):
+        for name, column in (("first", first), ("second", second), ("id", table["id"].to_numpy())):
             save(folder, f"{name}-{p}", column[order])
+        classes = 1 << classes_of(table["n"].to_numpy()[order])
+        save(folder, f"begin-{p}", (np.cumsum(classes) - classes).astype("<i8"))
         kept = table["profile"].to_pylist()
         save(folder, f"profile-{p}", np.frombuffer(b"".join(kept[k] for k in order.tolist()), np.uint8))
         return pa.table({"part": pa.array([p], pa.int32()), "n": [len(first)]})
@@ -601,7 +602,7 @@ def _join_regions(regions: DataFrame, folder: str, percent: int, leaf: int) -> l
         regions, level = settled(split.join(stuck, "region", "left_anti").select(*columns)), level + 1
 
 
-def similar(docs: DataFrame, percent: int = 85, leaf: int = 2_000_000, per_part: int = 4_000_000) -> DataFrame:
+def similar(docs: DataFrame, percent: int = 85, leaf: int = 2_000_000, per_part: int = 1_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id): a row per document, linked at 100 * overlap >= percent * union.
 
     `leaf` bounds the shingles that one task joins, `per_part` the keys of one block of an array.

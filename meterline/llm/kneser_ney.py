@@ -213,7 +213,7 @@ def train(docs: DataFrame, folder: str, words_per_part: int = 1_000_000, pairs_p
     offsets = tuple(np.concatenate([[0], np.cumsum([sizes.get(p, 0) for p in range(word_parts)])]).tolist())
     total, size = sum(r["tokens"] for r in made), offsets[-1]
     model = {"folder": folder, "offsets": offsets, "tokens": total, "words": size, "pair_parts": 1, "id_parts": 1,
-             "pair_counts": (0, 0, 0, 0), "word_counts": (0, 0, 0, 0), "pairs": 0}
+             "pair_counts": (0, 0, 0, 0), "word_counts": (0, 0, 0, 0), "pairs": 0, "followers": 0}
     if not total:
         return model
     pair_parts = max(1, -(-total // pairs_per_part))
@@ -242,7 +242,7 @@ def train(docs: DataFrame, folder: str, words_per_part: int = 1_000_000, pairs_p
     def write_ids(key, table):
         kind, q = key[0].as_py(), key[1].as_py()
         if kind == "c":
-            counts = sum(unpacked(c.as_py(), "<i8") for c in table["counts"])
+            counts, values = sum(unpacked(c.as_py(), "<i8") for c in table["counts"]), ()
         else:
             columns = 4 if kind == "u" else 1
             ids, values = _merged(table, columns)
@@ -251,22 +251,23 @@ def train(docs: DataFrame, folder: str, words_per_part: int = 1_000_000, pairs_p
             save(folder, f"{'context' if kind == 'u' else 'follows'}-{q}", dense)
             counts = _counts_of_counts(values[:, 0])
         return pa.table({"kind": [kind], "part": pa.array([q], pa.int32()), "counts": [[int(x) for x in counts]],
-                         "sum": [0 if kind == "c" else int(values[:, 0].sum())]})
+                         "n": [len(values)], "sum": [0 if kind == "c" else int(values[:, 0].sum())]})
 
     pairs = texts.mapInArrow(_count_pairs(folder, offsets, pair_parts), RUN).groupBy("part").applyInArrow(
         write_pairs, "kind string, part int, keys binary, counts binary")
     facts = pairs.groupBy("kind", "part").applyInArrow(
-        write_ids, "kind string, part int, counts array<long>, sum long").collect()
+        write_ids, "kind string, part int, counts array<long>, n long, sum long").collect()
     counted = lambda kind: tuple(sum(r["counts"][k] for r in facts if r["kind"] == kind) for k in range(4))
     return model | {"pair_parts": pair_parts, "id_parts": id_parts, "pair_counts": counted("c"), "word_counts": counted("w"),
                     "pairs": sum(r["sum"] for r in facts if r["kind"] == "w"),
+                    "followers": sum(r["n"] for r in facts if r["kind"] == "w"),
                     "dense": tuple(sorted((r["kind"], r["part"]) for r in facts if r["kind"] != "c"))}
 
 
 class Model:
     """Log probabilities over the mapped arrays."""
 
-    def __init__(self, folder, offsets, tokens, words, pair_parts, id_parts, pair_counts, word_counts, pairs, dense=()):
+    def __init__(self, folder, offsets, tokens, words, pair_parts, id_parts, pair_counts, word_counts, pairs, followers, dense=()):
         self.words, self.size, self.total, self.pairs = vocabulary(folder, offsets), words, tokens, pairs
         self.parts, self.per = pair_parts, id_part(id_parts, words)
         self.pair_d, self.word_d = discounts(pair_counts), discounts(word_counts)
@@ -278,8 +279,7 @@ class Model:
             -1, 4 if kind == "u" else 1) for kind, q in dense}
         # Lower order: the part that discounting frees goes evenly to V words and the unknown class.
         n1, n2 = word_counts[0], word_counts[1]
-        distinct = sum(int((a[:, 0] > 0).sum()) for (kind, _), a in self.dense.items() if kind == "w")
-        self.free = sum(d * n for d, n in zip(self.word_d, (n1, n2, distinct - n1 - n2), strict=True)) / max(1, pairs)
+        self.free = sum(d * n for d, n in zip(self.word_d, (n1, n2, followers - n1 - n2), strict=True)) / max(1, pairs)
 
     def _dense(self, kind: str, ids: np.ndarray) -> np.ndarray:
         """The rows of sorted distinct `ids`."""

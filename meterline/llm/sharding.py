@@ -132,8 +132,9 @@ def _medians(rows: DataFrame, wanted: dict[int, tuple[int, float]]) -> dict[int,
             single = found["lo"] == found["hi"]
             if s["tie"] is not None:
                 if single:
-                    # The key that holds the median goes below when more of it lies below.
-                    done[n] = (s["value"], found["lo"])
+                    # The key that holds the median goes to the side where it leaves the smaller error.
+                    above = target - before < before + found["size"] - target and found["lo"] > -(1 << 63)
+                    done[n] = (s["value"], found["lo"] - above)
                     del search[n]
                 else:
                     s["tie"] = (found["lo"], found["hi"])

@@ -20,8 +20,8 @@ def brute(rows, whole, first, shards, out):
     while before < target:
         before += rows[at][1]
         at += 1
-    while at < len(rows) and (rows[at][2][dim], rows[at][3]) == (rows[at - 1][2][dim], rows[at - 1][3]):
-        at += 1
+    if at and target - (before - rows[at - 1][1]) < before - target:
+        at -= 1  # ids are unique here, so a key is a row
     brute(rows[:at], whole, first, shards // 2, out)
     brute(rows[at:], whole, first + shards // 2, shards - shards // 2, out)
 
