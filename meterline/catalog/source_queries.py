@@ -352,14 +352,32 @@ def opencode_usage(spark, sf):
         "key", "ts_ms", "model", *TOKEN_COLUMNS, "session_id", "cwd")
 
 
-@query("all_sources", with_uses("""
+def _as_growth(records: DataFrame, agent: str) -> DataFrame:
+    """Records of rewritten documents as additive rows, next to the rows of logs: a first snapshot only adds."""
+    fields = ("agent", "ts_ms", *TOKEN_COLUMNS, "cost_usd")
+    versions = records.withColumns({"agent": F.lit(agent), "cost_usd": F.lit(None).cast(COST)})
+    keys = ["session_id", "key"]
+    newest = cdc.last_in_snapshot(versions, keys, ["ts_ms"])
+    return cdc.delta_events(cdc.changes(versions.limit(0), newest, keys, fields))
+
+
+@query("all_sources", with_uses(_CODEX_SQL + """
 SELECT agent, count(*) AS events, CAST(sum(tokens) AS BIGINT) AS tokens FROM (
   SELECT 'claude' AS agent, input_tokens + output_tokens + cache_creation_tokens
     + CASE WHEN k % 2 = 0 THEN cache_read_tokens ELSE 0 END AS tokens FROM uses WHERE k % 7 <> 0 AND model <> ''
-  UNION ALL SELECT 'kimi', tokens FROM uses WHERE k % 3 <> 0 AND user_id % 10 <> 3)
+  UNION ALL SELECT 'codex', greatest(d_in - d_cached, 0) + d_out + d_cached FROM turns WHERE d_in <> 0 OR d_out <> 0 OR d_cached <> 0
+  UNION ALL SELECT 'pi', tokens FROM uses WHERE k % 10 <> 0
+  UNION ALL SELECT 'gemini', greatest(input_tokens - k, 0) + output_tokens + k + k FROM uses WHERE k % 10 <> 0 AND k % 3 <> 0
+  UNION ALL SELECT 'qwen', greatest(input_tokens - k, 0) + output_tokens + 7 + k FROM uses WHERE k % 6 <> 5
+  UNION ALL SELECT 'kimi', tokens FROM uses WHERE k % 3 <> 0 AND user_id % 10 <> 3
+  UNION ALL SELECT 'cline', tokens FROM uses WHERE k % 4 <> 3
+  UNION ALL SELECT 'roo', tokens FROM uses WHERE k % 5 <> 2)
 GROUP BY agent"""))
 def all_sources(spark, sf):
-    merged = union_all([claude_usage(spark, sf), kimi_usage(spark, sf)])
+    """Every source that needs no database: six logs, and two of rewritten documents through change capture."""
+    logs = [q(spark, sf) for q in (claude_usage, codex_usage, pi_usage, gemini_usage, qwen_usage, kimi_usage)]
+    rewritten = [_as_growth(cline_records(spark, sf), "cline"), _as_growth(task_records(spark, sf), "roo")]
+    merged = union_all([f.select("agent", *TOKEN_COLUMNS) for f in logs + rewritten])
     tokens = sum((F.col(c) for c in TOKEN_COLUMNS), F.lit(0))
     return merged.groupBy("agent").agg(F.count("*").alias("events"), F.sum(tokens).alias("tokens"))
 
