@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from meterline.catalog.cube_queries import _DAY, _HOUR, _MINUTE
 from meterline.catalog.inputs import SUMS_SQL, TZ_MIN, out, query, usage, usage_from, with_priced, with_uses
-from meterline.catalog.signal_queries import DELIVERED_SQL, _PACED, host_walls, readings_from
+from meterline.catalog.signal_queries import DELIVERED_SQL, _PACED, host_walls, newest, readings_from
 from meterline.functions.money import total_tokens
 from meterline.operators import cube
 from meterline.session import checkpoint_root
@@ -30,6 +30,20 @@ def usage_stream(spark, sf_dir: str) -> DataFrame:
     return usage_from(events_stream(spark, sf_dir))
 
 
+def usage_in_batches(spark, sf_dir: str, batches: int = 3, files: int = 4) -> DataFrame:
+    """The same events landed in order, so that state has to be carried from one micro-batch to the next."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    folder = scratch(spark, "landed")
+    first, last = events.agg(F.min("event_id"), F.max("event_id")).first()
+    if first is None:
+        return usage_stream(spark, sf_dir)
+    step = -(-(last - first + 1) // batches)
+    for k in range(batches):
+        some = events.where(F.col("event_id").between(first + k * step, first + (k + 1) * step - 1))
+        some.repartition(files).write.mode("append").parquet(folder)
+    return usage_from(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(folder))
+
+
 def drained(stream: DataFrame, name: str) -> DataFrame:
     """All rows a stream emits up to the end of its input, through a parquet sink."""
     spark = stream.sparkSession
@@ -107,25 +121,30 @@ def streamed_pace(spark, sf):
 
 
 @query("streamed_sessions", with_uses("""
-SELECT agent, session_id, coalesce(max(ts_ms) FILTER (k % 5 <> 0), 0) AS last_event_ms,
-  coalesce(max(ts_ms) FILTER (k % 5 = 0), 0) AS last_growth_ms, arg_max(k % 5 = 0, event_id) AS mid_turn FROM uses
-GROUP BY ALL"""))
+, s AS (SELECT agent, session_id, coalesce(max(ts_ms) FILTER (k % 5 <> 0), 0) AS last_event_ms,
+  coalesce(max(ts_ms) FILTER (k % 5 = 0), 0) AS last_growth_ms, arg_max(k % 5 = 0, event_id) AS mid_turn FROM uses GROUP BY ALL),
+newest AS (SELECT max(ts_ms) AS now_ms FROM uses)
+SELECT agent, session_id, last_event_ms, last_growth_ms, mid_turn, CASE
+  WHEN now_ms - greatest(last_event_ms, last_growth_ms) > 1800000 THEN 'done'
+  WHEN now_ms - greatest(last_event_ms, last_growth_ms) <= 120000 OR (mid_turn AND now_ms - last_growth_ms <= 600000) THEN 'running'
+  ELSE 'idle' END AS state FROM s, newest"""))
 def streamed_sessions(spark, sf):
-    signals = usage_stream(spark, sf).select(
+    """Three micro-batches; the last update of a session is the one with its last signal."""
+    signals = usage_in_batches(spark, sf).select(
         "agent", "session_id", F.when(F.col("k") % 5 == 0, "growth").otherwise("event").alias("kind"),
         F.col("ts_ms").alias("at_ms"), F.col("event_id").alias("seq"))
-    updates = drained(state_stream.session_stream(signals), "streamed-sessions")
-    newest = updates.groupBy("agent", "session_id").agg(F.max_by(
-        F.struct("last_event_ms", "last_growth_ms", "mid_turn"), F.greatest("last_event_ms", "last_growth_ms")).alias("s"))
-    return newest.select("agent", "session_id", "s.last_event_ms", "s.last_growth_ms", "s.mid_turn")
+    updates = drained(state_stream.session_stream(signals, now_ms=newest(spark, sf)), "streamed-sessions")
+    last = updates.groupBy("agent", "session_id").agg(F.max_by(
+        F.struct("last_event_ms", "last_growth_ms", "mid_turn", "state"), "seq").alias("s"))
+    return last.select("agent", "session_id", "s.*")
 
 
 @query("streamed_alerts", DELIVERED_SQL.replace("{more}", ""))
 def streamed_alerts(spark, sf):
-    """Alerts from the stateful stream, walls joined in from the readings so far."""
+    """Alerts from the stateful stream in three micro-batches, walls joined in from the readings so far."""
     walls = host_walls(spark, sf).select(
         "host", "seq", F.col("agent").alias("wall_agent"), F.col("kind").alias("wall_kind"),
         F.col("used_percent").alias("wall_percent"), "wall_at_ms")
-    observed = readings_stream(spark, sf).join(walls, ["host", "seq"], "left")
+    observed = readings_from(usage_in_batches(spark, sf)).join(walls, ["host", "seq"], "left")
     return out(drained(state_stream.alert_stream(observed), "streamed-alerts").drop("now_ms"))
 

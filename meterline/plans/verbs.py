@@ -51,7 +51,7 @@ def export(cells: DataFrame, tier: str = "hour", tz_offset_min: int = 0,
            span: BucketRange | None = None) -> DataFrame:
     """The archival rows: one fixed set of columns, money with six decimals."""
     bounds = {"from_bucket": span.from_bucket, "to_bucket": span.to_bucket} if span else {}
-    rows = cube.query(cells.withColumn("synthetic_flag", F.col("synthetic")), EXPORT_DIMENSIONS, **bounds)
+    rows = cube.query(cells, EXPORT_DIMENSIONS, **bounds)
     return rows.select(
         timecols.bucket_start_ms(tier, F.col("bucket"), tz_offset_min).alias("bucket_ms"),
         "agent", "model", "project", F.col("session_id").alias("session"),

@@ -50,8 +50,11 @@ def task_messages(files: DataFrame, agent: str) -> DataFrame:
     kept = once(rows.filter(
         (F.col("m.type") == "say") & F.col("m.say").isin("api_req_started", "deleted_api_reqs")
         & F.col("m.ts").isNotNull()), u=F.from_json("m.text", _LEGACY_COUNTERS))
+    # A counter that is an object, a list or a boolean makes the row no request.
+    odd = [F.coalesce(F.get_json_object("m.text", f"$.{c}").rlike(r"^(\{|\[|true$|false$)"), F.lit(False))
+           for c in ("tokensIn", "tokensOut", "cacheWrites", "cacheReads")]
     return _records(
-        kept.filter(F.col("u").isNotNull()), agent, key=F.col("m.ts").cast("string"), ts_ms=F.col("m.ts"),
+        kept.filter(F.col("u").isNotNull() & ~(odd[0] | odd[1] | odd[2] | odd[3])), agent, key=F.col("m.ts").cast("string"), ts_ms=F.col("m.ts"),
         model=F.lit(""), input_tokens=count_of(F.col("u.tokensIn")),
         output_tokens=count_of(F.col("u.tokensOut")),
         cache_creation_tokens=count_of(F.col("u.cacheWrites")),

@@ -52,16 +52,18 @@ def activity(last_event_ms: int, last_growth_ms: int, mid_turn: bool, now_ms: in
     return "idle"
 
 
-def session_stream(signals: DataFrame, timeout: bool = False) -> DataFrame:
-    """Activity per (agent, session) as of its newest signal.
+def session_stream(signals: DataFrame, timeout: bool = False, now_ms: int | None = None) -> DataFrame:
+    """Activity per (agent, session), an update for each batch that signals it, with the last `seq` it has seen.
+
+    The clock of an update is `now_ms`, or the session's newest signal where none is given.
 
     With `timeout` a silent session is looked at again by the clock, so it turns
     idle and done without another signal, and its state is then forgotten.
     """
-    columns = ["agent", "session_id", "last_event_ms", "last_growth_ms", "mid_turn", "state"]
+    columns = ["agent", "session_id", "last_event_ms", "last_growth_ms", "mid_turn", "state", "seq"]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        event, growth, mid = state.get if state.exists else (0, 0, False)
+        event, growth, mid, seq = state.get if state.exists else (0, 0, False, 0)
         if state.hasTimedOut:
             now = state.getCurrentProcessingTimeMs()
             verdict = activity(event, growth, mid, now)
@@ -69,23 +71,23 @@ def session_stream(signals: DataFrame, timeout: bool = False) -> DataFrame:
                 state.remove()
             else:
                 state.setTimeoutDuration(RUNNING_WITHIN_MS)
-            yield pd.DataFrame([(*key, event, growth, mid, verdict)], columns=columns)
+            yield pd.DataFrame([(*key, event, growth, mid, verdict, seq)], columns=columns)
             return
         for row in _ordered(batches).itertuples():
-            mid = row.kind == "growth"
+            mid, seq = row.kind == "growth", int(row.seq)
             if mid:
                 growth = max(growth, int(row.at_ms))
             else:
                 event = max(event, int(row.at_ms))
-        state.update((event, growth, mid))
+        state.update((event, growth, mid, seq))
         if timeout:
             state.setTimeoutDuration(RUNNING_WITHIN_MS)
-        yield pd.DataFrame([(*key, event, growth, mid, activity(event, growth, mid, max(event, growth)))],
-                           columns=columns)
+        clock = max(event, growth) if now_ms is None else now_ms
+        yield pd.DataFrame([(*key, event, growth, mid, activity(event, growth, mid, clock), seq)], columns=columns)
 
     return signals.groupBy("agent", "session_id").applyInPandasWithState(
         step, "agent string, session_id string, last_event_ms bigint, last_growth_ms bigint, mid_turn boolean, "
-        "state string", "event bigint, growth bigint, mid boolean", "append",
+        "state string, seq bigint", "event bigint, growth bigint, mid boolean, seq bigint", "append",
         GroupStateTimeout.ProcessingTimeTimeout if timeout else GroupStateTimeout.NoTimeout)
 
 
