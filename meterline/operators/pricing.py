@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from meterline.functions import money
 from meterline.functions.price_list import bundled_prices, bundled_rows
 from meterline.operators.bounded import broadcast_if_small
+from meterline.session import settled
 
 RATES = ("input_rate", "output_rate", "creation_rate", "read_rate")
 MAX_LITERAL_KEYS = 2_000
@@ -108,10 +109,10 @@ def _with_cost(rated: DataFrame) -> DataFrame:
 def price_rows(events: DataFrame, prices: DataFrame | None = None, rates: DataFrame | None = None) -> DataFrame:
     """Single events with `cost_usd`, null when unpriced.
 
-    Names are resolved once per distinct model and joined back. `rates` is a stored
-    `model_rates` table, whose size the optimizer knows, or one the caller has sized.
+    Names are resolved once per distinct model, written, and joined back: events are read for the names and
+    for the join. `rates` is a stored `model_rates` table, or one the caller has sized.
     """
-    rates = broadcast_if_small(model_rates(events, prices)) if rates is None else rates
+    rates = broadcast_if_small(settled(model_rates(events, prices))) if rates is None else rates
     return _with_cost(events.join(rates.select("model", *RATES), "model", "left"))
 
 

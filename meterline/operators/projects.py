@@ -9,6 +9,7 @@ from meterline.functions.money import COST
 from meterline.functions.paths import project_root, trim_slashes
 from meterline.operators.bounded import broadcast_if_small
 from meterline.schemas import TOKEN_COLUMNS
+from meterline.session import settled
 
 
 def with_project(events: DataFrame) -> DataFrame:
@@ -47,7 +48,7 @@ def resolve_roots(paths: DataFrame, repo_roots: DataFrame, home: str = "") -> Da
 
 
 def attach_roots(events: DataFrame, repo_roots: DataFrame, home: str = "") -> DataFrame:
-    roots = broadcast_if_small(resolve_roots(events, repo_roots, home))
+    roots = broadcast_if_small(settled(resolve_roots(events, repo_roots, home)))
     return events.drop("project").join(roots, "cwd", "left")
 
 
