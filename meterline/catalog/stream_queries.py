@@ -104,6 +104,7 @@ def streamed_dedup(spark, sf):
     keyed = copies.select("agent", "ts_ms", "event_id", F.lit("f").alias("source_file"),
                           F.col("copy").cast("bigint").alias("line_start"), F.col("event_id").alias("line_seq"),
                           F.when(F.col("k") % 7 != 0, F.col("event_id").cast("string")).alias("dedup_key"))
+    cube_stream.disk_state(spark)
     kept = drained(cube_stream.dedup_keyed(keyed).select("agent", "event_id"), "streamed-dedup")
     return kept.groupBy("agent").agg(F.count("*").alias("events"), F.countDistinct("event_id").alias("distinct_events"))
 
