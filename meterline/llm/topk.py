@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Parts of the lists that a round has read; the rest is resolved.
-DEPTHS = (0.25, 0.6)
+DEPTHS = (0.6, 0.85)
 #: Part of all pairs left at which a block's reading ends and scores are resolved.
 FEW = 0.02
 
