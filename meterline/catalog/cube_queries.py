@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from meterline.catalog.inputs import (COVERED_SQL, NOW_MS, SUMS_SQL, TZ_MIN, hours, local_days, out, priced, query, usage,
@@ -13,6 +15,7 @@ from meterline.operators import cube, pricing, projects, rates
 from meterline.operators.dedup import keep_first
 from meterline.plans import verbs
 from meterline.schemas import DIMENSIONS, agents, plan_prices
+from meterline.session import checkpoint_root
 
 _FROM_DAY, _TO_DAY = 19730, 19740
 _DAY = f"CAST(floor((ts_ms + {TZ_MIN} * 60000) / 86400000.0) AS BIGINT)"
@@ -50,6 +53,23 @@ def price_events(spark, sf):
     return out(priced(spark, sf).select("event_id", "cost_usd"))
 
 
+@query("priced_from_file", with_priced("""
+SELECT model, count(*) AS events, CAST(round(coalesce(sum(cost_usd), 0), 6) AS DOUBLE) AS cost_usd FROM priced GROUP BY model"""))
+def priced_from_file(spark, sf):
+    """A price file written, loaded and applied; its unknown fields and missing rates do no harm."""
+    path = f"{checkpoint_root(spark)}/prices-{uuid.uuid4().hex}"
+    rates = {"input_cost_per_token": "input_rate", "output_cost_per_token": "output_rate",
+             "cache_creation_input_token_cost": "creation_rate", "cache_read_input_token_cost": "read_rate"}
+    book = pricing.bundled_prices(spark).select("price_key", "position", F.struct(
+        *[F.when(F.col(rate) > 0, F.col(rate).cast("double")).alias(name) for name, rate in rates.items()],
+        F.lit("chat").alias("mode")).alias("r"))
+    # The bundled list has a fixed size, so its file is one.
+    book.agg(F.to_json(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("position", "price_key", "r"))), lambda x: F.struct(
+        x["price_key"].alias("key"), x["r"].alias("value"))))).alias("value")).coalesce(1).write.text(path)
+    rows = pricing.price_rows(usage(spark, sf), pricing.load_prices(spark, f"{path}/*.txt"))
+    return out(rows.groupBy("model").agg(F.count("*").alias("events"), F.coalesce(F.sum("cost_usd"), F.lit(0)).alias("cost_usd")))
+
+
 @query("resolve_models", with_priced("""
 SELECT n.model, r.price_key FROM names n LEFT JOIN rates r USING (model)"""))
 def resolve_models(spark, sf):
@@ -222,6 +242,21 @@ def history_since(spark, sf):
     return out(rows.drop("covered_cost_usd", "records"))
 
 
+@query("json_rows", with_priced(f"""
+SELECT agent, CAST(sum(tokens) AS BIGINT) AS tokens, count(*) AS events, CAST(round(coalesce(sum(cost_usd), 0), 6) AS DOUBLE) AS cost_usd, 'history' AS verb
+FROM (SELECT *, {_DAY} AS bucket FROM priced) WHERE bucket BETWEEN 19732 AND 19742 GROUP BY agent"""))
+def json_rows(spark, sf):
+    """A result written as JSON rows under a header row, and read back."""
+    span = timecols.resolve_range("day", NOW_MS, "2024-01-10", "2024-01-20", TZ_MIN)
+    rows, _ = verbs.history(day_cells(spark, sf, "agent", "model", since_ms=span.since_ms, until_ms=span.until_ms), ["agent"], span=span)
+    path = f"{checkpoint_root(spark)}/rows-{uuid.uuid4().hex}"
+    verbs.write_json(rows, "history", span, path)
+    lines = spark.read.text(path).select(F.from_json(
+        "value", "verb string, agent string, tokens bigint, events bigint, cost_usd double").alias("r")).select("r.*")
+    verb = lines.filter(F.col("verb").isNotNull()).select("verb").scalar()
+    return lines.filter(F.col("verb").isNull()).select("agent", "tokens", "events", "cost_usd").withColumn("verb", verb)
+
+
 @query("hot_minutes", with_uses(f"""
 SELECT {_MINUTE} AS bucket, CAST(sum(tokens) AS BIGINT) AS tokens FROM uses
 WHERE {_MINUTE} * 60000 >= {NOW_MS} - 172800000 GROUP BY 1"""))

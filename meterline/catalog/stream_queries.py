@@ -94,6 +94,20 @@ def streamed_windows(spark, sf):
     return spark.read.parquet(f"{folder}/rows")
 
 
+@query("streamed_rates", with_uses("""
+, edges AS (SELECT min(event_id) AS f, max(event_id) AS l FROM uses),
+landed AS (SELECT ts_ms, weighted, (event_id - f) // ((l - f + 3) // 3) AS batch FROM uses, edges),
+marks AS (SELECT batch, max(max(ts_ms)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1200000 AS mark
+  FROM landed GROUP BY batch)
+SELECT ts_ms // 10000 * 10000 AS window_start_ms, CAST(sum(weighted) AS BIGINT) AS tokens FROM landed JOIN marks USING (batch)
+WHERE coalesce((ts_ms // 10000 + 1) * 10000 > mark, true) GROUP BY 1
+HAVING window_start_ms + 10000 <= (SELECT max(ts_ms) - 1200000 FROM uses)"""))
+def streamed_rates(spark, sf):
+    """Rate windows over three micro-batches: rows behind the watermark are dropped, open windows are not yet out."""
+    rates = cube_stream.rate_windows(usage_in_batches(spark, sf))
+    return drained(rates, "streamed-rates").select("window_start_ms", F.col("tokens").cast("bigint"))
+
+
 @query("streamed_dedup", with_uses("""
 SELECT agent, count(*) AS events, count(DISTINCT event_id) AS distinct_events FROM uses GROUP BY agent"""))
 def streamed_dedup(spark, sf):
