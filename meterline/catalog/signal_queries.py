@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterline.catalog.cube_queries import minute_cells
-from meterline.catalog.inputs import NOW_MS, out, query, usage, with_priced, with_uses
+from meterline.catalog import rollup_queries
+from meterline.catalog.inputs import NOW_MS, ORACLES, TZ_MIN, out, query, usage, with_priced, with_uses
 from meterline.functions import severity
 from meterline.functions.timecols import HOUR_MS
 from meterline.operators import alerts, gauges, quota, ranking, rates, roster
 from meterline.operators.scan import Running, chunk_of, ordered_scan
+from meterline.plans import report
 
 _NOW_MIN = NOW_MS // 60_000
 _DAY_MS = 86_400_000
@@ -599,3 +601,15 @@ SELECT count_if(state <> 'done') AS live, count_if(state = 'running') AS running
 def fleet_counts(spark, sf):
     from meterline.operators.rollups import fleet_counts as counted
     return counted(roster.states(lit(spark, sf), newest(spark, sf)))
+
+
+@query("snapshot_sources", f"""
+SELECT 'coverage' AS part, agent, CAST(events AS DOUBLE) AS value FROM ({ORACLES["source_coverage"]})
+UNION ALL SELECT 'limits', agent, used_percent FROM ({ORACLES["latest_limits"]})""")
+def snapshot_sources(spark, sf):
+    """Coverage and newest limits as the snapshot carries them: a row per agent each."""
+    whole = report.snapshot(usage(spark, sf), NOW_MS, TZ_MIN, rollup_queries.source_coverage(spark, sf), latest_limits(spark, sf))
+    parts = [whole.select(F.explode(name).alias("r")).select(
+        F.lit(name).alias("part"), "r.agent", F.col(f"r.{value}").cast("double").alias("value"))
+        for name, value in (("coverage", "events"), ("limits", "used_percent"))]
+    return parts[0].unionByName(parts[1])
