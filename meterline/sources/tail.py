@@ -1,4 +1,4 @@
-"""Repeated sweeps over logs that grow, into the cube (SRC1, SRC17, D2, C6).
+"""Repeated sweeps over logs that grow and documents that are rewritten, into the cube (SRC1, SRC17, D2, C1, C5, C6, U1).
 
 A store remembers of every file its size, its time and how many complete lines have
 been taken in. A sweep lists the files, reads the ones that changed, and hands on only
@@ -8,6 +8,9 @@ and counters of a changed file are scanned from its start, so what they say abou
 new lines is what one read of the whole file would say. A file that became shorter was
 cut and starts again.
 
+Rewritten documents hold versions of records. A sweep compares them with the versions that the store holds, and what
+they have grown by goes into the same cube as additive rows.
+
 Every sweep has a generation number and writes the next state under it, last of all; a
 sweep that broke off is repeated and overwrites what it had written.
 """
@@ -19,7 +22,9 @@ from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterline.operators import cube, dedup
+from meterline.functions.money import COST
+from meterline.operators import cdc, cube, dedup
+from meterline.operators.pricing import price_rows
 from meterline.operators.projects import with_project
 from meterline.operators.scan import Running, ordered_scan, union_all
 from meterline.session import settled
@@ -28,6 +33,10 @@ from meterline.sources.lines import ORDER
 
 FILE_STATE = "agent string, source_file string, modified timestamp, length bigint, taken bigint"
 KEYS = "agent string, dedup_key string, generation int"
+RECORD_KEYS = ["agent", "source_file", "key"]
+RECORD_FIELDS = ("agent", *cdc.VERSION_FIELDS, "cost_usd")
+VERSIONS = ("agent string, source_file string, key string, ts_ms bigint, model string, input_tokens bigint, output_tokens bigint, "
+            f"cache_creation_tokens bigint, cache_read_tokens bigint, session_id string, cwd string, cost_usd {COST}")
 
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -78,6 +87,15 @@ def tail(spark: SparkSession, agent: str, paths: str | list[str], known: DataFra
     return settled(events), settled(state)
 
 
+def records(spark: SparkSession, agent: str, paths: str | list[str], prices: DataFrame | None) -> DataFrame:
+    """The newest version of every record of a source's documents, with its cost."""
+    rows = fleet.SOURCES[agent].read(spark, paths)
+    cwd = F.col("cwd") if "cwd" in rows.columns else F.lit("")
+    newest = cdc.last_in_snapshot(rows.withColumn("cwd", cwd), RECORD_KEYS, ["position"])
+    columns = dict.fromkeys([*RECORD_KEYS, *RECORD_FIELDS])
+    return settled(price_rows(newest, prices).select(*columns))
+
+
 def sweep_into_cube(spark: SparkSession, paths: dict[str, str | list[str]], store: str, generation: int,
                     tz_offset_min: int = 0, prices: DataFrame | None = None) -> DataFrame:
     """Take what is new in the logs into the cube below `store`; a status row per source.
@@ -86,9 +104,13 @@ def sweep_into_cube(spark: SparkSession, paths: dict[str, str | list[str]], stor
     running, is reported, keeps its old state and stops no other.
     """
     known = _read(spark, f"{store}/files/generation={generation - 1}", FILE_STATE)
-    found, states, status = [], [], []
+    found, states, status, snapshots = [], [], [], []
     for agent, where in paths.items():
         try:
+            if fleet.SOURCES[agent].kind == "versions":
+                snapshots.append(records(spark, agent, where, prices))
+                status.append((agent, True, ""))
+                continue
             events, state = tail(spark, agent, where, known)
         except (PySparkException, Py4JJavaError) as problem:
             status.append((agent, False, str(problem).splitlines()[0]))
@@ -96,17 +118,27 @@ def sweep_into_cube(spark: SparkSession, paths: dict[str, str | list[str]], stor
         found.append(events)
         states.append(state)
         status.append((agent, True, ""))
+    cells = []
+    stored = _read(spark, f"{store}/versions/generation={generation - 1}", VERSIONS)
+    if snapshots:
+        snapshot = union_all(snapshots)
+        changed = settled(cdc.changes(stored, snapshot, RECORD_KEYS, RECORD_FIELDS))
+        cells.append(cube.build_cells(with_project(cdc.delta_events(changed)), "minute"))
+        stored = cdc.merged(stored, snapshot, RECORD_KEYS)
     if found:
         keys = _read(spark, f"{store}/keys", KEYS).filter(F.col("generation") != generation)
         fresh = dedup.keep_first(dedup.not_yet_stored(union_all(found), keys))
         fresh = settled(with_project(fresh))
-        minute = settled(cube.build_cells(fresh, "minute", 0, prices))
+        cells.append(cube.build_cells(fresh, "minute", 0, prices))
+        (fresh.filter(F.col("dedup_key").isNotNull()).select("agent", "dedup_key")
+         .write.mode("overwrite").parquet(f"{store}/keys/generation={generation}"))
+    if cells:
+        minute = settled(union_all(cells))
         tag = f"sweep-{generation:06d}"
         cube.append(minute, store, "minute", tag)
         cube.append(cube.coarsen(minute, "hour"), store, "hour", tag)
         cube.append(cube.coarsen(minute, "day", tz_offset_min), store, "day", tag)
-        (fresh.filter(F.col("dedup_key").isNotNull()).select("agent", "dedup_key")
-         .write.mode("overwrite").parquet(f"{store}/keys/generation={generation}"))
+    stored.write.mode("overwrite").parquet(f"{store}/versions/generation={generation}")
     changed = union_all(states) if states else spark.createDataFrame([], FILE_STATE)
     kept = known.join(changed, ["agent", "source_file"], "left_anti")
     kept.select(changed.columns).unionByName(changed).write.mode("overwrite").parquet(
