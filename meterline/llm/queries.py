@@ -53,7 +53,7 @@ BASE_COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "
 
 @query("op1_line_frequency_rules", _LINE_RULES)
 def line_frequency_rules(spark, sf_dir):
-    ruled = rules.apply_rules(table(spark, sf_dir, "documents"))
+    ruled = rules.apply_rules(table(spark, sf_dir, "documents"), min_spread=0.5)  # as the SQL has it
     return ruled.select(*BASE_COLUMNS, "n_removed_lines", "n_removed_words")
 
 

@@ -2,21 +2,21 @@
 
 A line is addressed by two hashes of its normalised form (ASCII letters lowered,
 digits as 0, white space collapsed). Per host - the `source` of a document - the
-distinct documents that hold a line are counted. A line above the limits is removed
-wherever the host has it, and a document that loses too much is rejected.
+distinct whole texts that hold a line are counted. A line of `min_docs` texts is removed
+wherever the host has it, and a document that loses too much is rejected. Copies of one
+text count once, so a group of them, however large, does not deplete itself and is left
+to deduplication. Texts that differ anywhere count each.
 
-Two limits bound a line: `min_docs` distinct documents, and `min_spread`, the share
-of different lines that precede it among them. Copies of one document repeat its
-neighbourhood with it, boilerplate stands behind a different line each time; so a
-group of copies, however large, does not deplete itself and is left to deduplication.
+With `min_spread`, the rule that op1's SQL holds, documents are counted in place of texts, and
+a line must stand behind different lines in that share of them. That keeps copies whole too, but
+of boilerplate of several lines only the first line of a footer goes.
 
 Nothing is ever grouped by line alone without a count below it, so a line of a third
 of all documents stays one partial count per task; the frequent lines meet the
 documents' lines under a salt.
 
 Defined cases. A null text has no words and one blank line. A null id or host is a
-value like any other. Rows equal in id, host and text count as one document and are
-each answered. Blank lines count for nothing and stay. A text with fewer words than
+value like any other. Rows equal in id, host and text are each answered. Blank lines count for nothing and stay. A text with fewer words than
 a window repeats none. An empty table gives an empty table. Columns named like the
 added ones are replaced.
 """
@@ -80,7 +80,7 @@ def normalised(line: Column) -> Column:
 
 
 def document_lines(keyed: DataFrame) -> DataFrame:
-    """A row per distinct non-blank line of a document: host, hashes, place, words, and the line before it.
+    """A row per non-blank line of a document: host, hash of the whole text, hashes, place, words, and the line before it.
 
     The first line's neighbour is the one after it.
     """
@@ -93,13 +93,16 @@ def document_lines(keyed: DataFrame) -> DataFrame:
     beside = lambda a: F.transform(a, lambda s, k: F.struct(
         s["h1"].alias("h1"), s["h2"].alias("h2"), s["i"].alias("i"), s["n"].alias("n"),
         F.coalesce(F.when(k > 0, F.get(a, k - 1)["h1"]).otherwise(F.get(a, F.lit(1))["h1"]), F.lit(0)).alias("beside")))
-    return keyed.select("_k1", "_k2", "doc_id", "source", F.explode(let(hashed, beside)).alias("l")).select(
-        "_k1", "_k2", "doc_id", "source", "l.*")
+    return keyed.select("_k1", "_k2", "doc_id", "source", F.xxhash64("text").alias("whole"), F.explode(let(hashed, beside)).alias("l")).select(
+        "_k1", "_k2", "doc_id", "source", "whole", "l.*")
 
 
-def frequent_lines(lines: DataFrame, min_docs: int, min_spread: float) -> DataFrame:
-    """(source, h1, h2) of the lines above both limits of their host."""
+def frequent_lines(lines: DataFrame, min_docs: int, min_spread: float | None = None) -> DataFrame:
+    """(source, h1, h2) of the lines above the limits of their host."""
     line = ["source", "h1", "h2"]
+    if min_spread is None:
+        texts = lines.select(*line, "whole").distinct()
+        return texts.groupBy(*line).agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= min_docs).select(*line)
     # A document counts once, with what stands beside the line's first place in it.
     once = lines.groupBy(*line, "doc_id").agg(F.min(F.struct("i", "beside"))["beside"].alias("beside"))
     spread = once.groupBy(*line, "beside").agg(F.count(F.lit(1)).alias("docs"))
@@ -107,7 +110,7 @@ def frequent_lines(lines: DataFrame, min_docs: int, min_spread: float) -> DataFr
     return counted.where((F.col("docs") >= min_docs) & (F.col("spread") >= min_spread * F.col("docs"))).select(*line)
 
 
-def apply_rules(docs: DataFrame, min_docs: int = 20, min_spread: float = 0.5, min_left: int = 20,
+def apply_rules(docs: DataFrame, min_docs: int = 20, min_spread: float | None = None, min_left: int = 20,
                 max_lost: float = 0.5) -> DataFrame:
     """`docs` with the base counts, `clean_text`, `n_removed_lines`, `n_removed_words` and `kept`.
 

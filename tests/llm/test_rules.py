@@ -56,5 +56,40 @@ def test_depletion(spark):
     assert rules.apply_rules(other, min_docs=20).where("n_removed_lines > 0").count() == 0
 
 
+def own_words(i, n=60):
+    own = "".join(chr(97 + int(d)) for d in str(i))  # digits are all one in a normalised line
+    return " ".join(f"{own}-{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(n))
+
+
+def block(name, n):
+    return [f"{name} {chr(97 + k)} of every page on this host" for k in range(n)]
+
+
+def test_headers_and_footers_of_several_lines_go(spark):
+    shared = block("header", 5) + block("footer", 5)
+    page = lambda i, n: "\n".join([*shared[:5], own_words(i, n), *shared[5:]])
+    # The last five hold little beside the shared lines.
+    rows = [(i, page(i, 300 if i < 25 else 25), "h") for i in range(30)]
+    got = rules.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for r in got:
+        assert (r.n_removed_lines, r.n_removed_words) == (10, 80)
+        assert r.clean_text == own_words(r.doc_id, 300 if r.doc_id < 25 else 25)
+        assert r.kept == (r.doc_id < 25)
+
+
+def test_copies_count_once_and_hide_no_footer(spark):
+    footer = block("footer", 5)
+    copied = ["the copied page " + own_words(0), "its second line " + own_words(1)]
+    rows = [(i, "\n".join(copied + footer), "h") for i in range(200)]
+    rows += [(1000 + i, "\n".join([own_words(1000 + i)] + footer), "h") for i in range(25)]
+    rows += [(2000 + i, "\n".join(copied + footer), "only copies") for i in range(40)]
+    got = rules.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.kept and r.n_removed_lines == (0 if r.source == "only copies" else 5), r.doc_id
+        if r.doc_id < 1000:
+            assert r.clean_text == "\n".join(copied)
+
+
 def test_empty(spark):
     assert rules.apply_rules(empty(spark)).count() == 0
