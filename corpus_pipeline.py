@@ -14,6 +14,8 @@ from meterline.llm import jaccard, mixing, packing, rules, secrets
 from meterline.llm.common import scratch, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Words of a shingle, and the least similarity in percent, of near duplicates.
+SHINGLE, PERCENT = 5, 80
 
 
 def _documents(df: DataFrame) -> DataFrame:
@@ -29,7 +31,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group: that with the least id. Of rows equal in id and text one stays."""
-    grouped = jaccard.similar(docs)
+    grouped = jaccard.similar(docs, percent=PERCENT, shingle=SHINGLE)
     chosen = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
     kept = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_id"]), "left_semi")
     row = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.hash("text"), "source"))

@@ -51,6 +51,7 @@ from meterline.llm.runs import (dealt, lowered_word_hashes, mapped, mixed, packe
                                 unpacked, unpacked_sorted, window_hashes)
 from meterline.session import settled
 
+#: Words of a shingle of op6; the pipeline takes its own.
 SHINGLE = 4
 #: Buckets of the counting sketch, and of one block of it.
 SKETCH, BLOCK = 1 << 21, 1 << 16
@@ -187,14 +188,14 @@ def _sketch(folder: str) -> np.ndarray:
     return np.concatenate([mapped(folder, f"sketch-{b}", "<i8") for b in range(SKETCH // BLOCK)])
 
 
-def _read(docs: DataFrame) -> DataFrame:
+def _read(docs: DataFrame, shingle: int) -> DataFrame:
     """Per document its id, size and key; per task its sketch, in blocks."""
 
     def met(batches):
         counts = np.zeros(SKETCH, np.int64)
         task = TaskContext.get().partitionId()
         for batch in batches:
-            for row, flat, sizes in shingle_sets(batch.column(1)):
+            for row, flat, sizes in shingle_sets(batch.column(1), shingle):
                 np.add.at(counts, (flat % np.uint64(SKETCH)).astype(np.int64), 1)
                 n, keys = len(sizes), set_keys(flat, sizes).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([
@@ -262,11 +263,11 @@ def _write_classes(read: DataFrame, folder: str, per_part: int) -> tuple[int, ..
     return tuple(np.concatenate([[0], np.cumsum([sizes.get(p, 0) for p in range(parts)])]).astype(int).tolist())
 
 
-def _representatives(batches, classes: Classes):
+def _representatives(batches, classes: Classes, shingle: int):
     """(number, least id, set) of the classes, once for each row that has a class's least id."""
     for batch in batches:
         ids = ids_of(batch.column(0))
-        for row, flat, sizes in shingle_sets(batch.column(1)):
+        for row, flat, sizes in shingle_sets(batch.column(1), shingle):
             some = np.flatnonzero(sizes > 0)
             keys = set_keys(flat, sizes)[some]
             number, least = classes.find(keys[:, 0], keys[:, 1])
@@ -314,7 +315,7 @@ def _meet_group(nodes: np.ndarray, sizes: np.ndarray, classes: Classes, forest:
             roots[np.isin(roots, np.append(roots[ok], roots[k]))] = forest.root(int(nodes[k]))
 
 
-def _shingle_regions(docs: DataFrame, folder: str, offsets: tuple[int, ...], percent: int, parts: int) -> DataFrame:
+def _shingle_regions(docs: DataFrame, folder: str, offsets: tuple[int, ...], percent: int, parts: int, shingle: int) -> DataFrame:
     """(a, b): classes that meet in the region of a shingle, as a forest for each part of the shingles."""
 
     def sent(held):
@@ -332,7 +333,7 @@ def _shingle_regions(docs: DataFrame, folder: str, offsets: tuple[int, ...], per
     def met(batches):
         classes, counts = _classes(folder, offsets), _sketch(folder)
         held, n = [], 0
-        for number, _, s in _representatives(batches, classes):
+        for number, _, s in _representatives(batches, classes, shingle):
             keep = len(s) - least_overlap(len(s), percent) + 1
             order = np.lexsort((s, counts[(s % np.uint64(SKETCH)).astype(np.int64)]))[:keep]
             held.append((s[order], np.full(keep, number, np.int64), np.full(keep, len(s), np.uint32)))
@@ -602,14 +603,15 @@ def _join_regions(regions: DataFrame, folder: str, percent: int, leaf: int) -> l
         regions, level = settled(split.join(stuck, "region", "left_anti").select(*columns)), level + 1
 
 
-def similar(docs: DataFrame, percent: int = 85, leaf: int = 2_000_000, per_part: int = 1_000_000) -> DataFrame:
+def similar(docs: DataFrame, percent: int = 85, leaf: int = 2_000_000, per_part: int = 1_000_000,
+            shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id): a row per document, linked at 100 * overlap >= percent * union.
 
-    `leaf` bounds the shingles that one task joins, `per_part` the keys of one block of an array.
+    A shingle is `shingle` words. `leaf` bounds the shingles that one task joins, `per_part` the keys of one block of an array.
     """
     texts = docs.select("doc_id", "text")
     folder = scratch(docs.sparkSession, "jaccard")
-    read = settled(_read(texts))
+    read = settled(_read(texts, shingle))
     _write_sketch(read, folder)
     offsets = _write_classes(read, folder, per_part)
     size = offsets[-1]
@@ -618,7 +620,7 @@ def similar(docs: DataFrame, percent: int = 85, leaf: int = 2_000_000, per_part:
         return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     shingles = rows.agg(F.sum("n")).first()[0]
     firsts = shingles * (100 - percent) // 100 + size
-    met = components(_shingle_regions(texts, folder, offsets, percent, max(1, -(-firsts // per_part))))
+    met = components(_shingle_regions(texts, folder, offsets, percent, max(1, -(-firsts // per_part)), shingle))
     alike = met.select("node", F.col("label").alias("value")).unionByName(
         met.select(F.col("label").alias("node"), F.col("label").alias("value")).distinct())
     per = _write_dense(alike, folder, "region", size, per_part)
@@ -626,7 +628,7 @@ def similar(docs: DataFrame, percent: int = 85, leaf: int = 2_000_000, per_part:
     def gathered(batches):
         classes, regions = _classes(folder, offsets), _dense(folder, "region", size, per)
         held = []
-        for number, least, s in _representatives(batches, classes):
+        for number, least, s in _representatives(batches, classes, shingle):
             region = int(regions.of(np.array([number]))[0])
             if region != NONE:
                 held.append((region, number, number, len(s), packed_sorted(s), least))

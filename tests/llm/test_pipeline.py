@@ -104,6 +104,25 @@ def test_stages_match_brute_force(spark):
     assert got == need and max(fill.values()) <= 1024
 
 
+def test_near_copies_of_five_words_and_four_fifths(spark):
+    rng = random.Random(31)
+    whole = lambda k, n: [f"{k}-{rng.randrange(10**9)}" for _ in range(n)]
+    sets = lambda words, size: {tuple(words[i:i + size]) for i in range(len(words) - size + 1)}
+    alike = lambda a, b, size: len(sets(a, size) & sets(b, size)) / len(sets(a, size) | sets(b, size))
+    base, other = whole("a", 300), whole("b", 300)
+    longer = base + whole("c", 65)
+    edited = list(other)
+    for at in range(20, 300, 50):
+        edited[at] = f"e{at}"
+    apart = whole("d", 300)
+    further = apart + whole("f", 80)
+    assert 0.815 < alike(base, longer, 5) < 0.825 and alike(base, longer, 4) < 0.85
+    assert 0.8 < alike(other, edited, 5) < 0.85 and alike(apart, further, 5) < 0.8
+    texts = [base, longer, other, edited, apart, further]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)], DOCUMENTS)
+    assert sorted(r.doc_id for r in stages()["near_duplicates"](spark, docs, "").collect()) == [0, 2, 4, 5]
+
+
 def test_columns_and_registration(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "secret_scan", "source_mixing", "sequence_packing"]
     assert entry.queries()["pipeline"] and "pipeline" not in entry.oracle_sql()
