@@ -1,11 +1,11 @@
-"""Substring deduplication by relative Lempel-Ziv parsing against an index of the corpus.
+"""Substring deduplication by window lookup in an index of the corpus, with the hits as relative Lempel-Ziv factors.
 
 The reference is the corpus itself: the first place of every word window that occurs
-more than once, in blocks of sorted hash arrays that workers map. A document is
-factored from left to right: a factor starts at a window that has an earlier place and grows
-as long as the next window's earlier place is the next one in the same text; there a new
-factor starts. Every window is looked up, those across two factors too, so the factors
-of at least a window's length cover exactly the words of all windows that start earlier.
+more than once, in blocks of sorted hash arrays that workers map. Every window is looked
+up, and the words of all windows that have an earlier place are removed. The hits are then
+strung to factors, from left to right: a factor grows as long as the next window's first
+place is the next one in the same text. As only first places are kept, a factor may be
+shorter than the longest match with the reference.
 
 Three passes over the text, none of which shuffles it:
 
@@ -15,7 +15,7 @@ Three passes over the text, none of which shuffles it:
 2. Places. Windows whose anchor repeats are sent with their first place in the task, one per
    window text and task, so a passage of a third of all documents is no large group.
    The first places overall become the index.
-3. Parsing. Documents are factored against the index.
+3. Lookup. The windows of documents are looked up in the index.
 
 Windows are known by 96-bit hashes of their words' hashes. Places are ordered by (doc_id, start).
 
