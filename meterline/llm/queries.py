@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterline.llm import jaccard, kneser_ney, mixing, packing, rules, secrets, sharding, substrings, topk, warc
+from meterline.llm import chat, hardneg, jaccard, kneser_ney, merkle, mixing, packing, rules, secrets, sharding, substrings, topk, vectors, warc
 from meterline.llm.common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -184,3 +184,84 @@ r AS (SELECT doc_id AS node, doc_id AS label FROM n UNION SELECT l.b, r.label FR
 SELECT r.node AS doc_id, any_value(n.n) AS n_shingles, min(r.label) AS component_id FROM r JOIN n ON n.doc_id = r.node GROUP BY r.node""")
 def metric_jaccard_join(spark, sf_dir):
     return jaccard.similar(table(spark, sf_dir, "documents"))
+
+
+@query("op11_anchor_tree_negatives", """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+             AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+             list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * c.v[i]))::BIGINT AS score
+      FROM v a JOIN v c ON a.vec_id <> c.vec_id AND len(a.v) = len(c.v) WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)::INT AS rank,
+       s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) <= 3""")
+def anchor_tree_negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), vectors.scaled(F.col("embedding"), 256).alias("v"))
+    return hardneg.mine(rows, F.col("vec_id") % 50 == 0)
+
+
+@query("op12_chat_samples", r"""
+WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+              UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (SELECT *, replace(replace(replace(text, '\', '\s'), '###', '\h'), '</turn>', '\t') AS body,
+             replace(replace(replace(replace(role, '\', '\s'), '###', '\h'), '</turn>', '\t'), ':', '\c') AS head FROM rows)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, md5(text))) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, md5(text)) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length('### ' || head || ': ' || body || '</turn>' || chr(10)))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id""")
+def chat_samples(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", "role", "text", F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    broken = r"\### Assistant: </turn> ok"
+    added = spark.createDataFrame([(-7, 0, "user", broken, 0, 0), (-7, 1, "assistant", broken, 0, 1)], rows.schema)
+    samples = chat.format_chats(chat.streamed_log(rows.unionByName(added), "file", "row"))
+    back = samples.withColumns({"turns": chat.read_back(F.col("formatted")), "loss": chat.loss_text(F.col("formatted"), F.col("loss_spans"))})
+    spoken = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(spoken, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+_CRC32 = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+  lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END), 4294967295)"""
+
+
+def _fields(*columns: str) -> str:
+    return " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(({c})::VARCHAR) || ':' || ({c}) END" for c in columns)
+
+
+@query("op13_merkle_manifest", f"""
+WITH RECURSIVE d AS (SELECT *, sha256({_fields('doc_id', 'source', 'lang', 'n_chars', 'text')}) AS leaf,
+    CASE WHEN {_CRC32} % 7 = 0 THEN sha256({_fields('doc_id', 'source', 'lang', 'n_chars + 1', 'text')}) END AS changed FROM documents),
+l AS (SELECT doc_id, coalesce('=' || lang, '') AS k, leaf, coalesce(changed, leaf) AS claimed,
+             row_number() OVER (PARTITION BY lang ORDER BY doc_id, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM d),
+t AS (SELECT k, pos, leaf AS h, 0 AS lvl, n FROM l UNION ALL
+      SELECT k, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), lvl + 1, (n + 1) // 2 FROM t WHERE n > 1 GROUP BY k, pos // 2, lvl, n),
+g AS (SELECT k, h AS subroot, row_number() OVER (ORDER BY encode(k)) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT pos, subroot AS h, 0 AS lvl, n FROM g UNION ALL
+      SELECT pos // 2, sha256(string_agg(h, '' ORDER BY pos)), lvl + 1, (n + 1) // 2 FROM u WHERE n > 1 GROUP BY pos // 2, lvl, n),
+p AS (SELECT k, pos, claimed AS h, 0 AS lvl, n, '' AS proof, pos AS spot FROM l UNION ALL
+      SELECT p.k, p.pos, sha256(CASE WHEN spot % 2 = 1 THEN coalesce(t.h, '') || p.h ELSE p.h || coalesce(t.h, '') END), p.lvl + 1, (p.n + 1) // 2,
+             proof || coalesce(t.h, ''), spot // 2
+      FROM p LEFT JOIN t ON t.k = p.k AND t.lvl = p.lvl AND t.pos = xor(p.spot, 1::BIGINT) WHERE p.n > 1),
+q AS (SELECT p.k, p.pos, p.h, 0 AS lvl, g.n, proof, g.pos AS spot FROM p JOIN g ON g.k = p.k WHERE p.n = 1 UNION ALL
+      SELECT q.k, q.pos, sha256(CASE WHEN spot % 2 = 1 THEN coalesce(u.h, '') || q.h ELSE q.h || coalesce(u.h, '') END), q.lvl + 1, (q.n + 1) // 2,
+             proof || coalesce(u.h, ''), spot // 2
+      FROM q LEFT JOIN u ON u.lvl = q.lvl AND u.pos = xor(q.spot, 1::BIGINT) WHERE q.n > 1)
+SELECT l.doc_id, l.leaf, g.subroot, r.h AS root, sha256(q.proof) AS proof_sha256, q.h AS folded_root, q.h = r.h AS verified
+FROM l JOIN g USING (k) JOIN q ON q.k = l.k AND q.pos = l.pos AND q.n = 1, (SELECT h FROM u WHERE n = 1) r""")
+def merkle_manifest(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    leaf = lambda n_chars: merkle.leaf(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text"))
+    changed = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, leaf(F.col("n_chars") + 1))
+    listed = merkle.manifest(docs, "lang", "doc_id", leaf(F.col("n_chars")), changed=changed)
+    return merkle.checked(listed.withColumn("claimed", F.coalesce("changed", "leaf")), "doc_id", "claimed")
