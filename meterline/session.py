@@ -62,3 +62,9 @@ def settled(df: DataFrame) -> DataFrame:
     """
     checkpoint_root(df.sparkSession)
     return df.checkpoint()
+
+
+def drop_folder(spark: SparkSession, path: str) -> bool:
+    """Remove a written folder from whatever store it lies in; False where there was none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

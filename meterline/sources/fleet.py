@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,33 +18,45 @@ from meterline.sources import ledgers, lines, snapshots, transcripts
 
 @dataclass(frozen=True)
 class SourceSpec:
-    """A source: how to read its paths, and how rows become events (append-only) or versions (rewritten)."""
+    """A source: how to read its paths, and how rows become events (append-only) or versions (rewritten).
+
+    For repeated sweeps a log has `parse`, and `speaks` if some of its lines speak for later ones; a ledger has `since`.
+    """
 
     agent: str
     kind: str
     read: Callable[[SparkSession, str | list[str]], DataFrame]
     parse: Callable[[DataFrame], DataFrame] | None = None
     glob: str = ""
+    speaks: Callable[[DataFrame], DataFrame] | None = None
+    since: Callable[[SparkSession, str, DataFrame], tuple[DataFrame, DataFrame]] | None = None
 
 
-def _log(agent: str, parse: Callable[[DataFrame], DataFrame], glob: str = "*.jsonl") -> SourceSpec:
-    return SourceSpec(agent, "events", lambda spark, paths: parse(lines.read_log(spark, paths, glob)), parse, glob)
+def _log(agent: str, parse: Callable[[DataFrame], DataFrame], glob: str = "*.jsonl",
+         speaks: Callable[[DataFrame], DataFrame] | None = None) -> SourceSpec:
+    return SourceSpec(agent, "events", lambda spark, paths: parse(lines.read_log(spark, paths, glob)), parse, glob, speaks)
 
 
-def _headed(agent: str, parse: Callable[[DataFrame, transcripts.Stage], DataFrame]) -> SourceSpec:
+def _headed(agent: str, parse: Callable[[DataFrame, transcripts.Stage], DataFrame],
+            speaks: Callable[[DataFrame], DataFrame]) -> SourceSpec:
     """A log whose header lines speak for later lines: its parsed rows are written before they are scanned."""
-    return _log(agent, lambda log: parse(log, settled))
+    return _log(agent, lambda log: parse(log, settled), speaks=speaks)
+
+
+def _ledger(agent: str, read: Callable[[SparkSession, str], DataFrame],
+            since: Callable[[SparkSession, str, DataFrame], tuple[DataFrame, DataFrame]]) -> SourceSpec:
+    return SourceSpec(agent, "events", read, since=since)
 
 
 SOURCES: dict[str, SourceSpec] = {s.agent: s for s in [
     _log("claude", transcripts.claude),
-    _headed("codex", transcripts.codex),
-    _headed("pi", transcripts.pi),
-    _headed("gemini", transcripts.gemini),
+    _headed("codex", transcripts.codex, transcripts.codex_speaks),
+    _headed("pi", transcripts.pi, transcripts.pi_speaks),
+    _headed("gemini", transcripts.gemini, transcripts.gemini_speaks),
     _log("qwen", transcripts.qwen),
     _log("kimi", transcripts.kimi, "wire.jsonl"),
-    SourceSpec("goose", "events", lambda spark, path: ledgers.goose(ledgers.goose_rows(spark, path))),
-    SourceSpec("kilo", "events", lambda spark, path: ledgers.kilo(*ledgers.kilo_rows(spark, path))),
+    _ledger("goose", lambda spark, path: ledgers.goose(ledgers.goose_rows(spark, path)), ledgers.goose_since),
+    _ledger("kilo", lambda spark, path: ledgers.kilo(*ledgers.kilo_rows(spark, path)), ledgers.kilo_since),
     SourceSpec("opencode", "versions", lambda spark, path: ledgers.opencode(*ledgers.opencode_rows(spark, path))),
     SourceSpec("cline", "versions", lambda spark, paths: snapshots.cline_messages(
         lines.whole_files(spark, paths, "*.messages.json")).unionByName(snapshots.task_messages(
@@ -53,21 +66,30 @@ SOURCES: dict[str, SourceSpec] = {s.agent: s for s in [
 ]}
 
 
+def problem_of(problem: Exception) -> str:
+    """One line that says what failed; of a failure inside Python code of a task or a reader also its own error."""
+    lines_ = str(problem).splitlines() or [""]
+    said = lines_[0] if isinstance(problem, PySparkException) else f"{type(problem).__name__}: {lines_[0]}"
+    inner = [x.strip() for x in lines_[1:] if re.match(r"[\w.]+(Error|Exception)\b", x)]
+    return f"{said} {inner[-1]}" if inner else said
+
+
 def sweep(spark: SparkSession, paths: dict[str, str | list[str]], enabled: list[str],
           kind: str = "events") -> tuple[DataFrame | None, DataFrame]:
     """Events (or versions) of the enabled sources as one frame, and one status row per source.
 
-    A source that cannot be read is reported and left out; the others go on.
+    Each source is read to its end inside its own `try`: one that fails, while planning or while running, is
+    reported and left out; the others go on. So does a name that no source has.
     """
     frames, status = [], []
-    for agent, spec in SOURCES.items():
-        if agent not in enabled or agent not in paths or spec.kind != kind:
+    for agent in [*SOURCES, *sorted(set(enabled) - set(SOURCES))]:
+        if agent not in enabled or agent not in paths or (agent in SOURCES and SOURCES[agent].kind != kind):
             continue
         try:
-            frames.append(spec.read(spark, paths[agent]))
+            frames.append(settled(SOURCES[agent].read(spark, paths[agent])))
             status.append((agent, True, ""))
-        except AnalysisException as problem:
-            status.append((agent, False, str(problem).splitlines()[0]))
+        except Exception as problem:  # noqa: BLE001 - whatever it is, it is this source's
+            status.append((agent, False, problem_of(problem)))
     report = spark.createDataFrame(status, "agent string, ok boolean, problem string")
     return (union_all(frames) if frames else None), report
 

@@ -7,6 +7,7 @@ ledger is many tasks. Databases must lie where every executor can open them.
 from __future__ import annotations
 
 import glob
+import json
 import os
 import sqlite3
 from collections.abc import Iterator
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from meterline.schemas import TOKEN_COLUMNS
+from meterline.session import settled
 from meterline.sources.lines import once
 from meterline.sources.transcripts import count_of, text_of
 
@@ -36,7 +38,11 @@ def _has_table(db: sqlite3.Connection, table: str) -> bool:
 
 
 class SqliteSource(DataSource):
-    """Options: path (file or glob), table, columns (comma list of SQL expressions), rows_per_task."""
+    """Options: path (file or glob), table, columns (comma list of SQL expressions), rows_per_task.
+
+    `since` is JSON of database -> mark: only rows whose `since_column` is at the mark or above are read. On `rowid` the
+    mark moves the first range too, so older rows are not touched.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -54,6 +60,7 @@ class _SqliteReader(DataSourceReader):
         self.path, self.table = options["path"], options["table"]
         self.columns = options["columns"]
         self.step = int(options.get("rows_per_task", ROWS_PER_TASK))
+        self.since, self.by = json.loads(options.get("since", "{}")), options.get("since_column", "rowid")
 
     def partitions(self) -> list[_Range]:
         ranges = []
@@ -65,6 +72,8 @@ class _SqliteReader(DataSourceReader):
                 low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {self.table}").fetchone()
             finally:
                 db.close()
+            if low is not None and self.by == "rowid":
+                low = max(low, self.since.get(os.path.abspath(path), low))
             if low is not None:
                 ranges += [_Range(path, at, min(at + self.step - 1, high))
                            for at in range(low, high + 1, self.step)]
@@ -75,8 +84,10 @@ class _SqliteReader(DataSourceReader):
             return
         db = _connect(partition.path)
         try:
-            rows = db.execute(f"SELECT rowid, {self.columns} FROM {self.table} "
-                              "WHERE rowid BETWEEN ? AND ?", (partition.low, partition.high))
+            mark = self.since.get(os.path.abspath(partition.path))
+            above = f" AND {self.by} >= ?" if mark is not None else ""
+            rows = db.execute(f"SELECT rowid, {self.columns} FROM {self.table} WHERE rowid BETWEEN ? AND ?{above}",
+                              (partition.low, partition.high, *([mark] if mark is not None else [])))
             for row in rows:
                 yield (os.path.abspath(partition.path), *row)
         finally:
@@ -84,8 +95,9 @@ class _SqliteReader(DataSourceReader):
 
 
 def read_table(spark: SparkSession, path: str, table: str, columns: dict[str, str],
-               rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """`columns`: name -> 'SQL expression : Spark type'. Adds db_file and row_id."""
+               rows_per_task: int = ROWS_PER_TASK, since: dict[str, int] | None = None,
+               since_column: str = "rowid") -> DataFrame:
+    """`columns`: name -> 'SQL expression : Spark type'. Adds db_file and row_id. `since`: the first mark to read, per database."""
     spark.dataSource.register(SqliteSource)
     expressions, fields = [], ["db_file string", "row_id bigint"]
     for name, spec in columns.items():
@@ -94,18 +106,19 @@ def read_table(spark: SparkSession, path: str, table: str, columns: dict[str, st
         fields.append(f"{name} {kind}")
     return (spark.read.format("sqlite_ledger").schema(", ".join(fields)).option("path", path)
             .option("table", table).option("columns", ", ".join(expressions))
-            .option("rows_per_task", str(rows_per_task)).load())
+            .option("rows_per_task", str(rows_per_task)).option("since", json.dumps(since or {}))
+            .option("since_column", since_column).load())
 
 
 def _integer(column: str) -> str:
     return f"CASE WHEN typeof({column})='integer' THEN {column} ELSE CAST(coalesce({column},0) AS INTEGER) END : bigint"
 
 
-def goose_rows(spark: SparkSession, path: str) -> DataFrame:
+def goose_rows(spark: SparkSession, path: str, since: dict[str, int] | None = None) -> DataFrame:
     return read_table(spark, path, "usage_ledger", {
         "session_id": "session_id : string", "created_timestamp": _integer("created_timestamp"),
         "model": "model : string",
-        **{c: _integer(c) for c in ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens")}})
+        **{c: _integer(c) for c in ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens")}}, since=since)
 
 
 def goose(rows: DataFrame, above_row: int = 0) -> DataFrame:
@@ -130,8 +143,8 @@ _MESSAGE = {"id": "id : string", "session_id": "session_id : string",
             "data": "data : string"}
 
 
-def kilo_rows(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return (read_table(spark, path, "message", _MESSAGE),
+def kilo_rows(spark: SparkSession, path: str, since: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame]:
+    return (read_table(spark, path, "message", _MESSAGE, since=since, since_column="time_updated"),
             read_table(spark, path, "session", {"id": "id : string", "model": "model : string"}))
 
 
@@ -160,6 +173,45 @@ def kilo(messages: DataFrame, sessions: DataFrame) -> DataFrame:
         F.col("db_file").alias("source_file"), "id", "time_updated").filter(F.col("model").isNotNull()))
 
 
+#: What a sweep remembers of a ledger: per database its high-water mark, and the ids read at the mark itself.
+MARKS = "agent string, db_file string, mark bigint, id string"
+
+
+def _marks(known: DataFrame) -> dict[str, int]:
+    """A mark per database, and the reader plans one task or more per database anyway."""
+    return {r["db_file"]: r["mark"] for r in known.groupBy("db_file").agg(F.max("mark").alias("mark")).collect()}
+
+
+def _kept(known: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The marks after a sweep: a database without new rows keeps its own."""
+    return fresh.unionByName(known.join(fresh.select("db_file").distinct(), "db_file", "left_anti").select(fresh.columns))
+
+
+def goose_since(spark: SparkSession, path: str, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events of rows above the row-id marks, next marks)."""
+    rows = settled(goose_rows(spark, path, {db: mark + 1 for db, mark in _marks(known).items()}))
+    fresh = rows.groupBy("db_file").agg(F.max("row_id").alias("mark")).select(
+        F.lit("goose").alias("agent"), "db_file", "mark", F.lit(None).cast("string").alias("id"))
+    events = goose(rows).withColumns({"line_start": F.col("row_id"), "line_seq": F.lit(0).cast("bigint"),
+                                      "dedup_key": F.lit(None).cast("string")}).drop("row_id")
+    return events, _kept(known, fresh)
+
+
+def kilo_since(spark: SparkSession, path: str, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events of messages at or above the update marks that were not read at the mark before, next marks and their ids)."""
+    messages, sessions = kilo_rows(spark, path, _marks(known))
+    messages = settled(messages)
+    seen = known.select("db_file", F.col("mark").alias("time_updated"), "id")
+    unread = messages.join(seen, ["db_file", "time_updated", "id"], "left_anti").select(messages.columns)
+    newest = messages.groupBy("db_file").agg(F.max("time_updated").alias("mark")).where("mark IS NOT NULL")
+    fresh = messages.join(newest, "db_file").where(F.col("time_updated") == F.col("mark")).select(
+        F.lit("kilo").alias("agent"), "db_file", "mark", "id").distinct()
+    key = F.concat_ws(":", "source_file", "id", F.col("time_updated").cast("string"))
+    events = kilo(unread, sessions).withColumns({
+        "dedup_key": key, "line_start": F.col("time_updated"), "line_seq": F.lit(0).cast("bigint")}).drop("id", "time_updated")
+    return events, _kept(known, fresh)
+
+
 def opencode_rows(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Messages of the first schema, of the next schema, and sessions."""
     return (read_table(spark, path, "message", _MESSAGE),

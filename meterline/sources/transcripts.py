@@ -129,6 +129,43 @@ def codex(lines: DataFrame, stage: Stage = as_is) -> DataFrame:
         session_id=_present(F.col("ctx_session"), named), cwd=text_of(F.col("ctx_cwd")))
 
 
+def _speaking(lines: DataFrame, schema: str, markers: list[str], told: dict[str, Callable[[], Column]]) -> DataFrame:
+    """Per file and thing told the last line that tells it: what a reading that goes on later has to know of earlier lines.
+
+    Lines as they are (source_file, value, line_start, line_seq), so that a parser reads them like any other.
+    """
+    parsed = once(may_matter(lines, markers), j=F.from_json("value", schema)).filter(F.col("j").isNotNull())
+    at = F.struct(*ORDER, "value")
+    last = parsed.groupBy("source_file").agg(*[
+        F.max_by(at, F.when(of().isNotNull(), F.struct(*ORDER))).alias(name) for name, of in told.items()])
+    kept = F.array_distinct(F.array_compact(F.array(*told)))
+    return last.select("source_file", F.explode(kept).alias("l")).select("source_file", "l.value", *[f"l.{c}" for c in ORDER])
+
+
+def codex_speaks(lines: DataFrame) -> DataFrame:
+    """The lines that hold the session, directory, model and counters that later lines go on from."""
+    usage = "j.payload.info.total_token_usage"
+
+    def header(kinds: tuple[str, ...], name: str) -> Callable[[], Column]:
+        return lambda: F.when(F.col("j.type").isin(*kinds), F.col(f"j.payload.{name}"))
+
+    usable = lambda: F.when(
+        (F.col("j.type") == "event_msg") & (F.col("j.payload.type") == "token_count") & (F.col(f"{usage}.input_tokens") >= 0)
+        & (F.col(f"{usage}.output_tokens") >= 0) & iso_to_ms(F.col("j.timestamp")).isNotNull(), F.lit(True))
+    return _speaking(lines, _CODEX_SCHEMA, _CODEX_MARKERS, {
+        "session": header(("session_meta",), "session_id"), "cwd": header(("session_meta", "turn_context"), "cwd"),
+        "model": header(("session_meta", "turn_context"), "model"), "reading": usable})
+
+
+def pi_speaks(lines: DataFrame) -> DataFrame:
+    return _speaking(lines, "type string, cwd string", ['"type":"session"'], {
+        "cwd": lambda: F.when(F.col("j.type") == "session", F.col("j.cwd"))})
+
+
+def gemini_speaks(lines: DataFrame) -> DataFrame:
+    return _speaking(lines, "sessionId string", ['"sessionId"'], {"session": lambda: F.col("j.sessionId")})
+
+
 def codex_limits(lines: DataFrame) -> DataFrame:
     """Quota snapshots embedded in the token lines: agent, position, read_at_ms, plan, windows."""
     rows = _parsed(lines, _CODEX_SCHEMA, ["token_count"]).filter(

@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from meterline.functions.money import limit_weighted_tokens
 from meterline.functions.timecols import HOT_MAX_AGE_MS
-from meterline.operators import cube, dedup
+from meterline.operators import cube, dedup, keystore
 from meterline.operators.cube import sums
 from meterline.operators.projects import with_project
 from meterline.schemas import DIMENSIONS, TOKEN_COLUMNS
@@ -88,7 +88,7 @@ def append_cube(events: DataFrame, path: str, checkpoint: str, tz_offset_min: in
 
     Every batch is aggregated first and appended under its own batch id, which a
     replayed batch overwrites, so a retry does not count twice. With `keyed` the
-    events are matched against all keys ever stored, without a horizon.
+    events are matched against all keys ever stored, without a horizon; only the stored buckets that may hold one are read.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -97,9 +97,9 @@ def append_cube(events: DataFrame, path: str, checkpoint: str, tz_offset_min: in
             ordered = batch.withColumn("line_seq", F.monotonically_increasing_id())
             batch = with_project(parse(ordered))
         if keyed:
-            keys = _stored(spark, f"{path}/keys", batch.select("agent", "dedup_key")).filter(
-                F.col("batch_id") != tag)
-            batch = dedup.keep_first(dedup.not_yet_stored(batch, keys)).persist()
+            first = dedup.keep_first(batch).persist()
+            keys = keystore.matching(spark, f"{path}/keys", first, batch_id)
+            batch = dedup.not_yet_stored(first, keys).persist()
         # The batch is read once; all tiers sum its minute cells, late rows included.
         minute = cube.build_cells(batch, "minute", 0, prices).persist()
         try:
@@ -108,13 +108,12 @@ def append_cube(events: DataFrame, path: str, checkpoint: str, tz_offset_min: in
             cube.append(cube.coarsen(minute, "day", tz_offset_min), path, "day", tag)
             if keyed:
                 # Keys go last: a batch that fails before is replayed with its events still new.
-                (batch.filter(F.col("dedup_key").isNotNull()).select("agent", "dedup_key")
-                 .withColumn("batch_id", F.lit(tag)).write.mode("overwrite")
-                 .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{path}/keys"))
+                keystore.add(batch, f"{path}/keys", batch_id)
         finally:
             minute.unpersist()
             if keyed:
                 batch.unpersist()
+                first.unpersist()
 
     return (events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
