@@ -32,7 +32,7 @@ shuffled. Sets of 64-bit shingle hashes are compared as such.
 
 Defined cases. A null text or one without words has an empty set, links with nothing and is its own component.
 A null id counts as the least one, so a component that holds it has a null id.
-Rows with one id are each a document. An empty table gives an empty table.
+Rows with one id are each a document. A very long text is one set in one task: its shingles have to fit it. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -199,20 +199,20 @@ def _read(docs: DataFrame, shingle: int) -> DataFrame:
                 np.add.at(counts, (flat % np.uint64(SKETCH)).astype(np.int64), 1)
                 n, keys = len(sizes), set_keys(flat, sizes).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(row, n), pa.array(sizes), pa.array(keys[:, 0]), pa.array(keys[:, 1]),
+                    batch.column(0).slice(row, n), pa.array(sizes), pa.array(keys[:, 0]), pa.array(keys[:, 1]), batch.column(2).slice(row, n),
                     pa.array(profiles(flat, sizes), pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         blocks = [(b, counts[b * BLOCK:(b + 1) * BLOCK]) for b in range(SKETCH // BLOCK)]
         blocks = [(b, packed(c)) for b, c in blocks if c.any()]
         if blocks:
             n = len(blocks)
             yield pa.RecordBatch.from_arrays([
-                pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()),
+                *[pa.nulls(n, pa.int64())] * 5, pa.nulls(n, pa.binary()),
                 pa.array([b for b, _ in blocks], pa.int32()), pa.array([task // FAN_IN] * n, pa.int32()),
                 pa.array([c for _, c in blocks], pa.binary())], names)
 
-    names = ["doc_id", "n", "first", "second", "profile", "block", "fan", "counts"]
-    return docs.select("doc_id", "text").mapInArrow(
-        met, "doc_id long, n long, first long, second long, profile binary, block int, fan int, counts binary")
+    names = ["doc_id", "n", "first", "second", "tag", "profile", "block", "fan", "counts"]
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("tag")).mapInArrow(
+        met, "doc_id long, n long, first long, second long, tag long, profile binary, block int, fan int, counts binary")
 
 
 def _write_sketch(read: DataFrame, folder: str) -> None:
@@ -605,9 +605,9 @@ def _join_regions(regions: DataFrame, folder: str, percent: int, leaf: int) -> l
 
 def similar(docs: DataFrame, percent: int = 85, leaf: int = 2_000_000, per_part: int = 1_000_000,
             shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, component_id): a row per document, linked at 100 * overlap >= percent * union.
+    """(doc_id, n_shingles, component_id, component, tag): a row per document, linked at 100 * overlap >= percent * union.
 
-    A shingle is `shingle` words. `leaf` bounds the shingles that one task joins, `per_part` the keys of one block of an array.
+    `component` numbers the components whatever the ids, null for an empty set; `tag` is a hash of the text. A shingle is `shingle` words. `leaf` bounds the shingles that one task joins, `per_part` the keys of one block of an array.
     """
     texts = docs.select("doc_id", "text")
     folder = scratch(docs.sparkSession, "jaccard")
@@ -615,9 +615,10 @@ def similar(docs: DataFrame, percent: int = 85, leaf: int = 2_000_000, per_part:
     _write_sketch(read, folder)
     offsets = _write_classes(read, folder, per_part)
     size = offsets[-1]
-    rows = read.where("block IS NULL").select("doc_id", "n", "first", "second")
+    rows = read.where("block IS NULL").select("doc_id", "n", "first", "second", "tag")
     if not size:
-        return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+        return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"),
+                           F.lit(None).cast("long").alias("component"), "tag")
     shingles = rows.agg(F.sum("n")).first()[0]
     firsts = shingles * (100 - percent) // 100 + size
     met = components(_shingle_regions(texts, folder, offsets, percent, max(1, -(-firsts // per_part)), shingle))
@@ -658,10 +659,29 @@ def similar(docs: DataFrame, percent: int = 85, leaf: int = 2_000_000, per_part:
             some = np.flatnonzero(n > 0)
             number, own = classes.find(batch.column(2).to_numpy()[some], batch.column(3).to_numpy()[some])
             root = label.of(number)
-            found = ids.of(np.where(root == NONE, number, root))
+            root = np.where(root == NONE, number, root)
+            found, group = ids.of(root), np.zeros(len(n), np.int64)
+            group[some] = root
             component[some] = np.where(found == NONE, own, found)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(component, pa.int64(), mask=component == NO_ID)],
-                ["doc_id", "n_shingles", "component_id"])
+                [batch.column(0), batch.column(1), pa.array(component, pa.int64(), mask=component == NO_ID),
+                 pa.array(group, pa.int64(), mask=n == 0), batch.column(4)],
+                ["doc_id", "n_shingles", "component_id", "component", "tag"])
 
-    return rows.mapInArrow(answered, "doc_id long, n_shingles long, component_id long")
+    return rows.mapInArrow(answered, "doc_id long, n_shingles long, component_id long, component long, tag long")
+
+
+def one_of_each(docs: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """`docs` with one row of every component: that of the least id, a null being the least, then of the least text hash.
+
+    Of rows equal in id and text one stays, and so it is for rows with an empty set.
+    """
+    grouped = similar(docs, percent=percent, shingle=shingle)
+    row = F.struct("doc_id", "tag")
+    best = grouped.where(F.col("component").isNotNull()).groupBy("component").agg(F.min(row).alias("r")).select("r.*")
+    kept = best.unionByName(grouped.where(F.col("component").isNull()).select("doc_id", "tag").distinct())
+    kept = kept.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"))
+    tagged = docs.withColumn("_own", F.xxhash64("text"))
+    stays = tagged.join(kept, tagged["doc_id"].eqNullSafe(kept["_id"]) & (tagged["_own"] == kept["_tag"]), "left_semi")
+    first = Window.partitionBy("doc_id", "_own").orderBy(F.hash("text"), *[c for c in ("source", "lang", "n_chars") if c in docs.columns])
+    return stays.withColumn("_row", F.row_number().over(first)).where("_row = 1").select(*docs.columns)

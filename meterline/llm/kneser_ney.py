@@ -16,7 +16,8 @@ P(w|u) = max(c(uw) - D(c), 0) / c(u) + g(u) P(w);  P(w) = max(N(w) - D(N), 0) /
 with N(w) the words that w follows, D from the counts of counts of each order, and V + 1
 for one class of unknown words. A document begins in a context of its own.
 
-A word is known by a 64-bit hash. Two parameters bound memory: `words_per_part` and
+A word is known by a 64-bit hash, a pair by the numbers of its words: beyond `MOST_WORDS` different words training stops with an
+error. Counts have 64 bits. Two parameters bound memory: `words_per_part` and
 `pairs_per_part`, counted on average over evenly spread keys.
 
 Defined cases. A null text is the empty text: one end token. A null id counts as an
@@ -42,6 +43,8 @@ END = np.uint64(0x5851F42D4C957F2D)
 UNKNOWN = -1
 #: Keys that a task holds before it sends a run.
 KEYS_PER_RUN = 2_000_000
+#: Two numbers of words make a key; two numbers are kept for the beginning and for unknown words.
+MOST_WORDS = (1 << 32) - 2
 RUN = "part int, keys binary, counts binary"
 
 
@@ -212,6 +215,8 @@ def train(docs: DataFrame, folder: str, words_per_part: int = 1_000_000, pairs_p
     sizes = {r["part"]: r["n"] for r in made}
     offsets = tuple(np.concatenate([[0], np.cumsum([sizes.get(p, 0) for p in range(word_parts)])]).tolist())
     total, size = sum(r["tokens"] for r in made), offsets[-1]
+    if size >= MOST_WORDS:
+        raise ValueError(f"{size} different words: pairs of their numbers do not fit 64 bits")
     model = {"folder": folder, "offsets": offsets, "tokens": total, "words": size, "pair_parts": 1, "id_parts": 1,
              "pair_counts": (0, 0, 0, 0), "word_counts": (0, 0, 0, 0), "pairs": 0, "followers": 0}
     if not total:
@@ -225,7 +230,7 @@ def train(docs: DataFrame, folder: str, words_per_part: int = 1_000_000, pairs_p
         keys, counts = _merged(table)
         counts = counts[:, 0]
         save(folder, f"pair-{p}", keys.astype("<u8"))
-        save(folder, f"times-{p}", counts.astype("<u4"))
+        save(folder, f"times-{p}", counts.astype("<i8"))
         context, word = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
         seen = np.stack([counts, counts == 1, counts == 2, counts >= 3], axis=1).astype(np.int64)
         contexts, facts = summed(context, seen)
@@ -274,7 +279,7 @@ class Model:
         if not tokens:
             return
         self.keys = [mapped(folder, f"pair-{p}", "<u8") for p in range(pair_parts)] if pairs else []
-        self.times = [mapped(folder, f"times-{p}", "<u4") for p in range(pair_parts)] if pairs else []
+        self.times = [mapped(folder, f"times-{p}", "<i8") for p in range(pair_parts)] if pairs else []
         self.dense = {(kind, q): mapped(folder, f"{'context' if kind == 'u' else 'follows'}-{q}", "<i8").reshape(
             -1, 4 if kind == "u" else 1) for kind, q in dense}
         # Lower order: the part that discounting frees goes evenly to V words and the unknown class.

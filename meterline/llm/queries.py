@@ -27,19 +27,17 @@ _LINE_RULES = r"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
              string_split(text, chr(10)) AS ls FROM d),
-b AS (SELECT doc_id, source, ws, ls, len(ws) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+b AS (SELECT doc_id, source, md5(text) AS whole, ws, ls, len(ws) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
              length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
              list_filter(ls, lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS wl FROM w),
 win AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS s FROM (
           SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM b)),
 twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY doc_id),
-line AS (SELECT doc_id, source, unnest(wl) AS l, generate_subscripts(wl, 1) AS k FROM b),
-norm AS (SELECT doc_id, source, k, trim(regexp_replace(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789',
+line AS (SELECT doc_id, source, whole, unnest(wl) AS l FROM b),
+norm AS (SELECT doc_id, source, whole, trim(regexp_replace(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789',
              'abcdefghijklmnopqrstuvwxyz000000000'), '[\x20\x09-\x0D]+', ' ', 'g')) AS l FROM line),
-beside AS (SELECT *, coalesce(lag(l) OVER o, lead(l) OVER o, '') AS nb FROM norm WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
-once AS (SELECT source, l, doc_id, arg_min(nb, k) AS nb FROM beside GROUP BY source, l, doc_id),
-freq AS (SELECT source, l FROM once GROUP BY source, l HAVING count(*) >= 20 AND count(DISTINCT nb) >= 0.5 * count(*)),
+freq AS (SELECT source, l FROM norm GROUP BY source, l HAVING count(DISTINCT whole) >= 20),
 gone AS (SELECT n.doc_id, count(*) AS ls, sum(len(string_split(n.l, ' ')))::BIGINT AS ws
          FROM norm n JOIN freq f ON n.source IS NOT DISTINCT FROM f.source AND n.l = f.l GROUP BY n.doc_id),
 base AS (SELECT b.doc_id, n_words, word_chars, n_symbols, len(wl) - len(list_distinct(wl)) AS n_dup_lines,
@@ -53,7 +51,7 @@ BASE_COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "
 
 @query("op1_line_frequency_rules", _LINE_RULES)
 def line_frequency_rules(spark, sf_dir):
-    ruled = rules.apply_rules(table(spark, sf_dir, "documents"), min_spread=0.5)  # as the SQL has it
+    ruled = rules.apply_rules(table(spark, sf_dir, "documents"))
     return ruled.select(*BASE_COLUMNS, "n_removed_lines", "n_removed_words")
 
 
@@ -183,7 +181,7 @@ l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 r AS (SELECT doc_id AS node, doc_id AS label FROM n UNION SELECT l.b, r.label FROM r JOIN l ON l.a = r.node)
 SELECT r.node AS doc_id, any_value(n.n) AS n_shingles, min(r.label) AS component_id FROM r JOIN n ON n.doc_id = r.node GROUP BY r.node""")
 def metric_jaccard_join(spark, sf_dir):
-    return jaccard.similar(table(spark, sf_dir, "documents"))
+    return jaccard.similar(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 @query("op11_anchor_tree_negatives", """

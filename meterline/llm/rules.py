@@ -7,13 +7,10 @@ wherever the host has it, and a document that loses too much is rejected. Copies
 text count once, so a group of them, however large, does not deplete itself and is left
 to deduplication. Texts that differ anywhere count each.
 
-With `min_spread`, the rule that op1's SQL holds, documents are counted in place of texts, and
-a line must stand behind different lines in that share of them. That keeps copies whole too, but
-of boilerplate of several lines only the first line of a footer goes.
-
 Nothing is ever grouped by line alone without a count below it, so a line of a third
-of all documents stays one partial count per task; the frequent lines meet the
-documents' lines under a salt.
+of all documents stays one partial count per task. The lines to remove meet the documents' lines in two ways: those that
+make up 1 / `MOST_HEAVY` of all removed places or more, at most `MOST_HEAVY` by that, are broadcast; the others have few
+places each and meet by a shuffle, which is left out where there are none.
 
 Defined cases. A null text has no words and one blank line. A null id or host is a
 value like any other. Rows equal in id, host and text are each answered. Blank lines count for nothing and stay. A text with fewer words than
@@ -27,11 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterline.llm.common import SPACE_CHARS, SPACES, UPPER, has_word, let, words
+from meterline.session import settled
 
 #: Words of a window of the within-document repetition count.
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
-SALTS = 8
+#: Most lines that are broadcast, at 20 bytes and their host's name each.
+MOST_HEAVY = 10_000
 
 
 def repeated_words(of: Column, window: int = WINDOW) -> Column:
@@ -80,38 +79,46 @@ def normalised(line: Column) -> Column:
 
 
 def document_lines(keyed: DataFrame) -> DataFrame:
-    """A row per non-blank line of a document: host, hash of the whole text, hashes, place, words, and the line before it.
-
-    The first line's neighbour is the one after it.
-    """
+    """A row per non-blank line of a document: host, hash of the whole text, hashes, place and words."""
     hashed = F.transform(
         F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda line, i: F.struct(
             i.alias("i"), line.alias("line"))), lambda s: has_word(s["line"])),
         lambda s: let(normalised(s["line"]), lambda line: F.struct(
             F.xxhash64(line).alias("h1"), F.hash(line).alias("h2"), s["i"].alias("i"),
             F.size(F.split(line, " ")).alias("n"))))
-    beside = lambda a: F.transform(a, lambda s, k: F.struct(
-        s["h1"].alias("h1"), s["h2"].alias("h2"), s["i"].alias("i"), s["n"].alias("n"),
-        F.coalesce(F.when(k > 0, F.get(a, k - 1)["h1"]).otherwise(F.get(a, F.lit(1))["h1"]), F.lit(0)).alias("beside")))
-    return keyed.select("_k1", "_k2", "doc_id", "source", F.xxhash64("text").alias("whole"), F.explode(let(hashed, beside)).alias("l")).select(
-        "_k1", "_k2", "doc_id", "source", "whole", "l.*")
+    return keyed.select("_k1", "_k2", "source", F.xxhash64("text").alias("whole"), F.explode(hashed).alias("l")).select(
+        "_k1", "_k2", "source", "whole", "l.*")
 
 
-def frequent_lines(lines: DataFrame, min_docs: int, min_spread: float | None = None) -> DataFrame:
-    """(source, h1, h2) of the lines above the limits of their host."""
+def frequent_lines(lines: DataFrame, min_docs: int) -> DataFrame:
+    """(source, h1, h2, places) of the lines above the limits of their host."""
     line = ["source", "h1", "h2"]
-    if min_spread is None:
-        texts = lines.select(*line, "whole").distinct()
-        return texts.groupBy(*line).agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= min_docs).select(*line)
-    # A document counts once, with what stands beside the line's first place in it.
-    once = lines.groupBy(*line, "doc_id").agg(F.min(F.struct("i", "beside"))["beside"].alias("beside"))
-    spread = once.groupBy(*line, "beside").agg(F.count(F.lit(1)).alias("docs"))
-    counted = spread.groupBy(*line).agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("spread"))
-    return counted.where((F.col("docs") >= min_docs) & (F.col("spread") >= min_spread * F.col("docs"))).select(*line)
-
-
-def apply_rules(docs: DataFrame, min_docs: int = 20, min_spread: float | None = None, min_left: int = 20,
-                max_lost: float = 0.5) -> DataFrame:
+    texts = lines.groupBy(*line, "whole").agg(F.count(F.lit(1)).alias("places"))
+    return texts.groupBy(*line).agg(F.count(F.lit(1)).alias("texts"), F.sum("places").alias("places")).where(
+        F.col("texts") >= min_docs).select(*line, "places")
+
+
+def _met(lines: DataFrame, frequent: DataFrame, how: str) -> DataFrame:
+    named = frequent.select(F.col("source").alias("_source"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"))
+    return lines.join(named, lines["source"].eqNullSafe(named["_source"]) & (lines["h1"] == named["_h1"])
+                      & (lines["h2"] == named["_h2"]), how)
+
+
+def places_of(lines: DataFrame, frequent: DataFrame, most_heavy: int = MOST_HEAVY) -> DataFrame:
+    """(_k1, _k2, i, n): where documents hold a frequent line."""
+    many, places = frequent.agg(F.count(F.lit(1)), F.sum("places")).first()
+    columns = ("_k1", "_k2", "i", "n")
+    if many <= most_heavy:
+        return _met(lines, F.broadcast(frequent), "inner").select(*columns)
+    weighty = F.col("places").cast("decimal(38,0)") * most_heavy >= F.lit(places)
+    heavy = frequent.where(weighty)
+    hit = _met(lines, F.broadcast(heavy), "inner").select(*columns)
+    rest = _met(_met(lines, F.broadcast(heavy), "left_anti"), frequent.where(~weighty), "inner")
+    return hit.unionByName(rest.select(*columns))
+
+
+def apply_rules(docs: DataFrame, min_docs: int = 20, min_left: int = 20, max_lost: float = 0.5,
+                most_heavy: int = MOST_HEAVY) -> DataFrame:
     """`docs` with the base counts, `clean_text`, `n_removed_lines`, `n_removed_words` and `kept`.
 
     `kept` is false where the base rules fail, where fewer than `min_left` words are
@@ -120,12 +127,7 @@ def apply_rules(docs: DataFrame, min_docs: int = 20, min_spread: float | None =
     docs = docs.drop("_k1", "_k2", "_r1", "_r2", "_removed", "_words", "clean_text", "n_removed_lines", "n_removed_words")
     keyed = docs.withColumns({"_k1": F.xxhash64("doc_id", "source", "text"), "_k2": F.hash("doc_id", "source", "text")})
     lines = document_lines(keyed)
-    frequent = frequent_lines(lines, min_docs, min_spread)
-    salted = frequent.select(F.col("source").alias("_source"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"),
-                             F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    own = lines.withColumn("salt", F.pmod(F.col("_k1"), F.lit(SALTS)).cast("int"))
-    hit = own.join(salted, own["source"].eqNullSafe(salted["_source"]) & (own["h1"] == salted["_h1"])
-                   & (own["h2"] == salted["_h2"]) & (own["salt"] == salted["_salt"]))
+    hit = places_of(lines, settled(frequent_lines(lines, min_docs)), most_heavy)
     # Repeated rows of one document bring the same places; the set keeps each once.
     removed = hit.groupBy("_k1", "_k2").agg(F.collect_set(F.struct("i", "n")).alias("_removed"))
     removed = removed.withColumnsRenamed({"_k1": "_r1", "_k2": "_r2"})
@@ -134,9 +136,9 @@ def apply_rules(docs: DataFrame, min_docs: int = 20, min_spread: float | None =
     none = F.array().cast("array<struct<i:int,n:int>>")
     joined = joined.withColumn("_removed", F.coalesce("_removed", none))
     lost = F.aggregate("_removed", F.lit(0), lambda n, s: n + s["n"]).cast("long")
-    gone = F.transform("_removed", lambda s: s["i"])
-    clean = let(gone, lambda g: F.array_join(
-        F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains(g, i)), "\n"))
+    # By hashing what goes, not by a search for each line: a text may lose very many of them.
+    staying = lambda ls: F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.transform("_removed", lambda s: s["i"]))
+    clean = let(F.split("text", "\n", -1), lambda ls: F.array_join(F.transform(staying(ls), lambda i: F.get(ls, i)), "\n"))
     joined = joined.withColumns({
         "clean_text": F.when(F.size("_removed") > 0, clean).otherwise(F.col("text")),
         "n_removed_lines": F.size("_removed").cast("long"), "n_removed_words": lost})

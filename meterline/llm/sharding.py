@@ -12,6 +12,9 @@ Each round sums the bytes of at most `BINS` bins of every open node, one job for
 nodes, and narrows each node to the bin that holds its median; a few rounds reach a
 single key. What reaches the driver is nodes times bins sums, whatever the input.
 
+A dimension of texts is measured by the places of its values in their order: a table of the distinct values is
+numbered in ranges and joined to the documents.
+
 Text is read once, for its size and check sum; every later step reads the narrow
 table written then. Slots are counted in chunks of a shard, so no shard is one task.
 
@@ -30,26 +33,41 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
+from meterline.llm.common import written
+from meterline.operators.bounded import broadcast_if_small
 from meterline.session import settled
 
 #: Bins of one node in one round.
 BINS = 1024
 #: Documents that one task numbers.
 CHUNK_ROWS = 200_000
+#: Most values of a text dimension that are broadcast to be numbered.
+MOST_VALUES = 50_000
 #: The dimensions, in the order that breaks ties of width.
 DIMENSIONS = ("lang", "source", "n_chars", "doc_id")
 
 
-def _as_long(name: str, kind: str) -> Column:
-    """A dimension as a long; a string by its first seven bytes, which keeps the order."""
-    if kind == "string":
-        padded = F.rpad(F.substring(F.hex(F.col(name)), 1, 14), 14, "0")
-        return F.conv(padded, 16, 10).cast("long")
-    return F.col(name).cast("long")
+def _numbered(rows: DataFrame, column: str) -> DataFrame:
+    """(_value, _rank) of the distinct values of a column of texts, in the order of their bytes.
+
+    Ranges of the values are tasks that number their own; only the tasks' counts meet.
+    """
+    values = rows.where(F.col(column).isNotNull()).select(F.col(column).alias("_value")).distinct()
+    dealt = values.repartitionByRange("_value").sortWithinPartitions("_value")
+    dealt = written(dealt.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}), "values")
+    parts = dealt.groupBy("_part").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per task
+    shift = parts.select("_part", (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return dealt.join(F.broadcast(shift), "_part").select("_value", (F.col("_row") + F.col("_shift")).alias("_rank"))
+
+
+def _ranked(rows: DataFrame, column: str) -> DataFrame:
+    """`rows` with the texts of `column` replaced by their numbers; a null stays null."""
+    numbers = broadcast_if_small(_numbered(rows, column), MOST_VALUES)
+    return rows.join(numbers, F.col(column) == F.col("_value"), "left").withColumn(column, F.col("_rank")).drop("_value", "_rank")
 
 
 @dataclass
@@ -183,8 +201,13 @@ def shard(docs: DataFrame, shards: int = 24, target_bytes: int | None = None,
     kinds = dict(docs.dtypes)
     narrow = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("_size"),
                          F.crc32(text.cast("binary")).alias("_crc"), F.xxhash64("doc_id", "text").alias("_tie"),
-                         *[_as_long(d, kinds[d]).alias(f"_d{k}") for k, d in enumerate(dimensions)])
+                         *[F.col(d).cast("string" if kinds[d] == "string" else "long").alias(f"_d{k}")
+                           for k, d in enumerate(dimensions)])
     narrow = settled(narrow)
+    texts = [f"_d{k}" for k, d in enumerate(dimensions) if kinds[d] == "string"]
+    for column in texts:
+        narrow = _ranked(narrow, column)
+    narrow = settled(narrow) if texts else narrow
     dims = len(dimensions)
     facts = narrow.agg(F.count(F.lit(1)).alias("n"), F.sum("_size").alias("size"),
                        *[F.min(f"_d{k}").alias(f"lo{k}") for k in range(dims)]).first()

@@ -15,7 +15,8 @@ Paths are resolved by pyarrow's file systems: a path with a scheme that it knows
 path that every executor has.
 
 Defined cases. A null html is an empty payload. A record with a null page id carries none. A file
-that ends inside a record, or does not start with a WARC version, is an error that names it.
+that ends inside a record, plain or gzipped, does not start with a WARC version, or has a record without a length, is
+an error that names it, whatever is read of it.
 Empty folders give no records. Extra columns are neither written nor read.
 """
 
@@ -93,10 +94,26 @@ def _header(file, path: str) -> dict[str, str] | None:
         fields[name.strip().lower()] = value.strip()
 
 
+def _skip(file, length: int, path: str) -> None:
+    """Pass over a block. A seek past the end is none, so its last byte is read."""
+    if length:
+        file.seek(length - 1, io.SEEK_CUR)
+        if not file.read(1):
+            raise ValueError(f"{path}: ends inside a record")
+
+
 def _number(value: str | None) -> int | None:
     return int(value) if value and re.fullmatch(r"-?\d+", value) else None
 
 
+def _whole(step, *args, path: str = ""):
+    """`step(*args)`, where a compressed file that breaks off is named."""
+    try:
+        return step(*args)
+    except (EOFError, zlib.error, gzip.BadGzipFile) as broken:
+        raise ValueError(f"{path or args[-1]}: ends inside a record") from broken
+
+
 def _values(fields: dict[str, str]) -> dict:
     digest = fields.get("warc-payload-digest")
     return {"page_id": _number(fields.get("x-page-id")), "record_type": fields.get("warc-type"),
@@ -175,24 +192,26 @@ class WarcReader(ds.DataSourceReader):
         for path in partition.paths if partition else []:  # Spark plans one empty partition where there is none
             with system.open_input_file(path) as raw:
                 file = gzip.open(raw) if path.endswith(".gz") else io.BufferedReader(raw, 1 << 20)
-                while (fields := _header(file, path)) is not None:
-                    length = _number(fields.get("content-length")) or 0
+                while (fields := _whole(_header, file, path)) is not None:
+                    length = _number(fields.get("content-length"))
+                    if length is None or length < 0:
+                        raise ValueError(f"{path}: a record without its length")
                     values = _values(fields)
                     if not all(test(values[name]) for name, test in self.tests):
-                        file.seek(length, io.SEEK_CUR)
+                        _whole(_skip, file, length, path)
                         continue
                     if "payload" in names:
                         if values["record_type"] == "revisit":
-                            file.seek(length, io.SEEK_CUR)
+                            _whole(_skip, file, length, path)
                             values["payload"] = None
                         else:
-                            block = file.read(length)
+                            block = _whole(lambda: file.read(length), path=path)  # noqa: B023
                             if len(block) < length:
                                 raise ValueError(f"{path}: ends inside a record")
                             values["payload"] = _payload(block)
                             held += len(values["payload"])
                     else:
-                        file.seek(length, io.SEEK_CUR)
+                        _whole(_skip, file, length, path)
                     held += 200
                     rows.append(values)
                     if held >= self.batch:

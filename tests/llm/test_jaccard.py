@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 
@@ -7,12 +8,30 @@ from meterline.llm.components import components
 from tests.llm.fixtures import awkward, empty, sentence
 
 
-def brute(docs, percent):
+def brute(docs, percent, size=4):
     """[(doc_id, text)] -> {position: (n, component)}; a null id is the least."""
+    least, sets, root = groups(docs, percent, size)
+    return sorted(((d, len(sets[i]), least[root(i)]) for i, (d, _) in enumerate(docs)), key=repr)
+
+
+def one_of_each(docs, percent, size):
+    """Positions of the rows that stand for their group, by their least id, null first; equal texts of one id count once."""
+    _, sets, root = groups(docs, percent, size)
+    seen, out = {}, Counter()
+    for i, (d, text) in enumerate(docs):
+        group = root(i) if sets[i] else ("empty", d, text)
+        seen.setdefault(group, set()).add(((d is not None, d or 0), text))
+    for rows in seen.values():
+        least = min(k for k, _ in rows)
+        out[tuple(sorted({(k, t) for k, t in rows if k == least}, key=repr))] += 1
+    return out
+
+
+def groups(docs, percent, size):
     sets = []
     for _, text in docs:
         words = (text or "").encode().lower().split()
-        sets.append({tuple(words[i:i + 4]) for i in range(max(1, len(words) - 3))} if words else set())
+        sets.append({tuple(words[i:i + size]) for i in range(max(1, len(words) - size + 1))} if words else set())
     up = list(range(len(docs)))
 
     def root(x):
@@ -29,7 +48,7 @@ def brute(docs, percent):
     order = lambda d: (d is not None, d or 0)
     for i, (d, _) in enumerate(docs):
         least[root(i)] = min(least.get(root(i), d), d, key=order)
-    return sorted(((d, len(sets[i]), least[root(i)]) for i, (d, _) in enumerate(docs)), key=repr)
+    return least, sets, root
 
 
 def answers(frame, **parameters):
@@ -79,6 +98,23 @@ def test_dense_region_in_blocks(spark):
     assert answers(frame, leaf=500) == brute(docs, 85)
 
 
+def test_one_row_of_each_group_where_ids_are_null_or_shared(spark):
+    rng = random.Random(9)
+    texts = [sentence(rng, 80, 10_000) for _ in range(5)]
+    near = lambda k, n: f"{texts[k]} " + " ".join(f"n{n}" for _ in range(3))
+    rows = [(None, near(0, i)) for i in range(6)] + [(None, near(1, i)) for i in range(4)]  # two groups without ids
+    rows += [(3, texts[2]), (9, near(2, 1)), (3, texts[3]), (8, near(3, 1)), (7, texts[4]), (7, texts[4])]  # an id of two groups
+    rows += [(None, ""), (None, None), (5, " "), (5, " ")]
+    frame = spark.createDataFrame([(*r, f"s{i}") for i, r in enumerate(rows)], "doc_id long, text string, source string").repartition(3)
+    got = jaccard.one_of_each(frame, 80, 5).collect()
+    want = one_of_each(rows, 80, 5)
+    order = lambda d: (d is not None, d or 0)
+    kept = Counter((order(r.doc_id), r.text) for r in got)
+    assert sum(kept.values()) == sum(want.values()) == 5 + 3
+    for choices, n in want.items():
+        assert sum(kept[c] for c in choices) == n, choices
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, k) for k in range(200, 260)] + [(5, 5)]

@@ -2,6 +2,8 @@
 
 import math
 import random
+import struct
+import zlib
 from collections import Counter, defaultdict
 
 import pytest
@@ -52,10 +54,11 @@ def test_stages_match_brute_force(spark):
 
     docs = spark.createDataFrame(out, DOCUMENTS)
     out = run["near_duplicates"](spark, docs, "").collect()
-    component = {(d, n): c for d, n, c in test_jaccard.brute([(r.doc_id, r.text) for r in docs.collect()], 85)}
-    first = {d for (d, _), c in component.items() if d == c}
-    assert bag(out) == Counter({tuple(r) for r in docs.collect() if r.doc_id in first})
-    assert len(out) < docs.count()
+    rows = docs.collect()
+    want = test_jaccard.one_of_each([(r.doc_id, r.text) for r in rows], corpus_pipeline.PERCENT, corpus_pipeline.SHINGLE)
+    kept = Counter(((r.doc_id is not None, r.doc_id or 0), r.text) for r in out)
+    assert len(out) == sum(want.values()) < docs.count() and set(out) <= set(rows)
+    assert all(sum(kept[c] for c in choices) == n for choices, n in want.items())
 
     docs = spark.createDataFrame(out, DOCUMENTS)
     out = run["secret_scan"](spark, docs, "").collect()
@@ -95,13 +98,21 @@ def test_stages_match_brute_force(spark):
     docs = spark.createDataFrame(out, DOCUMENTS)
     pieces = run["sequence_packing"](spark, docs, "").collect()
     tokens = packing.Tokens(*packing.public_vocabulary())
-    need, got, fill = Counter(), Counter(), Counter()
+    # Every id of every copy of a document lies in one piece; pieces of copies start at the same places.
+    need, got, places = Counter(), Counter(), defaultdict(list)
+    own = defaultdict(dict)
     for r in docs.collect():
-        need[r.doc_id] += len(tokens.ids(r.text))
+        ids = list(tokens.ids(r.text))
+        own[r.doc_id][tuple(ids)] = ids
+        need.update((r.doc_id, tuple(ids), k) for k in range(len(ids)))
     for p in pieces:
-        got[p.doc_id] += p.length
-        fill[p.sequence_id] += p.length
-    assert got == need and max(fill.values()) <= 1024
+        crc = lambda ids: zlib.crc32(b"".join(struct.pack("<I", i) for i in ids))
+        of = [k for k, ids in own[p.doc_id].items() if len(ids) == p.doc_tokens and crc(ids[p.start:p.start + p.length]) == p.ids_crc32]
+        assert of, "no document has these ids there"
+        got.update((p.doc_id, of[0], k) for k in range(p.start, p.start + p.length))
+        places[p.sequence_id] += range(p.offset, p.offset + p.length)
+    assert got == need
+    assert all(sorted(at) == list(range(len(at))) and len(at) <= 1024 for at in places.values())
 
 
 def test_near_copies_of_five_words_and_four_fifths(spark):

@@ -39,7 +39,7 @@ def test_shared_lines_go_and_depleted_documents_are_rejected(spark):
     for r in with_line:
         assert "All rights reserved" not in r.clean_text and r.n_removed_words == 9 and r.kept
         assert r.clean_text == "\n".join(x for x in r.text.split("\n") if "All rights" not in x)
-    # Copies of one document keep their lines: what stands beside them is always the same.
+    # Copies of one document keep their lines: they are one text.
     for r in got:
         if r.text and r.text.startswith(next(t.text for t in got if t.doc_id == 5)[:40]):
             assert r.n_removed_lines == 0
@@ -91,5 +91,24 @@ def test_copies_count_once_and_hide_no_footer(spark):
             assert r.clean_text == "\n".join(copied)
 
 
+def test_lines_beyond_the_broadcast_meet_by_a_shuffle(spark):
+    rows = [(i, "\n".join([own_words(i), *block(f"host {chr(97 + i % 4)}", 6 + i % 4), "everywhere " * 3]), f"h{i % 4}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted((r.doc_id, r.clean_text, r.n_removed_lines, r.kept) for r in rules.apply_rules(docs).collect())
+    assert {r[2] for r in want} == {7, 8, 9, 10}
+    for most in (1, 5, 33):
+        got = rules.apply_rules(docs, most_heavy=most)
+        assert sorted((r.doc_id, r.clean_text, r.n_removed_lines, r.kept) for r in got.collect()) == want
+
+
+def test_a_text_of_very_many_lines(spark):
+    lines = [f"shared {chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676 % 26)}" if k % 2 else own_words(k, 3) for k in range(100_000)]
+    rows = [(0, "\n".join(lines), "h")] + [(i, "\n".join([own_words(i), *lines[1:4000:2]]), "h") for i in range(1, 21)]
+    got = {r.doc_id: r for r in rules.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    frequent = set(lines[1:4000:2])
+    assert got[0].clean_text == "\n".join(x for x in lines if x not in frequent)
+    assert got[0].n_removed_lines == sum(x in frequent for x in lines)
+
+
 def test_empty(spark):
     assert rules.apply_rules(empty(spark)).count() == 0

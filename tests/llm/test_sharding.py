@@ -26,20 +26,42 @@ def brute(rows, whole, first, shards, out):
     brute(rows[at:], whole, first + shards // 2, shards - shards // 2, out)
 
 
-def test_tree_matches_brute_force(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    got = {r.doc_id: r for r in sharding.shard(docs, 24).collect()}
-    kinds = dict(docs.dtypes)
-    meta = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("tie"), *[
-        sharding._as_long(d, kinds[d]).alias(f"d{k}") for k, d in enumerate(sharding.DIMENSIONS)]).collect()
-    rows = [(r.doc_id, len(r.text.encode()) + 8, [r[f"d{k}"] for k in range(4)], r.tie) for r in meta]
+def compared(docs, shards, dimensions=sharding.DIMENSIONS):
+    """Shards by the operator and by brute force on the real values."""
+    got = {r.doc_id: r for r in sharding.shard(docs, shards, dimensions=dimensions).collect()}
+    meta = docs.select("*", F.xxhash64("doc_id", "text").alias("tie")).collect()
+    places = {d: {v: k for k, v in enumerate(sorted({r[d] for r in meta}, key=lambda v: v.encode() if isinstance(v, str) else v))}
+              for d in dimensions if isinstance(meta[0][d], str)}
+    rows = [(r.doc_id, len(r.text.encode()) + 8, [places[d][r[d]] if d in places else r[d] for d in dimensions], r.tie) for r in meta]
     want = {}
-    brute(rows, [(min(r[2][k] for r in rows), max(r[2][k] for r in rows)) for k in range(4)], 0, 24, want)
+    brute(rows, [(min(r[2][k] for r in rows), max(r[2][k] for r in rows)) for k in range(len(dimensions))], 0, shards, want)
     assert {k: r.shard for k, r in got.items()} == want
+    return got, meta
+
+
+def test_tree_matches_brute_force(spark):
+    got, meta = compared(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), 24)
     for r in meta:
         assert got[r.doc_id].size == len(r.text.encode()) + 8 and got[r.doc_id].text_crc32 == zlib.crc32(r.text.encode())
 
 
+def test_hosts_with_a_common_beginning_are_told_apart(spark):
+    hosts = ["https://www.example.org/a", "https://www.example.org/b", "https://www.example.org/é", "https://www.example.org", "https://www.example.com"]
+    rows = [(k, "x" * (k % 7), "en", hosts[k * k % 5], 5) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got, meta = compared(docs, 3, ("source", "n_chars"))
+    of = {}
+    for r in meta:
+        of.setdefault(r.source, set()).add(got[r.doc_id].shard)
+    assert any(len(shards) == 1 for shards in of.values()) and len(set().union(*of.values())) == 3
+
+
+def test_values_beyond_the_broadcast(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    monkeypatch.setattr(sharding, "MOST_VALUES", 1)
+    compared(docs, 6)
+
+
 def test_sizes_slots_and_odd_rows(spark):
     docs = awkward(spark, extra="size,shard,slot,_size,_d0").where("doc_id IS NULL OR doc_id NOT IN (10, 11)")
     got = sharding.shard(docs, 5).collect()

@@ -65,6 +65,32 @@ def test_files_are_planned_together_and_apart(tmp_path):
     assert [len(p.paths) for p in reader(1).partitions()] == [1] * 6
 
 
+@pytest.mark.parametrize("zipped", [False, True])
+@pytest.mark.parametrize("kind", ["response", "revisit"])
+def test_cut_archives_are_errors_in_every_reading(spark, tmp_path, kind, zipped):
+    whole = warc.record(1, "response", "u", 3, "d", None, b"abc") + warc.record(2, kind, "u", 3, "d", 1, os.urandom(400) if kind == "response" else None)
+    path = tmp_path / ("a.warc.gz" if zipped else "a.warc")
+    pack = (lambda b: gzip.compress(b)) if zipped else (lambda b: b)
+    light = warc.SCHEMA.rpartition(",")[0]
+    readings = [lambda f: f, lambda f: f.where("record_type = 'response'"), lambda f: f.where("page_id = 1"), lambda f: f.where("page_id = 99")]
+    load = lambda schema: spark.read.format("warc").schema(schema).load(str(tmp_path))
+    path.write_bytes(pack(whole))
+    assert load(warc.SCHEMA).count() == load(light).count() == 2
+    for cut in [whole[:-30], whole[:whole.rindex(b"WARC/1.1") + 60], None]:
+        path.write_bytes(pack(cut) if cut else pack(whole)[:-12] if zipped else whole[:-6])
+        for schema in (warc.SCHEMA, light):
+            for reading in readings:
+                with pytest.raises(Exception, match="ends inside a record"):
+                    reading(load(schema)).collect()
+
+
+@pytest.mark.parametrize("length", [b"", b"Content-Length: x\r\n", b"Content-Length: -4\r\n"])
+def test_a_record_without_its_length_is_an_error(spark, tmp_path, length):
+    (tmp_path / "a.warc").write_bytes(b"WARC/1.1\r\nWARC-Type: response\r\n" + length + b"\r\nabcd\r\n\r\n")
+    with pytest.raises(Exception, match="without its length"):
+        spark.read.format("warc").load(str(tmp_path)).collect()
+
+
 def test_predicates_are_pushed_and_payloads_skipped(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "w")
     warc.records(pages(spark)).write.format("warc").mode("append").save(path)
