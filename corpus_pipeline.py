@@ -7,7 +7,7 @@ lost executor costs no more than the stage at hand.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterline.llm import jaccard, mixing, packing, rules, secrets
@@ -30,12 +30,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group: that with the least id. Of rows equal in id and text one stays."""
-    grouped = jaccard.similar(docs, percent=PERCENT, shingle=SHINGLE)
-    chosen = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_id"]), "left_semi")
-    row = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.hash("text"), "source"))
-    return kept.withColumn("_row", row).where("_row = 1").select(*COLUMNS)
+    """One document of every group of near duplicates."""
+    return jaccard.one_of_each(docs.select(*COLUMNS), PERCENT, SHINGLE)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
