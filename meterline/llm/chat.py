@@ -153,13 +153,13 @@ def loss_text(formatted: Column, spans: Column) -> Column:
     return F.array_join(let(F.encode(formatted, "UTF-8"), cut), "")
 
 
-def streamed_log(rows: DataFrame, *identity: str, piece: int = 512) -> DataFrame:
+def streamed_log(rows: DataFrame, *identity: str, piece: int = 1024) -> DataFrame:
     """The log that tables of final turns stand for: each text begun as a message and streamed on in deltas.
 
     `identity` names columns that tell rows of one turn apart where role and text do not.
     """
     text = F.coalesce("text", F.lit(""))
     pieces = F.when(text == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{piece}}}"), F.lit(0)))
-    cut = rows.select("conv_id", "turn", "role", F.md5(text).alias("_digest"), *identity, F.posexplode(pieces).alias("_piece", "text"))
+    cut = rows.select("conv_id", "turn", "role", F.unhex(F.md5(text)).alias("_digest"), *identity, F.posexplode(pieces).alias("_piece", "text"))
     return cut.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), "_digest", *identity, "_piece").alias("seq"), "turn",
                       F.when(F.col("_piece") == 0, "message").otherwise("delta").alias("kind"), "role", "text")
