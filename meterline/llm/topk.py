@@ -1,22 +1,18 @@
 """Exact top-k inner products by aggregation of sorted lists without random access.
 
-Every vector component is a list, sorted by value. A query's score is the sum of one
-entry of each list, so lists read in order - from the top where the query's weight is
-positive, from the bottom where it is negative - bound every candidate: a value not yet
-read lies between the list's far end and the place reached. A candidate's lower bound
-takes the far end for each unread entry, its upper bound the place reached. Once k
-lower bounds reach t, a candidate with an upper bound below t is out; when few
-are left, their scores are resolved.
-
-Candidates come in blocks of vectors, queries in blocks too; a block of queries meets
-every block of candidates (a stated query set against all rows). The lists are those of
-a candidate block, read in rounds of growing depth; bounds of a whole round are two
-matrix products over clipped values. The best k so far travel with the queries from block to block
-inside a task, so later blocks start with a threshold. Each task returns k rows per
+Every vector component is a list of (value, row), sorted by value. A query's score is the sum of one
+entry of each list. Lists are read in order, from the top where the query's weight is positive and from the bottom where it
+is negative, some entries of each in a round. An entry adds its share to its row. What a row has not shown yet lies between the place
+reached in that list and the list's far end, so every row has a lower and an upper bound from what was read alone. Once `k` lower
+bounds reach t, rows whose upper bound is below t are out, rows not met at all among them; reading stops when few are
+left, or at the lists' ends, and the scores of those are resolved. Queries stop on their own. The best `k` so far of a query serve
+as its t from the first round of the next block.
+
+Candidates come in blocks of vectors whose lists are sorted once in a task, queries in blocks too; blocks of queries meet
+blocks of candidates (a stated query set against all rows) in tiles of bounded size. Each tile returns k rows per
 query, and a window picks the best k of those.
 
-Values are whole numbers, sums are exact: 32-bit floats up to 2^24, 64-bit up to 2^53,
-Python integers beyond.
+Values are whole numbers, sums are exact: 64-bit floats up to 2^52, Python integers beyond.
 
 Defined cases. A vector that is null, empty, or has a null or non-finite component takes
 no part. Only vectors of equal length meet. A query's own id is no candidate, nor are
@@ -26,174 +22,138 @@ Null ids take no part. An empty table gives an empty table. Scores must fit a lo
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Parts of the lists that a round has read; the rest is resolved.
-DEPTHS = (0.6, 0.85)
-#: Part of all pairs left at which a block's reading ends and scores are resolved.
-FEW = 0.02
-
-
-def scaled(vector: Column, factor: int = 64) -> Column:
-    """floor(factor * x) of every component, as longs; null for a vector that takes no part."""
-    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    whole = F.transform(vector, lambda x: F.floor(x.cast("double") * factor).cast("long"))
-    return F.when((F.size(vector) > 0) & ~bad, whole)
-
+from meterline.llm.common import written
+from meterline.llm.vectors import blocks_of, decoded, encoded, number, scaled
 
-def _encoded(matrix: np.ndarray) -> tuple[int, bytes]:
-    """Width in bytes and little-endian bytes of whole numbers."""
-    most = int(np.abs(matrix).max(initial=0))
-    width = 2 if most < 1 << 15 else 4 if most < 1 << 31 else 8
-    return width, matrix.astype(f"<i{width}").tobytes()
+__all__ = ["Best", "Lists", "read_lists", "scaled", "top_k"]
 
+#: Rounds in which a list is read to its end.
+ROUNDS = 16
+#: Reading ends when at most so many times k rows are left.
+FEW = 2
+#: A tile holds up to this many candidates and queries; with few rows tiles are smaller, so that there are some 64.
+LEAST_TILE, MOST_TILE, TILES = 4096, 65_536, 64
 
-def _decoded(ids: bytes, width: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    names = np.frombuffer(ids, "<i8")
-    return names, np.frombuffer(data, f"<i{width}").reshape(len(names), -1).astype(np.int64)
 
+class Lists:
+    """One block's candidates as sorted lists: the row of each entry from the least value up."""
 
-def candidate_blocks(rows: DataFrame, block_rows: int) -> DataFrame:
-    """(n, ids, width, data): the rows of a task in blocks of equal vector length, where they are read."""
+    def __init__(self, names: np.ndarray, rows: np.ndarray):
+        self.names, self.rows = names, rows
+        self.order = np.argsort(rows, axis=0, kind="stable").astype(np.int32)
+        self.sorted = np.take_along_axis(rows, self.order, axis=0)
+        self.most = float(np.abs(rows).max(initial=0))
 
-    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
 
-        def row(n: int) -> pa.RecordBatch:
-            pairs = sorted(held.pop(n), key=lambda p: p[0])
-            width, data = _encoded(np.stack([p[1] for p in pairs]))
-            ids = np.array([p[0] for p in pairs], "<i8").tobytes()
-            return pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int32()), "ids": [ids],
-                                               "width": pa.array([width], pa.int32()), "data": [data]})
-
-        for batch in batches:
-            for name, vector in zip(batch.column(0), batch.column(1), strict=True):
-                values = vector.values.to_numpy(zero_copy_only=False)
-                held.setdefault(len(values), []).append((name.as_py(), values))
-                if len(held[len(values)]) >= block_rows:
-                    yield row(len(values))
-        for n in list(held):
-            yield row(n)
-
-    return rows.mapInArrow(gathered, "n int, ids binary, width int, data binary")
+class Best:
+    """The k best (score, id) so far of one query."""
+
+    def __init__(self, k: int):
+        self.k = k
+        self.scores, self.names = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def floor(self):
+        """The score that a newcomer must reach."""
+        return int(self.scores[-1]) if len(self.scores) == self.k else None
+
+    def add(self, scores: np.ndarray, names: np.ndarray) -> None:
+        scores, names = np.concatenate([self.scores, scores]), np.concatenate([self.names, names])
+        order = np.lexsort((names, -scores))[:self.k]
+        self.scores, self.names = scores[order], names[order]
+
+
+def read_lists(query: np.ndarray, own: int, lists: Lists, best: Best, rounds: int = ROUNDS, few: int = FEW) -> int:
+    """One query down the lists of one block, into `best`; how many entries were read."""
+    n, dims = lists.rows.shape
+    kind = number(float(np.abs(query).max(initial=0)) * lists.most * dims)
+    q, up = query.astype(kind), query > 0
+    # Entries in the order of reading, as shares of the score, falling in every list.
+    rows = np.where(up, lists.order[::-1], lists.order)
+    shares = np.where(up, lists.sorted[::-1], lists.sorted).astype(kind) * q
+    far = shares[-1]
+    partial = np.zeros(n, kind)
+    seen = np.zeros((n, dims), kind)
+    others = lists.names != own
+    left = np.flatnonzero(others)
+    columns = np.arange(dims)
+    depth = 0
+    while depth < n and len(left):
+        end = min(n, depth + max(1, -(-n // rounds)))
+        here = rows[depth:end]
+        if kind is object:
+            np.add.at(partial, here, shares[depth:end])
+        else:
+            partial += np.bincount(here.ravel(), shares[depth:end].ravel(), n)
+        seen[here, columns] = 1
+        depth = end
+        reached = shares[end - 1]
+        # The rows that are left are all that can still qualify; only theirs are looked at.
+        part, shown = partial[left], seen[left]
+        lower = part + (far.sum() - shown @ far)
+        upper = part + (reached.sum() - shown @ reached)
+        floor = best.floor()
+        if len(left) >= best.k:
+            kth = np.sort(lower)[len(left) - best.k]  # by value: Python integers have no partition
+            floor = kth if floor is None else max(floor, kth)
+        if floor is not None:
+            left = left[upper >= floor]
+        if len(left) <= few * best.k:
+            break
+    scores = lists.rows[left].astype(kind) @ q
+    best.add(scores.astype(np.int64), lists.names[left])
+    return depth * dims
 
 
 def query_blocks(rows: DataFrame, parts: int) -> DataFrame:
-    """(n, qb, q_ids, q_width, q_data): queries in `parts` blocks by a hash of their id."""
+    """(n, qb, ids, width, data): queries in `parts` blocks by a hash of their id."""
 
     def gathered(key, table):
         table = table.sort_by("vec_id")
-        width, data = _encoded(np.array(table["v"].to_pylist(), np.int64))
-        ids = table["vec_id"].to_numpy().astype("<i8").tobytes()
+        width, data = encoded(np.array(table["v"].to_pylist(), np.int64))
         return pa.table({"n": pa.array([key[0].as_py()], pa.int32()), "qb": pa.array([key[1].as_py()], pa.int32()),
-                         "q_ids": [ids], "q_width": pa.array([width], pa.int32()), "q_data": [data]})
+                         "ids": [table["vec_id"].to_numpy().astype("<i8").tobytes()], "width": pa.array([width], pa.int32()), "data": [data]})
 
     keyed = rows.select("vec_id", "v", F.size("v").alias("n"), F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("qb"))
-    return keyed.groupBy("n", "qb").applyInArrow(gathered, "n int, qb int, q_ids binary, q_width int, q_data binary")
-
-
-def _number(limit: float) -> type:
-    return np.float32 if limit < 1 << 24 else np.float64 if limit < 1 << 53 else object
-
-
-class Best:
-    """The k best (score, id) so far of each query of a block."""
-
-    def __init__(self, query_ids: np.ndarray, k: int):
-        self.ids, self.k = query_ids, k
-        self.scores = [np.empty(0, object) for _ in query_ids]
-        self.names = [np.empty(0, np.int64) for _ in query_ids]
-
-    def floor(self) -> np.ndarray:
-        """The score that a newcomer must reach, per query."""
-        return np.array([s[-1] if len(s) == self.k else -np.inf for s in self.scores], float)
-
-    def add(self, q: int, scores: np.ndarray, names: np.ndarray) -> None:
-        own = names != self.ids[q]
-        scores = np.concatenate([self.scores[q], scores[own]])
-        names = np.concatenate([self.names[q], names[own]])
-        order = np.lexsort((names, -scores))[: self.k]
-        self.scores[q], self.names[q] = scores[order], names[order]
-
-
-def read_lists(queries: np.ndarray, block: np.ndarray, names: np.ndarray, best: Best, depths=DEPTHS) -> None:
-    """One block's candidates against one block's queries, into `best`."""
-    most = float(np.abs(queries).max(initial=0)) * float(np.abs(block).max(initial=0)) * queries.shape[1]
-    kind = _number(most)
-    rows = len(block)
-    if kind is object or rows <= 4 * best.k:
-        exact = queries.astype(object) @ block.astype(object).T if kind is object else queries.astype(kind) @ block.astype(kind).T
-        for q in range(len(queries)):
-            best.add(q, exact[q].astype(object if kind is object else np.int64), names)
-        return
-    q, x = queries.astype(kind), block.astype(kind)
-    up, down = np.maximum(q, 0), np.minimum(q, 0)
-    lists = np.sort(x, axis=0)
-    worst, top = lists[0], lists[-1]
-    alive = np.ones((len(q), rows), bool)
-    here = np.flatnonzero(np.isin(best.ids, names))
-    for depth in depths:
-        read = max(1, int(rows * depth))
-        high, low = lists[rows - read], lists[read - 1]  # places reached from the top, from the bottom
-        upper = up @ np.maximum(x, high).T + down @ np.minimum(x, low).T
-        lower = up @ np.where(x >= high, x, worst).T + down @ np.where(x <= low, x, top).T
-        for k in here:
-            lower[k, names == best.ids[k]] = -np.inf
-        reached = np.partition(lower, rows - best.k, axis=1)[:, rows - best.k]
-        alive = upper >= np.maximum(reached, best.floor())[:, None]
-        if alive.mean() < FEW:
-            break
-    some = alive.any(axis=0)
-    columns = np.flatnonzero(some)
-    scores, names, alive = q @ x[columns].T, names[columns], alive[:, columns]
-    for k in range(len(q)):
-        at = np.flatnonzero(alive[k])
-        best.add(k, scores[k, at].astype(np.int64), names[at])
+    return keyed.groupBy("n", "qb").applyInArrow(gathered, "n int, qb int, ids binary, width int, data binary")
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows: int = 4096, query_rows: int = 512,
-          slices: int = 8) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows: int = 2048, query_rows: int = 512,
+          least_tile: int = LEAST_TILE, rounds: int = ROUNDS) -> DataFrame:
     """(query_id, rank, vec_id, score) over tables of `vec_id` and whole-number arrays `v`."""
     usable = F.col("v").isNotNull() & F.col("vec_id").isNotNull()
-    queries = queries.where(usable).select("vec_id", "v")
-    parts = max(1, -(-queries.count() // query_rows))
-    asked = query_blocks(queries, parts).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    held = candidate_blocks(vectors.where(usable).select("vec_id", "v"), block_rows)
-    # Every block of candidates goes to every block of queries; a slice of them is one task's reading.
-    spread = held.withColumn("slice", F.pmod(F.xxhash64("ids"), F.lit(slices)).cast("int")).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    met = asked.join(spread, ["n", "qb", "slice"])
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, best, matrix = None, None, None
-
-        def answer() -> pa.RecordBatch:
-            sizes = [len(s) for s in best.scores]
-            return pa.RecordBatch.from_pydict({
-                "query_id": np.repeat(best.ids, sizes), "vec_id": np.concatenate(best.names),
-                "score": np.concatenate(best.scores).astype(np.int64)})
-
-        # Rows of one key come together; where a plan deals them otherwise, a key is only answered in parts.
-        for batch in batches:
-            for r in batch.to_pylist():
-                key = (r["n"], r["qb"], r["slice"])
-                if key != at:
-                    if best is not None:
-                        yield answer()
-                    ids, matrix = _decoded(r["q_ids"], r["q_width"], r["q_data"])
-                    at, best = key, Best(ids, k)
-                names, block = _decoded(r["ids"], r["width"], r["data"])
-                read_lists(matrix, block, names, best)
-        if best is not None:
-            yield answer()
-
-    found = met.select("n", "qb", "slice", "q_ids", "q_width", "q_data", "ids", "width", "data").mapInArrow(
-        search, "query_id long, vec_id long, score long")
+    asked = queries.where(usable).select("vec_id", "v")
+    rows = vectors.where(usable).select("vec_id", F.lit(0).cast("long").alias("label"), "v")
+    held = written(blocks_of(rows, block_rows), "lists")
+    total, many = held.agg(F.sum(F.octet_length("ids") / 8)).first()[0] or 0, asked.count()
+    tiles = max(1, -(-int(total) // min(MOST_TILE, max(least_tile, int(total) // TILES))))
+    parts = max(1, -(-many // query_rows))
+    sides = max(1, -(-many // MOST_TILE))
+    spread = held.withColumn("tile", F.pmod(F.xxhash64("ids"), F.lit(tiles)).cast("int")).withColumn(
+        "side", F.explode(F.sequence(F.lit(0), F.lit(sides - 1))))
+    asked = query_blocks(asked, parts).withColumn("side", F.col("qb") % sides).withColumn(
+        "tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        found: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
+        blocks = [Lists(*decoded(r["ids"], r["width"], r["data"])) for r in right.to_pylist()]
+        for r in left.to_pylist() if blocks else ():
+            ids, matrix = decoded(r["ids"], r["width"], r["data"])
+            for own, query in zip(ids.tolist(), matrix, strict=True):
+                best = Best(k)
+                for block in blocks:
+                    read_lists(query, own, block, best, rounds)
+                found["query_id"].append(np.full(len(best.names), own, np.int64))
+                found["vec_id"].append(best.names)
+                found["score"].append(best.scores)
+        return pa.table({n: pa.array(np.concatenate(c) if c else np.empty(0, np.int64), pa.int64()) for n, c in found.items()})
+
+    keys = ["n", "tile", "side"]
+    met = asked.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
+    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")

@@ -36,34 +36,46 @@ def test_odd_vectors_ties_and_lengths(spark):
     rows = [(i, [rng.choice([-1.0, -0.5, 0.0, 0.25, 1.0]) for _ in range(6)]) for i in range(300)]
     rows += [(400, None), (420, []), (440, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (460, [float("nan")] * 6), (480, [float("inf")] * 6),
              (None, [1.0] * 6), (500, [1.0, 2.0]), (501, [2.0, 1.0]), (502, [-1.0, 0.5])]
-    assert run(spark, rows, k=7, block_rows=50, query_rows=4, slices=2) == brute(rows, 7, lambda q: q % 20 == 0)
+    assert run(spark, rows, k=7, block_rows=50, query_rows=4, least_tile=100) == brute(rows, 7, lambda q: q % 20 == 0)
 
 
-@pytest.mark.parametrize("scale", [1.0, 1e4, 1e6])
+@pytest.mark.parametrize("scale", [1.0, 1e4, 1e6, 2e6])
 def test_rounds_of_reading_lose_nothing(spark, scale):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(8, 16))
     data = (centres[rng.integers(0, 8, 1500)] + 0.3 * rng.normal(size=(1500, 16))) * scale
     rows = [(i, [float(np.float32(x)) for x in v]) for i, v in enumerate(data)]
-    assert run(spark, rows, block_rows=400, query_rows=20, slices=2) == brute(rows, 20, lambda q: q % 20 == 0)
+    assert run(spark, rows, block_rows=400, query_rows=20, least_tile=800) == brute(rows, 20, lambda q: q % 20 == 0)
 
 
-def test_reading_stops_early():
+def test_reading_stops_early_and_reads_no_more_than_it_says():
     rng = np.random.default_rng(5)
     block = rng.integers(-5, 6, (4000, 8))
     block[:40] = 100 + rng.integers(0, 9, (40, 8))  # a few stand out; shallow lists tell
-    query = np.full((1, 8), 7)
-    best = topk.Best(np.array([10**6]), 20)
-    calls = []
-    original = topk.np.where
-    try:
-        topk.np.where = lambda *a: calls.append(1) or original(*a)
-        topk.read_lists(query, block, np.arange(4000), best)
-    finally:
-        topk.np.where = original
-    assert len(calls) == 2  # one round: two clipped matrices
-    want = np.sort((block @ query[0]))[::-1][:20]
-    assert best.scores[0].tolist() == want.tolist()
+    names = np.arange(4000)
+    lists, best = topk.Lists(names, block), topk.Best(20)
+    read = topk.read_lists(np.full(8, 7), 10**6, lists, best, rounds=80)
+    assert read == 8 * 50  # one round of every list
+    want = np.lexsort((names, -(block @ np.full(8, 7))))[:20]
+    assert best.names.tolist() == want.tolist()
+    # A block whose rows cannot reach the best so far is left after its first round.
+    poor = topk.Lists(names + 5000, rng.integers(-5, 6, (4000, 8)))
+    assert topk.read_lists(np.full(8, 7), 10**6, poor, best, rounds=80) == 8 * 50 and best.names.tolist() == want.tolist()
+
+
+def test_bounds_come_from_entries_read_alone():
+    """Rows beyond the depth reached may hold anything up to the place reached: changing them changes no decision before."""
+    rng = np.random.default_rng(7)
+    block = rng.integers(-50, 51, (500, 6))
+    query = np.array([3, -2, 0, 5, -1, 4])
+    lists, best = topk.Lists(np.arange(500), block), topk.Best(5)
+    read = topk.read_lists(query, -1, lists, best, rounds=25)
+    depth = read // 6
+    assert 0 < depth < 500
+    scores = block @ query
+    assert best.scores.tolist() == np.sort(scores)[::-1][:5].tolist()
+    # Every row that was dropped lies below the fifth best by its own score.
+    assert (scores >= best.scores[-1]).sum() >= 5
 
 
 def test_fewer_candidates_than_k_repeats_and_empty(spark):
