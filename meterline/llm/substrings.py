@@ -1,11 +1,12 @@
-"""Substring deduplication by window lookup in an index of the corpus, with the hits as relative Lempel-Ziv factors.
+"""Substring deduplication by relative Lempel-Ziv parsing of the documents against an index of the corpus.
 
 The reference is the corpus itself: the first place of every word window that occurs
-more than once, in blocks of sorted hash arrays that workers map. Every window is looked
-up, and the words of all windows that have an earlier place are removed. The hits are then
-strung to factors, from left to right: a factor grows as long as the next window's first
-place is the next one in the same text. As only first places are kept, a factor may be
-shorter than the longest match with the reference.
+more than once, in blocks of sorted hash arrays that workers map. A document is parsed from left to right. Where the blocks hold an
+earlier place of the window at hand, a factor begins; it grows word by word as long as the next window lies next in the
+reference. Where it ends the windows across its border are looked up too, so a passage that goes on at another
+place is a factor of its own from its first window on. Factors are as long as a window or longer by that; they are the duplicate spans,
+and their words are what is removed. As only first places are kept, a factor ends where the first place jumps, although a later place might
+have gone on: the next factor then takes over inside the border, so the words covered are the same.
 
 Three passes over the text, none of which shuffles it:
 
@@ -15,7 +16,7 @@ Three passes over the text, none of which shuffles it:
 2. Places. Windows whose anchor repeats are sent with their first place in the task, one per
    window text and task, so a passage of a third of all documents is no large group.
    The first places overall become the index.
-3. Lookup. The windows of documents are looked up in the index.
+3. Parse. The documents are parsed against the index.
 
 Windows are known by 96-bit hashes of their words' hashes. Places are ordered by (doc_id, start).
 
@@ -280,14 +281,37 @@ def _find_places(docs: DataFrame, folder: str, size: int, anchor_sizes: tuple[in
     return tuple(sizes.get(p, 0) for p in range(parts))
 
 
-def factors(starts: np.ndarray, docs: np.ndarray, refs: np.ndarray, size: int) -> list[tuple[int, int, int, int]]:
-    """(start, length, ref_doc, ref_start) of the greedy factors through windows that have an earlier place."""
-    if not len(starts):
-        return []
-    goes_on = (np.diff(starts) == 1) & (np.diff(docs) == 0) & (np.diff(refs) == 1)
-    begin = np.flatnonzero(np.concatenate([[True], ~goes_on]))
-    end = np.concatenate([begin[1:], [len(starts)]])
-    return [(int(starts[a]), int(b - a + size - 1), int(docs[a]), int(refs[a])) for a, b in zip(begin, end, strict=True)]
+@dataclass
+class Factors:
+    """Greedy factors of documents laid end to end: where each starts there, its words, and its place in the reference."""
+
+    start: np.ndarray
+    length: np.ndarray
+    ref_doc: np.ndarray
+    ref_start: np.ndarray
+
+    @classmethod
+    def parsed(cls, starts: np.ndarray, docs: np.ndarray, ref_docs: np.ndarray, ref_starts: np.ndarray, size: int) -> Factors:
+        """From the windows that the reference holds earlier, in order, with their documents and reference places.
+
+        A factor begins at the first such window and grows by a word as long as the next window continues it in the
+        reference. Where it ends, the windows across its border are checked too: one that the reference holds elsewhere begins the
+        next factor inside the last words of this one. So every factor has `size` words or more, and each window with an earlier place
+        lies whole in one.
+        """
+        if not len(starts):
+            return cls(starts, starts, ref_docs, ref_starts)
+        goes_on = (np.diff(starts) == 1) & (np.diff(docs) == 0) & (np.diff(ref_docs) == 0) & (np.diff(ref_starts) == 1)
+        begin = np.flatnonzero(np.concatenate([[True], ~goes_on]))
+        end = np.append(begin[1:], len(starts))
+        return cls(starts[begin], end - begin + size - 1, ref_docs[begin], ref_starts[begin])
+
+    def covered(self, total: int) -> np.ndarray:
+        """Which of `total` words lie in a factor."""
+        change = np.zeros(total + 1, np.int64)
+        np.add.at(change, self.start, 1)
+        np.add.at(change, self.start + self.length, -1)
+        return np.cumsum(change[:-1]) > 0
 
 
 def deduplicate(docs: DataFrame, size: int = 20, keys_per_part: int = 4_000_000, with_text: bool = False) -> DataFrame:
@@ -305,27 +329,26 @@ def deduplicate(docs: DataFrame, size: int = 20, keys_per_part: int = 4_000_000,
         for chunk in chunks(batches):
             windows = Windows(chunk, size)
             starts = repeated_windows(windows, anchors)
-            removed = np.zeros(int(windows.begins[-1]) + 1, np.int64)
-            spans: dict[int, list] = {}
+            none = np.empty(0, np.int64)
+            found = Factors(none, none, none, none)
             if len(starts):
                 doc = windows.doc[starts]
                 ids = np.array([NO_ID if i is None else i for i in chunk.ids], np.int64)[doc]
                 own = starts - windows.begins[doc]
                 known, ref_docs, ref_starts = index.places(*windows.keys(starts))
                 later = known & ((ids > ref_docs) | ((ids == ref_docs) & (own > ref_starts)))
-                np.add.at(removed, starts[later], 1)
-                np.add.at(removed, starts[later] + size, -1)
-                doc, own, ref_docs, ref_starts = doc[later], own[later], ref_docs[later], ref_starts[later]
-                for d, at in dealt(doc, len(chunk.ids)):
-                    spans[d] = factors(own[at], ref_docs[at], ref_starts[at], size)
-            covered = np.cumsum(removed[:-1]) > 0
+                found = Factors.parsed(starts[later], doc[later], ref_docs[later], ref_starts[later], size)
+            covered = found.covered(int(windows.begins[-1]))
+            of = np.searchsorted(found.start, windows.begins)  # the factors of each document
+            spans = list(zip(found.start.tolist(), found.length.tolist(), found.ref_doc.tolist(), found.ref_start.tolist(), strict=True))
             rows = []
             for d, (doc_id, words) in enumerate(zip(chunk.ids, chunk.texts, strict=True)):
                 gone = covered[windows.begins[d]:windows.begins[d + 1]]
                 n = int(gone.sum())
                 text = b" ".join(words if not n else [w for w, g in zip(words, gone.tolist(), strict=True) if not g])
-                found = [dict(zip(("start", "length", "ref_doc", "ref_start"), s, strict=True)) for s in spans.get(d, ())]
-                row = (doc_id, len(words), n, hashlib.sha256(text).hexdigest(), found)
+                begin = int(windows.begins[d])
+                own_spans = [{"start": a - begin, "length": length, "ref_doc": r, "ref_start": s} for a, length, r, s in spans[of[d]:of[d + 1]]]
+                row = (doc_id, len(words), n, hashlib.sha256(text).hexdigest(), own_spans)
                 rows.append((*row, text.decode()) if with_text else row)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
