@@ -24,10 +24,11 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meterline.llm.common import written
+from meterline.session import folder_exists
 
 #: Height of the blocks that one task appends.
 LEVELS = 12
@@ -107,8 +108,11 @@ def placed(rows: DataFrame, key: str, *order: str) -> DataFrame:
     return dealt.join(runs, [key, "_part"]).withColumn("place", F.col("_row") + F.col("_shift")).drop("_part", "_row", "_shift")
 
 
-def tree(nodes: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """(key, place, root, witness) of (key, place, nodes, digest): the root of the key, siblings as bytes from below."""
+_BLOCKED = "key string, place long, nodes long, root string, witness binary"
+
+
+def blocked(nodes: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """(key, place, nodes, root, witness) of (key, place, nodes, digest): the root of the node's block, its siblings there as bytes from below."""
     out = pa.schema([("key", pa.string()), ("place", pa.int64()), ("nodes", pa.int64()), ("root", pa.string()), ("witness", pa.binary())])
 
     def append_all(table: pa.Table) -> pa.Table:
@@ -122,9 +126,12 @@ def tree(nodes: DataFrame, levels: int = LEVELS) -> DataFrame:
         return pa.table([table["key"], table["place"], table["nodes"], pa.array([root] * len(table)),
                          pa.array([bytes.fromhex("".join(w)) for w in block.witnesses], pa.binary())], schema=out)
 
-    blocked = nodes.select("key", "place", "nodes", "digest", F.shiftright("place", levels).alias("block"))
-    done = written(blocked.groupBy("key", "block").applyInArrow(
-        append_all, "key string, place long, nodes long, root string, witness binary"), "blocks")
+    dealt = nodes.select("key", "place", "nodes", "digest", F.shiftright("place", levels).alias("block"))
+    return dealt.groupBy("key", "block").applyInArrow(append_all, _BLOCKED)
+
+
+def raised(done: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """(key, place, root, witness) of blocks that are done: their roots are appended further, their rows' witnesses extended."""
     most = done.agg(F.max("nodes")).first()[0] or 0
     if most <= 1 << levels:
         return done.select("key", "place", "root", "witness")
@@ -137,16 +144,28 @@ def tree(nodes: DataFrame, levels: int = LEVELS) -> DataFrame:
         "key", "place", F.col("_root").alias("root"), F.concat("witness", "_above").alias("witness"))
 
 
+def tree(nodes: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """(key, place, root, witness) of (key, place, nodes, digest): the root of the key, all siblings as bytes from below."""
+    return raised(written(blocked(nodes, levels), "blocks"), levels)
+
+
+def _key(group: Column) -> Column:
+    return F.when(group.isNull(), "").otherwise(F.concat(F.lit("="), group.cast("string")))
+
+
 def manifest(rows: DataFrame, group: str, order: str, leaf_of: Column, levels: int = LEVELS, **carried: Column) -> DataFrame:
     """A row per row of the table: its order value, leaf, place and witness in its group, those of its group, and the root.
 
     `witness` and `group_witness` hold the siblings' digests, 32 bytes each, from the leaf up.
     """
-    key = F.when(F.col(group).isNull(), "").otherwise(F.concat(F.lit("="), F.col(group).cast("string")))
-    leaves = written(rows.select(key.alias("key"), F.col(order).alias("order"), leaf_of.alias("digest"),
-                                  *[c.alias(n) for n, c in carried.items()]), "leaves")
+    leaves = written(rows.select(_key(F.col(group)).alias("key"), F.col(order).alias("order"), leaf_of.alias("digest"),
+                                 *[c.alias(n) for n, c in carried.items()]), "leaves")
     ordered = written(placed(leaves, "key", "order", "digest"), "placed")
-    own = tree(ordered, levels)
+    return _listed(ordered, tree(ordered, levels), levels, order, *carried)
+
+
+def _listed(ordered: DataFrame, own: DataFrame, levels: int, order: str, *carried: str) -> DataFrame:
+    """The rows (key, place, nodes, order, digest) with their witnesses `own`, and those of the groups' roots."""
     groups = own.where("place = 0").select(F.lit("").alias("key"), F.col("key").alias("group"), F.col("root").alias("digest"))
     groups = placed(groups, "key", "group")
     top = tree(groups, levels).select("place", "root", "witness")
@@ -162,6 +181,60 @@ def manifest(rows: DataFrame, group: str, order: str, leaf_of: Column, levels: i
         "group_place", "groups", "group_witness", "root")
 
 
+class Ledger:
+    """A manifest that grows by batches, below a folder. Rows of a batch come after all earlier rows of their group.
+
+    A block that is full is written once with its rows' witnesses and never again. The last block of each group stays open: its leaves,
+    fewer than 2^`levels` a group, are appended again with the next batch. What later batches add to the witnesses
+    of earlier rows lies above their blocks' roots, and only those are appended further by `manifest`.
+
+    Batches count from 1. One that is repeated replaces what it had written.
+    """
+
+    FULL = "order long, digest string, key string, place long, nodes long, root string, witness binary, batch int"
+    OPEN = "key string, place long, order long, digest string, batch int"
+    COUNTS = "key string, nodes long, batch int"
+
+    def __init__(self, spark: SparkSession, path: str, levels: int = LEVELS):
+        self.spark, self.path, self.levels = spark, path, levels
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        if not folder_exists(self.spark, f"{self.path}/{name}"):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+
+    def _write(self, df: DataFrame, name: str, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={batch}")
+
+    def append(self, rows: DataFrame, group: str, order: str, leaf_of: Column, batch: int) -> None:
+        leaves = written(rows.select(_key(F.col(group)).alias("key"), F.col(order).alias("order"), leaf_of.alias("digest")), "leaves")
+        new = placed(leaves, "key", "order", "digest").drop("nodes")
+        before = self._read("counts", self.COUNTS).where(F.col("batch") == batch - 1).select("key", F.col("nodes").alias("_before"))
+        new = new.join(before, "key", "left").withColumn("place", F.col("place") + F.coalesce("_before", F.lit(0))).drop("_before")
+        still = self._read("open", self.OPEN).where(F.col("batch") == batch - 1).select("key", "place", "order", "digest")
+        nodes = written(new.select("key", "place", "order", "digest").unionByName(still), "nodes")
+        counts = written(nodes.groupBy("key").agg((F.max("place") + 1).alias("nodes")).unionByName(
+            before.join(nodes.select("key").distinct(), "key", "left_anti").select("key", F.col("_before").alias("nodes"))), "counts")
+        known = nodes.join(counts, "key")
+        complete = F.shiftright("nodes", self.levels) > F.shiftright("place", self.levels)
+        full = known.where(complete)
+        made = blocked(full, self.levels)
+        self._write(full.select("key", "place", "order", "digest").join(made, ["key", "place"]).select(
+            *[f.split()[0] for f in self.FULL.split(", ")[:-1]]), "full", batch)
+        self._write(known.where(~complete).select("key", "place", "order", "digest"), "open", batch)
+        self._write(counts, "counts", batch)
+
+    def manifest(self, batch: int, order: str = "order") -> DataFrame:
+        """The rows of `manifest` over all batches up to `batch`."""
+        counts = self._read("counts", self.COUNTS).where(F.col("batch") == batch).select("key", "nodes")
+        full = self._read("full", self.FULL).where(F.col("batch") <= batch)
+        still = self._read("open", self.OPEN).where(F.col("batch") == batch).select("key", "place", "order", "digest").join(counts, "key")
+        last = written(blocked(still, self.levels), "open")
+        rows = full.select("key", "place", "order", "digest").join(counts, "key").unionByName(still.select("key", "place", "order", "digest", "nodes"))
+        done = full.select("key", "place", "root", "witness").join(counts, "key").unionByName(last)
+        return _listed(written(rows, "placed"), raised(written(done, "blocks"), self.levels), self.levels, order)
+
+
 def checked(listed: DataFrame, order: str, claimed: str) -> DataFrame:
     """Climb from the leaves in column `claimed` by the stored witnesses.
 

@@ -102,6 +102,25 @@ def test_witnesses_grow_with_every_completed_sibling():
     assert [merkle.climbed(d, k, 11, iter(p)) for k, (d, p) in enumerate(zip(digests, proofs))] == [root] * 11
 
 
+@pytest.mark.parametrize("sizes", [[{"a": 1}, {"a": 1, "b": 3}, {"b": 1}], [{"a": 9, "b": 4}, {"a": 7}, {"a": 1, "c": 5}], [{"a": 40}, {"a": 1}]])
+def test_a_ledger_of_batches_is_the_manifest_of_the_whole(spark, tmp_path, sizes):
+    ledger, rows, at = merkle.Ledger(spark, str(tmp_path / "ledger"), 2), [], 0
+    leaf = merkle.leaf(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), F.col("text"))
+    for n, groups in enumerate(sizes, start=1):
+        batch = [(at + k, f"t{at + k}", g, "s", k) for g, size in groups.items() for k in range(1000 * ord(g), 1000 * ord(g) + size)]
+        at += 50
+        rows += batch
+        random.Random(n).shuffle(batch)
+        for _ in range(2 if n == 2 else 1):  # a batch that is repeated replaces itself
+            ledger.append(spark.createDataFrame(batch, fixtures.DOCUMENTS), "lang", "doc_id", leaf, n)
+        listed = ledger.manifest(n, "doc_id")
+        got = merkle.checked(listed.withColumn("claimed", F.col("leaf")), "doc_id", "claimed").collect()
+        assert all(r["verified"] for r in got) and plain(got) == brute(rows)
+    # Full blocks were written once.
+    full = spark.read.parquet(str(tmp_path / "ledger" / "full"))
+    assert full.count() == full.select("key", "place").distinct().count()
+
+
 def test_empty_table(spark):
     assert run(fixtures.empty(spark), 2) == []
 
