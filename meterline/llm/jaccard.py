@@ -57,7 +57,7 @@ SHINGLE = 4
 SKETCH, BLOCK = 1 << 21, 1 << 16
 #: Tasks whose sketches one task sums.
 FAN_IN = 256
-HELD_KEYS = 2_000_000
+HELD_KEYS = 1_000_000
 #: Least number of classes of shingles that a profile counts, and shingles for each class of a larger set.
 LEAST_CLASSES, PER_CLASS = 32, 16
 #: Bytes of profiles compared at a time.
