@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterline.catalog.inputs import (COVERED_SQL, NOW_MS, SUMS_SQL, TZ_MIN, hours, local_days, out, priced, query, usage,
@@ -15,7 +16,7 @@ from meterline.operators import cube, pricing, projects, rates
 from meterline.operators.dedup import keep_first
 from meterline.plans import verbs
 from meterline.schemas import DIMENSIONS, agents, plan_prices
-from meterline.session import checkpoint_root
+from meterline.session import scratch_folder, settled
 
 _FROM_DAY, _TO_DAY = 19730, 19740
 _DAY = f"CAST(floor((ts_ms + {TZ_MIN} * 60000) / 86400000.0) AS BIGINT)"
@@ -57,7 +58,7 @@ def price_events(spark, sf):
 SELECT model, count(*) AS events, CAST(round(coalesce(sum(cost_usd), 0), 6) AS DOUBLE) AS cost_usd FROM priced GROUP BY model"""))
 def priced_from_file(spark, sf):
     """A price file written, loaded and applied; its unknown fields and missing rates do no harm."""
-    path = f"{checkpoint_root(spark)}/prices-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, "prices")
     rates = {"input_cost_per_token": "input_rate", "output_cost_per_token": "output_rate",
              "cache_creation_input_token_cost": "creation_rate", "cache_read_input_token_cost": "read_rate"}
     book = pricing.bundled_prices(spark).select("price_key", "position", F.struct(
@@ -249,7 +250,7 @@ def json_rows(spark, sf):
     """A result written as JSON rows under a header row, and read back."""
     span = timecols.resolve_range("day", NOW_MS, "2024-01-10", "2024-01-20", TZ_MIN)
     rows, _ = verbs.history(day_cells(spark, sf, "agent", "model", since_ms=span.since_ms, until_ms=span.until_ms), ["agent"], span=span)
-    path = f"{checkpoint_root(spark)}/rows-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, "rows")
     verbs.write_json(rows, "history", span, path)
     lines = spark.read.text(path).select(F.from_json(
         "value", "verb string, agent string, tokens bigint, events bigint, cost_usd double").alias("r")).select("r.*")
@@ -341,6 +342,12 @@ _EXTENTS = " UNION ALL ".join([
     _extent_sql("day", _DAY, 86400000, TZ_MIN, "local")])
 
 
+# The same of tiers that hold a row per key and third of the events.
+_PARTS_EXTENTS = " UNION ALL ".join(
+    sql.replace("session_id FROM uses", "session_id, k % 3 FROM uses").replace("AS time_basis", "AS time_basis, true AS has_files, true AS bytes_agree")
+    for sql in _EXTENTS.split(" UNION ALL "))
+
+
 @query("tier_extents", with_uses(_EXTENTS))
 def tier_extents(spark, sf):
     return cube.extent({"minute": minute_cells(spark, sf), "hour": hour_cells(spark, sf), "day": day_cells(spark, sf)})
@@ -353,6 +360,65 @@ def store_summary(spark, sf):
     return cube.store_summary(minute_cells(spark, sf), hour_cells(spark, sf), day_cells(spark, sf))
 
 
+def _stored(spark, sf) -> str:
+    """All tiers of a third of the events after the other, each a batch of one store."""
+    folder = scratch_folder(spark, "store")
+    for part in range(3):
+        minute = settled(cube.build_cells(usage(spark, sf).filter(F.col("k") % 3 == part), "minute"))
+        for tier, cells in (("minute", minute), ("hour", cube.coarsen(minute, "hour")), ("day", cube.coarsen(minute, "day", TZ_MIN))):
+            cube.append(cells, folder, tier, f"b{part}")
+    return folder
+
+
+@query("compaction_in_place", with_priced(" UNION ALL ".join(f"""
+SELECT '{tier}' AS tier, 3 AS batches_before, 1 AS batches_after, count(*) AS rows_after, 0.0::DOUBLE AS duplicate_ratio,
+  {SUMS_SQL.replace('count(*)', 'CAST(sum(n) AS BIGINT)')}
+FROM (SELECT {bucket} AS b, agent, model, project, session_id, sum(input_tokens) AS input_tokens, sum(output_tokens) AS output_tokens,
+  sum(cache_creation_tokens) AS cache_creation_tokens, sum(cache_read_tokens) AS cache_read_tokens, count(*) AS n, sum(cost_usd) AS cost_usd
+  FROM priced GROUP BY ALL)""" for tier, bucket in (("minute", _MINUTE), ("day", _DAY)))))
+def compaction_in_place(spark, sf):
+    """Two tiers of three batches are compacted and read again: the same sums from one row per key; then the old folders go."""
+    folder, parts = _stored(spark, sf), []
+    for tier in ("minute", "day"):
+        before = cube.read_tier(spark, folder, tier).select("batch_id").distinct().count()
+        assert cube.compact(spark, folder, tier, force=True)
+        cube.clear_replaced(spark, folder, tier)
+        cells = cube.read_tier(spark, folder, tier)
+        ratio = cube.duplicate_ratio(cells).first()
+        parts.append(cells.agg(
+            F.lit(tier).alias("tier"), F.lit(before).alias("batches_before"), F.countDistinct("batch_id").cast("int").alias("batches_after"),
+            F.count(F.lit(1)).alias("rows_after"), F.lit(ratio["duplicate_ratio"]).alias("duplicate_ratio"), *cube.sums()))
+    return out(parts[0].unionByName(parts[1]))
+
+
+def _seen_bytes(spark, folder: str, tier: str) -> DataFrame:
+    """What a reader of the rows finds their files to weigh: a second opinion on the listing."""
+    files = cube.read_tier(spark, folder, tier).select(
+        F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("n")).distinct()
+    return files.agg(F.lit(tier).alias("tier"), F.sum("n").alias("seen"))
+
+
+@query("stored_extents", with_priced(_PARTS_EXTENTS))
+def stored_extents(spark, sf):
+    """Extents of stored tiers with the bytes of their files, held against the sizes that the reader of the rows sees."""
+    folder = _stored(spark, sf)
+    seen = reduce(DataFrame.unionByName, [_seen_bytes(spark, folder, t) for t in ("minute", "hour", "day")])
+    return cube.stored_extent(spark, folder).join(seen, "tier").select(
+        "tier", "records", "first_bucket", "last_bucket", "first_ms", "last_ms", "tz_offset_min", "time_basis",
+        (F.col("files") > 0).alias("has_files"), (F.col("bytes") == F.col("seen")).alias("bytes_agree"))
+
+
+@query("stored_summary", with_priced(f"""
+SELECT CAST(sum(records) AS BIGINT) AS records, min(first_ms) AS first_ms, max(last_ms) AS last_ms,
+  (SELECT count(DISTINCT {_MINUTE}) FROM uses) AS hot_minutes, true AS bytes_agree FROM ({_PARTS_EXTENTS})"""))
+def stored_summary(spark, sf):
+    folder = _stored(spark, sf)
+    tiers = [cube.read_tier(spark, folder, t) for t in ("minute", "hour", "day")]
+    seen = reduce(DataFrame.unionByName, [_seen_bytes(spark, folder, t) for t in ("minute", "hour", "day")]).agg(F.sum("seen")).first()[0]
+    return cube.store_summary(*tiers, cube.file_statistics(spark, folder)).withColumn(
+        "bytes_agree", F.col("bytes") == seen).drop("bytes")
+
+
 @query("store_health", with_uses(f"""
 SELECT 'day' AS tier, count(*) AS slots, count(*) - count_if(k % 10 = 7) AS valid_records,
   count_if(k % 10 = 7) AS unreadable_slots, min(CASE WHEN k % 10 <> 7 THEN {_DAY} END) AS first_bucket,

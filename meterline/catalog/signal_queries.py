@@ -11,7 +11,7 @@ from meterline.catalog.cube_queries import minute_cells
 from meterline.catalog import rollup_queries
 from meterline.catalog.inputs import NOW_MS, ORACLES, TZ_MIN, out, query, usage, with_priced, with_uses
 from meterline.functions import severity
-from meterline.functions.timecols import HOUR_MS
+from meterline.functions.timecols import HOUR_MS, floor_div
 from meterline.operators import alerts, gauges, quota, ranking, rates, roster
 from meterline.operators.scan import Running, chunk_of, ordered_scan
 from meterline.plans import report
@@ -478,6 +478,55 @@ def delivered_alerts(spark, sf):
         F.expr("wall_at_ms div 1000").alias("wall_at_s")))
 
 
+# Eight events are one observation of one of three hosts, with a reading for each window they name; its clock is the first event's.
+_CROWD_AGENTS = ("claude", "codex", "gemini", "goose", "kimi", "pi")
+_CROWD = f"""
+, readings AS (SELECT (event_id // 8) % 3 AS host, event_id // 8 AS seq, list_extract([{', '.join(repr(a) for a in _CROWD_AGENTS)}],
+    (user_id % 6 + 1)::INTEGER) AS agent, CASE WHEN k % 2 = 0 THEN 'five_hour' ELSE 'weekly' END AS kind,
+  CAST(arg_max(k, event_id) AS DOUBLE) AS p, any_value(now_ms) AS now_ms
+  FROM (SELECT *, min(ts_ms) OVER (PARTITION BY event_id // 8) AS now_ms FROM uses) GROUP BY ALL)
+"""
+_CROWD_STEPS = """
+, numbered AS (SELECT *, row_number() OVER (PARTITION BY host, agent, kind ORDER BY seq) AS i FROM readings)
+"""
+CROWDED_SQL = "WITH RECURSIVE " + with_uses(_CROWD + _CROWD_STEPS + _MARKED + _THRESHOLD_SQL.removeprefix(_READINGS) + f"""
+, candidates AS (
+  SELECT host, seq, now_ms, agent, kind, 'threshold' AS alert, 100 + threshold AS priority, threshold, p AS percent, NULL::DOUBLE AS prev_high
+    FROM fires WHERE threshold IS NOT NULL
+  UNION ALL SELECT m.host, m.seq, r.now_ms, m.agent, m.kind, 'window_reset', 0, NULL, m.p, m.prev_high
+    FROM marked m JOIN readings r USING (host, seq, agent, kind) WHERE fired),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY seq, -priority, agent, kind) AS i,
+  2 * list_position([{', '.join(repr(a) for a in _CROWD_AGENTS)}], agent) - (alert = 'threshold')::INTEGER AS slot FROM candidates),
+limited AS (
+  SELECT host, i, seq, true AS goes, 1 AS sent, list_transform(range(1, 13), lambda j: CASE WHEN j = slot THEN now_ms END) AS fired
+  FROM ordered WHERE i = 1
+  UNION ALL SELECT host, i, seq, goes, before + goes::INTEGER,
+    list_transform(range(1, 13), lambda j: CASE WHEN goes AND j = slot THEN now_ms ELSE fired[j] END)
+  FROM (SELECT o.*, l.fired, CASE WHEN o.seq = l.seq THEN l.sent ELSE 0 END AS before,
+          (CASE WHEN o.seq = l.seq THEN l.sent ELSE 0 END) < 3 AND coalesce(o.now_ms - l.fired[o.slot] >= 600000, true) AS goes
+        FROM limited l JOIN ordered o ON o.host = l.host AND o.i = l.i + 1))
+SELECT o.host, o.seq, o.agent, o.kind, o.alert, CAST(o.threshold AS BIGINT) AS threshold, o.percent, o.prev_high
+FROM limited l JOIN ordered o ON o.host = l.host AND o.i = l.i WHERE l.goes""").removeprefix("WITH ")
+
+
+def crowded_readings(spark, sf) -> DataFrame:
+    u = usage(spark, sf)
+    seq = floor_div(F.col("event_id"), 8)
+    clock = u.groupBy(seq.alias("seq")).agg(F.min("ts_ms").alias("now_ms"))
+    agent = F.get(F.array(*[F.lit(a) for a in _CROWD_AGENTS]), (F.col("user_id") % 6).cast("int"))
+    kind = F.when(F.col("k") % 2 == 0, "five_hour").otherwise("weekly")
+    windows = u.groupBy(seq.alias("seq"), agent.alias("agent"), kind.alias("kind")).agg(
+        F.max_by("k", "event_id").cast("double").alias("used_percent"))
+    return windows.join(clock, "seq").withColumns({"host": F.col("seq") % 3, "resets_at_ms": F.col("now_ms")})
+
+
+@query("crowded_alerts", CROWDED_SQL)
+def crowded_alerts(spark, sf):
+    """Alerts of observations of several windows, so more than three meet and the rest is held back."""
+    return out(alerts.alerts(crowded_readings(spark, sf)).select(
+        "host", "seq", "agent", "kind", "alert", "threshold", "percent", "prev_high"))
+
+
 @query("threshold_alerts_with_wall", "WITH RECURSIVE " + with_uses(_OBSERVED + """
 , latched AS (SELECT *, """ + _tier(70) + " AS l70, " + _tier(90) + """ AS l90,
   lag(p) OVER (PARTITION BY host, agent, kind ORDER BY seq) AS before FROM readings)

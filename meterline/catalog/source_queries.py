@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 import pandas as pd
 import pyarrow.fs as pafs
@@ -12,14 +11,13 @@ from pyspark.sql import functions as F
 from meterline.catalog.inputs import NOW_MS, out, query, usage, with_priced, with_uses
 from meterline.functions.money import COST, usd
 from meterline.operators import cdc, cube, dedup, quota
-from meterline.operators.cube import sums
 from meterline.operators.deltas import carry_context, cumulative_deltas
 from meterline.operators.bounded import broadcast_if_small
 from meterline.operators.pricing import model_rates, price_rows
 from meterline.operators.scan import Running, chunk_of, ordered_scan, union_all
 from meterline.schemas import TOKEN_COLUMNS
 from meterline.sources import lines as line_sources
-from meterline.session import checkpoint_root, settled
+from meterline.session import scratch_folder, settled
 from meterline.sources import ledgers, snapshots, tail, transcripts
 
 _EVENT = ("agent", "ts_ms", "model", *TOKEN_COLUMNS, "session_id", "cwd")
@@ -522,10 +520,8 @@ SELECT project, CAST(sum(CASE WHEN {_V2} THEN {_NEW_IN} ELSE input_tokens END) A
 FROM cost2 GROUP BY project"""))
 def applied_changes(spark, sf):
     """Totals per project after retracting the old versions and adding the new ones."""
-    first, _ = versions(spark, sf)
-    totals = price_rows(first, rates=sized_rates(spark, sf)).withColumn("events", F.lit(1).cast("bigint")).withColumn(
-        "cost_usd", F.coalesce("cost_usd", F.lit(0).cast(COST))).groupBy("project").agg(*sums())
-    return out(cdc.applied(totals, priced_changes(spark, sf), ["project"]))
+    first, second = versions(spark, sf)
+    return out(cdc.applied_versions(first, cdc.changes(first, second, ["agent", "key"], _FIELDS), ["project"]))
 
 
 @query("delta_events", with_priced(_SIDES + f"""
@@ -575,7 +571,7 @@ def grown_logs(spark, sf):
         F.col("odd"), codex_line).otherwise(claude_line).alias("line")))), lambda x: x["line"]), "\n"), F.lit("\n"))
     logs = settled(counted.groupBy("odd", "part_no").agg(text.alias("text")).select(F.concat(
         F.when(F.col("odd"), "codex/").otherwise("claude/"), "part_no", F.lit(".jsonl")).alias("name"), "text"))
-    root = f"{checkpoint_root(spark)}/grown-{uuid.uuid4().hex}"
+    root = scratch_folder(spark, "grown")
     paths = {"claude": f"{root}/logs/claude", "codex": f"{root}/logs/codex"}
     for generation, share in enumerate((0.6, 1.0, 1.0), start=1):
         folder = f"{root}/logs"
@@ -584,3 +580,16 @@ def grown_logs(spark, sf):
         assert status.filter("ok").count() == len(paths), status.collect()
     cells = cube.read_tier(spark, f"{root}/store", "hour")
     return cells.groupBy("agent").agg(F.sum("events").alias("events"), *[F.sum(c).alias(c) for c in TOKEN_COLUMNS])
+
+
+@query("corpus_size", with_uses("""
+SELECT count(DISTINCT user_id % 5) AS files, CAST(sum(strlen('{"id":' || event_id || ',"model":"' || model || '"}') + 1) AS BIGINT) AS bytes FROM uses"""))
+def corpus_size(spark, sf):
+    """Files of a log that the query writes, by their listing: how many, and the bytes that their lines add up to."""
+    line = F.concat(F.lit('{"id":'), F.col("event_id").cast("string"), F.lit(',"model":"'), F.col("model"), F.lit('"}'))
+    texts = settled(usage(spark, sf).groupBy((F.col("user_id") % 5).alias("part")).agg(
+        F.concat(F.array_join(F.array_sort(F.collect_list(line)), "\n"), F.lit("\n")).alias("text")).select(
+        F.concat(F.lit("part-"), "part", F.lit(".jsonl")).alias("name"), "text"))
+    folder = scratch_folder(spark, "sized")
+    texts.mapInPandas(lambda batches: (_written(b, folder, 1.0) for b in batches), "name string").count()
+    return line_sources.corpus_size(spark, folder)

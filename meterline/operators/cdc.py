@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterline.functions.money import COST
+from meterline.operators.pricing import price
 from meterline.operators.scan import Running, ordered_scan
 from meterline.schemas import TOKEN_COLUMNS
 
@@ -78,10 +79,32 @@ def applied(totals: DataFrame, priced_changes: DataFrame, group_by: list[str]) -
     summed = base.unionByName(moves).groupBy(*group_by).agg(
         *[F.sum(c).cast("bigint").alias(c) for c in (*TOKEN_COLUMNS, "events")],
         F.sum("cost_usd").cast(COST).alias("cost_usd"))
+    return _floored(summed)
+
+
+def applied_versions(first: DataFrame, found: DataFrame, group_by: list[str], prices: DataFrame | None = None) -> DataFrame:
+    """`applied` from versions without costs: old and new versions are signed rows of one frame, summed per group and model, and
+    only those sums are priced. Exact, as a cost is tokens times rates. `found` is `changes` of the same fields.
+    """
+    names = list(dict.fromkeys([*group_by, "model"]))
+
+    def signed(side: str, sign: int) -> Column:
+        return F.when(F.col(side).isNotNull(), F.struct(
+            *[F.col(f"{side}.{n}").alias(n) for n in names], *[(F.col(f"{side}.{c}") * sign).alias(c) for c in TOKEN_COLUMNS],
+            F.lit(sign).cast("bigint").alias("events")))
+
+    moves = found.select(F.explode(F.array_compact(F.array(signed("prev", -1), signed("curr", 1)))).alias("m")).select("m.*")
+    rows = first.select(*names, *TOKEN_COLUMNS, F.lit(1).cast("bigint").alias("events")).unionByName(moves)
+    sums = [F.sum(c).cast("bigint").alias(c) for c in (*TOKEN_COLUMNS, "events")]
+    priced = price(rows.groupBy(*names).agg(*sums), prices).withColumn("cost_usd", F.coalesce("cost_usd", F.lit(0).cast(COST)))
+    totals = priced.groupBy(*group_by).agg(*sums, F.sum("cost_usd").cast(COST).alias("cost_usd"))
+    return _floored(totals)
+
+
+def _floored(totals: DataFrame) -> DataFrame:
     floor = {c: F.greatest(F.lit(0).cast("bigint"), F.col(c)) for c in (*TOKEN_COLUMNS, "events")}
     tiny = F.abs("cost_usd") < F.lit("0.000000000001").cast(COST)
-    return summed.withColumns({**floor, "cost_usd": F.when(tiny, F.lit(0).cast(COST)).otherwise(
-        F.col("cost_usd"))})
+    return totals.withColumns({**floor, "cost_usd": F.when(tiny, F.lit(0).cast(COST)).otherwise(F.col("cost_usd"))})
 
 
 def delta_events(priced_changes: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -12,12 +13,14 @@ from meterline.functions.money import COST
 from meterline.operators.pricing import price
 from meterline.operators.scan import union_all
 from meterline.schemas import COVERED_AGENTS, DIMENSIONS, KNOWN_AGENTS, TOKEN_COLUMNS
+from meterline.session import drop_folder, drop_matching, folder_exists
 
 KEY = ("bucket", *DIMENSIONS, "covered", "delta", "synthetic", "tz_offset_min")
 MEASURES = (*TOKEN_COLUMNS, "events", "cost_usd")
 STORED = ", ".join([
     "bucket bigint", *(f"{d} string" for d in DIMENSIONS), "covered boolean, delta boolean, synthetic boolean", "tz_offset_min int",
     *(f"{c} bigint" for c in TOKEN_COLUMNS), f"events bigint, cost_usd {COST}, part_day bigint, batch_id string"])
+COMPACTED = "compacted-"
 COMPACT_DUP_RATIO = 0.25
 COMPACT_BYTES = 32 * 1024 * 1024
 
@@ -97,9 +100,51 @@ def append(cells: DataFrame, path: str, tier: str, batch_id: str) -> None:
      .partitionBy("part_day", "batch_id").parquet(f"{path}/{tier}"))
 
 
+@dataclass(frozen=True)
+class Manifest:
+    """Which folders of a tier count: compacted ones that are live, and the batches that they replace."""
+
+    version: int = 0
+    live: tuple[str, ...] = ()
+    replaced: tuple[str, ...] = ()
+
+    @classmethod
+    def read(cls, spark, path: str, tier: str) -> Manifest:
+        if not folder_exists(spark, f"{path}/live/{tier}"):
+            return cls()
+        rows = spark.read.schema("batch_id string, live boolean, version int").parquet(f"{path}/live/{tier}")
+        # A row per batch that is not yet cleared away.
+        rows = rows.filter(F.col("version") == rows.agg(F.max("version")).scalar()).collect()
+        names = lambda live: tuple(sorted(r["batch_id"] for r in rows if r["live"] == live))
+        return cls(rows[0]["version"], names(True), names(False)) if rows else cls()
+
+    def write(self, spark, path: str, tier: str) -> None:
+        """One file that appears whole, under a version that readers take as soon as it is there."""
+        rows = [(b, True) for b in self.live] + [(b, False) for b in self.replaced]
+        spark.createDataFrame(rows, "batch_id string, live boolean").coalesce(1).write.mode("overwrite").parquet(
+            f"{path}/live/{tier}/version={self.version}")
+
+    def counts(self, batch: Column) -> Column:
+        """A compacted folder that no manifest names is one that broke off, or is being written."""
+        return ~batch.isin(*self.replaced) & (~batch.startswith(COMPACTED) | batch.isin(*self.live))
+
+
 def read_tier(spark, path: str, tier: str) -> DataFrame:
-    """All cells of one tier, unsorted; filters on `part_day` prune folders. No file is opened for a schema."""
-    return spark.read.schema(STORED).parquet(f"{path}/{tier}")
+    """All cells of one tier that its manifest counts, unsorted; filters on `part_day` prune folders. No file is opened for a schema."""
+    return spark.read.schema(STORED).parquet(f"{path}/{tier}").filter(Manifest.read(spark, path, tier).counts(F.col("batch_id")))
+
+
+def file_statistics(spark, path: str, tiers: tuple[str, ...] = ("minute", "hour", "day")) -> DataFrame:
+    """Per tier the files that its manifest counts and their bytes, from a listing; no file is opened."""
+    parts = []
+    for tier in tiers:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
+            "pathGlobFilter", "*.parquet").load(f"{path}/{tier}")
+        batch = F.regexp_extract("path", "/batch_id=([^/]*)/", 1)
+        counted = files.filter(Manifest.read(spark, path, tier).counts(batch))
+        parts.append(counted.agg(F.lit(tier).alias("tier"), F.count(F.lit(1)).alias("files"),
+                                 F.coalesce(F.sum("length"), F.lit(0)).cast("bigint").alias("bytes")))
+    return union_all(parts)
 
 
 def cube_filter(cells: DataFrame, from_bucket: int = 0, to_bucket: int = timecols.MAX_BUCKET,
@@ -170,22 +215,38 @@ def compacted(cells: DataFrame) -> DataFrame:
     return cells.groupBy(*KEY).agg(*sums())
 
 
-def compact(spark, path: str, tier: str, target: str, force: bool = False, dup_ratio: float = COMPACT_DUP_RATIO,
+def compact(spark, path: str, tier: str, force: bool = False, dup_ratio: float = COMPACT_DUP_RATIO,
             min_bytes: int = COMPACT_BYTES) -> bool:
-    """Write a compacted copy of a tier when its size or its repeats call for it.
+    """Replace the batches of a tier by one compacted copy when its size or its repeats call for it.
 
-    The size is that of the listed files and costs no read; only below `min_bytes` are repeats counted.
+    The size is that of the listed files and costs no read; only below `min_bytes` are repeats counted. The copy is
+    a batch like any other; the manifest, written last, makes it count and those it was made of not, at once. Batches that land
+    meanwhile count as before, and a batch that is replayed later still does not. The replaced folders stay for
+    readers that began before, until `clear_replaced`.
     """
+    now = Manifest.read(spark, path, tier)
     cells = read_tier(spark, path, tier)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
-        "pathGlobFilter", "*.parquet").load(f"{path}/{tier}")
-    if not force and (files.agg(F.sum("length")).first()[0] or 0) < min_bytes:
+    if not force and (file_statistics(spark, path, (tier,)).first()["bytes"] or 0) < min_bytes:
         if duplicate_ratio(cells).first()["duplicate_ratio"] <= dup_ratio:
             return False
-    append(compacted(cells), target, tier, "compacted")
+    batches = sorted(r["batch_id"] for r in cells.select("batch_id").distinct().collect())
+    tag = f"{COMPACTED}{now.version + 1:06d}"
+    append(compacted(cells.filter(F.col("batch_id").isin(batches))), path, tier, tag)
+    Manifest(now.version + 1, (tag,), tuple(sorted({*batches, *now.replaced}))).write(spark, path, tier)
     return True
 
 
+def clear_replaced(spark, path: str, tier: str) -> int:
+    """Remove the folders that no reader counts any more; how many. A batch that is gone must not be replayed."""
+    now = Manifest.read(spark, path, tier)
+    gone = sum(drop_matching(spark, f"{path}/{tier}/part_day=*/batch_id={b}") for b in now.replaced)
+    if now.version:
+        Manifest(now.version + 1, now.live).write(spark, path, tier)
+        for version in range(max(0, now.version - 1), now.version + 1):
+            drop_folder(spark, f"{path}/live/{tier}/version={version}")
+    return gone
+
+
 def extent(tiers: dict[str, DataFrame]) -> DataFrame:
     """Per tier: rows, first and last bucket with their instants, offset."""
     parts = []
@@ -202,13 +263,20 @@ def extent(tiers: dict[str, DataFrame]) -> DataFrame:
     return union_all(parts)
 
 
-def store_summary(minute: DataFrame, hour: DataFrame, day: DataFrame) -> DataFrame:
-    """Rows over all tiers, first and last instant, distinct hot minutes."""
+def stored_extent(spark, path: str) -> DataFrame:
+    """`extent` of the stored tiers with their files and bytes."""
+    tiers = {t: read_tier(spark, path, t) for t in ("minute", "hour", "day")}
+    return extent(tiers).join(F.broadcast(file_statistics(spark, path)), "tier")  # three rows each
+
+
+def store_summary(minute: DataFrame, hour: DataFrame, day: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Rows over all tiers, first and last instant, distinct hot minutes; with `file_statistics` the bytes too."""
     minutes = minute.select("bucket").distinct().agg(F.count("*").alias("hot_minutes"))
     total = extent({"minute": minute, "hour": hour, "day": day}).agg(
         F.sum("records").cast("bigint").alias("records"),
         F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"))
-    return total.withColumn("hot_minutes", minutes.scalar())
+    total = total.withColumn("hot_minutes", minutes.scalar())
+    return total.withColumn("bytes", files.agg(F.sum("bytes")).scalar()) if files is not None else total
 
 
 def invalid_cell() -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from meterline.functions import timecols
 from meterline.functions.money import clamp
 from meterline.operators.scan import Running, chunk_of, dense, ordered_scan
+from meterline.session import settled
 
 GAUGE_PERIOD_MS, GAUGE_BUCKETS = 5_000, 360
 # Time range of one chunk of a scan: short, so that the busiest series still splits into many tasks.
@@ -156,6 +157,7 @@ def dial_scale(peak: Column) -> Column:
 def dial_series(sweeps: DataFrame, keys: list[str], order: str, chunk: Column) -> DataFrame:
     """Dial scale after every sweep: the peak decays by a fixed factor per sweep."""
     log_decay = math.log(PEAK_DECAY_PER_SWEEP)
+    sweeps = settled(sweeps)  # the scans below read it, its own source is read once
     numbered = ordered_scan(sweeps, keys, [order], chunk, sweep=Running("sum", F.lit(1).cast("bigint")))
     level = F.when(F.col("value") > 0, F.ln("value") - F.col("sweep") * log_decay)
     scanned = ordered_scan(numbered, keys, [order], chunk, level=Running("max", level))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterline.operators.folds import CHUNK_ROWS, chunked_fold
+from meterline.operators.folds import CHUNK_ROWS, chunked_fold, resumed_fold
 from meterline.operators.gauges import resample
 from meterline.operators.scan import Running, chunk_of, ordered_scan
 from meterline.session import settled
@@ -96,32 +96,50 @@ def _step_pace(state: list[float], at: float, percent: float) -> list[float]:
     return [percent, at, smooth]
 
 
+def _pace_summary(rows: pd.DataFrame) -> dict:
+    at, percent = rows["read_at_ms"].to_numpy(), rows["used_percent"].to_numpy()
+    state, slopes = [percent[0], at[0], 0.0], 0
+    for t, p in zip(at[1:], percent[1:]):
+        slopes += bool(state[0] >= 0 and t > state[1] and p >= state[0])
+        state = _step_pace(state, t, p)
+    return {"first": [int(at[0]), float(percent[0])], "last": [float(percent[-1]), int(at[-1])],
+            "keep": (1 - ALPHA) ** slopes, "add": float(state[2])}
+
+
+def _advance_pace(state: list[float], s: dict) -> list[float]:
+    smooth = _step_pace(state, *s["first"])[2]
+    return [*s["last"], s["keep"] * smooth + s["add"]]
+
+
+def _replay_pace(rows: pd.DataFrame, state: list[float]) -> pd.DataFrame:
+    paces = []
+    for t, p in zip(rows["read_at_ms"], rows["used_percent"]):
+        state = _step_pace(state, t, p)
+        paces.append(state[2])
+    return rows.drop(columns=["chunk_no"]).assign(pace=paces)
+
+
+_NO_PACE = [-1.0, 0, 0.0]
+
+
+def _pace_rows(readings: DataFrame, keys: list[str]) -> tuple[DataFrame, str]:
+    key_schema = ", ".join(f"{k} {readings.schema[k].dataType.simpleString()}" for k in keys)
+    return (readings.select(*keys, "seq", "read_at_ms", "used_percent"),
+            f"{key_schema}, seq bigint, read_at_ms bigint, used_percent double, pace double")
+
+
 def running_pace(readings: DataFrame, keys: list[str]) -> DataFrame:
     """The pace after every reading. A chunk maps the incoming pace affinely, so it is a few numbers."""
-    def summarise(rows: pd.DataFrame) -> dict:
-        at, percent = rows["read_at_ms"].to_numpy(), rows["used_percent"].to_numpy()
-        state, slopes = [percent[0], at[0], 0.0], 0
-        for t, p in zip(at[1:], percent[1:]):
-            slopes += bool(state[0] >= 0 and t > state[1] and p >= state[0])
-            state = _step_pace(state, t, p)
-        return {"first": [int(at[0]), float(percent[0])], "last": [float(percent[-1]), int(at[-1])],
-                "keep": (1 - ALPHA) ** slopes, "add": float(state[2])}
-
-    def advance(state: list[float], s: dict) -> list[float]:
-        smooth = _step_pace(state, *s["first"])[2]
-        return [*s["last"], s["keep"] * smooth + s["add"]]
-
-    def replay(rows: pd.DataFrame, state: list[float]) -> pd.DataFrame:
-        paces = []
-        for t, p in zip(rows["read_at_ms"], rows["used_percent"]):
-            state = _step_pace(state, t, p)
-            paces.append(state[2])
-        return rows.drop(columns=["chunk_no"]).assign(pace=paces)
+    rows, schema = _pace_rows(readings, keys)
+    return chunked_fold(rows, keys, ["seq"], chunk_of(F.col("seq"), CHUNK_ROWS), _NO_PACE, _pace_summary, _advance_pace,
+                        _replay_pace, schema)
 
-    key_schema = ", ".join(f"{k} {readings.schema[k].dataType.simpleString()}" for k in keys)
-    return chunked_fold(readings.select(*keys, "seq", "read_at_ms", "used_percent"), keys, ["seq"],
-                        chunk_of(F.col("seq"), CHUNK_ROWS), [-1.0, 0, 0.0], summarise, advance, replay,
-                        f"{key_schema}, seq bigint, read_at_ms bigint, used_percent double, pace double")
+
+def resumed_pace(readings: DataFrame, keys: list[str], known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pace after every new reading, going on from the `known` states of earlier ones (keys, state); and the states after them."""
+    rows, schema = _pace_rows(readings, keys)
+    return resumed_fold(rows, keys, ["seq"], chunk_of(F.col("seq"), CHUNK_ROWS), known, _NO_PACE, _pace_summary, _advance_pace,
+                        _replay_pace, schema)
 
 
 def observed_walls(paced: DataFrame, keys: list[tuple[str, str]]) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from meterline.operators.bounded import broadcast_if_small
 from meterline.operators.scan import Running, ordered_scan
 from meterline.schemas import AGENTS
+from meterline.session import settled
 
 # Fixed values of the activity states.
 RUNNING_WITHIN_MS = 2 * 60_000
@@ -27,6 +28,7 @@ def attribute_growth(signals: DataFrame, chunk: Column) -> DataFrame:
     growth raises the record and keeps the session. The record starts at the first
     signal that names a session.
     """
+    signals = settled(signals)  # two scans and the first names read it: the source once
     first = broadcast_if_small(signals.filter(F.col("session_id").isNotNull()).groupBy("agent").agg(
         F.min("seq").alias("first_named")))
     counted = F.when(F.col("seq") >= F.col("first_named"), F.col("at_ms"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,6 +54,17 @@ def checkpoint_root(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name for intermediates, below one of this application that is removed when it ends."""
+    root = f"{checkpoint_root(spark).rstrip('/')}/{spark.sparkContext.applicationId}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(where):
+        system.mkdirs(where)
+        system.deleteOnExit(where)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
 def settled(df: DataFrame) -> DataFrame:
     """`df` written once to the shared checkpoint folder.
 
@@ -64,6 +76,21 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def drop_matching(spark: SparkSession, pattern: str) -> int:
+    """Remove the folders that a glob pattern names; how many there were."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = system.globStatus(where) or []
+    for status in found:
+        system.delete(status.getPath(), True)
+    return len(found)
+
+
 def drop_folder(spark: SparkSession, path: str) -> bool:
     """Remove a written folder from whatever store it lies in; False where there was none."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -8,7 +8,8 @@ late row, because readers sum repeated keys - right for the stored tiers.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -63,11 +64,19 @@ def dedup_keyed(events: DataFrame) -> DataFrame:
     return events.withColumn("seen_key", own).dropDuplicates(["agent", "seen_key"]).drop("seen_key")
 
 
-def disk_state(spark: SparkSession) -> SparkSession:
-    """Streams started from now on keep their state in RocksDB."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return spark
+@contextmanager
+def disk_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB; a query keeps the setting that it was started with."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
 
 
 def _stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:

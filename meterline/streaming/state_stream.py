@@ -1,8 +1,9 @@
 """Stateful streams: quota pace, session activity, alerts (ST4-ST6, ST9, ST14-ST17).
 
-State per key is a handful of numbers. Rows of a key inside one micro-batch are put
-in arrival order before they step the state; the source's rate options
-(maxFilesPerTrigger, maxBytesPerTrigger) bound what a micro-batch can hold.
+State per key is a handful of numbers. `pace_stream` and `alert_stream` put the rows of a key inside one micro-batch in
+arrival order before they step the state; the source's rate options (maxFilesPerTrigger, maxBytesPerTrigger) bound
+what that can be. `stored_pace` and `stored_alerts` fold a micro-batch in chunks from states in tables, so a key's batch is many
+tasks, for more jobs per batch.
 """
 
 from __future__ import annotations
@@ -11,12 +12,15 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from meterline.operators import alerts as rules
-from meterline.operators.quota import ALPHA
+from meterline.operators.quota import ALPHA, resumed_pace
 from meterline.operators.roster import DONE_AFTER_MS, MID_TURN_MS, RUNNING_WITHIN_MS
+from meterline.session import drop_folder, settled
 
 
 def _ordered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -43,6 +47,64 @@ def pace_stream(readings: DataFrame) -> DataFrame:
         "percent double, at bigint, pace double", "append", GroupStateTimeout.NoTimeout)
 
 
+def stored_pace(readings: DataFrame, keys: list[str], path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """The pace after every reading, with the state of the keys in a table: for keys whose micro-batch is too much for one task.
+
+    A micro-batch is folded in chunks like a whole table, from the states that the batch before it stored. A batch owns
+    its rows and its states and overwrites both when it is replayed; states are written last.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        schema = ", ".join(f"{k} {batch.schema[k].dataType.simpleString()}" for k in keys) + ", state string"
+        paced, after = resumed_pace(batch, keys, _stored(spark, path, "state", batch_id, schema))
+        paced.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+        after.write.mode("overwrite").parquet(f"{path}/state/batch={batch_id}")
+        drop_folder(spark, f"{path}/state/batch={batch_id - 2}")
+
+    return (readings.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start())
+
+
+def _stored(spark: SparkSession, path: str, name: str, batch_id: int, schema: str) -> DataFrame:
+    """A state table as the batch before `batch_id` left it."""
+    if not batch_id:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/{name}/batch={batch_id - 1}")
+
+
+def stored_alerts(observations: DataFrame, path: str, checkpoint: str, thresholds: tuple[int, ...] = rules.DEFAULT_THRESHOLDS,
+                  trigger: dict | None = None) -> StreamingQuery:
+    """Delivered alerts, with the state of the hosts in tables: for hosts whose micro-batch is too much for one task.
+
+    A micro-batch goes through the operators of a whole table, from what the batch before it stored: the readings and walls that
+    speak for later ones, the high-water marks, and what went out last. `seq` grows from batch to batch. States are
+    written last, and a batch that is replayed overwrites its own.
+    """
+    reading = "host bigint, seq bigint, now_ms bigint, agent string, kind string, used_percent double, resets_at_ms bigint"
+    wall = "host bigint, seq bigint, now_ms bigint, agent string, kind string, used_percent double, wall_at_ms bigint"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch = settled(batch)
+        new = batch.select(*rules.READING)
+        seen = batch.select("host", "seq", "now_ms", F.col("wall_agent").alias("agent"), F.col("wall_kind").alias("kind"),
+                            F.col("wall_percent").alias("used_percent"), "wall_at_ms").dropDuplicates(["host", "seq"])
+        old = _stored(spark, path, "readings", batch_id, reading)
+        old_walls = _stored(spark, path, "walls", batch_id, wall)
+        resets, marks = rules.resumed_resets(new, _stored(spark, path, "marks", batch_id, "host bigint, agent string, kind string, state string"))
+        fired = rules.threshold_candidates(old.unionByName(new), thresholds).unionByName(
+            rules.wall_candidates(old_walls.unionByName(seen))).join(new.select("host", "seq").distinct(), ["host", "seq"], "left_semi")
+        out, limits = rules.resumed_delivery(fired.unionByName(resets), _stored(spark, path, "limits", batch_id, rules.LIMITS))
+        out.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+        for name, frame in (("readings", rules.speaking(old.unionByName(new), thresholds)),
+                            ("walls", rules.speaking_walls(old_walls.unionByName(seen))), ("marks", marks), ("limits", limits)):
+            frame.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
+            drop_folder(spark, f"{path}/{name}/batch={batch_id - 2}")
+
+    return (observations.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start())
+
+
 def activity(last_event_ms: int, last_growth_ms: int, mid_turn: bool, now_ms: int) -> str:
     last = max(last_event_ms, last_growth_ms)
     if last == 0 or now_ms - last > DONE_AFTER_MS:
@@ -73,12 +135,14 @@ def session_stream(signals: DataFrame, timeout: bool = False, now_ms: int | None
                 state.setTimeoutDuration(RUNNING_WITHIN_MS)
             yield pd.DataFrame([(*key, event, growth, mid, verdict, seq)], columns=columns)
             return
-        for row in _ordered(batches).itertuples():
-            mid, seq = row.kind == "growth", int(row.seq)
-            if mid:
-                growth = max(growth, int(row.at_ms))
-            else:
-                event = max(event, int(row.at_ms))
+        # Newest times and the newest signal: batches as they come, in any order, none of them kept.
+        for rows in batches:
+            grown = rows["kind"] == "growth"
+            growth = max([growth, *rows["at_ms"][grown].nlargest(1).astype(int)])
+            event = max([event, *rows["at_ms"][~grown].nlargest(1).astype(int)])
+            last = rows["seq"].idxmax()
+            if int(rows["seq"][last]) >= seq:
+                seq, mid = int(rows["seq"][last]), bool(grown[last])
         state.update((event, growth, mid, seq))
         if timeout:
             state.setTimeoutDuration(RUNNING_WITHIN_MS)

@@ -66,6 +66,41 @@ def test_batch_equals_stepping(spark, monkeypatch, shape, chunk):
     assert batch(spark, rows) == want
 
 
+def stepped_limiter(rows):
+    """(host, seq, now, agent, kind, alert, priority) one after the other."""
+    last, sent, out = {}, Counter(), set()
+    for host, seq, now, agent, kind, alert, priority in sorted(rows, key=lambda r: (r[0], r[1], -r[6], r[3], r[4], r[5])):
+        before = last.get((host, agent, alert))
+        if sent[host, seq] < alerts.MAX_PER_OBSERVATION and (before is None or now - before >= alerts.RATE_LIMIT_MS):
+            last[host, agent, alert] = now
+            sent[host, seq] += 1
+            out.add((host, seq, agent, kind, alert))
+    return out
+
+
+@pytest.mark.parametrize("chunk,steps", [(2, [0, 1, 4, 6, 30]), (7, [0, 1, 4, 6, 30]), (7, [6]), (5, [0, 1, 4, -25, 9]), (100_000, [0, 1, 4, 6])])
+def test_limiter_in_chunks_equals_stepping(spark, chunk, steps):
+    """Crowded observations, endless chains of alerts six minutes apart, and a clock that steps back."""
+    rng = random.Random(chunk + len(steps))
+    rows, now = [], 10_000_000
+    for seq in range(60):
+        now += rng.choice(steps) * MIN
+        for agent in ["claude", "codex", "pi"]:
+            for kind in ["five_hour", "weekly"]:
+                for alert, priority in (("threshold", 170), ("threshold", 190), ("window_reset", 0)):
+                    if rng.random() < 0.35:
+                        rows.append((rng.choice([0, 0, 1]), seq, now, agent, kind, alert, priority))
+    rows = list({(*r[:6],): r for r in rows}.values())
+    frame = spark.createDataFrame(rows, "host bigint, seq bigint, now_ms bigint, agent string, kind string, alert string, priority int")
+    got = [(r["host"], r["seq"], r["agent"], r["kind"], r["alert"]) for r in alerts.delivered(frame.repartition(3), chunk).collect()]
+    assert len(got) == len(set(got)) and set(got) == stepped_limiter(rows)
+
+
+def test_limiter_of_nothing(spark):
+    empty = spark.createDataFrame([], "host bigint, seq bigint, now_ms bigint, agent string, kind string, alert string, priority int")
+    assert alerts.delivered(empty).count() == 0
+
+
 def test_reset_marks_over_many_chunk_sizes():
     """The summary of a chunk answers for every incoming mark what stepping through it answers."""
     import pandas as pd
@@ -104,6 +139,20 @@ def test_stream_equals_stepping(spark, tmp_path):
     assert got == stepped(rows)
 
 
+@pytest.mark.parametrize("chunk", [9, 65_536])
+def test_stored_alerts_equal_stepping(spark, monkeypatch, tmp_path, chunk):
+    """Three micro-batches through the operators of whole tables, from the states that each left."""
+    monkeypatch.setattr(alerts, "CHUNK_ROWS", chunk)
+    rows = observations(240, seed=6, shape="growing" if chunk == 9 else "random")
+    for k in range(3):
+        spark.createDataFrame(rows[80 * k:80 * k + 80], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    state_stream.stored_alerts(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    got = [(r["host"], r["seq"], r["alert"], r["agent"], r["kind"], r["threshold"], r["percent"])
+           for r in spark.read.parquet(str(tmp_path / "out" / "rows")).collect()]
+    assert len(got) == len(set(got)) and set(got) == stepped(rows)
+
+
 def test_pace_and_wall_goldens(spark):
     """One percent a minute from 50 % puts the wall 35 to 45 minutes after ten minutes."""
     rows = [("claude", "weekly", i, i * MIN, 50.0 + i) for i in range(11)]
@@ -114,6 +163,21 @@ def test_pace_and_wall_goldens(spark):
         assert 35 * MIN <= wall["wall_at_ms"] - 10 * MIN <= 45 * MIN
 
 
+def test_pace_goes_on_from_stored_states(spark, monkeypatch, tmp_path):
+    """Batches of a stream, each in chunks, against one fold over all."""
+    monkeypatch.setattr(quota, "CHUNK_ROWS", 7)
+    rng = random.Random(3)
+    rows = [(f"h{rng.randrange(3)}", i, i * MIN, float(rng.randrange(0, 101))) for i in range(90)]
+    schema = "key string, seq bigint, read_at_ms bigint, used_percent double"
+    for k in range(3):
+        spark.createDataFrame(rows[30 * k:30 * k + 30], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    state_stream.stored_pace(stream, ["key"], str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    got = {r["seq"]: r["pace"] for r in spark.read.parquet(str(tmp_path / "out" / "rows")).collect()}
+    want = {r["seq"]: r["pace"] for r in quota.running_pace(spark.createDataFrame(rows, schema), ["key"]).collect()}
+    assert len(got) == 90 and got == pytest.approx(want)
+
+
 @pytest.mark.parametrize("size", [1, 4, 50])
 def test_pace_equals_stepping(spark, monkeypatch, size):
     rng = random.Random(size)

@@ -76,8 +76,57 @@ def test_stream_appends_late_rows_and_replays_do_not_count_twice(spark, tmp_path
     cube.append(cells, str(tmp_path / "again"), "hour", "b1")
     cube.append(cells, str(tmp_path / "again"), "hour", "b1")
     assert totals(cube.read_tier(spark, str(tmp_path / "again"), "hour"))[1] == 4
-    assert cube.compact(spark, str(tmp_path / "cube"), "hour", str(tmp_path / "small"), force=True)
-    assert totals(cube.read_tier(spark, str(tmp_path / "small"), "hour"))[:2] == (5300, 53)
+    assert cube.compact(spark, str(tmp_path / "cube"), "hour", force=True)
+    assert totals(cube.read_tier(spark, str(tmp_path / "cube"), "hour"))[:2] == (5300, 53)
+
+
+def batches(spark, path, tier="hour"):
+    return {r["batch_id"] for r in cube.read_tier(spark, path, tier).select("batch_id").distinct().collect()}
+
+
+def test_compaction_takes_effect_at_once_and_batches_go_on(spark, tmp_path):
+    path = str(tmp_path)
+    for n in range(3):
+        cube.append(cube.build_cells(frame(spark, [event(i, i * HOUR) for i in range(20)]), "hour"), path, "hour", f"b{n}")
+    whole = totals(cube.read_tier(spark, path, "hour"))
+    assert cube.compact(spark, path, "hour")  # two of three rows repeat a key
+    cells = cube.read_tier(spark, path, "hour")
+    assert totals(cells) == whole and cells.count() == 20 and batches(spark, path) == {"compacted-000001"}
+    # A batch that was replaced is replayed: it still counts once. A new one counts.
+    cube.append(cube.build_cells(frame(spark, [event(i, i * HOUR) for i in range(20)]), "hour"), path, "hour", "b2")
+    assert totals(cube.read_tier(spark, path, "hour")) == whole
+    cube.append(cube.build_cells(frame(spark, [event(7, 500 * HOUR)]), "hour"), path, "hour", "b3")
+    assert totals(cube.read_tier(spark, path, "hour"))[1] == whole[1] + 1
+    assert batches(spark, path) == {"compacted-000001", "b3"}
+    # A copy that no manifest names does not count: the compaction broke off before its last step.
+    cube.append(cube.build_cells(frame(spark, [event(9, 900 * HOUR)]), "hour"), path, "hour", "compacted-000002")
+    assert totals(cube.read_tier(spark, path, "hour"))[1] == whole[1] + 1
+    assert not cube.compact(spark, path, "hour")
+    assert cube.compact(spark, path, "hour", force=True)
+    assert batches(spark, path) == {"compacted-000002"} and totals(cube.read_tier(spark, path, "hour"))[1] == whole[1] + 1
+    before = cube.file_statistics(spark, path, ("hour",)).first()
+    on_disk = len(list(tmp_path.glob("hour/part_day=*/batch_id=*")))
+    gone = cube.clear_replaced(spark, path, "hour")
+    left = list(tmp_path.glob("hour/part_day=*/batch_id=*"))
+    assert gone == on_disk - len(left) > 0 and {p.name for p in left} == {"batch_id=compacted-000002"}
+    assert totals(cube.read_tier(spark, path, "hour"))[1] == whole[1] + 1
+    after = cube.file_statistics(spark, path, ("hour",)).first()
+    assert after == before and after["bytes"] == sum(f.stat().st_size for f in tmp_path.glob("hour/**/*.parquet"))
+    assert cube.clear_replaced(spark, path, "hour") == 0 and batches(spark, path) == {"compacted-000002"}
+
+
+def test_extent_and_summary_of_a_store_with_bytes(spark, tmp_path):
+    path = str(tmp_path)
+    minute = cube.build_cells(frame(spark, [event(i, i * HOUR) for i in range(30)]), "minute")
+    for tier, cells in (("minute", minute), ("hour", cube.coarsen(minute, "hour")), ("day", cube.coarsen(minute, "day"))):
+        cube.append(cells, path, tier, "b0")
+    rows = {r["tier"]: r for r in cube.stored_extent(spark, path).collect()}
+    for tier, r in rows.items():
+        files = list(tmp_path.glob(f"{tier}/**/*.parquet"))
+        assert (r["files"], r["bytes"]) == (len(files), sum(f.stat().st_size for f in files))
+    tiers = [cube.read_tier(spark, path, t) for t in ("minute", "hour", "day")]
+    summary = cube.store_summary(*tiers, cube.file_statistics(spark, path)).first()
+    assert summary["bytes"] == sum(r["bytes"] for r in rows.values()) and summary["records"] == sum(r["records"] for r in rows.values())
 
 
 def test_backfill_runs_once(spark, tmp_path):

@@ -56,3 +56,19 @@ def test_dense_fills_counters_and_keeps_gauge_gaps(spark):
     assert zero == {("a", 1): 0, ("a", 2): 5, ("a", 3): 0, ("b", 1): 0, ("b", 2): 0, ("b", 3): 0}
     gaps = [r["v"] for r in dense(df.drop("k"), None, "bucket", 1, 3).orderBy("bucket").collect()]
     assert gaps == [None, 5, None]
+
+
+def file_scans(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("FileScan parquet")
+
+
+@pytest.mark.parametrize("name,module", [("dial_scale", "gauges"), ("attributed_growth", "roster"), ("session_states", "roster")])
+def test_chained_scans_read_their_source_once(spark, monkeypatch, name, module):
+    import importlib
+
+    import __spark_entry__ as entry
+    operators = importlib.import_module(f"meterline.operators.{module}")
+    read, original = [], operators.settled
+    monkeypatch.setattr(operators, "settled", lambda df: read.append(file_scans(df)) or original(df))
+    result = entry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert read == [1] and file_scans(result) == 0

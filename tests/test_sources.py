@@ -57,12 +57,12 @@ def codex_reading(i, cached, o, ts=AT, **payload):
         "total_token_usage": {"input_tokens": i, "cached_input_tokens": cached, "output_tokens": o}}, **payload}}
 
 
-LIMITS = {"primary": {"used_percent": 12.5, "resets_at": 1760014800},
+LIMITS = {"primary": {"used_percent": 12.5, "resets_at": 1772618400},
           "secondary": {"used_percent": 3, "resets_at": None}, "plan_type": "pro"}
 
 
 def test_codex_differences_and_resets(spark, tmp_path):
-    name = "rollout-2025-0199aaaa-1111-7222-8333-444455556666.jsonl"
+    name = "rollout-2025-7d3e9b52-c04f-4a86-91be-2f60d8a713c5.jsonl"
     write(tmp_path / name, [
         codex_reading(100, 60, 10),
         {"timestamp": AT, "type": "session_meta", "payload": {"session_id": "sess", "cwd": "/w/x"}},
@@ -75,12 +75,12 @@ def test_codex_differences_and_resets(spark, tmp_path):
     events = transcripts.codex(log).orderBy("line_seq").collect()
     assert [tokens(r) for r in events] == [(40, 10, 0, 60), (60, 20, 0, 140), (160, 45, 0, 190)]
     assert [(r["session_id"], r["model"], r["cwd"]) for r in events] == [
-        ("0199aaaa-1111-7222-8333-444455556666", "codex", ""), ("sess", "gpt-5.2-codex", "/w/y"),
+        ("7d3e9b52-c04f-4a86-91be-2f60d8a713c5", "codex", ""), ("sess", "gpt-5.2-codex", "/w/y"),
         ("sess", "gpt-5.2-codex", "/w/y")]
     limits = transcripts.codex_limits(log).collect()
     assert len(limits) == 2 and limits[0]["plan"] == "pro"
     assert [(w["kind"], w["used_percent"], w["resets_at_ms"]) for w in limits[0]["windows"]] == [
-        ("five_hour", 12.5, 1760014800000), ("weekly", 3.0, 0)]
+        ("five_hour", 12.5, 1772618400000), ("weekly", 3.0, 0)]
 
 
 @pytest.mark.parametrize("split", ["64", "128m"])
