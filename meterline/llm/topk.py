@@ -12,7 +12,7 @@ Candidates come in blocks of vectors whose lists are sorted once in a task, quer
 blocks of candidates (a stated query set against all rows) in tiles of bounded size. Each tile returns k rows per
 query, and a window picks the best k of those.
 
-Values are whole numbers, sums are exact: 64-bit floats up to 2^52, Python integers beyond.
+Values are whole numbers, sums are exact: 32-bit floats up to 2^24, 64-bit floats up to 2^52, Python integers beyond.
 
 Defined cases. A vector that is null, empty, or has a null or non-finite component takes
 no part. Only vectors of equal length meet. A query's own id is no candidate, nor are
@@ -32,22 +32,36 @@ from meterline.llm.vectors import blocks_of, decoded, encoded, number, scaled
 
 __all__ = ["Best", "Lists", "read_lists", "scaled", "top_k"]
 
-#: Rounds in which a list is read to its end.
-ROUNDS = 16
 #: Reading ends when at most so many times k rows are left.
 FEW = 2
 #: A tile holds up to this many candidates and queries; with few rows tiles are smaller, so that there are some 64.
 LEAST_TILE, MOST_TILE, TILES = 4096, 65_536, 64
 
 
+def depths(n: int) -> list[int]:
+    """The depths at which a round of reading lists of `n` entries ends: doubling up to a half, then by eighths."""
+    ends = [n >> k for k in range(5, 1, -1)] + [-(-n * k // 8) for k in range(4, 9)]
+    return sorted({e for e in ends if e})
+
+
 class Lists:
-    """One block's candidates as sorted lists: the row of each entry from the least value up."""
+    """One block's candidates as sorted lists: the row of each entry from the least value up, and each row's place in every list."""
 
     def __init__(self, names: np.ndarray, rows: np.ndarray):
         self.names, self.rows = names, rows
-        self.order = np.argsort(rows, axis=0, kind="stable").astype(np.int32)
-        self.sorted = np.take_along_axis(rows, self.order, axis=0)
+        self.order = np.argsort(rows, axis=0, kind="stable")
+        self.falling = np.ascontiguousarray(self.order[::-1])
+        self.place = np.empty(rows.shape, np.int32)
+        np.put_along_axis(self.place, self.order, np.arange(len(rows), dtype=np.int32)[:, None], axis=0)
         self.most = float(np.abs(rows).max(initial=0))
+        self._typed: dict[type, tuple] = {}
+
+    def values(self, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted up, sorted down, and by row."""
+        if kind not in self._typed:
+            up = np.take_along_axis(self.rows, self.order, axis=0).astype(kind)
+            self._typed[kind] = (up, np.ascontiguousarray(up[::-1]), self.rows.astype(kind))
+        return self._typed[kind]
 
 
 class Best:
@@ -67,45 +81,43 @@ class Best:
         self.scores, self.names = scores[order], names[order]
 
 
-def read_lists(query: np.ndarray, own: int, lists: Lists, best: Best, rounds: int = ROUNDS, few: int = FEW) -> int:
+def read_lists(query: np.ndarray, own: int, lists: Lists, best: Best, few: int = FEW) -> int:
     """One query down the lists of one block, into `best`; how many entries were read."""
     n, dims = lists.rows.shape
-    kind = number(float(np.abs(query).max(initial=0)) * lists.most * dims)
+    most = float(np.abs(query).max(initial=0)) * lists.most * dims
+    kind = np.float32 if most < 1 << 24 else number(most)
+    rising, falling, rows = lists.values(kind)
     q, up = query.astype(kind), query > 0
-    # Entries in the order of reading, as shares of the score, falling in every list.
-    rows = np.where(up, lists.order[::-1], lists.order)
-    shares = np.where(up, lists.sorted[::-1], lists.sorted).astype(kind) * q
-    far = shares[-1]
-    partial = np.zeros(n, kind)
-    seen = np.zeros((n, dims), kind)
-    others = lists.names != own
-    left = np.flatnonzero(others)
-    columns = np.arange(dims)
+    far = np.where(up, rising[0], falling[0]) * q if n else q
+    partial = np.zeros(n, object if kind is object else float)
+    left = np.arange(n)
     depth = 0
-    while depth < n and len(left):
-        end = min(n, depth + max(1, -(-n // rounds)))
-        here = rows[depth:end]
+    for end in depths(n):
+        # The next entries of every list: they add their shares to their rows.
+        entries = np.where(up, lists.falling[depth:end], lists.order[depth:end])
+        shares = np.where(up, falling[depth:end], rising[depth:end]) * q
         if kind is object:
-            np.add.at(partial, here, shares[depth:end])
+            np.add.at(partial, entries, shares)
         else:
-            partial += np.bincount(here.ravel(), shares[depth:end].ravel(), n)
-        seen[here, columns] = 1
-        depth = end
-        reached = shares[end - 1]
-        # The rows that are left are all that can still qualify; only theirs are looked at.
-        part, shown = partial[left], seen[left]
-        lower = part + (far.sum() - shown @ far)
-        upper = part + (reached.sum() - shown @ reached)
+            partial += np.bincount(entries.ravel(), shares.ravel(), n)
+        depth, reached = end, shares[-1]
+        unmet = reached.sum()  # what a row may have that no list has shown yet
         floor = best.floor()
-        if len(left) >= best.k:
-            kth = np.sort(lower)[len(left) - best.k]  # by value: Python integers have no partition
-            floor = kth if floor is None else max(floor, kth)
+        if floor is not None and unmet >= floor and end < n:
+            continue  # rows not met can still qualify
+        # The rows that are left are all that can still qualify; only theirs are looked at.
+        some = left if len(left) < n else slice(None)
+        place, part = lists.place[some], partial[some]
+        seen = np.where(up, place >= n - end, place < end).astype(kind)
+        if floor is None:
+            lower = (part + (far.sum() - seen @ far))[lists.names[some] != own]
+            floor = np.sort(lower)[len(lower) - best.k] if len(lower) >= best.k else None
         if floor is not None:
-            left = left[upper >= floor]
+            left = left[part + (unmet - seen @ reached) >= floor]
         if len(left) <= few * best.k:
             break
-    scores = lists.rows[left].astype(kind) @ q
-    best.add(scores.astype(np.int64), lists.names[left])
+    left = left[lists.names[left] != own]
+    best.add((rows[left] @ q).astype(np.int64), lists.names[left])
     return depth * dims
 
 
@@ -123,7 +135,7 @@ def query_blocks(rows: DataFrame, parts: int) -> DataFrame:
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows: int = 2048, query_rows: int = 512,
-          least_tile: int = LEAST_TILE, rounds: int = ROUNDS) -> DataFrame:
+          least_tile: int = LEAST_TILE) -> DataFrame:
     """(query_id, rank, vec_id, score) over tables of `vec_id` and whole-number arrays `v`."""
     usable = F.col("v").isNotNull() & F.col("vec_id").isNotNull()
     asked = queries.where(usable).select("vec_id", "v")
@@ -146,7 +158,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows: int =
             for own, query in zip(ids.tolist(), matrix, strict=True):
                 best = Best(k)
                 for block in blocks:
-                    read_lists(query, own, block, best, rounds)
+                    read_lists(query, own, block, best)
                 found["query_id"].append(np.full(len(best.names), own, np.int64))
                 found["vec_id"].append(best.names)
                 found["score"].append(best.scores)

@@ -54,13 +54,13 @@ def test_reading_stops_early_and_reads_no_more_than_it_says():
     block[:40] = 100 + rng.integers(0, 9, (40, 8))  # a few stand out; shallow lists tell
     names = np.arange(4000)
     lists, best = topk.Lists(names, block), topk.Best(20)
-    read = topk.read_lists(np.full(8, 7), 10**6, lists, best, rounds=80)
-    assert read == 8 * 50  # one round of every list
+    read = topk.read_lists(np.full(8, 7), 10**6, lists, best)
+    assert read == 8 * (4000 >> 5)  # one round of every list
     want = np.lexsort((names, -(block @ np.full(8, 7))))[:20]
     assert best.names.tolist() == want.tolist()
     # A block whose rows cannot reach the best so far is left after its first round.
     poor = topk.Lists(names + 5000, rng.integers(-5, 6, (4000, 8)))
-    assert topk.read_lists(np.full(8, 7), 10**6, poor, best, rounds=80) == 8 * 50 and best.names.tolist() == want.tolist()
+    assert topk.read_lists(np.full(8, 7), 10**6, poor, best) == 8 * (4000 >> 5) and best.names.tolist() == want.tolist()
 
 
 def test_bounds_come_from_entries_read_alone():
@@ -69,7 +69,7 @@ def test_bounds_come_from_entries_read_alone():
     block = rng.integers(-50, 51, (500, 6))
     query = np.array([3, -2, 0, 5, -1, 4])
     lists, best = topk.Lists(np.arange(500), block), topk.Best(5)
-    read = topk.read_lists(query, -1, lists, best, rounds=25)
+    read = topk.read_lists(query, -1, lists, best)
     depth = read // 6
     assert 0 < depth < 500
     scores = block @ query
