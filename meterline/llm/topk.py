@@ -45,22 +45,24 @@ def depths(n: int) -> list[int]:
 
 
 class Lists:
-    """One block's candidates as sorted lists: the row of each entry from the least value up, and each row's place in every list."""
+    """One block's candidates as sorted lists, list i from the least value up at i and from the greatest down at dims + i."""
 
     def __init__(self, names: np.ndarray, rows: np.ndarray):
         self.names, self.rows = names, rows
-        self.order = np.argsort(rows, axis=0, kind="stable")
-        self.falling = np.ascontiguousarray(self.order[::-1])
-        self.place = np.empty(rows.shape, np.int32)
-        np.put_along_axis(self.place, self.order, np.arange(len(rows), dtype=np.int32)[:, None], axis=0)
+        order = np.argsort(rows, axis=0, kind="stable").T
+        both = lambda rising: np.concatenate([rising, rising[:, ::-1]])
+        self.entries = both(order)  # the row of each entry
+        place = np.empty(order.shape, np.int32)
+        np.put_along_axis(place, order, np.arange(len(rows), dtype=np.int32)[None, :], axis=1)
+        self.place = np.concatenate([place, len(rows) - 1 - place])  # of each row in each list
+        self.sorted = both(np.take_along_axis(rows.T, order, axis=1))
         self.most = float(np.abs(rows).max(initial=0))
         self._typed: dict[type, tuple] = {}
 
-    def values(self, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted up, sorted down, and by row."""
+    def values(self, kind: type) -> tuple[np.ndarray, np.ndarray]:
+        """The lists' values, and those of the rows."""
         if kind not in self._typed:
-            up = np.take_along_axis(self.rows, self.order, axis=0).astype(kind)
-            self._typed[kind] = (up, np.ascontiguousarray(up[::-1]), self.rows.astype(kind))
+            self._typed[kind] = (self.sorted.astype(kind), self.rows.astype(kind))
         return self._typed[kind]
 
 
@@ -86,34 +88,35 @@ def read_lists(query: np.ndarray, own: int, lists: Lists, best: Best, few: int =
     n, dims = lists.rows.shape
     most = float(np.abs(query).max(initial=0)) * lists.most * dims
     kind = np.float32 if most < 1 << 24 else number(most)
-    rising, falling, rows = lists.values(kind)
-    q, up = query.astype(kind), query > 0
-    far = np.where(up, rising[0], falling[0]) * q if n else q
+    values, rows = lists.values(kind)
+    q = query.astype(kind)
+    which = np.arange(dims) + dims * (query > 0)
+    entries, shares = lists.entries[which], values[which] * q[:, None]
+    far = shares[:, -1]
     partial = np.zeros(n, object if kind is object else float)
-    left = np.arange(n)
-    depth = 0
+    place, left, depth = None, np.arange(n), 0
     for end in depths(n):
-        # The next entries of every list: they add their shares to their rows.
-        entries = np.where(up, lists.falling[depth:end], lists.order[depth:end])
-        shares = np.where(up, falling[depth:end], rising[depth:end]) * q
+        # The next entries of every list add their shares to their rows.
         if kind is object:
-            np.add.at(partial, entries, shares)
+            np.add.at(partial, entries[:, depth:end], shares[:, depth:end])
         else:
-            partial += np.bincount(entries.ravel(), shares.ravel(), n)
-        depth, reached = end, shares[-1]
+            partial += np.bincount(entries[:, depth:end].ravel(), shares[:, depth:end].ravel(), n)
+        depth, reached = end, shares[:, end - 1]
         unmet = reached.sum()  # what a row may have that no list has shown yet
         floor = best.floor()
         if floor is not None and unmet >= floor and end < n:
             continue  # rows not met can still qualify
-        # The rows that are left are all that can still qualify; only theirs are looked at.
-        some = left if len(left) < n else slice(None)
-        place, part = lists.place[some], partial[some]
-        seen = np.where(up, place >= n - end, place < end).astype(kind)
+        place = lists.place[which] if place is None else place
+        few_left = 4 * len(left) < n
+        some = left if few_left else slice(None)
+        seen, part = (place[:, some] < end).astype(kind), partial[some]
         if floor is None:
-            lower = (part + (far.sum() - seen @ far))[lists.names[some] != own]
+            lower = (part + (far.sum() - far @ seen))[lists.names[some] != own]
             floor = np.sort(lower)[len(lower) - best.k] if len(lower) >= best.k else None
         if floor is not None:
-            left = left[part + (unmet - seen @ reached) >= floor]
+            # The rows that can still qualify.
+            able = part + (unmet - reached @ seen) >= floor
+            left = left[able] if few_left else np.flatnonzero(able)
         if len(left) <= few * best.k:
             break
     left = left[lists.names[left] != own]
@@ -134,7 +137,7 @@ def query_blocks(rows: DataFrame, parts: int) -> DataFrame:
     return keyed.groupBy("n", "qb").applyInArrow(gathered, "n int, qb int, ids binary, width int, data binary")
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows: int = 2048, query_rows: int = 512,
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows: int = 4096, query_rows: int = 512,
           least_tile: int = LEAST_TILE) -> DataFrame:
     """(query_id, rank, vec_id, score) over tables of `vec_id` and whole-number arrays `v`."""
     usable = F.col("v").isNotNull() & F.col("vec_id").isNotNull()
