@@ -137,7 +137,7 @@ def query_blocks(rows: DataFrame, parts: int) -> DataFrame:
     return keyed.groupBy("n", "qb").applyInArrow(gathered, "n int, qb int, ids binary, width int, data binary")
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows: int = 4096, query_rows: int = 512,
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows: int = 1024, query_rows: int = 512,
           least_tile: int = LEAST_TILE) -> DataFrame:
     """(query_id, rank, vec_id, score) over tables of `vec_id` and whole-number arrays `v`."""
     usable = F.col("v").isNotNull() & F.col("vec_id").isNotNull()
