@@ -231,6 +231,7 @@ def compact(spark, path: str, tier: str, force: bool = False, dup_ratio: float =
             return False
     batches = sorted(r["batch_id"] for r in cells.select("batch_id").distinct().collect())
     tag = f"{COMPACTED}{now.version + 1:06d}"
+    drop_matching(spark, f"{path}/{tier}/part_day=*/batch_id={tag}")  # of a run that broke off
     append(compacted(cells.filter(F.col("batch_id").isin(batches))), path, tier, tag)
     Manifest(now.version + 1, (tag,), tuple(sorted({*batches, *now.replaced}))).write(spark, path, tier)
     return True
