@@ -55,6 +55,16 @@ def drained(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
+def drained_updates(stream: DataFrame, name: str) -> DataFrame:
+    """The same of a stream in output mode "update": all updates, a folder per micro-batch that a replay overwrites."""
+    spark = stream.sparkSession
+    folder = scratch(spark, name)
+    (stream.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint")
+     .foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={n}"))
+     .trigger(availableNow=True).start().awaitTermination())
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows").select(stream.columns)
+
+
 @query("streamed_cube", with_priced(f"""
 SELECT 'minute' AS tier, {_MINUTE} AS bucket, agent, {SUMS_SQL} FROM priced GROUP BY ALL
 UNION ALL SELECT 'hour', {_HOUR}, agent, {SUMS_SQL} FROM priced GROUP BY ALL
@@ -206,7 +216,7 @@ def streamed_sessions(spark, sf):
     signals = usage_in_batches(spark, sf).select(
         "agent", "session_id", F.when(F.col("k") % 5 == 0, "growth").otherwise("event").alias("kind"),
         F.col("ts_ms").alias("at_ms"), F.col("event_id").alias("seq"))
-    updates = drained(state_stream.session_stream(signals, now_ms=newest(spark, sf)), "streamed-sessions")
+    updates = drained_updates(state_stream.session_stream(signals, now_ms=newest(spark, sf), mode="update"), "streamed-sessions")
     last = updates.groupBy("agent", "session_id").agg(F.max_by(
         F.struct("last_event_ms", "last_growth_ms", "mid_turn", "state"), "seq").alias("s"))
     return last.select("agent", "session_id", "s.*")

@@ -50,15 +50,20 @@ def states(signals: DataFrame, now_ms: int) -> DataFrame:
         F.coalesce(F.max(F.when(F.col("kind") == "growth", F.col("at_ms"))), F.lit(0)).alias("last_growth_ms"),
         F.max_by(F.col("kind") == "growth", "seq").alias("mid_turn"))
     last = F.greatest("last_event_ms", "last_growth_ms")
-    age = F.lit(now_ms) - last
-    state = (F.when((last == 0) | (age > DONE_AFTER_MS), "done")
-             .when(age <= RUNNING_WITHIN_MS, "running")
-             .when(F.col("mid_turn") & (F.lit(now_ms) - F.col("last_growth_ms") <= MID_TURN_MS), "running")
-             .otherwise("idle"))
+    state = activity_of(F.col("last_event_ms"), F.col("last_growth_ms"), F.col("mid_turn"), F.lit(now_ms))
     return grouped.withColumn("last_activity_ms", last).withColumn("state", state).withColumn(
         "state_rank", state_rank(F.col("state")))
 
 
+def activity_of(event_ms: Column, growth_ms: Column, mid_turn: Column, now_ms: Column) -> Column:
+    last = F.greatest(event_ms, growth_ms)
+    age = now_ms - last
+    return (F.when((last == 0) | (age > DONE_AFTER_MS), "done")
+            .when(age <= RUNNING_WITHIN_MS, "running")
+            .when(mid_turn & (now_ms - growth_ms <= MID_TURN_MS), "running")
+            .otherwise("idle"))
+
+
 def state_rank(state: Column) -> Column:
     return F.when(state == "running", 0).when(state == "idle", 1).otherwise(2).cast("bigint")
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from meterline.operators import alerts as rules
 from meterline.operators.quota import ALPHA, resumed_pace
-from meterline.operators.roster import DONE_AFTER_MS, MID_TURN_MS, RUNNING_WITHIN_MS
+from meterline.operators.roster import DONE_AFTER_MS, MID_TURN_MS, RUNNING_WITHIN_MS, activity_of
 from meterline.session import drop_folder, settled
 
 
@@ -114,14 +115,21 @@ def activity(last_event_ms: int, last_growth_ms: int, mid_turn: bool, now_ms: in
     return "idle"
 
 
-def session_stream(signals: DataFrame, timeout: bool = False, now_ms: int | None = None) -> DataFrame:
+def session_stream(signals: DataFrame, timeout: bool = False, now_ms: int | None = None, mode: str = "append") -> DataFrame:
     """Activity per (agent, session), an update for each batch that signals it, with the last `seq` it has seen.
 
     The clock of an update is `now_ms`, or the session's newest signal where none is given.
 
     With `timeout` a silent session is looked at again by the clock, so it turns
     idle and done without another signal, and its state is then forgotten.
+
+    For a sink in output mode "update" the same rows come from Spark's own aggregates: sessions are many and small, and a
+    call of Python for each of them is nearly all the time that a sink in "append" needs.
     """
+    if mode == "update":
+        if timeout:
+            raise ValueError("sessions that time out need output mode append")
+        return _aggregated_sessions(signals, now_ms)
     columns = ["agent", "session_id", "last_event_ms", "last_growth_ms", "mid_turn", "state", "seq"]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -137,12 +145,13 @@ def session_stream(signals: DataFrame, timeout: bool = False, now_ms: int | None
             return
         # Newest times and the newest signal: batches as they come, in any order, none of them kept.
         for rows in batches:
-            grown = rows["kind"] == "growth"
-            growth = max([growth, *rows["at_ms"][grown].nlargest(1).astype(int)])
-            event = max([event, *rows["at_ms"][~grown].nlargest(1).astype(int)])
-            last = rows["seq"].idxmax()
-            if int(rows["seq"][last]) >= seq:
-                seq, mid = int(rows["seq"][last]), bool(grown[last])
+            grown, at, seqs = (rows["kind"] == "growth").to_numpy(), rows["at_ms"].to_numpy(), rows["seq"].to_numpy()
+            timed = at == at  # a null is not equal to itself
+            growth = int(at[grown & timed].max(initial=growth))
+            event = int(at[~grown & timed].max(initial=event))
+            last = np.nanargmax(seqs)
+            if int(seqs[last]) >= seq:
+                seq, mid = int(seqs[last]), bool(grown[last])
         state.update((event, growth, mid, seq))
         if timeout:
             state.setTimeoutDuration(RUNNING_WITHIN_MS)
@@ -155,6 +164,18 @@ def session_stream(signals: DataFrame, timeout: bool = False, now_ms: int | None
         GroupStateTimeout.ProcessingTimeTimeout if timeout else GroupStateTimeout.NoTimeout)
 
 
+def _aggregated_sessions(signals: DataFrame, now_ms: int | None) -> DataFrame:
+    grown = F.coalesce(F.col("kind") == "growth", F.lit(False))
+    seq = F.when(F.col("seq") >= 0, F.col("seq"))
+    kept = signals.groupBy("agent", "session_id").agg(
+        F.greatest(F.max(F.when(~grown, F.col("at_ms"))), F.lit(0)).cast("bigint").alias("last_event_ms"),
+        F.greatest(F.max(F.when(grown, F.col("at_ms"))), F.lit(0)).cast("bigint").alias("last_growth_ms"),
+        F.coalesce(F.max_by(grown, seq), F.lit(False)).alias("mid_turn"), F.coalesce(F.max(seq), F.lit(0)).cast("bigint").alias("seq"))
+    clock = F.greatest("last_event_ms", "last_growth_ms") if now_ms is None else F.lit(now_ms)
+    state = activity_of(F.col("last_event_ms"), F.col("last_growth_ms"), F.col("mid_turn"), clock)
+    return kept.select("agent", "session_id", "last_event_ms", "last_growth_ms", "mid_turn", state.alias("state"), "seq")
+
+
 def observe(memory: dict, row, thresholds: tuple[int, ...]) -> list[dict]:
     """One observation of a host: moves every latch and returns the alerts that go out.
 

@@ -59,3 +59,20 @@ def test_session_stream_keeps_the_newest_signal(spark, tmp_path):
     assert state_stream.activity(1000, 1000, True, 1000 + 9 * MIN) == "running"
     assert state_stream.activity(1000, 1000, True, 1000 + 11 * MIN) == "idle"
     assert state_stream.activity(1000, 1000, True, 1001 + 30 * MIN) == "done"
+
+
+def test_session_updates_come_from_aggregates_alone(spark, tmp_path):
+    schema = "agent string, session_id string, kind string, at_ms bigint, seq bigint"
+    batches = [[("claude", "s", "event", 1000, 1), ("claude", "s", "growth", 5000, 2), ("codex", None, "growth", 7, 3), ("codex", "t", "event", None, 4)],
+               [("claude", "s", "event", 4000, 6), ("claude", "s", None, 3000, 5)], [("codex", None, "growth", 4, 7)]]
+    by_mode = {}
+    for mode in ("append", "update"):
+        where = tmp_path / mode
+        for n, rows in enumerate(batches):
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(where / "in"))
+            updates = state_stream.session_stream(spark.readStream.schema(schema).parquet(str(where / "in")), mode=mode)
+            assert ("InPandas" in updates._jdf.queryExecution().analyzed().toString()) == (mode == "append")
+            (updates.writeStream.outputMode(mode).option("checkpointLocation", str(where / "ck")).trigger(availableNow=True)
+             .foreachBatch(lambda batch, _, to=f"{where}/out/batch={n}": batch.write.mode("overwrite").parquet(to)).start().awaitTermination())
+        by_mode[mode] = sorted(map(str, spark.read.parquet(str(where / "out")).collect()))
+    assert by_mode["append"] == by_mode["update"] and len(by_mode["update"]) == 5
