@@ -1,8 +1,8 @@
 """Stateful streams: quota pace, session activity, alerts (ST4-ST6, ST9, ST14-ST17).
 
 State per key is a handful of numbers. `pace_stream` and `alert_stream` put the rows of a key inside one micro-batch in
-arrival order before they step the state; the source's rate options (maxFilesPerTrigger, maxBytesPerTrigger) bound
-what that can be. `stored_pace` and `stored_alerts` fold a micro-batch in chunks from states in tables, so a key's batch is many
+arrival order before they step the state, as Arrow columns of which a slice at a time becomes rows; the source's rate options
+(maxFilesPerTrigger, maxBytesPerTrigger) bound what that can be. `stored_pace` and `stored_alerts` fold a micro-batch in chunks from states in tables, so a key's batch is many
 tasks, for more jobs per batch.
 """
 
@@ -13,6 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -23,24 +25,33 @@ from meterline.operators.quota import ALPHA, resumed_pace
 from meterline.operators.roster import DONE_AFTER_MS, MID_TURN_MS, RUNNING_WITHIN_MS, activity_of
 from meterline.session import drop_folder, settled
 
+#: Rows of a key that are Python objects at a time.
+SLICE_ROWS = 16_384
 
-def _ordered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(batches)).sort_values("seq", kind="stable")
+
+def _ordered(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows of a key in arrival order, without the key, in slices: what is held are Arrow columns, a few bytes a value."""
+    rows = pa.concat_tables((pa.Table.from_pandas(b.drop(columns=keys), preserve_index=False) for b in batches),
+                            promote_options="permissive").combine_chunks()
+    order = pc.sort_indices(rows["seq"])
+    for at in range(0, len(order), SLICE_ROWS):
+        yield rows.take(order.slice(at, SLICE_ROWS)).to_pandas()
 
 
 def pace_stream(readings: DataFrame) -> DataFrame:
     """The smoothed pace after every reading of (agent, kind)."""
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         percent, at, pace = state.get if state.exists else (-1.0, 0, 0.0)
-        out = []
-        for row in _ordered(batches).itertuples():
-            if percent >= 0 and row.read_at_ms > at and row.used_percent >= percent:
-                slope = (row.used_percent - percent) / ((row.read_at_ms - at) / 60_000.0)
-                pace = ALPHA * slope + (1 - ALPHA) * pace
-            percent, at = float(row.used_percent), int(row.read_at_ms)
-            out.append((*key, row.seq, at, percent, pace))
+        for rows in _ordered(batches, ["agent", "kind"]):
+            out = []
+            for row in rows.itertuples():
+                if percent >= 0 and row.read_at_ms > at and row.used_percent >= percent:
+                    slope = (row.used_percent - percent) / ((row.read_at_ms - at) / 60_000.0)
+                    pace = ALPHA * slope + (1 - ALPHA) * pace
+                percent, at = float(row.used_percent), int(row.read_at_ms)
+                out.append((*key, row.seq, at, percent, pace))
+            yield pd.DataFrame(out, columns=["agent", "kind", "seq", "read_at_ms", "used_percent", "pace"])
         state.update((percent, at, float(pace)))
-        yield pd.DataFrame(out, columns=["agent", "kind", "seq", "read_at_ms", "used_percent", "pace"])
 
     return readings.select("agent", "kind", "seq", "read_at_ms", "used_percent").groupBy(
         "agent", "kind").applyInPandasWithState(
@@ -234,11 +245,11 @@ def alert_stream(observations: DataFrame, thresholds: tuple[int, ...] = rules.DE
     """Delivered alerts per host, one observation after the other."""
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         memory = json.loads(state.get[0]) if state.exists else {}
-        out = []
-        for row in _ordered(batches).itertuples():
-            out += [{"host": key[0], **alert} for alert in observe(memory, row, thresholds)]
+        for rows in _ordered(batches, ["host"]):
+            out = [{"host": key[0], **alert} for row in rows.itertuples() for alert in observe(memory, row, thresholds)]
+            if out:
+                yield pd.DataFrame(out, columns=ALERT_COLUMNS).astype({"threshold": "Int32"})
         state.update((json.dumps(memory),))
-        yield pd.DataFrame(out, columns=ALERT_COLUMNS).astype({"threshold": "Int32"})
 
     return observations.groupBy("host").applyInPandasWithState(
         step, "host bigint, seq bigint, now_ms bigint, agent string, kind string, alert string, threshold int, "

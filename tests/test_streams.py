@@ -1,5 +1,7 @@
 """Watermarked windows and sessions on small streams."""
 
+import pandas as pd
+
 from meterline.streaming import cube_stream, state_stream
 
 MIN = 60_000
@@ -76,3 +78,14 @@ def test_session_updates_come_from_aggregates_alone(spark, tmp_path):
              .foreachBatch(lambda batch, _, to=f"{where}/out/batch={n}": batch.write.mode("overwrite").parquet(to)).start().awaitTermination())
         by_mode[mode] = sorted(map(str, spark.read.parquet(str(where / "out")).collect()))
     assert by_mode["append"] == by_mode["update"] and len(by_mode["update"]) == 5
+
+
+def test_rows_of_a_key_are_stepped_in_slices(spark):
+    seqs = [(7 * n) % 50_021 for n in range(50_021)]
+    batches = [pd.DataFrame({"agent": "a", "seq": seqs[at:at + 10_000], "used_percent": [float(s) for s in seqs[at:at + 10_000]], "wall": None})
+               for at in range(0, len(seqs), 10_000)]
+    slices = list(state_stream._ordered(iter(batches), ["agent"]))
+    assert max(map(len, slices)) <= state_stream.SLICE_ROWS < len(seqs) == sum(map(len, slices))
+    whole = pd.concat(slices)
+    assert whole["seq"].tolist() == sorted(seqs) and (whole["used_percent"] == whole["seq"]).all()
+    assert list(whole.columns) == ["seq", "used_percent", "wall"] and whole["wall"].isna().all()
