@@ -11,6 +11,7 @@ from meterline.catalog.signal_queries import DELIVERED_SQL, _PACED, host_walls,
 from meterline.functions.money import total_tokens
 from meterline.operators import cube
 from meterline.session import scratch_folder as scratch
+from meterline.session import settled
 from meterline.streaming import cube_stream, state_stream
 
 
@@ -223,10 +224,10 @@ def streamed_sessions(spark, sf):
 
 
 def _observed(spark, sf) -> DataFrame:
-    """Readings in three micro-batches, walls joined in from the readings so far."""
-    walls = host_walls(spark, sf).select(
+    """Readings in three micro-batches, walls joined in from the readings so far: these are computed once, not by every batch."""
+    walls = settled(host_walls(spark, sf).select(
         "host", "seq", F.col("agent").alias("wall_agent"), F.col("kind").alias("wall_kind"),
-        F.col("used_percent").alias("wall_percent"), "wall_at_ms")
+        F.col("used_percent").alias("wall_percent"), "wall_at_ms"))
     return readings_from(usage_in_batches(spark, sf)).join(walls, ["host", "seq"], "left")
 
 

@@ -2,6 +2,7 @@
 
 import pandas as pd
 
+from meterline.catalog import stream_queries
 from meterline.streaming import cube_stream, state_stream
 
 MIN = 60_000
@@ -89,3 +90,12 @@ def test_rows_of_a_key_are_stepped_in_slices(spark):
     whole = pd.concat(slices)
     assert whole["seq"].tolist() == sorted(seqs) and (whole["used_percent"] == whole["seq"]).all()
     assert list(whole.columns) == ["seq", "used_percent", "wall"] and whole["wall"].isna().all()
+
+
+def test_walls_are_computed_once_for_all_batches(spark, tmp_path):
+    rows = [(n, n % 4, ("click", "view")[n % 2], 1.0, f'{{"k": {n % 100}}}') for n in range(300)]
+    events = spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, value double, props string")
+    events.selectExpr("event_id", "CAST(timestamp_seconds(1704067200 + event_id * 60) AS timestamp_ntz) AS ts", "user_id", "event_type", "value", "props").coalesce(
+        1).write.parquet(str(tmp_path / "events.parquet"))
+    observed = stream_queries._observed(spark, str(tmp_path))
+    assert observed.isStreaming and "InPandas" not in observed._jdf.queryExecution().analyzed().toString()
