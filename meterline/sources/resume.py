@@ -99,6 +99,11 @@ def _rows(path: str, low: int, high: int, first: int, length: int) -> Iterator[p
         yield batch()
 
 
+def tasks_of(spark: SparkSession) -> int:
+    """Tasks for rows that are few and each much work."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def read_from(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Complete lines (value, source_file, line_start, line_seq, line_end) of files (source_file, first, length) from byte `first` on."""
     step = F.lit(range_bytes).cast("bigint")
@@ -112,9 +117,7 @@ def read_from(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
                 yield from _rows(r["source_file"], r["low"], r["high"], r["first"], r["length"])
 
     # Ranges are few and each is much work: a task for every few of them.
-    spark = files.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return ranges.repartition(tasks, "source_file", "low").mapInArrow(read, LINES)
+    return ranges.repartition(tasks_of(files.sparkSession), "source_file", "low").mapInArrow(read, LINES)
 
 
 def _last_newline(path: str, first: int, length: int, block: int = BLOCK) -> int:

@@ -54,11 +54,14 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def files(spark: SparkSession, paths: str | list[str], glob: str) -> DataFrame:
-    """source_file, modified, length of the files as a log names them; contents are not read."""
+    """source_file, modified, length of the files as a log names them; contents are not read.
+
+    Spark lists 32 small files in a task, and whatever is made of the list would keep those tasks: a row each for a file, they are put together.
+    """
     listed = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
               .option("pathGlobFilter", glob).load(paths))
     return listed.select(F.col("_metadata.file_path").alias("source_file"),
-                         F.col("modificationTime").alias("modified"), "length")
+                         F.col("modificationTime").alias("modified"), "length").coalesce(resume.tasks_of(spark))
 
 
 @dataclass

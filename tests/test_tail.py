@@ -4,7 +4,7 @@ import sqlite3
 import pytest
 
 from meterline.operators import cube
-from meterline.sources import fleet, tail
+from meterline.sources import fleet, resume, tail
 
 
 def reading(ms: int, tokens: int, session: str | None = None) -> str:
@@ -261,3 +261,11 @@ def test_old_states_are_removed(spark, place):
     import os
     for name in ("files", "marks", "versions"):
         assert sorted(os.listdir(f"{store}/{name}")) == ["generation=3", "generation=4"]
+
+
+def test_a_list_of_many_files_has_few_tasks(spark, tmp_path):
+    for n in range(40 * resume.tasks_of(spark)):
+        (tmp_path / f"{n}.jsonl").write_text("{}\n")
+    listed = tail.files(spark, str(tmp_path), "*.jsonl")
+    assert listed.rdd.getNumPartitions() <= resume.tasks_of(spark)
+    assert listed.agg({"length": "sum"}).first()[0] == 3 * 40 * resume.tasks_of(spark)
