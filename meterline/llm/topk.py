@@ -5,8 +5,9 @@ entry of each list. Lists are read in order, from the top where the query's weig
 is negative, some entries of each in a round. An entry adds its share to its row. What a row has not shown yet lies between the place
 reached in that list and the list's far end, so every row has a lower and an upper bound from what was read alone. Once `k` lower
 bounds reach t, rows whose upper bound is below t are out, rows not met at all among them; reading stops when few are
-left, or at the lists' ends, and the scores of those are resolved. Queries stop on their own. The best `k` so far of a query serve
-as its t from the first round of the next block.
+left, or at the lists' ends, and the scores of those are resolved. A block of queries goes down the lists together: an entry is read once, its
+shares are added for all queries that have come as deep by one product, and each query stops on its own. The best `k` so far of a query
+serve as its t from the first round of the next block.
 
 Candidates come in blocks of vectors whose lists are sorted once in a task, queries in blocks too; blocks of queries meet
 blocks of candidates (a stated query set against all rows) in tiles of bounded size. Each tile returns k rows per
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from meterline.llm.common import written
 from meterline.llm.vectors import blocks_of, decoded, encoded, number, scaled
 
-__all__ = ["Best", "Lists", "read_lists", "scaled", "top_k"]
+__all__ = ["Best", "Lists", "read_lists", "read_together", "scaled", "top_k"]
 
 #: Reading ends when at most so many times k rows are left.
 FEW = 2
@@ -52,76 +53,91 @@ class Lists:
         order = np.argsort(rows, axis=0, kind="stable").T
         both = lambda rising: np.concatenate([rising, rising[:, ::-1]])
         self.entries = both(order)  # the row of each entry
-        place = np.empty(order.shape, np.int32)
-        np.put_along_axis(place, order, np.arange(len(rows), dtype=np.int32)[None, :], axis=1)
-        self.place = np.concatenate([place, len(rows) - 1 - place])  # of each row in each list
         self.sorted = both(np.take_along_axis(rows.T, order, axis=1))
         self.most = float(np.abs(rows).max(initial=0))
-        self._typed: dict[type, tuple] = {}
+        self._typed: dict[type, np.ndarray] = {}
 
-    def values(self, kind: type) -> tuple[np.ndarray, np.ndarray]:
-        """The lists' values, and those of the rows."""
+    def values(self, kind: type) -> np.ndarray:
+        """The lists' values."""
         if kind not in self._typed:
-            self._typed[kind] = (self.sorted.astype(kind), self.rows.astype(kind))
+            self._typed[kind] = self.sorted.astype(kind)
         return self._typed[kind]
 
 
 class Best:
-    """The k best (score, id) so far of one query."""
+    """The k best (score, id) so far of some queries; `of` is the query's number, best first within it."""
 
-    def __init__(self, k: int):
-        self.k = k
-        self.scores, self.names = np.empty(0, np.int64), np.empty(0, np.int64)
+    def __init__(self, k: int, queries: int = 1):
+        self.k, self.queries = k, queries
+        self.of, self.scores, self.names = (np.empty(0, np.int64) for _ in range(3))
 
-    def floor(self):
-        """The score that a newcomer must reach."""
-        return int(self.scores[-1]) if len(self.scores) == self.k else None
+    def floors(self, kind: type) -> np.ndarray:
+        """The score that a newcomer must reach, of each query; -inf while it has fewer than k."""
+        last = np.cumsum(np.bincount(self.of, minlength=self.queries)) - 1
+        full = np.bincount(self.of, minlength=self.queries) == self.k
+        floors = np.full(self.queries, -np.inf, object if kind is object else float)
+        floors[full] = self.scores[last[full]]
+        return floors
 
-    def add(self, scores: np.ndarray, names: np.ndarray) -> None:
-        scores, names = np.concatenate([self.scores, scores]), np.concatenate([self.names, names])
-        order = np.lexsort((names, -scores))[:self.k]
-        self.scores, self.names = scores[order], names[order]
+    def add(self, of: np.ndarray, scores: np.ndarray, names: np.ndarray) -> None:
+        of, scores, names = (np.concatenate(c) for c in ((self.of, of), (self.scores, scores), (self.names, names)))
+        order = np.lexsort((names, -scores, of))
+        ranked = of[order]
+        order = order[np.arange(len(ranked)) - np.searchsorted(ranked, ranked) < self.k]
+        self.of, self.scores, self.names = of[order], scores[order], names[order]
 
 
-def read_lists(query: np.ndarray, own: int, lists: Lists, best: Best, few: int = FEW) -> int:
-    """One query down the lists of one block, into `best`; how many entries were read."""
+def read_together(queries: np.ndarray, own: np.ndarray, lists: Lists, best: Best, few: int = FEW) -> np.ndarray:
+    """Queries down the lists of one block, into `best`; how many entries each has read.
+
+    An entry is read once for all queries that have come as deep, and its shares are added to its row for all of them at once.
+    """
     n, dims = lists.rows.shape
-    most = float(np.abs(query).max(initial=0)) * lists.most * dims
+    most = float(np.abs(queries).max(initial=0)) * lists.most * dims * 4  # bounds are sums of differences
     kind = np.float32 if most < 1 << 24 else number(most)
-    values, rows = lists.values(kind)
-    q = query.astype(kind)
-    which = np.arange(dims) + dims * (query > 0)
-    entries, shares = lists.entries[which], values[which] * q[:, None]
-    far = shares[:, -1]
-    partial = np.zeros(n, object if kind is object else float)
-    place, left, depth = None, np.arange(n), 0
+    values = lists.values(kind)
+    # A query reads one of the two lists of a component: its weight in the other is 0.
+    weights = np.concatenate([np.minimum(queries, 0), np.maximum(queries, 0)], axis=1).T.astype(kind)
+    floors = best.floors(kind)
+    first = np.array([f == -np.inf for f in floors], bool)
+    shown, seen = np.zeros((n, 2 * dims), kind), np.zeros((n, 2 * dims), bool)
+    far, which = values[:, -1], np.arange(2 * dims)[:, None]
+    read, going, depth = np.zeros(len(queries), np.int64), np.arange(len(queries)), 0
     for end in depths(n):
-        # The next entries of every list add their shares to their rows.
-        if kind is object:
-            np.add.at(partial, entries[:, depth:end], shares[:, depth:end])
-        else:
-            partial += np.bincount(entries[:, depth:end].ravel(), shares[:, depth:end].ravel(), n)
-        depth, reached = end, shares[:, end - 1]
-        unmet = reached.sum()  # what a row may have that no list has shown yet
-        floor = best.floor()
-        if floor is not None and unmet >= floor and end < n:
-            continue  # rows not met can still qualify
-        place = lists.place[which] if place is None else place
-        few_left = 4 * len(left) < n
-        some = left if few_left else slice(None)
-        seen, part = (place[:, some] < end).astype(kind), partial[some]
-        if floor is None:
-            lower = (part + (far.sum() - far @ seen))[lists.names[some] != own]
-            floor = np.sort(lower)[len(lower) - best.k] if len(lower) >= best.k else None
-        if floor is not None:
-            # The rows that can still qualify.
-            able = part + (unmet - reached @ seen) >= floor
-            left = left[able] if few_left else np.flatnonzero(able)
-        if len(left) <= few * best.k:
+        # The next entries of every list show their rows a value.
+        at = lists.entries[:, depth:end]
+        shown[at, which], seen[at, which] = values[:, depth:end], True
+        depth, reached = end, values[:, end - 1]
+        read[going] = depth * dims
+        fresh = going[first[going]]
+        if len(fresh) and n >= best.k:
+            # What a row has at least: what it has shown, and the far ends of the other lists.
+            lower = (shown - seen * far) @ weights[:, fresh] + far @ weights[:, fresh]
+            lower[lists.names[:, None] == own[fresh]] = -np.inf
+            floors[fresh] = np.partition(lower, n - best.k, axis=0)[n - best.k]
+        unmet = reached @ weights[:, going]  # what a row may have that no list has shown yet
+        # Else rows not met can still qualify.
+        asked = first[going] | (unmet < floors[going]) | (end == n)
+        unmet, some = unmet[asked], going[asked]
+        if not len(some):
+            continue
+        # The rows that can still qualify.
+        able = (shown - seen * reached) @ weights[:, some] >= (floors[some] - unmet).astype(kind)
+        done = np.ones(len(some), bool) if end == n else able.sum(axis=0) <= few * best.k
+        row, of = np.nonzero(able[:, done])
+        of = some[done][of]
+        others = lists.names[row] != own[of]
+        row, of = row[others], of[others]
+        best.add(of, np.einsum("ij,ij->i", lists.rows[row], queries[of]), lists.names[row])
+        going = np.setdiff1d(going, some[done], assume_unique=True)
+        if not len(going):
             break
-    left = left[lists.names[left] != own]
-    best.add((rows[left] @ q).astype(np.int64), lists.names[left])
-    return depth * dims
+    return read
+
+
+def read_lists(query: np.ndarray, own: int, lists: Lists, best: Best, few: int = FEW) -> int:
+    """`read_together` of one query."""
+    return int(read_together(np.asarray(query)[None, :], np.array([own]), lists, best, few)[0])
 
 
 def query_blocks(rows: DataFrame, parts: int) -> DataFrame:
@@ -158,11 +174,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows: int =
         blocks = [Lists(*decoded(r["ids"], r["width"], r["data"])) for r in right.to_pylist()]
         for r in left.to_pylist() if blocks else ():
             ids, matrix = decoded(r["ids"], r["width"], r["data"])
-            for own, query in zip(ids.tolist(), matrix, strict=True):
-                best = Best(k)
+            for at in range(0, len(ids), query_rows):
+                own, some = ids[at:at + query_rows], matrix[at:at + query_rows]
+                best = Best(k, len(own))
                 for block in blocks:
-                    read_lists(query, own, block, best)
-                found["query_id"].append(np.full(len(best.names), own, np.int64))
+                    read_together(some, own, block, best)
+                found["query_id"].append(own[best.of])
                 found["vec_id"].append(best.names)
                 found["score"].append(best.scores)
         return pa.table({n: pa.array(np.concatenate(c) if c else np.empty(0, np.int64), pa.int64()) for n, c in found.items()})

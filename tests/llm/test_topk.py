@@ -83,3 +83,38 @@ def test_fewer_candidates_than_k_repeats_and_empty(spark):
     assert run(spark, rows) == brute(rows, 20, lambda q: q % 20 == 0)
     empty = spark.createDataFrame([], "vec_id long, v array<long>")
     assert topk.top_k(empty, empty).count() == 0
+
+
+class Counted(topk.Lists):
+    """Lists that count how often their entries are taken."""
+
+    taken = 0
+
+    def __getattribute__(self, name):
+        if name == "entries":
+            type(self).taken += 1
+        return super().__getattribute__(name)
+
+
+@pytest.mark.parametrize("scale", [5, 10**5, 10**8])
+def test_queries_share_the_reading_of_entries_and_stop_on_their_own(scale):
+    rng = np.random.default_rng(11)
+    rows = rng.integers(-scale, scale + 1, (900, 6))
+    rows[:30] = 3 * scale
+    names = rng.permutation(900)
+    names[5] = names[6]  # an id twice: both are the query's own
+    queries = np.concatenate([rows[:8], np.full((1, 6), 7), np.zeros((1, 6), np.int64), rows[500:560]])
+    own = np.concatenate([names[:8], [-1, -1], names[500:560]])
+    best, counted = topk.Best(10, len(queries)), Counted(names, rows)
+    Counted.taken = 0
+    read = topk.read_together(queries, own, counted, best)
+    assert 0 < Counted.taken <= len(topk.depths(900))  # a round's entries are taken once, not by every query
+    assert len(set(read.tolist())) > 1
+    for j, (query, name) in enumerate(zip(queries, own, strict=True)):
+        one = topk.Best(10)
+        assert topk.read_lists(query, name, topk.Lists(names, rows), one) == read[j]
+        scores = np.where(names == name, -(1 << 62), rows @ query)
+        want = np.lexsort((names, -scores))[:10]
+        mine = best.of == j
+        assert best.names[mine].tolist() == one.names.tolist() == names[want].tolist()
+        assert best.scores[mine].tolist() == one.scores.tolist() == scores[want].tolist()
