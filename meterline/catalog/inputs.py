@@ -12,6 +12,7 @@ from meterline.functions.money import COST
 from meterline.functions.price_list import bundled_rows
 from meterline.operators.pricing import price_rows
 from meterline.operators.projects import with_project
+from meterline.session import scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,7 +76,18 @@ def _ntz(ms: int | None):
 
 
 def usage_from(table_of_events: DataFrame) -> DataFrame:
-    raw = raw_events(table_of_events)
+    return usage_of(raw_events(table_of_events))
+
+
+def read_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`usage` for a query that derives many sources from it: the table is read and its JSON parsed once, not by each of them."""
+    path = scratch_folder(spark, "events")
+    raw_events(table(spark, sf_dir, "events")).write.parquet(path)
+    return usage_of(spark.read.parquet(path))
+
+
+def usage_of(raw: DataFrame) -> DataFrame:
+    """Usage events of `raw_events`."""
     agent = F.lit(None).cast("string")
     for kind, name in reversed(AGENT_OF):
         agent = F.when(F.col("event_type") == kind, name).otherwise(agent)

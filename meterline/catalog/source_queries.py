@@ -8,7 +8,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterline.catalog.inputs import NOW_MS, out, query, usage, with_priced, with_uses
+from meterline.catalog.inputs import NOW_MS, out, query, read_once, usage, with_priced, with_uses
 from meterline.functions.money import COST, usd
 from meterline.operators import cdc, cube, dedup, quota
 from meterline.operators.deltas import carry_context, cumulative_deltas
@@ -43,13 +43,18 @@ def _struct(**fields: Column) -> Column:
     return F.struct(*[value.alias(name) for name, value in fields.items()])
 
 
+def _usage(spark, sf, u: DataFrame | None) -> DataFrame:
+    """`u`, where a query over many sources has it already."""
+    return usage(spark, sf) if u is None else u
+
+
 def _kept(events: DataFrame) -> DataFrame:
     return dedup.keep_first(events).select(*_EVENT)
 
 
-def claude_lines(spark, sf) -> DataFrame:
+def claude_lines(spark, sf, u: DataFrame | None = None) -> DataFrame:
     """A transcript per session; every seventh row is another type, every fifth is logged twice."""
-    u = usage(spark, sf)
+    u = _usage(spark, sf, u)
     copies = u.withColumn("copy", F.explode(F.when(F.col("k") % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(
         F.array(F.lit(0)))))
     value = _json(
@@ -71,13 +76,13 @@ def claude_lines(spark, sf) -> DataFrame:
 SELECT 'claude' AS agent, ts_ms, model, input_tokens, output_tokens, cache_creation_tokens,
   CASE WHEN k % 2 = 0 THEN cache_read_tokens ELSE 0 END AS cache_read_tokens, session_id, cwd
 FROM uses WHERE k % 7 <> 0 AND model <> ''"""))
-def claude_usage(spark, sf):
-    return _kept(transcripts.claude(claude_lines(spark, sf)))
+def claude_usage(spark, sf, u=None):
+    return _kept(transcripts.claude(claude_lines(spark, sf, u)))
 
 
-def codex_lines(spark, sf) -> DataFrame:
+def codex_lines(spark, sf, u: DataFrame | None = None) -> DataFrame:
     """A rollout per user: every tenth k is a header, the rest are cumulative counters that restart daily."""
-    u = usage(spark, sf).withColumn("day_no", (F.col("ts_ms") / 86_400_000).cast("bigint"))
+    u = _usage(spark, sf, u).withColumn("day_no", (F.col("ts_ms") / 86_400_000).cast("bigint"))
     header = F.col("k") % 10 == 0
     counted = ordered_scan(
         u, ["user_id", "day_no"], ["event_id"], chunk_of(F.col("event_id")),
@@ -124,8 +129,8 @@ SELECT 'codex' AS agent, ts_ms, coalesce(ctx_model, 'codex') AS model, greatest(
   d_out AS output_tokens, 0::BIGINT AS cache_creation_tokens, d_cached AS cache_read_tokens,
   coalesce(ctx_session, 'rollout-' || session_id) AS session_id, coalesce(ctx_cwd, '') AS cwd
 FROM turns WHERE d_in <> 0 OR d_out <> 0 OR d_cached <> 0"""))
-def codex_usage(spark, sf):
-    return _kept(transcripts.codex(codex_lines(spark, sf), settled))
+def codex_usage(spark, sf, u=None):
+    return _kept(transcripts.codex(codex_lines(spark, sf, u), settled))
 
 
 @query("codex_limits", with_uses("""
@@ -169,8 +174,8 @@ SELECT 'pi' AS agent, ts_ms, model, input_tokens, output_tokens, cache_creation_
   session_id, coalesce(last_value(CASE WHEN k % 10 = 0 THEN cwd END IGNORE NULLS)
     OVER (PARTITION BY user_id ORDER BY event_id), '') AS cwd
 FROM uses QUALIFY k % 10 <> 0"""))
-def pi_usage(spark, sf):
-    u = usage(spark, sf)
+def pi_usage(spark, sf, u=None):
+    u = _usage(spark, sf, u)
     header = _json(type=F.lit("session"), id=F.col("session_id"), timestamp=_iso(), cwd=F.col("cwd"))
     message = _json(type=F.lit("message"), id=F.col("event_id").cast("string"), timestamp=_iso(), message=_struct(
         role=F.lit("assistant"), model=F.col("model"), usage=_struct(
@@ -187,9 +192,9 @@ FROM (SELECT 'gemini' AS agent, ts_ms, model, greatest(input_tokens - k, 0) AS i
     coalesce(last_value(CASE WHEN k % 10 = 0 THEN 'g' || event_id END IGNORE NULLS)
       OVER (PARTITION BY user_id ORDER BY event_id), session_id) AS session_id FROM uses)
 WHERE kk % 10 <> 0 AND kk % 3 <> 0"""))
-def gemini_usage(spark, sf):
+def gemini_usage(spark, sf, u=None):
     """Every third row has no tokens yet and counts nothing."""
-    u = usage(spark, sf)
+    u = _usage(spark, sf, u)
     header = _json(sessionId=F.concat(F.lit("g"), F.col("event_id").cast("string")), kind=F.lit("metadata"))
     message = _json(id=F.col("event_id").cast("string"), timestamp=_iso(), type=F.lit("gemini"), model=F.col("model"),
                     tokens=F.when(F.col("k") % 3 != 0, _struct(
@@ -203,8 +208,8 @@ def gemini_usage(spark, sf):
 SELECT 'qwen' AS agent, ts_ms, model, greatest(input_tokens - k, 0) AS input_tokens, output_tokens + 7 AS output_tokens,
   0::BIGINT AS cache_creation_tokens, k AS cache_read_tokens,
   CASE WHEN k % 4 = 1 THEN 'file' || user_id ELSE session_id END AS session_id, cwd FROM uses WHERE k % 6 <> 5"""))
-def qwen_usage(spark, sf):
-    u = usage(spark, sf)
+def qwen_usage(spark, sf, u=None):
+    u = _usage(spark, sf, u)
     value = _json(uuid=F.col("event_id").cast("string"), sessionId=F.when(F.col("k") % 4 != 1, F.col("session_id")),
                   timestamp=_iso(), type=F.when(F.col("k") % 6 == 5, "user").otherwise("assistant"), cwd=F.col("cwd"),
                   model=F.col("model"), usageMetadata=_struct(
@@ -217,9 +222,9 @@ def qwen_usage(spark, sf):
 @query("kimi_usage", with_uses("""
 SELECT 'kimi' AS agent, ts_ms, '' AS model, input_tokens, output_tokens, cache_creation_tokens, cache_read_tokens,
   session_id, '' AS cwd FROM uses WHERE k % 3 <> 0 AND user_id % 10 <> 3"""))
-def kimi_usage(spark, sf):
+def kimi_usage(spark, sf, u=None):
     """Status updates; every third carries no usage, and one folder in ten has another file name."""
-    u = usage(spark, sf)
+    u = _usage(spark, sf, u)
     value = _json(timestamp=F.col("ts_ms") / 1000.0, message=_struct(type=F.lit("StatusUpdate"), payload=_struct(
         message_id=F.col("event_id").cast("string"), token_usage=F.when(F.col("k") % 3 != 0, _struct(
             input_other=F.col("input_tokens"), output=F.col("output_tokens"),
@@ -229,9 +234,9 @@ def kimi_usage(spark, sf):
     return _kept(transcripts.kimi(_lines(u, value, name)))
 
 
-def _documents(spark, sf, message: Column, wrap) -> DataFrame:
+def _documents(spark, sf, u: DataFrame | None, message: Column, wrap) -> DataFrame:
     """Rewritten JSON documents of a user: one per 256 event ids, so that no document outgrows a file."""
-    u = usage(spark, sf).withColumn("part_no", F.floor(F.col("event_id") / 256))
+    u = _usage(spark, sf, u).withColumn("part_no", F.floor(F.col("event_id") / 256))
     grouped = u.groupBy("user_id", "session_id", "part_no").agg(
         F.array_sort(F.collect_list(F.struct("event_id", message.alias("m")))).alias("ms"))
     return wrap(grouped.withColumn("messages", F.transform("ms", lambda x: x["m"])))
@@ -241,13 +246,13 @@ def _documents(spark, sf, message: Column, wrap) -> DataFrame:
 SELECT 'c' || event_id AS key, ts_ms, model, input_tokens, output_tokens, cache_creation_tokens, cache_read_tokens,
   CASE WHEN user_id % 2 = 0 THEN session_id ELSE 'f' || user_id || '-' || (event_id // 256) END AS session_id
 FROM uses WHERE k % 4 <> 3"""))
-def cline_records(spark, sf):
+def cline_records(spark, sf, u=None):
     message = _struct(
         id=F.concat(F.lit("c"), F.col("event_id").cast("string")), ts=F.col("ts_ms"), modelInfo=_struct(id=F.col("model")),
         metrics=F.when(F.col("k") % 4 != 3, _struct(
             inputTokens=F.col("input_tokens"), outputTokens=F.col("output_tokens"),
             cacheReadTokens=F.col("cache_read_tokens"), cacheWriteTokens=F.col("cache_creation_tokens"))))
-    files = _documents(spark, sf, message, lambda d: d.select(
+    files = _documents(spark, sf, u, message, lambda d: d.select(
         _json(version=F.lit(1), sessionId=F.when(F.col("user_id") % 2 == 0, F.col("session_id")),
               messages=F.col("messages")).alias("value"),
         F.concat(F.lit("/cline/f"), F.col("user_id").cast("string"), F.lit("-"), F.col("part_no").cast("string"),
@@ -258,13 +263,13 @@ def cline_records(spark, sf):
 @query("task_records", with_uses("""
 SELECT CAST(ts_ms AS VARCHAR) AS key, 'roo' AS agent, ts_ms, input_tokens, output_tokens, cache_creation_tokens,
   cache_read_tokens, session_id FROM uses WHERE k % 5 <> 2"""))
-def task_records(spark, sf):
+def task_records(spark, sf, u=None):
     inner = _json(request=F.lit("..."), tokensIn=F.col("input_tokens"), tokensOut=F.col("output_tokens"),
                   cacheWrites=F.col("cache_creation_tokens"), cacheReads=F.col("cache_read_tokens"))
     message = _struct(ts=F.col("ts_ms"), type=F.lit("say"), text=inner,
                       say=F.when(F.col("k") % 5 == 2, "text").when(F.col("k") % 5 == 1, "deleted_api_reqs")
                       .otherwise("api_req_started"))
-    files = _documents(spark, sf, message, lambda d: d.select(
+    files = _documents(spark, sf, u, message, lambda d: d.select(
         F.to_json("messages").alias("value"),
         F.concat(F.lit("/tasks/"), F.col("part_no").cast("string"), F.lit("/"), F.col("session_id"),
                  F.lit("/ui_messages.json")).alias("source_file")))
@@ -373,8 +378,9 @@ SELECT agent, count(*) AS events, CAST(sum(tokens) AS BIGINT) AS tokens FROM (
 GROUP BY agent"""))
 def all_sources(spark, sf):
     """Every source that needs no database: six logs, and two of rewritten documents through change capture."""
-    logs = [q(spark, sf) for q in (claude_usage, codex_usage, pi_usage, gemini_usage, qwen_usage, kimi_usage)]
-    rewritten = [_as_growth(cline_records(spark, sf), "cline"), _as_growth(task_records(spark, sf), "roo")]
+    u = read_once(spark, sf)
+    logs = [q(spark, sf, u) for q in (claude_usage, codex_usage, pi_usage, gemini_usage, qwen_usage, kimi_usage)]
+    rewritten = [_as_growth(cline_records(spark, sf, u), "cline"), _as_growth(task_records(spark, sf, u), "roo")]
     merged = union_all([f.select("agent", *TOKEN_COLUMNS) for f in logs + rewritten])
     tokens = sum((F.col(c) for c in TOKEN_COLUMNS), F.lit(0))
     return merged.groupBy("agent").agg(F.count("*").alias("events"), F.sum(tokens).alias("tokens"))

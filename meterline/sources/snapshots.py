@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,10 +53,14 @@ def task_messages(files: DataFrame, agent: str) -> DataFrame:
         (F.col("m.type") == "say") & F.col("m.say").isin("api_req_started", "deleted_api_reqs")
         & F.col("m.ts").isNotNull()), u=F.from_json("m.text", _LEGACY_COUNTERS))
     # A counter that is an object, a list or a boolean makes the row no request.
-    odd = [F.coalesce(F.get_json_object("m.text", f"$.{c}").rlike(r"^(\{|\[|true$|false$)"), F.lit(False))
-           for c in ("tokensIn", "tokensOut", "cacheWrites", "cacheReads")]
+    odd = reduce(lambda a, b: a | b, [
+        F.coalesce(F.get_json_object("m.text", f"$.{c}").rlike(r"^(\{|\[|true$|false$)"), F.lit(False))
+        for c in ("tokensIn", "tokensOut", "cacheWrites", "cacheReads")])
+    # A text that has none of these beyond its first character holds no such value: it is not parsed again for every counter.
+    inner = F.substring("m.text", 2, 2**31 - 1)
+    may_be_odd = reduce(lambda a, b: a | b, [inner.contains(part) for part in ("{", "[", "true", "false", "\\")])
     return _records(
-        kept.filter(F.col("u").isNotNull() & ~(odd[0] | odd[1] | odd[2] | odd[3])), agent, key=F.col("m.ts").cast("string"), ts_ms=F.col("m.ts"),
+        kept.filter(F.col("u").isNotNull() & ~F.when(may_be_odd, odd).otherwise(F.lit(False))), agent, key=F.col("m.ts").cast("string"), ts_ms=F.col("m.ts"),
         model=F.lit(""), input_tokens=count_of(F.col("u.tokensIn")),
         output_tokens=count_of(F.col("u.tokensOut")),
         cache_creation_tokens=count_of(F.col("u.cacheWrites")),

@@ -101,11 +101,12 @@ def codex(lines: DataFrame, stage: Stage = as_is) -> DataFrame:
     A reading without a usable input or output counter does not become a base.
     """
     usage = "j.payload.info.total_token_usage"
-    at = iso_to_ms(F.col("j.timestamp"))
+    at = F.col("at")
     meta, turn = F.col("j.type") == "session_meta", F.col("j.type") == "turn_context"
     usable = ((F.col("j.type") == "event_msg") & (F.col("j.payload.type") == "token_count")
               & (F.col(f"{usage}.input_tokens") >= 0) & (F.col(f"{usage}.output_tokens") >= 0) & at.isNotNull())
-    rows = stage(_parsed(lines, _CODEX_SCHEMA, _CODEX_MARKERS).select(
+    parsed = once(_parsed(lines, _CODEX_SCHEMA, _CODEX_MARKERS), at=iso_to_ms(F.col("j.timestamp")))
+    rows = stage(parsed.select(
         "source_file", *ORDER, at.alias("ts_ms"),
         F.when(meta, F.col("j.payload.session_id")).alias("session"),
         F.when(meta | turn, F.col("j.payload.cwd")).alias("cwd"),

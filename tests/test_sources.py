@@ -279,3 +279,36 @@ def test_logs_stream_into_the_cube(spark, tmp_path):
     assert run() == {"/w/a": (2, 2)}
     write(tmp_path / "in/b.jsonl", [claude_row("m2"), claude_row("m3", usage=(5, 0, 0, 0)), claude_row("m3", usage=(5, 0, 0, 0))])
     assert run() == {"/w/a": (7, 3)}
+
+
+def test_task_requests_with_odd_counters_are_none_however_they_are_written(spark):
+    texts = {
+        1: '{"request":"plain","tokensIn":5}',
+        2: '{"tokensIn":5,"tokensOut":{"a":1}}',
+        3: '{"tokensIn":5,"cacheReads":[1]}',
+        4: '{"tokensIn":5,"cacheWrites":true}',
+        5: '{"tokensIn":5,"tokensOut":"false"}',
+        6: '{"tokensIn":5,"tokensOut":"\\u007bx"}',  # a brace that only shows once the text is read
+        7: '{"request":"a { b [ true","tokensIn":5}',
+        8: ' {"tokensIn":5,"tokensOut":"truely"}',
+        9: '{"request":"\\\\","tokensIn":5}',
+    }
+    value = json.dumps([{"ts": ts, "type": "say", "say": "api_req_started", "text": t} for ts, t in texts.items()])
+    files = spark.createDataFrame([(value, "/t/s/ui_messages.json")], "value string, source_file string")
+    found = snapshots.task_messages(files, "roo")
+    assert sorted((r["ts_ms"], r["input_tokens"]) for r in found.collect()) == [(1, 5), (7, 5), (8, 5), (9, 5)]
+    # Texts that cannot hold an odd value are not parsed once more for every counter.
+    assert "CASE WHEN" in found._jdf.queryExecution().optimizedPlan().toString().partition("get_json_object")[0]
+
+
+def test_all_sources_read_the_events_and_their_json_once(spark, tmp_path):
+    from meterline.catalog import QUERIES
+
+    spark.range(40).selectExpr(
+        "id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, id) AS ts", "id % 3 AS user_id",
+        "'click' AS event_type", "double(id + 1) AS value", "concat('{\"k\": ', id, '}') AS props").write.parquet(str(tmp_path / "events.parquet"))
+    found = QUERIES["all_sources"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "get_json_object(props" not in plan and "props#" not in plan
+    events = {r["agent"]: r["events"] for r in found.collect()}
+    assert events["pi"] == sum(k % 10 != 0 for k in range(40)) and events["roo"] == sum(k % 5 != 2 for k in range(40))
